@@ -11,6 +11,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 # Characters whose composed form is themselves and which never combine.
 _NFC_SAFE = r"\u0000-\u02ff\u0400-\u0482\u048a-\u052f\u2002-\u206f"
@@ -29,19 +30,19 @@ SPACE_CLASS = (
 )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compose(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compose_fold(values: pd.Series) -> pd.Series:
     return values.map(
         lambda v: None if v is None else unicodedata.normalize("NFC", v).casefold()
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compat_fold(values: pd.Series) -> pd.Series:
     return values.map(
         lambda v: None if v is None else unicodedata.normalize("NFKC", v).casefold()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -52,10 +53,14 @@ def frame_metrics(frames: DataFrame, logits: str = "logits", blank_id: int = 0)
         )
     )
 
-    def clamped(v: Column) -> Column:
-        return F.greatest(F.exp(v - F.col("_top")) / F.col("_norm"), F.lit(MIN_PROBABILITY))
+    floor = math.log(MIN_PROBABILITY)
 
-    entropy = F.aggregate(x, F.lit(0.0), lambda acc, v: acc - clamped(v) * F.log(clamped(v)))
+    def term(v: Column) -> Column:
+        log_p = v - F.col("_log_total")
+        return F.when(log_p < floor, MIN_PROBABILITY * floor).otherwise(F.exp(log_p) * log_p)
+
+    shifted = shifted.withColumn("_log_total", F.col("_top") + F.log("_norm"))
+    entropy = F.aggregate(x, F.lit(0.0), lambda acc, v: acc - term(v))
     return shifted.select(
         *[c for c in frames.columns if c != logits],
         (F.lit(1.0) / F.col("_norm")).alias("max_p"),

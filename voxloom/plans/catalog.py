@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from voxloom.plans import evidence_queries  # noqa: F401
+from voxloom.plans import evidence_queries, report_queries  # noqa: F401
 from voxloom.plans.registry import REGISTRY  # noqa: F401

@@ -45,5 +45,4 @@ def query(name: str, sql: str | None = None):
 def with_ctes(*parts: str) -> str:
     """Join CTE texts and a final SELECT into one statement."""
     *ctes, body = [p.strip().rstrip(",") for p in parts]
-    word = "WITH RECURSIVE" if any("UNION ALL" in c and "recursive" in c for c in ctes) else "WITH"
-    return f"{word} " + ",\n".join(ctes) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + body
