@@ -10,7 +10,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 # Characters whose composed form is themselves and which never combine.
@@ -104,13 +104,19 @@ def _as_symbols(words: Column, vocabulary: Column) -> Column:
     )
 
 
-def word_distance(reference: Column, hypothesis: Column) -> Column:
-    """Word-level edit distance of two word lists.
+def with_word_distance(df: DataFrame, reference: str, hypothesis: str, out: str) -> DataFrame:
+    """Adds the word-level edit distance of two word-list columns.
 
     Distinct words of the pair become distinct characters, which turns the
-    word problem into the built-in character-level ``levenshtein``.
+    word problem into the built-in character-level ``levenshtein``. The shared
+    vocabulary is a column of its own so that it is built once per row and
+    not once per word.
     """
-    vocabulary = F.array_union(reference, hypothesis)
-    return F.levenshtein(
-        _as_symbols(reference, vocabulary), _as_symbols(hypothesis, vocabulary)
-    )
+    vocabulary = df.withColumn("_vocabulary", F.array_union(reference, hypothesis))
+    words = F.col("_vocabulary")
+    return vocabulary.withColumn(
+        out,
+        F.levenshtein(
+            _as_symbols(F.col(reference), words), _as_symbols(F.col(hypothesis), words)
+        ).cast("long"),
+    ).drop("_vocabulary")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voxloom.functions.text import wer_words, word_distance
+from voxloom.functions.text import wer_words, with_word_distance
 from voxloom.operators.ordered import order_statistics
 
 
@@ -172,19 +172,17 @@ def score_words(pairs: DataFrame, reference: str, hypothesis: str) -> DataFrame:
 
     Whole texts are scored. An empty reference is an error row, not a zero.
     """
-    return (
+    worded = (
         pairs.withColumn("_r", wer_words(F.col(reference)))
         .withColumn("_h", wer_words(F.col(hypothesis)))
         .withColumn("reference_words", F.size("_r").cast("long"))
-        .withColumn(
-            "errors",
-            F.when(
-                F.col("reference_words") > 0, word_distance(F.col("_r"), F.col("_h")).cast("long")
-            ),
-        )
+    )
+    return (
+        with_word_distance(worded, "_r", "_h", "_distance")
+        .withColumn("errors", F.when(F.col("reference_words") > 0, F.col("_distance")))
         .withColumn("wer", F.try_divide(F.col("errors"), F.col("reference_words")))
         .withColumn("status", F.when(F.col("reference_words") > 0, "ok").otherwise("empty_reference"))
-        .drop("_r", "_h")
+        .drop("_r", "_h", "_distance")
     )
 
 
