@@ -1,4 +1,9 @@
 """Imports every query module so that the registry is complete."""
 
-from voxloom.plans import command_queries, evidence_queries, report_queries  # noqa: F401
+from voxloom.plans import (  # noqa: F401
+    command_queries,
+    evidence_queries,
+    journal_queries,
+    report_queries,
+)
 from voxloom.plans.registry import REGISTRY  # noqa: F401

@@ -178,7 +178,7 @@ def review_replay(t):
         ad.SQL_PAIRS,
         """rows AS (
           SELECT prompt_id, conv_id, 0 AS src, text, reference_text FROM pairs WHERE conv_id % 9 <> 8
-          UNION ALL SELECT prompt_id, conv_id, 1, upper(text), reference_text FROM pairs WHERE conv_id % 2 = 0
+          UNION ALL SELECT prompt_id, conv_id, 1, text || ' again', reference_text FROM pairs WHERE conv_id % 2 = 0
           UNION ALL SELECT prompt_id, conv_id, 2, text, CASE WHEN conv_id % 7 = 0 THEN 'other' ELSE reference_text END FROM pairs WHERE conv_id % 3 = 0)""",
         """SELECT prompt_id, coalesce(string_agg(CASE src WHEN 1 THEN 'upper' WHEN 2 THEN 'same' END, ',' ORDER BY src), '') AS sources,
           count(*) FILTER (src > 0) AS n_texts,
@@ -196,7 +196,7 @@ def gather_alternatives(t):
     out = jn.gather_alternatives(
         pairs.where("conv_id % 9 <> 8"),
         {
-            "upper": pairs.where("conv_id % 2 = 0").withColumn("text", F.upper("text")),
+            "upper": pairs.where("conv_id % 2 = 0").withColumn("text", F.concat("text", F.lit(" again"))),
             "same": pairs.where("conv_id % 3 = 0").withColumn(
                 "reference_text", F.when(F.col("conv_id") % 7 == 0, "other").otherwise(F.col("reference_text"))
             ),
