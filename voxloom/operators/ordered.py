@@ -72,7 +72,8 @@ def ranked_counts(
 
     Adds, for every ``name`` in ``sums``: ``name`` (at this value),
     ``cum_name`` (values <= this one), ``total_name`` (whole key); plus the
-    neighbouring distinct values ``prev_value`` / ``next_value``.
+    neighbouring distinct values ``prev_value`` / ``next_value`` and
+    ``next_name``, the sums at the next value.
     """
     keys = list(keys)
     if splits is None:
@@ -85,7 +86,7 @@ def ranked_counts(
     )
     totals = grouped.groupBy(*keys, "_b").agg(
         *[F.sum(n).alias(f"_s_{n}") for n in names],
-        F.min(value).alias("_lo"),
+        F.min(F.struct(value, *names)).alias("_lo"),
         F.max(value).alias("_hi"),
     )
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
@@ -105,7 +106,7 @@ def ranked_counts(
         "*",
         *[F.sum(n).over(running).alias(f"_l_{n}") for n in names],
         F.lag(value).over(inside).alias("_p"),
-        F.lead(value).over(inside).alias("_n"),
+        F.lead(F.struct(value, *names)).over(inside).alias("_n"),
     )
     return local.join(carry, keys + ["_b"]).select(
         *keys,
@@ -114,8 +115,12 @@ def ranked_counts(
         *[(F.col(f"_l_{n}") + F.col(f"_c_{n}")).alias(f"cum_{n}") for n in names],
         *[f"total_{n}" for n in names],
         F.coalesce("_p", "_before").alias("prev_value"),
-        F.coalesce("_n", "_after").alias("next_value"),
-    )
+        F.coalesce("_n", "_after").alias("_next"),
+    ).select(
+        "*",
+        F.col(f"_next.{value}").alias("next_value"),
+        *[F.col(f"_next.{n}").alias(f"next_{n}") for n in names],
+    ).drop("_next")
 
 
 def order_statistics(

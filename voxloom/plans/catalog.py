@@ -5,5 +5,6 @@ from voxloom.plans import (  # noqa: F401
     evidence_queries,
     journal_queries,
     report_queries,
+    search_queries,
 )
 from voxloom.plans.registry import REGISTRY  # noqa: F401

@@ -67,16 +67,9 @@ def first_accepted(t):
 def journal_scan(t):
     """Writes the journal as manifest files and scans them back."""
     root = shared_dir(t.spark, "journal")
-    # One folder per manifest; a manifest is one file by definition.
-    import os
-
-    rows = ad.journal(t).withColumn("file", (F.col("file") % 4).cast("string"))
-    rows.write.partitionBy("file").json(root)
-    back = (
-        t.spark.read.schema("event string, attempt_id string")
-        .option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
-        .json(os.path.join(root, ""))
-    )
+    rows = ad.journal(t).withColumn("manifest", F.col("file") % 4).drop("file")
+    rows.write.partitionBy("manifest").json(root)
+    back = scans.read_journal(t.spark, root, pattern="*.json")
     return back.groupBy("event").agg(F.count("*").alias("n"), F.countDistinct("attempt_id").alias("attempts"))
 
 
@@ -263,7 +256,7 @@ def plan_round_robin(t):
     docs = t("documents").select("lang", "doc_id").withColumn("_b", F.floor(F.col("doc_id") / 65_536))
     numbered = bucket_running(docs, ["lang"], "_b", ["doc_id"], sums={"_pos": F.lit(1)})
     sizes = docs.groupBy("lang").agg(F.count("*").alias("_n"))
-    return numbered.join(F.broadcast(sizes), "lang").select(
+    return numbered.join(sizes, "lang").select(
         "lang",
         F.explode(F.sequence(F.col("_pos") - 1, F.col("_n") * 2 + 2, F.col("_n"))).alias("item"),
         "doc_id",
@@ -410,14 +403,14 @@ def coverage_diff(t):
 @query(
     "manifest_reconcile",
     """
-    SELECT o_orderkey AS key, 'listed_only' AS side FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber < 4)
-    UNION ALL SELECT DISTINCT l_orderkey, 'present_only' FROM lineitem WHERE l_linenumber < 4
-      AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')
-      AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') AND false
-    """.replace("AND false", "AND 1 = 0"),
+    SELECT DISTINCT o_orderkey AS key, 'listed_only' AS side FROM orders
+    WHERE o_orderstatus <> 'P' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber < 4)
+    UNION ALL SELECT DISTINCT l_orderkey, 'present_only' FROM lineitem
+    WHERE l_linenumber < 4 AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')
+    """,
 )
 def manifest_reconcile(t):
-    listed = t("orders").select(F.col("o_orderkey").alias("key"))
+    listed = t("orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("key"))
     present = t("lineitem").where("l_linenumber < 4").select(F.col("l_orderkey").alias("key"))
     return jn.reconcile_keys(listed, present, "key")
 

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voxloom import schemas
-from voxloom.functions.text import nfc  # noqa: F401  (re-exported for callers)
 
 
-def read_journal(spark: SparkSession, root: str, schema: str = schemas.JOURNAL) -> DataFrame:
-    """Every ``manifest.jsonl`` below ``root``, with the file it came from."""
+def read_journal(
+    spark: SparkSession, root: str, schema: str = schemas.JOURNAL, pattern: str = "manifest.jsonl"
+) -> DataFrame:
+    """Every journal file below ``root``, with the file each event came from."""
     return (
         spark.read.schema(schema)
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "manifest.jsonl")
+        .option("pathGlobFilter", pattern)
         .json(root)
         .withColumn("file", F.col("_metadata.file_path"))
     )
