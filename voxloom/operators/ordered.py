@@ -175,48 +175,56 @@ def bucket_running(
     order: Sequence[str],
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
+    maxes: dict[str, Column] | None = None,
+    before: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Running sums and last-non-null values along ``keys`` in bucket order.
+    """Running values along ``keys`` in bucket order.
 
-    ``bucket`` must be non-decreasing in ``order`` inside a key. ``sums`` are
-    inclusive running sums; ``lasts`` hold the last non-null value up to and
-    including the row. Nothing but per-bucket summaries crosses a bucket.
+    ``sums`` and ``maxes`` are inclusive running aggregates, ``lasts`` the last
+    non-null value up to and including the row, ``before`` the last non-null
+    value of an earlier row. ``bucket`` must be non-decreasing in ``order``
+    inside a key. Only one summary row per bucket crosses a bucket border.
     """
     keys, order = list(keys), list(order)
-    sums, lasts = sums or {}, lasts or {}
+    sums, lasts, maxes, before = sums or {}, lasts or {}, maxes or {}, before or {}
+    carried = {**lasts, **before}
     base = df.select(
         "*",
-        *[c.alias(f"_x_{n}") for n, c in sums.items()],
-        *[c.alias(f"_y_{n}") for n, c in lasts.items()],
+        *[c.alias(f"_x_{n}") for n, c in {**sums, **maxes, **carried}.items()],
     )
     rank = F.struct(*order)
     summary = base.groupBy(*keys, bucket).agg(
         F.count(F.lit(1)).alias("_rows"),
         *[F.sum(f"_x_{n}").alias(f"_s_{n}") for n in sums],
+        *[F.max(f"_x_{n}").alias(f"_s_{n}") for n in maxes],
         *[
-            F.max_by(F.col(f"_y_{n}"), F.when(F.col(f"_y_{n}").isNotNull(), rank)).alias(f"_m_{n}")
-            for n in lasts
+            F.max_by(F.col(f"_x_{n}"), F.when(F.col(f"_x_{n}").isNotNull(), rank)).alias(f"_s_{n}")
+            for n in carried
         ],
     )
-    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(
         *keys,
         bucket,
-        *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in sums],
-        *[F.last(f"_m_{n}", ignorenulls=True).over(before).alias(f"_m_{n}") for n in lasts],
-    )
-    running = (
-        Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_s_{n}") for n in sums],
+        *[F.max(f"_s_{n}").over(earlier).alias(f"_s_{n}") for n in maxes],
+        *[F.last(f"_s_{n}", ignorenulls=True).over(earlier).alias(f"_s_{n}") for n in carried],
     )
+    inside = Window.partitionBy(*keys, bucket).orderBy(*order)
+    running = inside.rowsBetween(Window.unboundedPreceding, 0)
+    strictly = inside.rowsBetween(Window.unboundedPreceding, -1)
     local = base.select(
         "*",
-        *[F.sum(f"_x_{n}").over(running).alias(f"_ls_{n}") for n in sums],
-        *[F.last(f"_y_{n}", ignorenulls=True).over(running).alias(f"_ll_{n}") for n in lasts],
+        *[F.sum(f"_x_{n}").over(running).alias(f"_l_{n}") for n in sums],
+        *[F.max(f"_x_{n}").over(running).alias(f"_l_{n}") for n in maxes],
+        *[F.last(f"_x_{n}", ignorenulls=True).over(running).alias(f"_l_{n}") for n in lasts],
+        *[F.last(f"_x_{n}", ignorenulls=True).over(strictly).alias(f"_l_{n}") for n in before],
     )
     return local.join(carry, keys + [bucket]).select(
         *df.columns,
-        *[(F.coalesce(f"_ls_{n}", F.lit(0)) + F.col(f"_s_{n}")).alias(n) for n in sums],
-        *[F.coalesce(f"_ll_{n}", f"_m_{n}").alias(n) for n in lasts],
+        *[(F.coalesce(f"_l_{n}", F.lit(0)) + F.col(f"_s_{n}")).alias(n) for n in sums],
+        *[F.greatest(f"_l_{n}", f"_s_{n}").alias(n) for n in maxes],
+        *[F.coalesce(f"_l_{n}", f"_s_{n}").alias(n) for n in carried],
     )
 
 

@@ -161,7 +161,8 @@ def best_pair_rule(
         F.collect_list(F.struct("feature", "rank", "threshold", "bg_when_less"))
     )
     rules = top.groupBy(*keys).agg(rule_list.alias("_rules"))
-    joined = wide.join(rules, keys) if keys else wide.crossJoin(F.broadcast(rules))
+    # One row per key, and keys are folds: a proven handful of rows.
+    joined = wide.join(F.broadcast(rules), keys or None)
     masks = (
         joined.select(*keys, "label", "_rules", _feature_map(features).alias("_f"))
         .select(
@@ -194,7 +195,7 @@ def best_pair_rule(
     )
     per_key = rules
     for small in (totals, table):
-        per_key = per_key.join(small, keys, "left") if keys else per_key.join(small, F.lit(True), "left")
+        per_key = per_key.join(F.broadcast(small), keys or F.lit(True), "left")
     pairs = (
         per_key.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("_rules") - 1)))
         .withColumn("j", F.explode(F.sequence(F.lit(0), F.size("_rules") - 1)))
@@ -251,7 +252,8 @@ def best_two_boundary(
     )
     thr, low, high = F.col("threshold"), F.col("_l.threshold"), F.col("_h.threshold")
     options = (
-        (cand.join(limits, keys) if keys else cand.crossJoin(F.broadcast(limits)))
+        # One row per key; keys are features or folds.
+        cand.join(F.broadcast(limits), keys or None)
         .groupBy(*keys).agg(
             F.first("_l").alias("_l"),
             F.first("_h").alias("_h"),

@@ -6,5 +6,6 @@ from voxloom.plans import (  # noqa: F401
     journal_queries,
     report_queries,
     search_queries,
+    stream_queries,
 )
 from voxloom.plans.registry import REGISTRY  # noqa: F401
