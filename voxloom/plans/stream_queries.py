@@ -342,3 +342,86 @@ def late_blocks(t):
         "event_id", "user_id", event_time.alias("event_time"), F.floor(F.col("event_id") / 65_536).alias("_b")
     )
     return tm.late_rows(rows, ["user_id"], "_b", ["event_id"], "event_time", 3 * 3600).drop("_b")
+
+
+@query(
+    "phrase_stream",
+    with_ctes(
+        """blocks AS (SELECT event_id // 1024 AS device_id, event_id % 1024 AS block_idx, ts,
+            value >= CASE WHEN ((event_id % 1024) // 24) % 2 = 0 THEN 15.0 ELSE 120.0 END AS voiced, (value / 1000.0) ** 2 AS energy FROM events)""",
+        ad.SQL_PHRASES,
+        """SELECT device_id, start_idx, end_idx, n_blocks, round(duration_s, 6)::DOUBLE AS duration_s, round(rms, 6) AS rms, end_reason FROM phrases""",
+    ),
+)
+def phrase_stream(t):
+    """The events as a live stream: each thousand consecutive ones are a device."""
+    from voxloom.streaming import phrases as ph
+    from voxloom.streaming.runner import drain, replay_table
+
+    source = replay_table(t.spark, t.root, "events", t("events").schema)
+    idx = F.col("event_id") % 1024
+    blocks = source.select(
+        F.floor(F.col("event_id") / 1024).alias("device_id"), idx.alias("block_idx"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        (F.col("value") >= F.when(F.floor(idx / 24) % 2 == 0, 15.0).otherwise(120.0)).alias("voiced"),
+        F.pow(F.col("value") / 1000.0, F.lit(2.0)).alias("energy"),
+    )
+    out = drain(ph.segment_stream(blocks), "phrase-stream")
+    return ad.rounded(out.drop("start_ts", "end_ts"))
+
+
+@query(
+    "telemetry_stream",
+    """SELECT * FROM (SELECT time_bucket(INTERVAL '6 hours', ts) AS window_start, event_type, max(value) AS peak, count(*) AS n
+      FROM events GROUP BY 1, 2)
+    WHERE window_start + INTERVAL '6 hours' <= (SELECT max(ts) FROM events)""",
+)
+def telemetry_stream(t):
+    """Windows closed by the watermark, from the replayed table.
+
+    A window is written once the newest event is past its end.
+    """
+    from voxloom.streaming.runner import drain, replay_table
+
+    source = replay_table(t.spark, t.root, "events", t("events").schema).select(
+        F.col("ts").cast("timestamp").alias("ts"), "event_type", "value"
+    )
+    out = drain(tm.window_peaks(source.withWatermark("ts", "0 seconds"), "ts", ["event_type"], "value", "6 hours"), "telemetry")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "peak", "n")
+
+
+@query(
+    "wake_delivery",
+    """
+    SELECT event_id AS phrase_id, user_id AS device_id, CASE WHEN value >= 50 THEN 'heard ' || event_id END AS wake_text,
+      CASE WHEN value >= 50 THEN 'delivered' ELSE 'discarded' END AS outcome
+    FROM events WHERE event_type = 'purchase' AND (value >= 50 OR ts < (SELECT max(ts) FROM events) - INTERVAL '30 minutes')
+    """,
+)
+def wake_delivery(t):
+    """Phrases and wake decisions as two streams, joined within a minute.
+
+    Decisions repeat (two per phrase), so that duplicates have to be dropped.
+    A phrase without a hit leaves when the watermark is past its waiting time.
+    """
+    from voxloom.streaming import phrases as ph
+    from voxloom.streaming.runner import drain, replay_table
+
+    schema = t("events").schema
+    ts = F.col("ts").cast("timestamp")
+    # Non-purchase events only move the watermark of the phrase stream on.
+    phrases = replay_table(t.spark, t.root, "events", schema).select(
+        F.col("user_id").alias("device_id"), F.col("event_id").alias("phrase_id"), ts.alias("end_ts"), "event_type"
+    )
+    decisions = replay_table(t.spark, t.root, "events", schema).select(
+        F.col("user_id").alias("device_id"), F.col("event_id").alias("phrase_id"), ts.alias("ts"),
+        (F.col("value") >= 50).alias("detected"), F.concat(F.lit("heard "), "event_id").alias("wake_text"),
+        F.explode(F.array(F.lit(False), F.lit(True))).alias("is_final"),
+    )
+    out = drain(ph.deliver_confirmed(phrases, decisions), "delivery")
+    # A discarded phrase of the last half hour is still waiting, as in a live run.
+    newest = t("events").agg(F.max(ts).alias("newest"))
+    settled = out.join(F.broadcast(newest)).where(
+        (F.col("outcome") == "delivered") | (F.col("end_ts") < F.col("newest") - F.expr("INTERVAL 30 MINUTES"))
+    )
+    return settled.where("event_type = 'purchase'").select("phrase_id", "device_id", "wake_text", "outcome")

@@ -1,0 +1,41 @@
+"""Running a bounded stream to completion and reading back what it wrote."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+
+from voxloom.session import ROCKSDB_PROVIDER, shared_dir
+
+
+def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
+    """Processes everything available with exactly-once file output.
+
+    Checkpoint and output live in the shared folder, so a restarted driver or
+    a lost executor continues where the stream was.
+    """
+    spark: SparkSession = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+    root = shared_dir(spark, label)
+    out = os.path.join(root, "out")
+    query = (
+        stream.writeStream.outputMode(mode)
+        .format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", os.path.join(root, "checkpoint"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def replay_table(spark: SparkSession, root: str, table: str, schema, files_per_batch: int = 1) -> DataFrame:
+    """A stored table as a file stream."""
+    return (
+        spark.readStream.schema(schema)
+        .option("maxFilesPerTrigger", files_per_batch)
+        .option("pathGlobFilter", f"{table}.parquet")
+        .parquet(root)
+    )
