@@ -15,7 +15,8 @@ from pyspark.sql.types import StringType
 
 # Characters whose composed form is themselves and which never combine.
 _NFC_SAFE = r"\u0000-\u02ff\u0400-\u0482\u048a-\u052f\u2002-\u206f"
-# The same without the letters whose case folding differs from lower case.
+# The same without the letters whose case folding differs from lower case; the
+# one frequent exception, sharp s, is folded by hand.
 _FOLD_SAFE = (
     r"\u0000-\u00b4\u00b6-\u00de\u00e0-\u00ff"
     r"\u0400-\u0482\u048a-\u052f\u2002-\u206f"
@@ -57,12 +58,16 @@ def nfc(text: Column) -> Column:
     return F.coalesce(_compose(_only_unsafe(text, _NFC_SAFE)), text)
 
 
+def _simple_fold(text: Column) -> Column:
+    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+
+
 def nfc_casefold(text: Column) -> Column:
-    return F.coalesce(_compose_fold(_only_unsafe(text, _FOLD_SAFE)), F.lower(text))
+    return F.coalesce(_compose_fold(_only_unsafe(text, _FOLD_SAFE)), _simple_fold(text))
 
 
 def nfkc_casefold(text: Column) -> Column:
-    return F.coalesce(_compat_fold(_only_unsafe(text, _KFOLD_SAFE)), F.lower(text))
+    return F.coalesce(_compat_fold(_only_unsafe(text, _KFOLD_SAFE)), _simple_fold(text))
 
 
 def collapse_space(text: Column) -> Column:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from voxloom.functions.text import nfkc_casefold
+from voxloom.operators.grouped import map_sorted_groups
+
 # ---- fixed values: accepted spellings and the calibrated threshold ----------
 WAKE_WORDS = ("аурора", "aurora", "أورورا", "أرور", "أورور")
 WAKE_PREFIXES = ("аурора", "aurora")
@@ -15,46 +17,57 @@ DETECTION_THRESHOLD = 2.08
 # -----------------------------------------------------------------------------
 
 
-def contains_wake(normalised: Column) -> Column:
-    """Whether any word of an already normalised text is a wake word."""
-    return F.exists(
-        F.split(normalised, " "),
-        lambda w: w.isin(*WAKE_WORDS) | w.startswith(WAKE_PREFIXES[0]) | w.startswith(WAKE_PREFIXES[1]),
-    )
+_EDGE = r"[^\p{L}\p{N}_]"
+_SHORT = [w for w in WAKE_WORDS if not w.startswith(WAKE_PREFIXES)]
+WAKE_SEARCH = f"(?:^|{_EDGE})(?:{'|'.join(WAKE_PREFIXES)}|(?:{'|'.join(_SHORT)})(?:$|{_EDGE}))"
 
 
-def _label_path(tokens: list[int], blank: int) -> list[int]:
-    path = [blank]
-    for token in tokens:
-        path += [token, blank]
-    return path
+def contains_wake(text: Column) -> Column:
+    """Whether a word of the text is a wake word or starts with a wake prefix.
+
+    One regular expression over the folded text; the word list is never built.
+    """
+    return nfkc_casefold(text).rlike(WAKE_SEARCH)
 
 
-def _step_matrix(cost: np.ndarray, path: list[int], blank: int) -> np.ndarray:
-    """Min-plus transfer matrix of one frame.
+class _Alignment:
+    """Min-plus transfer matrices of one keyword.
 
-    Row/column 0 is 'not started', the last one 'keyword completed'; both
-    cost nothing to stay in, which gives the free start and end.
+    State 0 is 'not started' and the last one 'completed'; both cost nothing
+    to stay in, which gives the free start and end of an alignment.
     """
-    size = len(path) + 2
-    m = np.full((size, size), np.inf)
-    m[0, 0] = m[-1, -1] = 0.0
-    for j, label in enumerate(path):
-        sources = [j + 1]
-        if j >= 1:
-            sources.append(j)
-        if j >= 2 and label != blank and label != path[j - 2]:
-            sources.append(j - 1)
-        if j <= 1:
-            sources.append(0)
-        m[sources, j + 1] = cost[label]
-    # Completion is reached in the frame that pays for one of the last labels.
-    m[:, -1] = np.minimum(m[:, -1], np.minimum(m[:, -2], m[:, -3]))
-    return m
-
-
-def min_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a[:, :, None] + b[None, :, :]).min(axis=1)
+
+    def __init__(self, tokens: list[int], blank: int) -> None:
+        path = [blank]
+        for token in tokens:
+            path += [token, blank]
+        self.path, self.size = path, len(path) + 2
+        self.open = np.zeros((self.size, len(path)), dtype=bool)
+        for j, label in enumerate(path):
+            sources = [j + 1] + ([j] if j >= 1 else []) + ([0] if j <= 1 else [])
+            if j >= 2 and label != blank and label != path[j - 2]:
+                sources.append(j - 1)
+            self.open[sources, j] = True
+
+    def frames(self, deficits: np.ndarray) -> np.ndarray:
+        """One matrix per frame."""
+        out = np.full((len(deficits), self.size, self.size), np.inf)
+        cost = deficits[:, None, self.path]
+        out[:, :, 1:-1] = np.where(self.open[None], cost, np.inf)
+        out[:, 0, 0] = out[:, -1, -1] = 0.0
+        # Completed in the frame that pays for one of the last two labels.
+        ends = np.minimum(out[:, :, -2], out[:, :, -3])
+        out[:, :, -1] = np.minimum(out[:, :, -1], ends)
+        return out
+
+    def chain(self, matrices: np.ndarray) -> np.ndarray:
+        """Ordered product of all matrices, halving their number each round."""
+        while len(matrices) > 1:
+            odd = matrices[-1:] if len(matrices) % 2 else matrices[:0]
+            pairs = matrices[: len(matrices) - len(odd)]
+            product = (pairs[0::2, :, :, None] + pairs[1::2, None, :, :]).min(axis=2)
+            matrices = np.concatenate([product, odd])
+        return matrices[0]
 
 
 def keyword_scores(
@@ -71,63 +84,44 @@ def keyword_scores(
     Alignment is a chain of min-plus matrix products, and those are
     associative: every chunk of frames is reduced to one small matrix per
     keyword on its own, then chunk matrices are multiplied in order, by
-    groups of chunks and finally per utterance. No task sees more frames than
-    a chunk holds, however long an utterance is.
+    groups of chunks and finally per utterance. No group holds more frames
+    than a chunk, however long an utterance is.
     """
-    paths = {word: _label_path(tokens, blank) for word, tokens in keywords.items()}
-    lengths = {word: len(tokens) for word, tokens in keywords.items()}
+    aligned = {word: _Alignment(tokens, blank) for word, tokens in keywords.items()}
+    kind = dict(frames.dtypes)[key]
+    schema = f"_k {kind}, keyword string, _c bigint, m array<double>"
 
-    def reduce_frames(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_i")
-        values = np.stack(pdf["_v"].to_numpy())
+    def reduce_frames(g: dict) -> list[tuple]:
+        values = np.stack(g["_v"])
         deficits = values.max(axis=1, keepdims=True) - values
-        rows = []
-        for word, path in paths.items():
-            total = None
-            for cost in deficits:
-                step = _step_matrix(cost, path, blank)
-                total = step if total is None else min_plus(total, step)
-            rows.append((pdf["_k"].iloc[0], pdf["_c"].iloc[0], word, total.ravel()))
-        return pd.DataFrame(rows, columns=["_k", "_c", "keyword", "m"])
-
-    def reduce_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_c")
-        size = len(paths[pdf["keyword"].iloc[0]]) + 2
-        total = None
-        for flat in pdf["m"]:
-            step = np.asarray(flat).reshape(size, size)
-            total = step if total is None else min_plus(total, step)
-        first = pdf.iloc[0]
-        return pd.DataFrame(
-            [(first["_k"], first["_g"], first["keyword"], total.ravel())],
-            columns=["_k", "_c", "keyword", "m"],
-        )
+        return [
+            (g["_k"][0], word, int(g["_c"][0]), a.chain(a.frames(deficits)).ravel())
+            for word, a in aligned.items()
+        ]
+
+    def reduce_chunks(g: dict) -> list[tuple]:
+        a = aligned[g["keyword"][0]]
+        matrices = np.stack(g["m"]).reshape(-1, a.size, a.size)
+        return [(g["_k"][0], g["keyword"][0], int(g["_g"][0]), a.chain(matrices).ravel())]
 
-    kind = dict(frames.dtypes)[key]
-    schema = f"_k {kind}, _c bigint, keyword string, m array<double>"
     chunked = frames.select(
         F.col(key).alias("_k"),
-        F.col(index).alias("_i"),
         F.floor(F.col(index) / chunk_frames).alias("_c"),
+        F.col(index).alias("_i"),
         F.col(logits).alias("_v"),
     )
-    matrices = chunked.groupBy("_k", "_c").applyInPandas(reduce_frames, schema)
-    grouped = (
-        matrices.withColumn("_g", F.floor(F.col("_c") / chunk_frames))
-        .groupBy("_k", "_g", "keyword").applyInPandas(reduce_chunks, schema)
-    )
-    final = (
-        grouped.withColumn("_g", F.lit(0).cast("long"))
-        .groupBy("_k", "keyword").applyInPandas(reduce_chunks, schema)
-    )
-    per_token = F.try_element_at(
-        F.create_map(*[F.lit(x) for w, n in lengths.items() for x in (w, n)]), F.col("keyword")
-    )
-    # The start row's last entry is the cheapest complete alignment.
-    width = F.sqrt(F.size("m").cast("double")).cast("int")
-    return final.select(
-        F.col("_k").alias(key), "keyword", (F.element_at("m", width) / per_token).alias("score")
-    )
+    matrices = map_sorted_groups(chunked, ["_k", "_c"], ["_i"], reduce_frames, schema)
+    for size in (chunk_frames, None):
+        group = F.lit(0).cast("long") if size is None else F.floor(F.col("_c") / size)
+        matrices = map_sorted_groups(
+            matrices.withColumn("_g", group), ["_k", "keyword", "_g"], ["_c"], reduce_chunks, schema
+        )
+    score = F.lit(None).cast("double")
+    for word, tokens in keywords.items():
+        # Start row, last column: the cheapest complete alignment.
+        best = F.element_at("m", aligned[word].size) / float(len(tokens))
+        score = F.when(F.col("keyword") == word, best).otherwise(score)
+    return matrices.select(F.col("_k").alias(key), "keyword", score.alias("score"))
 
 
 def best_keyword(scores: DataFrame, key: str = "utt_id", threshold: float = DETECTION_THRESHOLD) -> DataFrame:

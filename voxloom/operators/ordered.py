@@ -19,39 +19,54 @@ from voxloom.session import parallelism
 _FANOUT = 64
 
 
-def value_splits(df: DataFrame, value: str, parts: int | None = None) -> list[float]:
-    """Up to ``parts - 1`` equi-depth split points of a numeric column.
+# A join side below this many rows is broadcast; above it the join shuffles.
+BROADCAST_ROWS = 200_000
+
 
-    One mergeable sketch, so the driver receives a list bounded by ``parts``
-    whatever the size of the table. The split points only balance the work;
-    results are exact for any choice of them.
+def value_profile(
+    df: DataFrame, keys: Sequence[str], value: str, parts: int | None = None
+) -> tuple[list[float], int]:
+    """Equi-depth split points of a numeric column and the rough number of keys.
+
+    Two mergeable sketches in one job, so the driver receives at most
+    ``parts`` numbers whatever the size of the table. Both only decide how the
+    work is spread; results are exact for any outcome.
     """
-    parts = parts or parallelism(df.sparkSession)
-    if parts < 2:
-        return []
+    parts = max(parts or parallelism(df.sparkSession), 2)
     fractions = [i / parts for i in range(1, parts)]
+    n_keys = F.approx_count_distinct(F.struct(*keys)) if keys else F.lit(1)
     row = df.agg(
-        F.percentile_approx(F.col(value).cast("double"), fractions, 20 * parts).alias("s")
+        F.percentile_approx(F.col(value).cast("double"), fractions, 20 * parts).alias("s"),
+        n_keys.alias("k"),
     ).first()
-    return sorted(set(row["s"] or []))
+    return sorted(set(row["s"] or [])), row["k"]
+
+
+def value_splits(df: DataFrame, value: str, parts: int | None = None) -> list[float]:
+    return value_profile(df, [], value, parts)[0]
+
+
+def _search_tree(value: Column, points: Sequence[float], low: int, high: int) -> Column:
+    """Binary search over literal points as nested conditions."""
+    if low == high:
+        return F.lit(low)
+    mid = (low + high) // 2
+    return F.when(value > points[mid], _search_tree(value, points, mid + 1, high)).otherwise(
+        _search_tree(value, points, low, mid)
+    )
 
 
 def split_bucket(value: Column, splits: Sequence[float]) -> Column:
-    """Number of split points below ``value`` (two levels of comparisons)."""
+    """Number of split points below ``value``: monotone in the value."""
     if not splits:
         return F.lit(0)
+    if len(splits) <= _FANOUT:
+        return _search_tree(value, splits, 0, len(splits))
+    # Many split points: pick a group of them by tree, then count inside it.
     groups = [list(splits[i:i + _FANOUT]) for i in range(0, len(splits), _FANOUT)]
-
-    def count_below(points: Sequence[float]) -> Column:
-        return reduce(
-            lambda a, b: a + b,
-            [(F.lit(p) < value).cast("int") for p in points],
-        )
-
-    if len(groups) == 1:
-        return count_below(groups[0])
+    ends = [g[-1] for g in groups]
+    coarse = _search_tree(value, ends, 0, len(ends))
     table = F.array(*[F.array(*[F.lit(p) for p in g]) for g in groups])
-    coarse = F.size(F.filter(F.array(*[F.lit(g[-1]) for g in groups]), lambda s: s < value))
     inside = F.size(
         F.filter(
             F.coalesce(F.get(table, coarse), F.array().cast("array<double>")),
@@ -130,32 +145,60 @@ def order_statistics(
     *,
     linear: dict[str, float] | None = None,
     upper_median: str | None = None,
-    splits: Sequence[float] | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
-    """Exact quantiles per key from ranked counts.
+    """Exact quantiles per key by distributed selection.
 
     ``linear`` maps an output name to a fraction (linear interpolation over
     n-1); ``upper_median`` names an output holding ``sorted[n // 2]``.
-    """
-    linear = linear or {}
-    ranks = ranked_counts(
-        df.where(F.col(value).isNotNull()), keys, value, {"n": F.lit(1)}, splits
-    )
-    first, last, total = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1, F.col("total_n")
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((first <= rank) & (rank <= last), F.col(value)))
+    Rows are counted per (key, value bucket), which shuffles counters only.
+    The counters tell which buckets hold a wanted rank, and just the rows of
+    those buckets are sorted.
+    """
+    keys, linear = list(keys), linear or {}
+    rows = df.where(F.col(value).isNotNull()).select(*keys, value)
+    splits, n_keys = value_profile(rows, keys, value, parts or 8 * parallelism(df.sparkSession))
+    rows = rows.withColumn("_b", split_bucket(F.col(value), splits))
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    counters = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n")).select(
+        *keys,
+        "_b",
+        F.sum("_n").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"),
+        F.col("_n"),
+        F.sum("_n").over(whole).alias("total"),
+    ).withColumn("_before", F.col("_upto") - F.col("_n"))
 
-    aggs = [F.max("total_n").alias("n")]
+    total = F.col("total")
+    ranks: dict[str, Column] = {}
     for name, fraction in linear.items():
         pos = (total - 1) * F.lit(float(fraction))
-        aggs += [
-            at(F.floor(pos)).alias(f"_lo_{name}"),
-            at(F.ceil(pos)).alias(f"_hi_{name}"),
-        ]
+        ranks[f"_lo_{name}"], ranks[f"_hi_{name}"] = F.floor(pos), F.ceil(pos)
     if upper_median:
-        aggs.append(at(F.floor(total / 2)).alias(upper_median))
-    out = ranks.groupBy(*keys).agg(*aggs)
+        ranks[upper_median] = F.floor(total / 2)
+    wanted = reduce(
+        lambda a, b: a | b,
+        [(F.col("_before") <= r) & (r < F.col("_upto")) for r in ranks.values()],
+    )
+    targets = counters.where(wanted).select(*keys, "_b", "_before", "total")
+    # Every key has at most one target bucket per rank.
+    if n_keys * len(ranks) <= BROADCAST_ROWS:
+        targets = F.broadcast(targets)
+    hits = rows.join(targets, keys + ["_b"]).groupBy(*keys, "_b", "_before", "total", value).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    inside = (
+        Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    )
+    placed = hits.withColumn("_last", F.col("_before") + F.sum("_n").over(inside) - 1)
+    first, last = F.col("_last") - F.col("_n") + 1, F.col("_last")
+    out = placed.groupBy(*keys).agg(
+        F.max("total").alias("n"),
+        *[
+            F.max(F.when((first <= r) & (r <= last), F.col(value))).alias(name)
+            for name, r in ranks.items()
+        ],
+    )
     exprs = []
     for name, fraction in linear.items():
         pos = (F.col("n") - 1) * F.lit(float(fraction))

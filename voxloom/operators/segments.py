@@ -10,9 +10,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from voxloom.operators.grouped import map_sorted_groups
 from voxloom.operators.ordered import bucket_running, with_halo
 from voxloom.operators.phrase_machine import BlockRun, SegmentRules
 
@@ -178,23 +178,14 @@ def pad_recordings(blocks: DataFrame, before: int = 10, after: int = 20) -> Data
 # ---------------------------------------------------------------------------
 
 
-def _device_path(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Entry state of every chunk of a device from the chunk functions."""
-    pdf = pdf.sort_values("chunk")
-    state, entries = 0, []
-    for exits in pdf["exits"]:
-        entries.append(state)
-        state = int(exits[state] if len(exits) > 1 else exits[0])
-    return pd.DataFrame({"device_id": pdf["device_id"], "chunk": pdf["chunk"], "entry": entries})
-
-
 def segment_phrases(
     blocks: DataFrame, rules: SegmentRules = DEFAULT_RULES, chunk: int = CHUNK_BLOCKS
 ) -> DataFrame:
     """Phrases of every device, exactly as a sequential pass would cut them.
 
-    No task holds more than one chunk of blocks plus the longest phrase before
-    it. A device contributes one small row per chunk to the chaining step.
+    No task holds more than a batch of blocks plus one chunk with the longest
+    phrase before it. A device contributes one small row per full chunk to
+    the chaining step, and devices shorter than a chunk skip that step.
     Phrases still open at the end of a device's data are not emitted.
     """
     if chunk < rules.max_blocks:
@@ -202,52 +193,58 @@ def segment_phrases(
     kind = dict(blocks.dtypes)["device_id"]
     columns = ["device_id", "block_idx", "ts", "voiced", "energy"]
     sliced = with_halo(blocks.select(*columns), "block_idx", chunk, rules.max_blocks)
+    full = blocks.where(F.pmod("block_idx", F.lit(chunk)) == chunk - 1).select(
+        "device_id", F.floor(F.col("block_idx") / chunk).cast("long").alias("chunk")
+    )
+    keys, order = ["device_id", "chunk"], ["block_idx"]
 
-    def ordered(pdf: pd.DataFrame):
-        pdf = pdf.sort_values("block_idx")
-        return pdf, pdf["voiced"].to_numpy(dtype=bool), int(pdf["is_halo"].sum())
-
-    def to_function(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, voiced, first = ordered(pdf)
-        if first == len(pdf):  # nothing but copies of the chunk before
-            return pd.DataFrame({"device_id": [], "chunk": [], "exits": []})
-        run = BlockRun(voiced, first, rules)
+    def to_function(g: dict) -> list[tuple]:
+        first = int(g["is_halo"].sum())
+        run = BlockRun(g["voiced"].astype(bool), first, rules)
         # Only the first chunk of a device has a known entry state.
-        exits = [run.run(0)[1]] if pdf["chunk"].iloc[0] == 0 else run.exits()
-        return pd.DataFrame(
-            {"device_id": [pdf["device_id"].iloc[0]], "chunk": [pdf["chunk"].iloc[0]], "exits": [exits]}
-        )
-
-    def to_phrases(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, voiced, first = ordered(pdf)
-        out = []
-        if first < len(pdf):
-            energy = np.concatenate([[0.0], np.cumsum(pdf["energy"].to_numpy(dtype=float))])
-            index, ts = pdf["block_idx"].to_numpy(), pdf["ts"].to_numpy()
-            ends, _ = BlockRun(voiced, first, rules).run(int(pdf["entry"].iloc[0]))
-            for at, length, reason in ends:
-                if length < rules.min_blocks:
-                    continue
-                begin = at - length + 1
-                mean = (energy[at + 1] - energy[begin]) / length
-                out.append((
-                    pdf["device_id"].iloc[0], index[begin], index[at], ts[begin], ts[at], length,
-                    length * rules.block_s, float(np.sqrt(max(mean, 0.0))), reason,
-                ))
-        return pd.DataFrame(out, columns=[
-            "device_id", "start_idx", "end_idx", "start_ts", "end_ts", "n_blocks", "duration_s", "rms", "end_reason",
-        ])
-
-    functions = sliced.groupBy("device_id", "chunk").applyInPandas(
-        to_function, f"device_id {kind}, chunk bigint, exits array<int>"
+        exits = [run.run(0)[1]] if g["chunk"][0] == 0 else run.exits()
+        return [(g["device_id"][0], int(g["chunk"][0]), [int(x) for x in exits])]
+
+    def chain(g: dict) -> list[tuple]:
+        state, out = 0, []
+        for device, at, exits in zip(g["device_id"], g["chunk"], g["exits"]):
+            state = int(exits[state] if len(exits) > 1 else exits[0])
+            out.append((device, int(at) + 1, state))
+        return out
+
+    def to_phrases(g: dict) -> list[tuple]:
+        first = int(g["is_halo"].sum())
+        if first == len(g["block_idx"]):
+            return []
+        ends, _ = BlockRun(g["voiced"].astype(bool), first, rules).run(int(g["entry"][0]))
+        total = np.concatenate([[0.0], np.cumsum(g["energy"].astype(float))])
+        index, ts, out = g["block_idx"], g["ts"], []
+        for at, length, reason in ends:
+            if length < rules.min_blocks:
+                continue
+            begin = at - length + 1
+            mean = max((total[at + 1] - total[begin]) / length, 0.0)
+            out.append((
+                g["device_id"][0], int(index[begin]), int(index[at]), ts[begin], ts[at], length,
+                length * rules.block_s, float(np.sqrt(mean)), reason,
+            ))
+        return out
+
+    schema = (
+        f"device_id {kind}, start_idx bigint, end_idx bigint, start_ts {dict(blocks.dtypes)['ts']}, "
+        f"end_ts {dict(blocks.dtypes)['ts']}, n_blocks bigint, duration_s double, rms double, end_reason string"
+    )
+    opening = sliced.where("chunk = 0").withColumn("entry", F.lit(0))
+    functions = map_sorted_groups(
+        sliced.join(full, keys, "left_semi"), keys, order, to_function,
+        f"device_id {kind}, chunk bigint, exits array<int>",
     )
-    entries = functions.groupBy("device_id").applyInPandas(
-        _device_path, f"device_id {kind}, chunk bigint, entry int"
+    entries = map_sorted_groups(
+        functions, ["device_id"], ["chunk"], chain, f"device_id {kind}, chunk bigint, entry int"
     )
-    return sliced.join(entries, ["device_id", "chunk"]).groupBy("device_id", "chunk").applyInPandas(
-        to_phrases,
-        f"device_id {kind}, start_idx bigint, end_idx bigint, start_ts timestamp, end_ts timestamp, "
-        "n_blocks bigint, duration_s double, rms double, end_reason string",
+    later = sliced.where("chunk > 0").join(entries, keys)
+    return map_sorted_groups(opening, keys, order, to_phrases, schema).unionByName(
+        map_sorted_groups(later, keys, order, to_phrases, schema)
     )
 
 

@@ -157,15 +157,15 @@ def review_replay(t):
     baseline, alternatives = _runs(t)
     gathered = jn.gather_alternatives(baseline, alternatives)
     candidates = gathered.select(
-        "prompt_id", F.posexplode(F.concat(F.array("text"), "texts")).alias("ord", "said")
+        "prompt_id", F.posexplode(F.concat(F.array("text"), "texts")).alias("ord", "said"), "sources", "violations"
     ).where("said IS NOT NULL")
-    reviews = cm.reconcile_candidates(cm.extract_commands(candidates, "said"), "prompt_id", "ord")
+    reviews = cm.reconcile_candidates(
+        cm.extract_commands(candidates, "said"), "prompt_id", "ord", keep=["sources", "violations"]
+    )
     broken = F.size("violations") > 0
-    return gathered.select("prompt_id", F.array_join("sources", ",").alias("sources"), "violations").join(
-        reviews, "prompt_id"
-    ).select(
+    return reviews.select(
         "prompt_id",
-        "sources",
+        F.array_join("sources", ",").alias("sources"),
         F.when(broken, "rejected").otherwise(F.col("status")).alias("status"),
         F.when(broken, F.array_join("violations", ",")).otherwise(F.col("reason")).alias("reason"),
         F.when(~broken, F.col("command_key")).alias("command_key"),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxloom.functions import text as tx
 from voxloom.operators import contracts as ct
 from voxloom.operators import evaluate as va
 from voxloom.operators import journal as jn
@@ -12,7 +11,7 @@ from voxloom.operators import keywords as kw
 from voxloom.operators import transcripts as tr
 from voxloom.plans import adapters as ad
 from voxloom.plans.registry import query, with_ctes
-from voxloom.session import shared_dir
+from voxloom.session import shared_dir, spread_small
 from voxloom.sources import scans, sinks
 
 
@@ -298,8 +297,8 @@ def keyword_predicate(t):
         .when(k == 2, F.concat("text", F.lit(" —Аурората—"))).when(k == 3, F.concat("text", F.lit(" auroras.")))
         .when(k == 4, F.concat("text", F.lit(" xaurora"))).otherwise(F.col("text"))
     )
-    docs = t("documents").select("doc_id", said.alias("text"))
-    return docs.select("doc_id", kw.contains_wake(tx.keyword_normalise(F.col("text"))).alias("has_wake"))
+    docs = spread_small(t("documents").select("doc_id", "text")).select("doc_id", said.alias("text"))
+    return docs.select("doc_id", kw.contains_wake(F.col("text")).alias("has_wake"))
 
 
 @query(

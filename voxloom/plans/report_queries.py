@@ -187,7 +187,7 @@ def feature_rank(t):
     with_ctes(ad.SQL_FEATURES, "SELECT sample_id, label, prompt, feature, round(value, 6) AS value FROM long"),
 )
 def feature_unpivot(t):
-    return ad.rounded(ad.feature_long(t))
+    return ad.rounded(ad.long_features(ad.labelled_features(t)))
 
 
 @query("lang_histogram", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")

@@ -136,8 +136,8 @@ pair_scores AS (SELECT *, """ + SCORE_SQL + """ FROM pair_counts)"""
     ),
 )
 def best_pair_rule(t):
-    wide = ad.labelled_features(t)
-    top = se.top_rules(se.single_rules(ad.feature_long(t), []), [])
+    wide = ad.stored_features(t)
+    top = se.top_rules(se.single_rules(ad.long_features(wide), []), [])
     return _pair_columns(se.best_pair_rule(wide, top, ad.FEATURES, []))
 
 
@@ -178,7 +178,7 @@ fold_long AS (UNPIVOT (SELECT * FROM folds WHERE fold IS NOT NULL) ON mean_word_
 
 
 def folded(t):
-    return se.two_fold_split(ad.labelled_features(t), "sample_id")
+    return se.two_fold_split(ad.stored_features(t), "sample_id")
 
 
 @query(

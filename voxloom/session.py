@@ -75,3 +75,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread_small(df: DataFrame, per_task: int = 32 * 1024 * 1024) -> DataFrame:
+    """Spreads a table of few, small files over all cores before heavy row work.
+
+    Decided from the size the planner knows. A table large enough to fill the
+    cores by itself is left alone, so no shuffle is added where it would cost.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * per_task else df
