@@ -64,15 +64,10 @@ def split_bucket(value: Column, splits: Sequence[float]) -> Column:
         return _search_tree(value, splits, 0, len(splits))
     # Many split points: pick a group of them by tree, then count inside it.
     groups = [list(splits[i:i + _FANOUT]) for i in range(0, len(splits), _FANOUT)]
-    ends = [g[-1] for g in groups]
+    ends = [g[-1] for g in groups[:-1]]
     coarse = _search_tree(value, ends, 0, len(ends))
     table = F.array(*[F.array(*[F.lit(p) for p in g]) for g in groups])
-    inside = F.size(
-        F.filter(
-            F.coalesce(F.get(table, coarse), F.array().cast("array<double>")),
-            lambda s: s < value,
-        )
-    )
+    inside = F.size(F.filter(F.get(table, coarse), lambda s: s < value))
     return coarse * F.lit(_FANOUT) + inside
 
 

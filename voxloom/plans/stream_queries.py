@@ -80,7 +80,7 @@ def pre_roll(t):
         sizes AS (SELECT device_id, phrase_id, count(*) AS n FROM ph GROUP BY device_id, phrase_id),
         checks AS (SELECT device_id, phrase_id, m AS prefix, false AS is_final FROM sizes, (VALUES (15),(20),(25),(30),(35),(40)) v(m) WHERE n >= m
           UNION ALL SELECT device_id, phrase_id, least(n, 40), true FROM sizes WHERE n < 15 OR (n < 40 AND n % 5 <> 0))""",
-        """SELECT c.device_id, c.phrase_id, c.prefix, c.is_final, round(sqrt(sum(amp * amp) / c.prefix), 6) AS rms,
+        """SELECT c.device_id, c.phrase_id, c.prefix::BIGINT AS prefix, c.is_final, round(sqrt(sum(amp * amp) / c.prefix), 6) AS rms,
           sqrt(sum(amp * amp) / c.prefix) >= 0.008 AS submitted
         FROM checks c JOIN ph p ON p.device_id = c.device_id AND p.phrase_id = c.phrase_id AND p.pos < c.prefix GROUP BY c.device_id, c.phrase_id, c.prefix, c.is_final""",
     ),
@@ -97,13 +97,13 @@ def prefix_schedule(t):
     "noise_floor",
     with_ctes(
         ad.SQL_BLOCKS,
-        """SELECT device_id, round(median(value / 10000.0), 6) AS noise_floor, round(greatest(0.008, 3 * median(value / 10000.0)), 6) AS threshold
+        """SELECT device_id, round(median(value / 10000.0), 9) AS noise_floor, round(greatest(0.008, 3 * median(value / 10000.0)), 9) AS threshold
         FROM blocks WHERE block_idx < 10 GROUP BY device_id""",
     ),
 )
 def noise_floor(t):
     calibration = ad.blocks(t).where("block_idx < 10").select("device_id", (F.col("value") / 10000.0).alias("rms"))
-    return ad.rounded(sg.noise_thresholds(calibration, "device_id", "rms"))
+    return ad.rounded(sg.noise_thresholds(calibration, "device_id", "rms"), 9)
 
 
 @query(
@@ -157,7 +157,7 @@ final AS (SELECT * FROM cap QUALIFY row_number() OVER (PARTITION BY device_id, s
     with_ctes(
         ad.SQL_BLOCKS, _CAPTURE_SQL,
         """SELECT device_id, session, CASE WHEN stop = '' THEN 'OPEN' ELSE stop END AS stop_reason,
-          CASE WHEN onset >= 0 THEN onset END AS onset_idx, CASE WHEN stop <> '' THEN i END AS stop_idx,
+          CASE WHEN onset >= 0 THEN onset::BIGINT END AS onset_idx, CASE WHEN stop <> '' THEN i END AS stop_idx,
           CASE WHEN stop IN ('END_SILENCE', 'MAX_DURATION') THEN (n - greatest(sil - 2, 0))::BIGINT END AS kept_blocks FROM final""",
     ),
 )

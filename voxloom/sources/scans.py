@@ -109,10 +109,8 @@ def round_robin_plan(spark: SparkSession, per_language: int, phrases: dict[str,
     rows = [(lang, i, len(texts), text) for lang, texts in phrases.items() for i, text in enumerate(texts)]
     table = spark.createDataFrame(rows, "language string, slot bigint, n bigint, phrase string")
     # One row per phrase generates its own share of the plan: no join at all.
-    return table.select(
+    return table.where(F.col("slot") < per_language).select(
         "language",
-        F.explode(F.sequence(F.col("slot"), F.lit(max(per_language - 1, 0)).cast("long"), F.col("n"))).alias("item"),
+        F.explode(F.sequence(F.col("slot"), F.lit(per_language - 1).cast("long"), F.col("n"))).alias("item"),
         "phrase",
-    ) if per_language > max((len(p) for p in phrases.values()), default=0) else (
-        table.where(F.col("slot") < per_language).select("language", F.col("slot").alias("item"), "phrase")
     )
