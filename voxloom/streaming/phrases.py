@@ -92,9 +92,12 @@ def deliver_confirmed(
     within ``wait`` leaves as discarded once the watermark has passed.
     """
     p = phrases.withWatermark("end_ts", phrase_delay)
+    # Negative decisions must move the watermark on as well. The condition
+    # names the event time so that it is not pushed below the watermark.
+    positive = F.when(F.col("ts").isNotNull(), F.col("detected"))
     d = (
-        decisions.where("detected")
-        .withWatermark("ts", phrase_delay)
+        decisions.withWatermark("ts", phrase_delay)
+        .where(positive)
         .dropDuplicatesWithinWatermark(["device_id", "phrase_id"])
         .select(
             F.col("device_id").alias("_device"), F.col("phrase_id").alias("_phrase"), "ts", "wake_text"
