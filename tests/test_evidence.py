@@ -64,3 +64,16 @@ def test_slices_match_integer_boundaries(spark):
         bounds = np.linspace(0, frames, 17, dtype=int)
         want = {k: max(int(bounds[k + 1]), min(int(bounds[k]) + 1, frames)) - int(bounds[k]) for k in range(16)}
         assert got == want
+
+
+def test_user_supplied_scorer(spark):
+    import pandas as pd
+
+    from voxloom.operators.plugins import score_frames
+
+    def scorer(batch):
+        rows = [(u, m, i, [0.0, float(i), 1.0]) for u in batch["utt_id"] for m in ("bg", "en") for i in range(3)]
+        return pd.DataFrame(rows, columns=["utt_id", "model", "frame_idx", "logits"])
+
+    frames = score_frames(spark.createDataFrame([(1,), (2,)], "utt_id long"), scorer)
+    assert ev.paired_evidence(ev.frame_metrics(frames)).count() == 2

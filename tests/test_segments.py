@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voxloom.operators import segments as sg
 from voxloom.operators.phrase_machine import BlockRun, SegmentRules
 from voxloom.streaming import phrases as ph
-from voxloom.streaming.runner import drain
+from voxloom.streaming.runner import drain, drain_with_progress
 
 SHORT = SegmentRules(max_blocks=30, end_silence=4, pre_roll=6)
 
@@ -90,11 +90,11 @@ def found(df):
     )
 
 
-@pytest.mark.parametrize("chunk", [30, 64, 4096])
-def test_segmentation_does_not_depend_on_chunks(spark, chunk):
+@pytest.mark.parametrize("chunk,fan", [(30, 2), (30, 7), (64, 1024), (4096, 1024)])
+def test_segmentation_does_not_depend_on_chunks(spark, chunk, fan):
     pdf = device_blocks()
     df = spark.createDataFrame(pdf).repartition(7)
-    assert found(sg.segment_phrases(df, SHORT, chunk)) == expected(pdf, SHORT)
+    assert found(sg.segment_phrases(df, SHORT, chunk, fan)) == expected(pdf, SHORT)
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -203,3 +203,23 @@ def test_delivery(spark, tmp_path):
     discarded = {r["phrase_id"] for r in out if r["outcome"] == "discarded"}
     assert delivered == [0, 2, 4, 6]
     assert discarded <= {1, 3, 5, 7} and {1, 3} <= discarded
+
+
+def test_late_blocks_are_dropped_and_counted(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    schema = "device_id long, block_idx long, ts timestamp"
+    rows = [(1, i, start + timedelta(minutes=10 * i)) for i in range(6)]
+    # Spark drops by the watermark of the batch before, hence one batch between.
+    tick = [(1, 6, start + timedelta(hours=1))]
+    late = [(1, 100, start - timedelta(hours=2)), (1, 6, tick[0][2]), (1, 7, start + timedelta(hours=3))]
+    for i, part in enumerate((rows, tick, late)):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
+    source = (
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
+        .parquet(str(tmp_path / "in"))
+    )
+    out, query = drain_with_progress(ph.drop_late(source, "ts", "30 minutes", ["device_id", "block_idx"]), "late")
+    assert sorted(r["block_idx"] for r in out.collect()) == [0, 1, 2, 3, 4, 5, 6, 7]
+    assert ph.dropped_rows(query) == 1

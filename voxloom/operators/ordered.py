@@ -14,13 +14,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from voxloom.session import parallelism
+from voxloom.session import materialise, parallelism
 
 _FANOUT = 64
 
 
 # A join side below this many rows is broadcast; above it the join shuffles.
 BROADCAST_ROWS = 200_000
+# Bounds the sketch, the literals in the plan and what the driver receives.
+MAX_PARTS = _FANOUT * _FANOUT
 
 
 def value_profile(
@@ -32,7 +34,7 @@ def value_profile(
     ``parts`` numbers whatever the size of the table. Both only decide how the
     work is spread; results are exact for any outcome.
     """
-    parts = max(parts or parallelism(df.sparkSession), 2)
+    parts = min(max(parts or parallelism(df.sparkSession), 2), MAX_PARTS)
     fractions = [i / parts for i in range(1, parts)]
     n_keys = F.approx_count_distinct(F.struct(*keys)) if keys else F.lit(1)
     row = df.agg(
@@ -42,6 +44,16 @@ def value_profile(
     return sorted(set(row["s"] or [])), row["k"]
 
 
+def checked_broadcast(df: DataFrame, label: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A small aggregate as a join side: broadcast only if its row count allows.
+
+    The aggregate is written once and counted; above the limit it is returned
+    without a hint and the join shuffles.
+    """
+    stored = materialise(df, label)
+    return F.broadcast(stored) if stored.count() <= limit else stored
+
+
 def value_splits(df: DataFrame, value: str, parts: int | None = None) -> list[float]:
     return value_profile(df, [], value, parts)[0]
 

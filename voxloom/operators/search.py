@@ -174,8 +174,10 @@ def best_pair_rule(
         )
         .groupBy(*keys, "label", "_on").agg(F.count(F.lit(1)).alias("_n"))
     )
+    # Rule -1 always holds: its count with itself is the number of samples.
     hits = (
-        masks.withColumn("i", F.explode("_on"))
+        masks.withColumn("_on", F.concat(F.array(F.lit(-1)), "_on"))
+        .withColumn("i", F.explode("_on"))
         .withColumn("j", F.explode(F.filter("_on", lambda x: x >= F.col("i"))))
         .groupBy(*keys, "i", "j")
         .agg(
@@ -183,19 +185,18 @@ def best_pair_rule(
             F.sum(F.when(F.col("label") == HIGH, F.col("_n")).otherwise(0)).alias("en"),
         )
     )
-    totals = masks.groupBy(*keys).agg(
-        F.sum(F.when(F.col("label") == LOW, F.col("_n")).otherwise(0)).alias("total_bg"),
-        F.sum(F.when(F.col("label") == HIGH, F.col("_n")).otherwise(0)).alias("total_en"),
-    )
     # One small map per key: (i, j) -> joint counts; at most (4 x features)^2.
     table = hits.groupBy(*keys).agg(
         F.map_from_entries(
             F.collect_list(F.struct(F.concat_ws(",", "i", "j"), F.struct("bg", "en")))
         ).alias("_hits")
     )
-    per_key = rules
-    for small in (totals, table):
-        per_key = per_key.join(F.broadcast(small), keys or F.lit(True), "left")
+    everything = F.try_element_at(F.col("_hits"), F.lit("-1,-1"))
+    per_key = (
+        rules.join(F.broadcast(table), keys or None)
+        .withColumn("total_bg", everything["bg"])
+        .withColumn("total_en", everything["en"])
+    )
     pairs = (
         per_key.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("_rules") - 1)))
         .withColumn("j", F.explode(F.sequence(F.lit(0), F.size("_rules") - 1)))

@@ -17,6 +17,7 @@ from voxloom.operators.ordered import bucket_running, with_halo
 from voxloom.operators.phrase_machine import BlockRun, SegmentRules
 
 CHUNK_BLOCKS = 4096
+CHAIN_FAN = 1024
 
 
 DEFAULT_RULES = SegmentRules()
@@ -178,8 +179,60 @@ def pad_recordings(blocks: DataFrame, before: int = 10, after: int = 20) -> Data
 # ---------------------------------------------------------------------------
 
 
+def _follow(exits, state: int) -> int:
+    return int(exits[state] if len(exits) > 1 else exits[0])
+
+
+def _chain_entries(functions: DataFrame, kind: str, fan: int = CHAIN_FAN) -> DataFrame:
+    """Entry state of the chunk after every full chunk.
+
+    State functions compose, and composition is associative: ``fan`` chunks
+    become one function, those are followed per device, and the states found
+    are then followed inside each run of chunks. A group never holds more
+    than ``fan`` functions below the device level.
+    """
+    runs = functions.withColumn("run", F.floor(F.col("chunk") / fan))
+
+    def compose(g: dict) -> list[tuple]:
+        total = None
+        for exits in g["exits"]:
+            if total is None or len(exits) == 1:
+                total = list(exits)
+            else:
+                total = [int(exits[t]) for t in total]
+        return [(g["device_id"][0], int(g["run"][0]), [int(t) for t in total])]
+
+    def follow_runs(g: dict) -> list[tuple]:
+        state, out = 0, []
+        for device, run, exits in zip(g["device_id"], g["run"], g["exits"]):
+            out.append((device, int(run), state))
+            state = _follow(exits, state)
+        return out
+
+    def follow_chunks(g: dict) -> list[tuple]:
+        state, out = int(g["start"][0]), []
+        for device, at, exits in zip(g["device_id"], g["chunk"], g["exits"]):
+            state = _follow(exits, state)
+            out.append((device, int(at) + 1, state))
+        return out
+
+    composed = map_sorted_groups(
+        runs, ["device_id", "run"], ["chunk"], compose, f"device_id {kind}, run bigint, exits array<int>"
+    )
+    starts = map_sorted_groups(
+        composed, ["device_id"], ["run"], follow_runs, f"device_id {kind}, run bigint, start int"
+    )
+    return map_sorted_groups(
+        runs.join(starts, ["device_id", "run"]), ["device_id", "run"], ["chunk"], follow_chunks,
+        f"device_id {kind}, chunk bigint, entry int",
+    )
+
+
 def segment_phrases(
-    blocks: DataFrame, rules: SegmentRules = DEFAULT_RULES, chunk: int = CHUNK_BLOCKS
+    blocks: DataFrame,
+    rules: SegmentRules = DEFAULT_RULES,
+    chunk: int = CHUNK_BLOCKS,
+    fan: int = CHAIN_FAN,
 ) -> DataFrame:
     """Phrases of every device, exactly as a sequential pass would cut them.
 
@@ -205,13 +258,6 @@ def segment_phrases(
         exits = [run.run(0)[1]] if g["chunk"][0] == 0 else run.exits()
         return [(g["device_id"][0], int(g["chunk"][0]), [int(x) for x in exits])]
 
-    def chain(g: dict) -> list[tuple]:
-        state, out = 0, []
-        for device, at, exits in zip(g["device_id"], g["chunk"], g["exits"]):
-            state = int(exits[state] if len(exits) > 1 else exits[0])
-            out.append((device, int(at) + 1, state))
-        return out
-
     def to_phrases(g: dict) -> list[tuple]:
         first = int(g["is_halo"].sum())
         if first == len(g["block_idx"]):
@@ -239,9 +285,7 @@ def segment_phrases(
         sliced.join(full, keys, "left_semi"), keys, order, to_function,
         f"device_id {kind}, chunk bigint, exits array<int>",
     )
-    entries = map_sorted_groups(
-        functions, ["device_id"], ["chunk"], chain, f"device_id {kind}, chunk bigint, entry int"
-    )
+    entries = _chain_entries(functions, kind, fan)
     later = sliced.where("chunk > 0").join(entries, keys)
     return map_sorted_groups(opening, keys, order, to_phrases, schema).unionByName(
         map_sorted_groups(later, keys, order, to_phrases, schema)

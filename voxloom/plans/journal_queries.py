@@ -9,6 +9,7 @@ from voxloom.operators import evaluate as va
 from voxloom.operators import journal as jn
 from voxloom.operators import keywords as kw
 from voxloom.operators import transcripts as tr
+from voxloom.operators.ordered import bucket_running, checked_broadcast
 from voxloom.plans import adapters as ad
 from voxloom.plans.registry import query, with_ctes
 from voxloom.session import shared_dir, spread_small
@@ -250,11 +251,9 @@ def label_merge(t):
 )
 def plan_round_robin(t):
     """Two and a bit rounds over every language's documents."""
-    from voxloom.operators.ordered import bucket_running
-
     docs = t("documents").select("lang", "doc_id").withColumn("_b", F.floor(F.col("doc_id") / 65_536))
     numbered = bucket_running(docs, ["lang"], "_b", ["doc_id"], sums={"_pos": F.lit(1)})
-    sizes = docs.groupBy("lang").agg(F.count("*").alias("_n"))
+    sizes = checked_broadcast(docs.groupBy("lang").agg(F.count("*").alias("_n")), "lang-sizes")
     return numbered.join(sizes, "lang").select(
         "lang",
         F.explode(F.sequence(F.col("_pos") - 1, F.col("_n") * 2 + 2, F.col("_n"))).alias("item"),

@@ -11,6 +11,7 @@ from voxloom.operators import search as se
 from voxloom.plans import adapters as ad
 from voxloom.plans.registry import query, with_ctes
 from voxloom.plans.report_queries import COVERAGE_SQL
+from voxloom.session import materialise
 
 
 def sql_candidates(source: str, group: str, out: str, epsilon: bool) -> str:
@@ -229,7 +230,8 @@ def fold_eval(t):
     """Rules found on one fold, scored on the other, in both directions."""
     wide = folded(t).where("fold IS NOT NULL")
     long = wide.unpivot(["sample_id", "label", "fold"], list(ad.FEATURES), "feature", "value")
-    rules = se.single_rules(long, ["fold"])
+    # Two searches read the scored rules; sorting the values twice costs more.
+    rules = materialise(se.single_rules(long, ["fold"]), "rules")
     single = se.best_single_rule(rules, ["fold"])
     pair = se.best_pair_rule(wide.drop("violation"), se.top_rules(rules, ["fold"]), ad.FEATURES, ["fold"])
     kind = "struct<feature:string,threshold:double,bg_when_less:boolean>"

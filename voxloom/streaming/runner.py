@@ -5,15 +5,19 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 from voxloom.session import ROCKSDB_PROVIDER, shared_dir
 
 
-def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
+def drain_with_progress(
+    stream: DataFrame, label: str, mode: str = "append"
+) -> tuple[DataFrame, StreamingQuery]:
     """Processes everything available with exactly-once file output.
 
     Checkpoint and output live in the shared folder, so a restarted driver or
-    a lost executor continues where the stream was.
+    a lost executor continues where the stream was. Also returns the finished
+    query, whose progress holds counts such as late rows.
     """
     spark: SparkSession = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
@@ -28,7 +32,11 @@ def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(out), query
+
+
+def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
+    return drain_with_progress(stream, label, mode)[0]
 
 
 def replay_table(spark: SparkSession, root: str, table: str, schema, files_per_batch: int = 1) -> DataFrame:
