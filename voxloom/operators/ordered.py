@@ -94,8 +94,7 @@ def ranked_counts(
 
     Adds, for every ``name`` in ``sums``: ``name`` (at this value),
     ``cum_name`` (values <= this one), ``total_name`` (whole key); plus the
-    neighbouring distinct values ``prev_value`` / ``next_value`` and
-    ``next_name``, the sums at the next value.
+    neighbouring distinct values ``prev_value`` / ``next_value``.
     """
     keys = list(keys)
     if splits is None:
@@ -108,7 +107,7 @@ def ranked_counts(
     )
     totals = grouped.groupBy(*keys, "_b").agg(
         *[F.sum(n).alias(f"_s_{n}") for n in names],
-        F.min(F.struct(value, *names)).alias("_lo"),
+        F.min(value).alias("_lo"),
         F.max(value).alias("_hi"),
     )
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
@@ -128,7 +127,7 @@ def ranked_counts(
         "*",
         *[F.sum(n).over(running).alias(f"_l_{n}") for n in names],
         F.lag(value).over(inside).alias("_p"),
-        F.lead(F.struct(value, *names)).over(inside).alias("_n"),
+        F.lead(value).over(inside).alias("_n"),
     )
     return local.join(carry, keys + ["_b"]).select(
         *keys,
@@ -137,12 +136,8 @@ def ranked_counts(
         *[(F.col(f"_l_{n}") + F.col(f"_c_{n}")).alias(f"cum_{n}") for n in names],
         *[f"total_{n}" for n in names],
         F.coalesce("_p", "_before").alias("prev_value"),
-        F.coalesce("_n", "_after").alias("_next"),
-    ).select(
-        "*",
-        F.col(f"_next.{value}").alias("next_value"),
-        *[F.col(f"_next.{n}").alias(f"next_{n}") for n in names],
-    ).drop("_next")
+        F.coalesce("_n", "_after").alias("next_value"),
+    )
 
 
 def order_statistics(
@@ -242,7 +237,8 @@ def bucket_running(
         "*",
         *[c.alias(f"_x_{n}") for n, c in {**sums, **maxes, **carried}.items()],
     )
-    rank = F.struct(*order)
+    # A single fixed-width order column keeps the summary a hash aggregate.
+    rank = F.struct(*order) if len(order) > 1 else F.col(order[0])
     summary = base.groupBy(*keys, bucket).agg(
         F.count(F.lit(1)).alias("_rows"),
         *[F.sum(f"_x_{n}").alias(f"_s_{n}") for n in sums],

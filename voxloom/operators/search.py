@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxloom.operators.ordered import ranked_counts
+from voxloom.session import materialise
 
 LOW, HIGH = "BG", "EN"
 _COUNTS = ("bg", "en")
@@ -44,30 +45,32 @@ def candidate_thresholds(
     eps = F.greatest(F.abs(v) * 1e-6, F.lit(1e-9))
     alone = prev.isNull() & nxt.isNull()
 
-    def point(threshold: Column) -> Column:
-        """Counts around a threshold that lies between v's neighbours."""
+    def point(threshold: Column, when: Column | None = None) -> Column:
+        """Counts around a threshold between v's neighbours (v itself included)."""
         fields = [threshold.alias("threshold")]
         for c in _COUNTS:
             cum, own = F.col(f"cum_{c}"), F.col(c)
-            le = (
-                F.when(threshold >= nxt, cum + F.col(f"next_{c}"))
-                .when(threshold >= v, cum)
-                .otherwise(cum - own)
-            )
-            lt = F.when(threshold > v, cum).otherwise(cum - own)
-            fields += [le.alias(f"{c}_le"), lt.alias(f"{c}_lt")]
-        return F.struct(*fields)
+            fields += [
+                F.when(threshold >= v, cum).otherwise(cum - own).alias(f"{c}_le"),
+                F.when(threshold > v, cum).otherwise(cum - own).alias(f"{c}_lt"),
+            ]
+        return F.struct(*fields) if when is None else F.when(when, F.struct(*fields))
 
     alone_points = (
         F.array(point(v)) if single == "value" else F.array(point(v - eps), point(v + eps))
     )
-    first, last = point(v - (nxt - v) / 2.0), point(v + (v - prev) / 2.0)
-    middle = point((v + nxt) / 2.0)
-    points = (
-        F.when(alone, alone_points)
-        .when(prev.isNull(), F.array(first, middle))
-        .when(nxt.isNull(), F.array(last))
-        .otherwise(F.array(middle))
+    to_next, from_prev = (v + nxt) / 2.0, (prev + v) / 2.0
+    # The midpoint of neighbouring doubles can be the upper one of them; then
+    # the row of the upper value owns it, because it knows the counts there.
+    points = F.when(alone, alone_points).otherwise(
+        F.array_compact(
+            F.array(
+                point(v - (nxt - v) / 2.0, prev.isNull()),
+                point(from_prev, from_prev >= v),
+                point(to_next, to_next < nxt),
+                point(v + (v - prev) / 2.0, nxt.isNull()),
+            )
+        )
     )
     return ranks.select(
         *keys, "total_bg", "total_en", F.explode(points).alias("p")
@@ -243,8 +246,12 @@ def best_two_boundary(
     completely do the two compete for it, and then its two neighbours decide.
     """
     keys = list(keys)
-    cand = candidate_thresholds(samples, keys, value, label, single="value").withColumn(
-        "en_ge", F.col("total_en") - F.col("en_lt")
+    # Read twice below: written once, so that the values are sorted once.
+    cand = materialise(
+        candidate_thresholds(samples, keys, value, label, single="value").withColumn(
+            "en_ge", F.col("total_en") - F.col("en_lt")
+        ),
+        "candidates",
     )
     safe_low, safe_high = F.col("en_le") == 0, F.col("bg_lt") == F.col("total_bg")
     limits = cand.groupBy(*keys).agg(

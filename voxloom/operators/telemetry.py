@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from voxloom.functions.arrays import percent
 from voxloom.operators.ordered import bucket_running, order_statistics
+from voxloom.session import materialise
 
 SUB_BUCKETS = 64
 
@@ -94,13 +95,13 @@ def interval_peaks(
         F.col(key).alias("_key"), F.col(at).alias("t"), F.col(value).alias("_v"),
         F.explode(F.array(*[F.lit(s).cast("long") for s in sizes])).alias("_size"),
     ).withColumn("b", bucket(F.col("t")))
-    lines = readings.select(
+    lines = materialise(readings.select(
         "_key", "_size", "b", "t", "_v", F.lit(None).cast(dict(ops.dtypes)[op_id]).alias("_op"), F.lit(None).cast("string").alias("kind"), F.lit(False).alias("_mid")
     ).unionByName(
         marks.select("_key", "_size", "m.b", "m.t", F.lit(None).cast("double").alias("_v"), "_op", "m.kind", "_mid")
     ).withColumn(
         "_sub", F.floor((F.col("t") - F.col("b") * size) * SUB_BUCKETS / size).cast("long")
-    )
+    ), "interval-lines")
     group = ["_key", "_size", "b"]
     # Equal times: a prefix mark sorts after, a suffix mark before the samples.
     up = lines.where("kind IS NULL OR kind = 'prefix'").withColumn("_tie", F.when(F.col("kind").isNull(), 0).otherwise(1))
@@ -111,9 +112,9 @@ def interval_peaks(
         .withColumn("_back", -F.col("t")).withColumn("_sub", -F.col("_sub"))
     )
     suffix = bucket_running(down, group, "_sub", ["_back", "_tie"], maxes={"_peak": F.col("_v")})
-    whole = readings.groupBy(*group).agg(F.max("_v").alias("_peak"))
-    middle = marks.where("_mid AND m.kind = 'suffix'").select(
-        "_key", "_size", (F.col("m.b") + 1).alias("b"), "_op"
+    whole = lines.where("kind IS NULL").groupBy(*group).agg(F.max("_v").alias("_peak"))
+    middle = lines.where("_mid AND kind = 'suffix'").select(
+        "_key", "_size", (F.col("b") + 1).alias("b"), "_op"
     ).join(whole, group)
     peaks = (
         prefix.where("kind IS NOT NULL").select("_op", "_peak")

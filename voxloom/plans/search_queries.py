@@ -263,8 +263,11 @@ def fold_eval(t):
 def fold_intersection(t):
     """The more careful boundary of both folds, judged on all samples."""
     samples = folded(t).where("fold IS NOT NULL").select("fold", "label", F.col("mean_word_len").alias("value"))
-    safe = se.best_two_boundary(samples, ["fold"]).agg(
-        F.min("bg_boundary").alias("bg_boundary"), F.max("en_boundary").alias("en_boundary")
+    safe = materialise(
+        se.best_two_boundary(samples, ["fold"]).agg(
+            F.min("bg_boundary").alias("bg_boundary"), F.max("en_boundary").alias("en_boundary")
+        ),
+        "safe",
     )
     # A global aggregate is exactly one row, so this broadcast is one row too.
     routed = samples.join(F.broadcast(safe)).withColumn(

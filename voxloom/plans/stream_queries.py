@@ -48,7 +48,7 @@ def onset_vote(t):
 )
 def silence_run(t):
     return ad.rounded(
-        sg.silence_runs(ad.blocks(t)).select("device_id", "block_idx", "silent_blocks", "silence_s")
+        sg.silence_runs(ad.stored_blocks(t)).select("device_id", "block_idx", "silent_blocks", "silence_s")
     )
 
 
@@ -115,7 +115,7 @@ def noise_floor(t):
     ),
 )
 def phrase_segments(t):
-    return ad.rounded(sg.segment_phrases(ad.blocks(t)))
+    return ad.rounded(sg.segment_phrases(ad.stored_blocks(t)))
 
 
 @query(
@@ -129,7 +129,7 @@ def phrase_segments(t):
     ),
 )
 def phrase_sessions(t):
-    return ad.rounded(sg.phrase_sessions(ad.blocks(t)))
+    return ad.rounded(sg.phrase_sessions(ad.stored_blocks(t)))
 
 
 _CAPTURE_SQL = """
@@ -202,7 +202,7 @@ def pause_gate(t):
     ),
 )
 def padded_replay(t):
-    return sg.pad_recordings(ad.blocks(t)).select("device_id", "block_idx", "voiced")
+    return sg.pad_recordings(ad.stored_blocks(t)).select("device_id", "block_idx", "voiced")
 
 
 @query(
