@@ -16,13 +16,19 @@ def peak(samples: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(samples, lambda v: F.abs(v))), F.lit(0.0))
 
 
+def round_half_even(value: Column, digits: int) -> Column:
+    """Rounds the binary value with ties to even, unlike ``round``."""
+    scale = float(10**digits)
+    return F.rint(value * scale) / scale
+
+
 def gigabytes(size: Column) -> Column:
-    return F.round(size / float(1024**3), 2)
+    return round_half_even(size / float(1024**3), 2)
 
 
 def megabytes(size: Column) -> Column:
-    return F.round(size / float(1024**2), 0)
+    return round_half_even(size / float(1024**2), 0)
 
 
 def percent(part: Column, whole: Column) -> Column:
-    return F.round(F.when(whole > 0, part * 100.0 / whole).otherwise(F.lit(0.0)), 1)
+    return round_half_even(F.when(whole > 0, part * 100.0 / whole).otherwise(F.lit(0.0)), 1)

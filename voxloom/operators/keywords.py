@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -25,9 +27,12 @@ WAKE_SEARCH = f"(?:^|{_EDGE})(?:{'|'.join(WAKE_PREFIXES)}|(?:{'|'.join(_SHORT)})
 def contains_wake(text: Column) -> Column:
     """Whether a word of the text is a wake word or starts with a wake prefix.
 
-    One regular expression over the folded text; the word list is never built.
+    The word list is never built: plain substring search rules out nearly all
+    texts, and one regular expression settles the rest.
     """
-    return nfkc_casefold(text).rlike(WAKE_SEARCH)
+    folded = nfkc_casefold(text)
+    possible = reduce(lambda a, b: a | b, [folded.contains(w) for w in (*WAKE_PREFIXES, *_SHORT)])
+    return F.when(possible, folded.rlike(WAKE_SEARCH)).when(text.isNotNull(), False)
 
 
 class _Alignment:

@@ -38,7 +38,7 @@ def value_profile(
     fractions = [i / parts for i in range(1, parts)]
     n_keys = F.approx_count_distinct(F.struct(*keys)) if keys else F.lit(1)
     row = df.agg(
-        F.percentile_approx(F.col(value).cast("double"), fractions, 20 * parts).alias("s"),
+        F.percentile_approx(F.col(value).cast("double"), fractions, 5 * parts).alias("s"),
         n_keys.alias("k"),
     ).first()
     return sorted(set(row["s"] or [])), row["k"]

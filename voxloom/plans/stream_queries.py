@@ -234,8 +234,8 @@ def detector_summary(t):
 @query(
     "headroom",
     """
-    SELECT event_id, value AS used_mb, round(512.0 - value, 6)::DOUBLE AS free_mb, round(value * 100.0 / 512.0, 1) AS used_percent,
-      512.0 - value < 400 AS skip, round(value * 1048576 / 1073741824.0, 2) AS used_gb FROM events
+    SELECT event_id, value AS used_mb, round(512.0 - value, 6)::DOUBLE AS free_mb, round_even(value * 100.0::DOUBLE / 512.0, 1) AS used_percent,
+      512.0 - value < 400 AS skip, round_even(value * 1048576 / 1073741824.0, 2) AS used_gb FROM events
     """,
 )
 def headroom(t):
