@@ -123,3 +123,31 @@ def test_evidence_csv_report(spark, tmp_path):
     df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
     sinks.write_csv_report(df, str(tmp_path / "c"), ["b", "a"])
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).columns == ["b", "a"]
+
+
+def run(spark, rows):
+    return spark.createDataFrame(
+        rows, "prompt_id string, sha256 string, attempt_id string, reference_text string, status string, errors long"
+    )
+
+
+def test_paired_compare_guards(spark):
+    base = run(spark, [("1", "s", "a", "r", "ok", 1), ("2", "s", "a", "r", "ok", 1), ("3", "s", "a", "r", "ok", 1)] + [("4", "s", "a", "r", "ok", 1)] * 50)
+    other = run(spark, [("1", "s", "a", "r", "ok", 0), ("2", "x", "a", "r", "ok", 0), ("3", "s", "a", "r", "error", None)] + [("4", "s", "a", "r", "ok", 0)] * 50)
+    got = {r["b_prompt_id"]: r["violations"] for r in jn.paired_compare(base, other).collect()}
+    assert got == {"1": [], "2": ["sha256_mismatch"], "3": ["run_failed"], "4": ["duplicate_id"]}
+
+
+def test_coverage_diff(spark):
+    expected = spark.createDataFrame([("a", 1), ("b", 2), ("c", None), ("d", 4), ("d", 4)], "k string, v int")
+    actual = spark.createDataFrame([("a", 1), ("c", 3), ("x", 9), ("d", 4)], "k string, v int")
+    got = {r["k"]: (r["kind"], r["fields"]) for r in jn.coverage_diff(expected, actual, "k", ["v"]).collect()}
+    assert got == {"b": ("missing", None), "x": ("extra", None), "c": ("mismatch", "v"), "d": ("duplicate", "")}
+
+
+def test_labels_resume(spark):
+    rec = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "f string")
+    old = spark.createDataFrame([("a", "BG"), ("b", "  "), ("c", "EN"), ("c", "EN")], "f string, l string")
+    new = spark.createDataFrame([("c", "BG"), ("d", "")], "f string, l string")
+    got = sorted(tuple(r) for r in jn.merge_labels(rec, old, new, "f", "l").collect())
+    assert got == [("a", "BG"), ("c", "BG")]

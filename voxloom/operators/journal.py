@@ -97,33 +97,55 @@ def first_accepted(
 GUARDED = ("sha256", "attempt_id", "reference_text")
 
 
+def one_per_key(df: DataFrame, key: str, copies: str = "copies") -> DataFrame:
+    """One row per key with the number of copies.
+
+    Copies are combined before the shuffle that a join on the key needs
+    anyway, so a key with very many copies on both sides of a join cannot
+    multiply.
+    """
+    others = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(
+        F.min(F.struct(*others)).alias("_row"), F.count(F.lit(1)).alias(copies)
+    ).select(key, "_row.*", copies)
+
+
 def paired_compare(baseline: DataFrame, other: DataFrame, key: str = "prompt_id") -> DataFrame:
     """Two runs side by side; rows that are not about the same audio are flagged."""
-    b = baseline.select(*[F.col(c).alias(f"b_{c}") for c in baseline.columns])
-    o = other.select(*[F.col(c).alias(f"o_{c}") for c in other.columns])
+    b, o = one_per_key(baseline, key), one_per_key(other, key)
+    b = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
+    o = o.select(*[F.col(c).alias(f"o_{c}") for c in o.columns])
     joined = b.join(o, F.col(f"b_{key}") == F.col(f"o_{key}"))
-    checks = [(F.col("b_status") != "ok", "baseline_failed"), (F.col("o_status") != "ok", "run_failed")]
+    checks = [
+        ((F.col("b_copies") > 1) | (F.col("o_copies") > 1), "duplicate_id"),
+        (F.col("b_status") != "ok", "baseline_failed"),
+        (F.col("o_status") != "ok", "run_failed"),
+    ]
     checks += [
         (~F.col(f"b_{f}").eqNullSafe(F.col(f"o_{f}")), f"{f}_mismatch") for f in GUARDED
     ]
-    return joined.withColumn("violations", violation_list(*checks))
+    return joined.withColumn("violations", violation_list(*checks)).drop("b_copies", "o_copies")
 
 
 def coverage_diff(expected: DataFrame, actual: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """Missing and extra keys, then keys whose fields differ; equal keys are left out."""
-    e = expected.select(F.col(key).alias("_ek"), *[F.col(f).alias(f"_e_{f}") for f in fields])
-    a = actual.select(F.col(key).alias("_ak"), *[F.col(f).alias(f"_a_{f}") for f in fields])
-    joined = e.join(a, F.col("_ek") == F.col("_ak"), "full")
+    """Missing and extra keys, then keys that differ or repeat; equal keys are left out."""
+    e, a = (one_per_key(df.select(key, *fields), key) for df in (expected, actual))
+    e = e.select(*[F.col(c).alias(f"_e_{c}") for c in e.columns])
+    a = a.select(*[F.col(c).alias(f"_a_{c}") for c in a.columns])
+    left, right = F.col(f"_e_{key}"), F.col(f"_a_{key}")
+    joined = e.join(a, left == right, "full")
+    repeated = (F.col("_e_copies") > 1) | (F.col("_a_copies") > 1)
     differing = violation_list(*[
         (~F.col(f"_e_{f}").eqNullSafe(F.col(f"_a_{f}")), f) for f in fields
     ])
     return joined.select(
-        F.coalesce("_ek", "_ak").alias(key),
-        F.when(F.col("_ak").isNull(), "missing")
-        .when(F.col("_ek").isNull(), "extra")
+        F.coalesce(left, right).alias(key),
+        F.when(right.isNull(), "missing")
+        .when(left.isNull(), "extra")
+        .when(repeated, "duplicate")
         .when(F.size(differing) > 0, "mismatch")
         .alias("kind"),
-        F.when(F.col("_ak").isNotNull() & F.col("_ek").isNotNull(), F.array_join(differing, ",")).alias("fields"),
+        F.when(right.isNotNull() & left.isNotNull(), F.array_join(differing, ",")).alias("fields"),
     ).where("kind IS NOT NULL")
 
 
@@ -239,8 +261,11 @@ def resume_slice(df: DataFrame, key: str, start, count: int) -> DataFrame:
 
 def merge_labels(recordings: DataFrame, existing: DataFrame, new: DataFrame, key: str, label: str) -> DataFrame:
     """Recordings with a label: a new one, else the stored non-empty one."""
-    old = existing.select(F.col(key), F.nullif(F.trim(F.col(label)), F.lit("")).alias("_old"))
-    fresh = new.select(F.col(key), F.nullif(F.trim(F.col(label)), F.lit("")).alias("_new"))
+    def stored(df: DataFrame, out: str) -> DataFrame:
+        # A recording listed twice counts once.
+        return df.groupBy(key).agg(F.max(F.nullif(F.trim(F.col(label)), F.lit(""))).alias(out))
+
+    old, fresh = stored(existing, "_old"), stored(new, "_new")
     return (
         recordings.select(key).join(old, key, "left").join(fresh, key, "left")
         .select(key, F.coalesce("_new", "_old").alias(label))

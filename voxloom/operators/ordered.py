@@ -5,6 +5,7 @@ when a key holds a third of the table. Everything here splits a key further
 into ordered buckets, runs the window inside a bucket, and carries a small
 per-bucket summary from one bucket to the next. The summary has one row per
 (key, bucket), so the only window that sees a whole key sees summaries.
+Keys must not be null: a row without a key belongs to no sequence.
 """
 
 from __future__ import annotations
