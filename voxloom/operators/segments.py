@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from voxloom.operators.grouped import map_sorted_groups
 from voxloom.operators.ordered import bucket_running, with_halo
 from voxloom.operators.phrase_machine import BlockRun, SegmentRules
+from voxloom.session import materialise
 
 CHUNK_BLOCKS = 4096
 CHAIN_FAN = 1024
@@ -243,9 +244,11 @@ def segment_phrases(
     """
     if chunk < rules.max_blocks:
         raise ValueError("a chunk must hold a whole phrase")
-    kind = dict(blocks.dtypes)["device_id"]
-    columns = ["device_id", "block_idx", "ts", "voiced", "energy"]
-    sliced = with_halo(blocks.select(*columns), "block_idx", chunk, rules.max_blocks)
+    kind, time_type = dict(blocks.dtypes)["device_id"], dict(blocks.dtypes)["ts"]
+    # Times cross into Python as integers, which Arrow hands over as they are.
+    columns = ["device_id", "block_idx", "us", "voiced", "energy"]
+    timed = blocks.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).select(*columns)
+    sliced = with_halo(timed, "block_idx", chunk, rules.max_blocks)
     full = blocks.where(F.pmod("block_idx", F.lit(chunk)) == chunk - 1).select(
         "device_id", F.floor(F.col("block_idx") / chunk).cast("long").alias("chunk")
     )
@@ -264,31 +267,34 @@ def segment_phrases(
             return []
         ends, _ = BlockRun(g["voiced"].astype(bool), first, rules).run(int(g["entry"][0]))
         total = np.concatenate([[0.0], np.cumsum(g["energy"].astype(float))])
-        index, ts, out = g["block_idx"], g["ts"], []
+        index, us, out = g["block_idx"], g["us"], []
         for at, length, reason in ends:
             if length < rules.min_blocks:
                 continue
             begin = at - length + 1
             mean = max((total[at + 1] - total[begin]) / length, 0.0)
             out.append((
-                g["device_id"][0], int(index[begin]), int(index[at]), ts[begin], ts[at], length,
+                g["device_id"][0], int(index[begin]), int(index[at]), int(us[begin]), int(us[at]), length,
                 length * rules.block_s, float(np.sqrt(mean)), reason,
             ))
         return out
 
     schema = (
-        f"device_id {kind}, start_idx bigint, end_idx bigint, start_ts {dict(blocks.dtypes)['ts']}, "
-        f"end_ts {dict(blocks.dtypes)['ts']}, n_blocks bigint, duration_s double, rms double, end_reason string"
+        f"device_id {kind}, start_idx bigint, end_idx bigint, start_ts bigint, end_ts bigint, "
+        "n_blocks bigint, duration_s double, rms double, end_reason string"
     )
     opening = sliced.where("chunk = 0").withColumn("entry", F.lit(0))
-    functions = map_sorted_groups(
-        sliced.join(full, keys, "left_semi"), keys, order, to_function,
+    # One small row per full chunk, read by every level of the chaining.
+    functions = materialise(map_sorted_groups(
+        sliced.select(*keys, *order, "voiced", "is_halo").join(full, keys, "left_semi"), keys, order, to_function,
         f"device_id {kind}, chunk bigint, exits array<int>",
-    )
-    entries = _chain_entries(functions, kind, fan)
-    later = sliced.where("chunk > 0").join(entries, keys)
-    return map_sorted_groups(opening, keys, order, to_phrases, schema).unionByName(
-        map_sorted_groups(later, keys, order, to_phrases, schema)
+    ), "chunk-functions")
+    phrases = map_sorted_groups(opening, keys, order, to_phrases, schema)
+    if not functions.isEmpty():
+        later = sliced.where("chunk > 0").join(_chain_entries(functions, kind, fan), keys)
+        phrases = phrases.unionByName(map_sorted_groups(later, keys, order, to_phrases, schema))
+    return phrases.withColumns(
+        {c: F.timestamp_micros(c).cast(time_type) for c in ("start_ts", "end_ts")}
     )
 
 

@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 
+import voxloom
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings only: safe to apply to a session somebody else created.
@@ -38,13 +40,18 @@ def local_session(cpus: int | str = 8, memory: str = "8g") -> SparkSession:
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return prepare(spark)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the runtime settings results depend on (time zone, AQE)."""
+    """Pin the runtime settings results depend on, and make functions portable.
+
+    Functions of this package travel to the Python workers by value: the
+    driver may have the package on its own path only, a cluster nowhere.
+    """
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    cloudpickle.register_pickle_by_value(voxloom)
     return spark
 
 
