@@ -173,8 +173,8 @@ def repeat_rows(docs: DataFrame, taken: DataFrame, key: str = "doc_id", text: st
     left = docs.withColumn(n, word_count(F.col(f"`{text}`")))
     left = left.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(n)))
     right = taken.select(
-        F.col(key).alias("_k"), F.col("size").alias("_size"), F.col("taken").alias(t)
-    ).withColumn("_place", F.row_number().over(Window.partitionBy("_k").orderBy("_size", t)))
+        F.col(key).alias("_k"), F.col("size").alias("_words"), F.col("taken").alias(t)
+    ).withColumn("_place", F.row_number().over(Window.partitionBy("_k").orderBy("_words", t)))
     joined = left.join(right, F.col(key).eqNullSafe(F.col("_k")) & (F.col(rank) == F.col("_place")))
     times = F.when(F.col(n) == 0, 1).otherwise(F.ceil(F.col(t) / F.col(n))).cast("int")
     rest = F.col(t) - F.col(n) * F.col(o)
