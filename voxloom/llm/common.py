@@ -185,8 +185,8 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
         hooked = pushed.join(hooks, "root").select(
             "node", F.col("root").alias("was"), F.least("near", "best").alias("mid")
         )
-        # One step up from where the node now hangs shortens the path.
-        up = hooks.select(F.col("root").alias("mid"), F.col("best").alias("above"))
+        # The root of the root: paths halve every round.
+        up = pushed.select(F.col("node").alias("mid"), F.col("near").alias("above"))
         after = hooked.join(up, "mid", "left").select(
             "node", "was", F.least(F.col("mid"), F.coalesce("above", "mid")).alias("root")
         )

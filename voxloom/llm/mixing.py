@@ -169,13 +169,13 @@ def repeat_rows(docs: DataFrame, taken: DataFrame, key: str = "doc_id", text: st
     once: it costs nothing. Repeated keys are paired in order of their size.
     """
     n, t, o = private(docs, "size"), private(docs, "taken"), private(docs, "copy")
-    rank = private(docs, "rank")
+    rank, k, words_, place = (private(docs, x) for x in ("rank", "mixed_key", "mixed_size", "place"))
     left = docs.withColumn(n, word_count(F.col(f"`{text}`")))
     left = left.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(n)))
     right = taken.select(
-        F.col(key).alias("_k"), F.col("size").alias("_words"), F.col("taken").alias(t)
-    ).withColumn("_place", F.row_number().over(Window.partitionBy("_k").orderBy("_words", t)))
-    joined = left.join(right, F.col(key).eqNullSafe(F.col("_k")) & (F.col(rank) == F.col("_place")))
+        F.col(key).alias(k), F.col("size").alias(words_), F.col("taken").alias(t)
+    ).withColumn(place, F.row_number().over(Window.partitionBy(k).orderBy(words_, t)))
+    joined = left.join(right, F.col(f"`{key}`").eqNullSafe(F.col(k)) & (F.col(rank) == F.col(place)))
     times = F.when(F.col(n) == 0, 1).otherwise(F.ceil(F.col(t) / F.col(n))).cast("int")
     rest = F.col(t) - F.col(n) * F.col(o)
     words = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))

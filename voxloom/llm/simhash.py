@@ -235,10 +235,10 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     group and stay.
     """
     groups = near_duplicates(docs, key, text)
-    heads = groups.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_k")).distinct()
-    rank, order = private(docs, "rank"), private(docs, "order")
+    rank, order, head = (private(docs, x) for x in ("rank", "order", "head"))
+    heads = groups.where(F.col(key) == F.col("component_id")).select(F.col(key).alias(head)).distinct()
     kept = (
-        docs.join(heads, F.col(f"`{key}`") == F.col("_k"), "left_semi")
+        docs.join(heads, F.col(f"`{key}`") == F.col(head), "left_semi")
         .withColumn(order, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
         .withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(order)))
         .where(F.col(rank) == 1)
