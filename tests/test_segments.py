@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voxloom.operators import segments as sg
 from voxloom.operators.phrase_machine import BlockRun, SegmentRules
 from voxloom.streaming import phrases as ph
-from voxloom.streaming.runner import drain, drain_with_progress
+from voxloom.streaming.runner import drain, drain_with_progress, dropped_rows
 
 SHORT = SegmentRules(max_blocks=30, end_silence=4, pre_roll=6)
 
@@ -106,7 +106,7 @@ def test_stream_equals_batch(spark, tmp_path):
         spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
         .parquet(str(tmp_path / "in"))
     )
-    assert found(drain(ph.segment_stream(source, SHORT), "test-phrases")) == expected(pdf, SHORT)
+    assert found(drain(ph.segment_stream(source, SHORT, "1 day"), "test-phrases")) == expected(pdf, SHORT)
 
 
 def test_windows_do_not_depend_on_chunks(spark):
@@ -220,6 +220,6 @@ def test_late_blocks_are_dropped_and_counted(spark, tmp_path):
         spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
         .parquet(str(tmp_path / "in"))
     )
-    out, query = drain_with_progress(ph.drop_late(source, "ts", "30 minutes", ["device_id", "block_idx"]), "late")
+    out, queries = drain_with_progress(ph.drop_late(source, "ts", "30 minutes", ["device_id", "block_idx"]), "late")
     assert sorted(r["block_idx"] for r in out.collect()) == [0, 1, 2, 3, 4, 5, 6, 7]
-    assert ph.dropped_rows(query) == 1
+    assert sum(dropped_rows(q) for q in queries) == 1

@@ -9,8 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from voxloom.session import parallelism
-
 Columns = dict[str, np.ndarray]
 
 
@@ -48,7 +46,8 @@ def map_sorted_groups(
             if rows:
                 yield pd.DataFrame(rows, columns=names)
 
-    placed = df.repartition(parallelism(df.sparkSession), *keys)
+    # No number: adaptive execution sizes the tasks by bytes.
+    placed = df.repartition(*keys)
     return placed.sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 

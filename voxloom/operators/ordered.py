@@ -5,7 +5,7 @@ when a key holds a third of the table. Everything here splits a key further
 into ordered buckets, runs the window inside a bucket, and carries a small
 per-bucket summary from one bucket to the next. The summary has one row per
 (key, bucket), so the only window that sees a whole key sees summaries.
-Keys must not be null: a row without a key belongs to no sequence.
+Rows with a null key or bucket form a group of their own, like in a window.
 """
 
 from __future__ import annotations
@@ -267,7 +267,14 @@ def bucket_running(
         *[F.last(f"_x_{n}", ignorenulls=True).over(running).alias(f"_l_{n}") for n in lasts],
         *[F.last(f"_x_{n}", ignorenulls=True).over(strictly).alias(f"_l_{n}") for n in before],
     )
-    return local.join(carry, keys + [bucket]).select(
+    # Null keys and null buckets keep their rows.
+    other = carry.select(
+        *[F.col(k).alias(f"_k_{k}") for k in (*keys, bucket)], *[c for c in carry.columns if c.startswith("_s_")]
+    )
+    same = reduce(
+        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in (*keys, bucket)]
+    )
+    return local.join(other, same).select(
         *df.columns,
         *[(F.coalesce(f"_l_{n}", F.lit(0)) + F.col(f"_s_{n}")).alias(n) for n in sums],
         *[F.greatest(f"_l_{n}", f"_s_{n}").alias(n) for n in maxes],
@@ -275,6 +282,17 @@ def bucket_running(
     )
 
 
+def time_bucketed(df: DataFrame, ts: str, name: str, parts: int | None = None) -> DataFrame:
+    """``df`` with equi-depth time buckets, for ``bucket_running`` in time order.
+
+    Calendar buckets grow with the data; these split its times evenly, so a
+    busy day becomes many buckets. Rows without a time are in bucket null.
+    """
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    splits = value_splits(df.select(us.alias("_us")), "_us", parts)
+    return df.withColumn(name, F.when(us.isNotNull(), split_bucket(us.cast("double"), splits)))
+
+
 def with_halo(
     df: DataFrame, index: str, span: int, before: int, chunk: str = "chunk"
 ) -> DataFrame:

@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 from voxloom.functions.arrays import gigabytes
 from voxloom.operators import segments as sg
 from voxloom.operators import telemetry as tm
+from voxloom.operators.ordered import time_bucketed
 from voxloom.plans import adapters as ad
 from voxloom.plans.registry import query, with_ctes
+from voxloom.streaming import phrases as ph
+from voxloom.streaming.runner import (
+    Flush, drain_bounded, drain_with_progress, dropped_rows, replay_delay, replay_table,
+)
 
 
 @query(
@@ -48,7 +53,7 @@ def onset_vote(t):
 )
 def silence_run(t):
     return ad.rounded(
-        sg.silence_runs(ad.stored_blocks(t)).select("device_id", "block_idx", "silent_blocks", "silence_s")
+        sg.silence_runs(ad.blocks(t)).select("device_id", "block_idx", "silent_blocks", "silence_s")
     )
 
 
@@ -118,6 +123,19 @@ def phrase_segments(t):
     return ad.rounded(sg.segment_phrases(ad.stored_blocks(t)))
 
 
+@query(
+    "phrase_segments_long",
+    with_ctes(
+        ad.sql_blocks("user_id % 4"), ad.SQL_PHRASES,
+        """SELECT device_id, start_idx, end_idx, start_ts, end_ts, n_blocks, round(duration_s, 6)::DOUBLE AS duration_s,
+          round(rms, 6) AS rms, end_reason FROM phrases""",
+    ),
+)
+def phrase_segments_long(t):
+    """Few long devices, small chunks and runs of chunks: the chaining path."""
+    return ad.rounded(sg.segment_phrases(ad.stored_blocks(t, F.col("user_id") % 4), chunk=208, fan=3))
+
+
 @query(
     "phrase_sessions",
     with_ctes(
@@ -184,9 +202,9 @@ def pause_gate(t):
     rows = t("events").select(
         F.col("user_id").alias("device_id"), "event_id", "ts",
         F.when(F.col("event_type") == "error", "pause").when(F.col("event_type") == "purchase", "resume").alias("control"),
-        F.floor(F.unix_timestamp("ts") / 86_400).alias("_day"),
     )
-    return sg.gate_pauses(rows, "device_id", ["ts", "event_id"], "_day", "control").select(
+    rows = time_bucketed(rows, "ts", "_span")
+    return sg.gate_pauses(rows, "device_id", ["ts", "event_id"], "_span", "control").select(
         "device_id", "event_id", F.col("epoch").cast("long").alias("epoch")
     )
 
@@ -299,9 +317,9 @@ def stage_breakdown(t):
 def cold_warm_delta(t):
     runs = t("events").select(
         "user_id", "ts", "event_id", "value", (F.col("value") * 2).alias("used"),
-        F.floor(F.unix_timestamp("ts") / 86_400).alias("_day"),
     )
-    return ad.rounded(tm.cold_warm(runs, "user_id", ["ts", "event_id"], "_day", "value", "used"))
+    runs = time_bucketed(runs, "ts", "_span")
+    return ad.rounded(tm.cold_warm(runs, "user_id", ["ts", "event_id"], "_span", "value", "used"))
 
 
 @query(
@@ -350,43 +368,50 @@ def late_blocks(t):
         """blocks AS (SELECT event_id // 1024 AS device_id, event_id % 1024 AS block_idx, ts,
             value >= CASE WHEN ((event_id % 1024) // 24) % 2 = 0 THEN 15.0 ELSE 120.0 END AS voiced, (value / 1000.0) ** 2 AS energy FROM events)""",
         ad.SQL_PHRASES,
-        """SELECT device_id, start_idx, end_idx, n_blocks, round(duration_s, 6)::DOUBLE AS duration_s, round(rms, 6) AS rms, end_reason FROM phrases""",
+        """SELECT device_id, start_idx, end_idx, start_ts, end_ts, n_blocks, round(duration_s, 6)::DOUBLE AS duration_s,
+          round(rms, 6) AS rms, end_reason FROM phrases""",
     ),
 )
 def phrase_stream(t):
     """The events as a live stream: each thousand consecutive ones are a device."""
-    from voxloom.streaming import phrases as ph
-    from voxloom.streaming.runner import drain, replay_table
+    return phrase_replay(t)
+
 
-    source = replay_table(t.spark, t.root, "events", t("events").schema)
+def phrase_replay(t, files_per_batch: int = 64):
+    source, flush, delay = _replay(t, files_per_batch)
     idx = F.col("event_id") % 1024
     blocks = source.select(
-        F.floor(F.col("event_id") / 1024).alias("device_id"), idx.alias("block_idx"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        F.floor(F.col("event_id") / 1024).alias("device_id"), idx.alias("block_idx"), "ts",
         (F.col("value") >= F.when(F.floor(idx / 24) % 2 == 0, 15.0).otherwise(120.0)).alias("voiced"),
         F.pow(F.col("value") / 1000.0, F.lit(2.0)).alias("energy"),
     )
-    out = drain(ph.segment_stream(blocks), "phrase-stream")
-    return ad.rounded(out.drop("start_ts", "end_ts"))
+    out = drain_bounded(ph.segment_stream(blocks, delay=delay), "phrase-stream", flush)
+    kind = dict(t("events").dtypes)["ts"]
+    return ad.rounded(out.withColumns({c: F.col(c).cast(kind) for c in ("start_ts", "end_ts")}))
+
+
+def _replay(t, files_per_batch: int):
+    """The events as a stream with times as instants, its end mark, and a delay."""
+    events = t("events")
+    flush = Flush(t.spark, events.schema, "ts")
+    source = replay_table(t.spark, t.root, "events", events.schema, files_per_batch, flush)
+    return source.withColumn("ts", F.col("ts").cast("timestamp")), flush, replay_delay(events, "ts")
 
 
 @query(
     "telemetry_stream",
-    """SELECT * FROM (SELECT time_bucket(INTERVAL '6 hours', ts) AS window_start, event_type, max(value) AS peak, count(*) AS n
-      FROM events GROUP BY 1, 2)
-    WHERE window_start + INTERVAL '6 hours' <= (SELECT max(ts) FROM events)""",
+    """SELECT time_bucket(INTERVAL '6 hours', ts) AS window_start, event_type, max(value) AS peak, count(*) AS n
+      FROM events GROUP BY 1, 2""",
 )
 def telemetry_stream(t):
-    """Windows closed by the watermark, from the replayed table.
+    """All windows of the replayed table, closed by the watermark or the end mark."""
+    return telemetry_replay(t)
 
-    A window is written once the newest event is past its end.
-    """
-    from voxloom.streaming.runner import drain, replay_table
 
-    source = replay_table(t.spark, t.root, "events", t("events").schema).select(
-        F.col("ts").cast("timestamp").alias("ts"), "event_type", "value"
-    )
-    out = drain(tm.window_peaks(source.withWatermark("ts", "0 seconds"), "ts", ["event_type"], "value", "6 hours"), "telemetry")
+def telemetry_replay(t, files_per_batch: int = 64):
+    source, flush, delay = _replay(t, files_per_batch)
+    rows = source.select("ts", "event_type", "value").withWatermark("ts", delay)
+    out = drain_bounded(tm.window_peaks(rows, "ts", ["event_type"], "value", "6 hours"), "telemetry", flush)
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "peak", "n")
 
 
@@ -395,7 +420,7 @@ def telemetry_stream(t):
     """
     SELECT event_id AS phrase_id, user_id AS device_id, CASE WHEN value >= 50 THEN 'heard ' || event_id END AS wake_text,
       CASE WHEN value >= 50 THEN 'delivered' ELSE 'discarded' END AS outcome
-    FROM events WHERE event_type = 'purchase' AND (value >= 50 OR ts < (SELECT max(ts) FROM events) - INTERVAL '30 minutes')
+    FROM events WHERE event_type = 'purchase'
     """,
 )
 def wake_delivery(t):
@@ -404,24 +429,38 @@ def wake_delivery(t):
     Decisions repeat (two per phrase), so that duplicates have to be dropped.
     A phrase without a hit leaves when the watermark is past its waiting time.
     """
-    from voxloom.streaming import phrases as ph
-    from voxloom.streaming.runner import drain, replay_table
+    return wake_replay(t)
+
 
-    schema = t("events").schema
-    ts = F.col("ts").cast("timestamp")
+def wake_replay(t, files_per_batch: int = 64):
+    source, flush, delay = _replay(t, files_per_batch)
+    again = replay_table(t.spark, t.root, "events", t("events").schema, files_per_batch, flush)
     # Non-purchase events only move the watermark of the phrase stream on.
-    phrases = replay_table(t.spark, t.root, "events", schema).select(
-        F.col("user_id").alias("device_id"), F.col("event_id").alias("phrase_id"), ts.alias("end_ts"), "event_type"
+    phrases = source.select(
+        F.col("user_id").alias("device_id"), F.col("event_id").alias("phrase_id"), F.col("ts").alias("end_ts"), "event_type"
     )
-    decisions = replay_table(t.spark, t.root, "events", schema).select(
-        F.col("user_id").alias("device_id"), F.col("event_id").alias("phrase_id"), ts.alias("ts"),
+    decisions = again.select(
+        F.col("user_id").alias("device_id"), F.col("event_id").alias("phrase_id"), F.col("ts").cast("timestamp").alias("ts"),
         (F.col("value") >= 50).alias("detected"), F.concat(F.lit("heard "), "event_id").alias("wake_text"),
         F.explode(F.array(F.lit(False), F.lit(True))).alias("is_final"),
     )
-    out = drain(ph.deliver_confirmed(phrases, decisions), "delivery")
-    # A discarded phrase of the last half hour is still waiting, as in a live run.
-    newest = t("events").agg(F.max(ts).alias("newest"))
-    settled = out.join(F.broadcast(newest)).where(
-        (F.col("outcome") == "delivered") | (F.col("end_ts") < F.col("newest") - F.expr("INTERVAL 30 MINUTES"))
-    )
-    return settled.where("event_type = 'purchase'").select("phrase_id", "device_id", "wake_text", "outcome")
+    out = drain_bounded(ph.deliver_confirmed(phrases, decisions, delay), "delivery", flush)
+    return out.where("event_type = 'purchase'").select("phrase_id", "device_id", "wake_text", "outcome")
+
+
+@query(
+    "drop_late",
+    """SELECT event_id, user_id, ts, 0::BIGINT AS dropped FROM events""",
+)
+def drop_late(t):
+    """Repeated blocks once each, with the number of rows dropped as late.
+
+    The delay covers the whole table, so none is; shorter delays are tested.
+    """
+    source, flush, delay = _replay(t, 64)
+    twice = source.select("event_id", "user_id", "ts", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
+    once = ph.drop_late(twice, "ts", delay, ["event_id"]).drop("copy")
+    out, queries = drain_with_progress(once, "late", flush=flush)
+    lost = sum(dropped_rows(q) for q in queries)
+    kind = dict(t("events").dtypes)["ts"]
+    return out.where("event_id IS NOT NULL").withColumns({"ts": F.col("ts").cast(kind), "dropped": F.lit(lost).cast("long")})

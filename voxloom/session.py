@@ -10,9 +10,12 @@ import voxloom
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-# Runtime settings only: safe to apply to a session somebody else created.
-RUNTIME_CONF = {
-    "spark.sql.session.timeZone": "UTC",
+# What results depend on: set on a session somebody else created as well.
+RESULT_CONF = {"spark.sql.session.timeZone": "UTC"}
+
+# How plans are run: only sessions made here get these.
+LOCAL_CONF = {
+    **RESULT_CONF,
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even where an aggregate then needs one more shuffle.
@@ -36,7 +39,7 @@ def local_session(cpus: int | str = 8, memory: str = "8g") -> SparkSession:
         .config("spark.driver.memory", memory)
         .config("spark.driver.host", "127.0.0.1")
     )
-    for key, value in RUNTIME_CONF.items():
+    for key, value in LOCAL_CONF.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -44,55 +47,77 @@ def local_session(cpus: int | str = 8, memory: str = "8g") -> SparkSession:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the runtime settings results depend on, and make functions portable.
+    """Pin the one setting results depend on, and make functions portable.
 
     Functions of this package travel to the Python workers by value: the
     driver may have the package on its own path only, a cluster nowhere.
     """
-    for key, value in RUNTIME_CONF.items():
+    for key, value in RESULT_CONF.items():
         spark.conf.set(key, value)
     cloudpickle.register_pickle_by_value(voxloom)
     return spark
 
 
+# Local sessions without a checkpoint folder share one for the process.
+_LOCAL_ROOT: str | None = None
+# Folders made for intermediates, by application.
+_MADE: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under the cluster's checkpoint location.
 
     The location is read from ``spark.checkpoint.dir``. Only where that is
     unset *and* the master is local (tests) a temporary folder is used.
     """
+    global _LOCAL_ROOT
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(
                 "spark.checkpoint.dir must name a shared folder on a cluster"
             )
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return os.path.join(root, f"{label}-{uuid.uuid4().hex}")
+        _LOCAL_ROOT = root = _LOCAL_ROOT or tempfile.mkdtemp(prefix="spark-")
+    path = os.path.join(root, f"{label}-{uuid.uuid4().hex}")
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    Cuts the lineage in a way that survives lost executors.
+    Cuts the lineage in a way that survives lost executors. The copy stays
+    until ``clear_intermediates``: the frame returned reads it lazily.
     """
     path = shared_dir(df.sparkSession, label)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_intermediates(spark: SparkSession) -> int:
+    """Deletes what finished queries of this application left in the shared folder.
+
+    Call it when their results are written: frames that still read an
+    intermediate fail afterwards. Returns the number of folders.
+    """
+    paths = _MADE.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = hadoop.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    return len(paths)
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread_small(df: DataFrame, per_task: int = 32 * 1024 * 1024) -> DataFrame:
-    """Spreads a table of few, small files over all cores before heavy row work.
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spreads a table of few files over all cores before heavy row work.
 
-    Decided from the size the planner knows. A table large enough to fill the
-    cores by itself is left alone, so no shuffle is added where it would cost.
+    A table with at least as many files as cores is left alone, so no shuffle
+    is added where it would cost. Rows and results are the same either way.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * per_task else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

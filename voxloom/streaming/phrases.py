@@ -17,65 +17,111 @@ _PHRASES = (
     "device_id bigint, start_idx bigint, end_idx bigint, start_ts timestamp, end_ts timestamp, "
     "n_blocks bigint, duration_s double, rms double, end_reason string"
 )
-_STATE = (
-    "state int, idx array<bigint>, ts array<timestamp>, voiced array<boolean>, energy array<double>"
-)
+_BLOCKS = "idx array<bigint>, ts array<timestamp>, voiced array<boolean>, energy array<double>"
+# The machine's state and the next block it waits for; the blocks behind it
+# that a phrase can reach, and those that came before their turn.
+_STATE = f"state int, next bigint, done struct<{_BLOCKS}>, ahead struct<{_BLOCKS}>"
+_COLUMNS = ["block_idx", "ts", "voiced", "energy"]
+
+
+def _frame(blocks) -> pd.DataFrame:
+    return pd.DataFrame(dict(zip(_COLUMNS, blocks))).astype(
+        {"block_idx": "int64", "ts": "datetime64[ns]", "voiced": bool, "energy": float}
+    )
+
+
+def _arrays(frame: pd.DataFrame) -> tuple:
+    return (
+        [int(x) for x in frame["block_idx"]], [pd.Timestamp(x).to_pydatetime() for x in frame["ts"]],
+        [bool(x) for x in frame["voiced"]], [float(x) for x in frame["energy"]],
+    )
+
+
+_NONE = ([], [], [], [])
 
 
 class PhraseProcessor(StatefulProcessor):
-    """Per device: the machine state and the blocks a phrase can still reach back to.
+    """Per device: the machine runs over blocks in index order, each once.
 
-    State is bounded by the longest phrase. The rows of one micro-batch are
-    sorted by block index, because a key may arrive in several unsorted pieces.
+    Blocks that arrive before their turn wait in the state until the ones
+    before them came; a block seen already is ignored. A gap is given up when
+    the watermark passes the first block that waits behind it: what is missing
+    would be too late by then. State is bounded by the longest phrase and the
+    blocks that arrive within the watermark's delay.
     """
 
-    def __init__(self, rules: SegmentRules = DEFAULT_RULES) -> None:
-        self.rules = rules
+    def __init__(self, rules: SegmentRules = DEFAULT_RULES, first_index: int = 0) -> None:
+        self.rules, self.first_index = rules, first_index
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.memory = handle.getValueState("memory", _STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True).sort_values("block_idx")
-        state, idx, ts, voiced, energy = 0, [], [], [], []
-        if self.memory.exists():
-            state, idx, ts, voiced, energy = self.memory.get()
-        first = len(idx)
-        idx = np.concatenate([np.asarray(idx, dtype=np.int64), new["block_idx"].to_numpy(dtype=np.int64)])
-        ts = list(ts) + list(new["ts"])
-        voiced = np.concatenate([np.asarray(voiced, dtype=bool), new["voiced"].to_numpy(dtype=bool)])
-        energy = np.concatenate([np.asarray(energy, dtype=float), new["energy"].to_numpy(dtype=float)])
-        ends, state = BlockRun(voiced, first, self.rules).run(int(state))
-        total = np.concatenate([[0.0], np.cumsum(energy)])
+    def _recall(self) -> tuple[int, int, pd.DataFrame, pd.DataFrame]:
+        if not self.memory.exists():
+            return 0, self.first_index, _frame(_NONE), _frame(_NONE)
+        state, following, done, ahead = self.memory.get()
+        return int(state), int(following), _frame(done), _frame(ahead)
+
+    def _advance(self, key, state: int, following: int, done: pd.DataFrame, ahead: pd.DataFrame) -> pd.DataFrame:
+        """Runs over the blocks whose turn it is and stores the rest."""
+        index = ahead["block_idx"].to_numpy()
+        ready = index == following + np.arange(len(index))
+        n = len(index) if ready.all() else int(np.argmin(ready))
         out = []
-        for at, length, reason in ends:
-            if length < self.rules.min_blocks:
-                continue
-            begin = at - length + 1
-            mean = max((total[at + 1] - total[begin]) / length, 0.0)
-            out.append((
-                key[0], int(idx[begin]), int(idx[at]), ts[begin], ts[at], length,
-                length * self.rules.block_s, float(np.sqrt(mean)), reason,
-            ))
-        keep = -self.rules.max_blocks
-        self.memory.update((
-            int(state), [int(x) for x in idx[keep:]], [pd.Timestamp(x).to_pydatetime() for x in ts[keep:]],
-            [bool(x) for x in voiced[keep:]], [float(x) for x in energy[keep:]],
-        ))
-        columns = [c.split()[0] for c in _PHRASES.split(", ")]
-        yield pd.DataFrame(out, columns=columns)
+        if n:
+            first, done = len(done), pd.concat([done, ahead.iloc[:n]], ignore_index=True)
+            ends, state = BlockRun(done["voiced"].to_numpy(), first, self.rules).run(state)
+            idx, ts = done["block_idx"], done["ts"]
+            total = np.concatenate([[0.0], np.cumsum(done["energy"].to_numpy())])
+            for at, length, reason in ends:
+                if length < self.rules.min_blocks:
+                    continue
+                begin = at - length + 1
+                mean = max((total[at + 1] - total[begin]) / length, 0.0)
+                out.append((
+                    key[0], int(idx[begin]), int(idx[at]), ts[begin], ts[at], length,
+                    length * self.rules.block_s, float(np.sqrt(mean)), reason,
+                ))
+            following, ahead = following + n, ahead.iloc[n:]
+        if len(ahead):
+            self.handle.registerTimer(int(pd.Timestamp(ahead["ts"].iloc[0]).value // 1_000_000))
+        self.memory.update((int(state), int(following), _arrays(done.iloc[-self.rules.max_blocks:]), _arrays(ahead)))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _PHRASES.split(", ")])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state, following, done, ahead = self._recall()
+        fresh = [r[_COLUMNS].dropna(subset=["block_idx", "ts"]) for r in rows]
+        ahead = _frame([pd.concat([ahead, *fresh], ignore_index=True)[c] for c in _COLUMNS])
+        ahead = ahead[ahead["block_idx"] >= following].drop_duplicates("block_idx").sort_values("block_idx")
+        yield self._advance(key, state, following, done, ahead.reset_index(drop=True))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state, following, done, ahead = self._recall()
+        mark = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
+        if len(ahead) and ahead["ts"].iloc[0] <= mark:
+            yield self._advance(key, state, int(ahead["block_idx"].iloc[0]), done, ahead)
 
     def close(self) -> None:
         pass
 
 
-def segment_stream(blocks: DataFrame, rules: SegmentRules = DEFAULT_RULES) -> DataFrame:
-    """Phrases of a block stream (device_id, block_idx, ts, voiced, energy)."""
-    return blocks.select("device_id", "block_idx", "ts", "voiced", "energy").groupBy("device_id").transformWithStateInPandas(
-        statefulProcessor=PhraseProcessor(rules),
+def segment_stream(
+    blocks: DataFrame, rules: SegmentRules = DEFAULT_RULES, delay: str = "10 seconds", first_index: int = 0
+) -> DataFrame:
+    """Phrases of a block stream (device_id, block_idx, ts, voiced, energy).
+
+    Blocks may arrive in any order within ``delay``; the first block of every
+    device has ``first_index``. Blocks behind the watermark are dropped and
+    counted by Spark. A phrase still open at the end of the stream is not
+    emitted, as in the batch segmentation.
+    """
+    rows = blocks.select("device_id", "block_idx", "ts", "voiced", "energy").withWatermark("ts", delay)
+    return rows.groupBy("device_id").transformWithStateInPandas(
+        statefulProcessor=PhraseProcessor(rules, first_index),
         outputStructType=_PHRASES,
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
     )
 
 
@@ -85,7 +131,9 @@ def deliver_confirmed(
     phrase_delay: str = "10 minutes",
     wait: str = "1 minute",
 ) -> DataFrame:
-    """Phrases joined with their first positive wake decision; one row each.
+    """Phrases joined with a positive wake decision; one row each.
+
+    Of several positive decisions of a phrase the one that arrives first counts.
 
     ``phrases`` has (device_id, phrase_id, end_ts), ``decisions`` (device_id,
     phrase_id, ts, detected, wake_text). A phrase without a positive decision
@@ -125,10 +173,3 @@ def drop_late(rows: DataFrame, ts: str, delay: str, keys: list[str]) -> DataFram
     of the state operator; ``dropped_rows`` adds them up.
     """
     return rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
-
-
-def dropped_rows(query) -> int:
-    """Rows a finished or running query has dropped as late so far."""
-    return sum(
-        op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators
-    )

@@ -4,46 +4,112 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from voxloom.session import ROCKSDB_PROVIDER, shared_dir
 
 
 def drain_with_progress(
-    stream: DataFrame, label: str, mode: str = "append"
-) -> tuple[DataFrame, StreamingQuery]:
+    stream: DataFrame, label: str, mode: str = "append", flush: "Flush | None" = None
+) -> tuple[DataFrame, list[StreamingQuery]]:
     """Processes everything available with exactly-once file output.
 
     Checkpoint and output live in the shared folder, so a restarted driver or
-    a lost executor continues where the stream was. Also returns the finished
-    query, whose progress holds counts such as late rows.
+    a lost executor continues where the stream was. With ``flush``, the query
+    runs once more after the end mark, which closes what was still open. Also
+    returns the finished queries, whose progress holds counts such as late rows.
     """
     spark: SparkSession = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "100000")
     root = shared_dir(spark, label)
     out = os.path.join(root, "out")
-    query = (
-        stream.writeStream.outputMode(mode)
-        .format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", os.path.join(root, "checkpoint"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out), query
+
+    def run() -> StreamingQuery:
+        query = (
+            stream.writeStream.outputMode(mode)
+            .format("parquet")
+            .option("path", out)
+            .option("checkpointLocation", os.path.join(root, "checkpoint"))
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+        return query
+
+    queries = [run()]
+    if flush is not None:
+        flush.mark_end()
+        queries.append(run())
+    return spark.read.schema(stream.schema).parquet(out), queries
 
 
 def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     return drain_with_progress(stream, label, mode)[0]
 
 
-def replay_table(spark: SparkSession, root: str, table: str, schema, files_per_batch: int = 1) -> DataFrame:
-    """A stored table as a file stream."""
-    return (
+def drain_bounded(stream: DataFrame, label: str, flush: "Flush") -> DataFrame:
+    """All rows of a bounded replay: complete, or an error.
+
+    Rows that the watermark dropped would be missing without a trace, so a
+    replay that lost any fails with their number; its delay was too short.
+    """
+    out, queries = drain_with_progress(stream, label, flush=flush)
+    lost = sum(dropped_rows(q) for q in queries)
+    if lost:
+        raise ValueError(f"{label}: {lost} rows came behind the watermark; use a longer delay")
+    return out
+
+
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows a finished or running query has dropped as late so far."""
+    return sum(
+        op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators
+    )
+
+
+class Flush:
+    """The end mark of a bounded replay: one row far in the future.
+
+    Its time moves the watermark past all real rows; its other columns are
+    null, so it belongs to no key.
+    """
+
+    FAR = "2200-01-01 00:00:00"
+
+    def __init__(self, spark: SparkSession, schema, ts: str) -> None:
+        self.spark, self.schema, self.ts = spark, schema, ts
+        self.path = shared_dir(spark, "flush")
+        spark.createDataFrame([], schema).write.parquet(self.path)
+
+    def stream(self) -> DataFrame:
+        return self.spark.readStream.schema(self.schema).parquet(self.path)
+
+    def mark_end(self) -> None:
+        columns = [
+            F.lit(self.FAR if f.name == self.ts else None).cast(f.dataType).alias(f.name) for f in self.schema.fields
+        ]
+        self.spark.range(1).select(*columns).coalesce(1).write.mode("append").parquet(self.path)
+
+
+def replay_table(
+    spark: SparkSession, root: str, table: str, schema, files_per_batch: int = 64, flush: Flush | None = None
+) -> DataFrame:
+    """A stored table - one file or a folder of files - as a file stream.
+
+    The name is given as a pattern, which a file and a folder match alike.
+    """
+    rows = (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", files_per_batch)
-        .option("pathGlobFilter", f"{table}.parquet")
-        .parquet(root)
+        .parquet(f"{root.rstrip('/')}/{table}.parque[t]")
     )
+    return rows if flush is None else rows.unionByName(flush.stream())
+
+
+def replay_delay(rows: DataFrame, ts: str) -> str:
+    """A watermark delay that loses no row of a bounded table in any file order."""
+    time = F.unix_micros(F.col(ts).cast("timestamp"))
+    span = rows.agg((F.max(time) - F.min(time)).alias("span")).first()["span"] or 0
+    return f"{span // 1_000_000 + 1} seconds"
