@@ -28,7 +28,7 @@ def fold_journal(events: DataFrame, order: Sequence[str] = ("file", "line")) ->
     # never occurred is recognised by its own count.
     folded = events.groupBy("attempt_id").agg(
         last("attempt", ["prompt_id", "speech_label"], "_a"),
-        last("captured", ["filename", "sha256"], "_c"),
+        last("captured", ["filename", "sha256", *(["file"] if "file" in events.columns else [])], "_c"),
         last("review", ["status", "reference_text"], "_r"),
         F.count_if(F.col("event") == "attempt").alias("_na"),
         F.count_if(F.col("event") == "captured").alias("_nc"),
@@ -40,6 +40,7 @@ def fold_journal(events: DataFrame, order: Sequence[str] = ("file", "line")) ->
         F.when(F.col("_na") > 0, F.col("_a.speech_label")).alias("speech_label"),
         F.when(F.col("_nc") > 0, F.col("_c.filename")).alias("filename"),
         F.when(F.col("_nc") > 0, F.col("_c.sha256")).alias("sha256"),
+        *([F.when(F.col("_nc") > 0, F.col("_c.file")).alias("manifest")] if "file" in events.columns else []),
         F.col("_r.reference_text").alias("reference_text"),
         ((F.col("_na") == 0) | (F.col("_nc") == 0)).alias("_incomplete"),
     )
@@ -54,6 +55,7 @@ def fold_journal(events: DataFrame, order: Sequence[str] = ("file", "line")) ->
         "speech_label",
         "filename",
         "sha256",
+        *(["manifest"] if "manifest" in accepted.columns else []),
         "reference_text",
         violation_list(
             (F.col("_incomplete"), "incomplete_attempt"),
@@ -63,6 +65,24 @@ def fold_journal(events: DataFrame, order: Sequence[str] = ("file", "line")) ->
     )
 
 
+def fold_verified(events: DataFrame, files: DataFrame, root: str) -> DataFrame:
+    """``fold_journal`` with the content check: a listed recording must lie
+    below ``root``, exist in the folder of its manifest and have its digest.
+
+    ``events`` come from ``scans.read_journal``, ``files`` from
+    ``scans.catalog_files``. What fails is kept with its violations.
+    """
+    from voxloom.sources.scans import verify_files
+
+    cases = fold_journal(events)
+    checked = verify_files(cases, files, manifest="manifest", root=root)
+    return checked.withColumn(
+        "violations",
+        F.when(F.col("violation").isNull() | F.array_contains("violations", "incomplete_attempt"), F.col("violations"))
+        .otherwise(F.concat("violations", F.array("violation"))),
+    ).drop("violation")
+
+
 def first_accepted(
     events: DataFrame, file: str = "file", line: str = "line", lines_per_bucket: int = 100_000
 ) -> DataFrame:
@@ -158,10 +178,16 @@ def reconcile_keys(listed: DataFrame, present: DataFrame, key: str) -> DataFrame
 
 
 def check_cases(results: DataFrame, key: str = "prompt_id") -> DataFrame:
-    """Case rows of a result file with their violations."""
+    """Case rows of a result file with their violations.
+
+    A result without any case row is an error: there is nothing to flag it on.
+    """
     from voxloom.operators.contracts import flag_duplicates
 
-    cases = flag_duplicates(results.where(F.col("event") == "case"), [key], "_dup")
+    rows = results.where(F.col("event") == "case")
+    if rows.isEmpty():
+        raise ValueError("no cases in the results")
+    cases = flag_duplicates(rows, [key], "_dup")
     return cases.withColumn(
         "violations",
         violation_list(
@@ -179,8 +205,8 @@ def gather_alternatives(
     """Baseline cases with the sources and texts that offer an alternative.
 
     Sources are a fixed list, so one conditional aggregation per source keeps
-    every group bounded. Rows without a baseline, or about other audio, are
-    kept and flagged.
+    every group bounded. Rows without a baseline, about other audio, or with
+    an id that a source has twice are kept and flagged.
     """
     names = list(alternatives)
     cols = [key, "text", *GUARDED]
@@ -191,16 +217,23 @@ def gather_alternatives(
     for part in parts[1:]:
         union = union.unionByName(part)
 
-    def pick(src: int, column: str) -> Column:
-        return F.max(F.when(F.col("_src") == src, F.col(column)))
-
-    aggs = [F.count_if(F.col("_src") == -1).alias("_base"), pick(-1, "text").alias("text")]
-    for f in GUARDED:
-        aggs.append(pick(-1, f).alias(f))
-    for i, _ in enumerate(names):
-        aggs += [F.count_if(F.col("_src") == i).alias(f"_n{i}"), pick(i, "text").alias(f"_t{i}")]
-        aggs += [pick(i, f).alias(f"_{f}{i}") for f in GUARDED]
-    wide = union.groupBy(key).agg(*aggs)
+    # One whole row per source: the fields of one answer never mix with another's.
+    aggs = []
+    for i in range(-1, len(names)):
+        mine = F.col("_src") == i
+        aggs += [
+            F.count_if(mine).alias(f"_n{i}" if i >= 0 else "_base"),
+            F.min(F.when(mine, F.struct("text", *GUARDED))).alias(f"_r{i}" if i >= 0 else "_r"),
+        ]
+    folded = union.groupBy(key).agg(*aggs)
+    wide = folded.select(
+        "*", "_r.*",
+        *[F.col(f"_r{i}.text").alias(f"_t{i}") for i in range(len(names))],
+        *[F.col(f"_r{i}.{f}").alias(f"_{f}{i}") for i in range(len(names)) for f in GUARDED],
+    )
+    twice = F.col("_base") > 1
+    for i in range(len(names)):
+        twice = twice | (F.col(f"_n{i}") > 1)
     here = [F.col(f"_n{i}") > 0 for i in range(len(names))]
     mismatch = F.lit(False)
     for i in range(len(names)):
@@ -215,6 +248,7 @@ def gather_alternatives(
         violation_list(
             (F.col("_base") == 0, "not_in_baseline"),
             ((F.col("_base") > 0) & mismatch, "audio_mismatch"),
+            (twice, "duplicate_id"),
         ).alias("violations"),
     )
 

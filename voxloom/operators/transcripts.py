@@ -28,15 +28,19 @@ def join_segments(df: DataFrame, key: str, order: str, text: str) -> DataFrame:
 
 
 def select_by_route(
-    runs: DataFrame, key: str, mode: str, route: str, columns: Sequence[str]
+    runs: DataFrame, key: str, mode: str, route: str, columns: Sequence[str], order: Sequence[str] = ()
 ) -> DataFrame:
     """Of several runs per key, the values of the run whose mode is the route.
 
     ``route`` is a column every run of a key carries; a key without the
-    matching run keeps nulls.
+    matching run keeps nulls. Values are those of one whole run: of several
+    with that mode the first by ``order`` (else by the values), flagged as
+    ``duplicate_run``.
     """
-    hit = F.col(mode) == F.col(route)
+    hit = F.coalesce(F.col(mode) == F.col(route), F.lit(False))
+    rank = [*order, *[c for c in columns if c not in order]]
     return runs.groupBy(key).agg(
-        F.first(route, ignorenulls=True).alias(route),
-        *[F.max(F.when(hit, F.col(c))).alias(c) for c in columns],
-    )
+        F.min(route).alias(route),
+        F.min(F.when(hit, F.struct(*rank))).alias("_row"),
+        (F.count_if(hit) > 1).alias("duplicate_run"),
+    ).select(key, route, *[F.col(f"_row.{c}").alias(c) for c in columns], "duplicate_run")

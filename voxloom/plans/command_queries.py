@@ -10,6 +10,11 @@ from voxloom.operators import journal as jn
 from voxloom.plans import adapters as ad
 from voxloom.plans.evidence_queries import evidence
 from voxloom.plans.registry import query, with_ctes
+from voxloom.session import materialise
+from voxloom.sources import sinks
+
+
+_REPLAY = ("prompt_id", "sources", "status", "reason", "command_key")
 
 
 @query(
@@ -114,21 +119,28 @@ def review_enrich(t):
 
 
 def _runs(t):
-    """A baseline run over all events and two partial alternative runs."""
+    """A baseline run over all events and two partial alternative runs.
+
+    Every eleventh baseline id is another one, so its alternatives have none;
+    a few cases of the baseline and of one alternative have failed.
+    """
     e = t("events").select("event_id", "user_id")
+    i = F.col("event_id")
 
-    def run(shift, where):
+    def run(shift, where, key=i, failed=F.lit(False)):
         return e.where(where).select(
-            F.col("event_id").alias("prompt_id"),
-            ad.template_text(F.col("event_id") + shift, F.col("event_id") % 130).alias("text"),
-            F.sha2(F.col("event_id").cast("string"), 256).alias("sha256"),
+            F.lit("case").alias("event"),
+            key.alias("prompt_id"),
+            F.when(failed, "error").otherwise("ok").alias("status"),
+            ad.template_text(i + shift, i % 130).alias("text"),
+            F.sha2(i.cast("string"), 256).alias("sha256"),
             F.col("user_id").cast("string").alias("attempt_id"),
             F.lit("ref").alias("reference_text"),
         )
 
     return (
-        run(0, "event_id % 11 <> 10"),
-        {"run_a": run(1, "event_id % 2 = 0"), "run_b": run(0, "event_id % 5 = 0")},
+        run(0, "true", F.when(i % 11 == 10, -i - 1).otherwise(i), i % 17 == 5),
+        {"run_a": run(1, "event_id % 2 = 0", failed=i % 19 == 3), "run_b": run(0, "event_id % 5 = 0")},
     )
 
 
@@ -136,40 +148,61 @@ def _runs(t):
     "review_replay",
     with_ctes(
         f"""runs AS (
-          SELECT event_id, 0 AS ord, {ad.sql_template('event_id', 'event_id % 130')} AS text FROM events WHERE event_id % 11 <> 10
-          UNION ALL SELECT event_id, 1, {ad.sql_template('event_id + 1', 'event_id % 130')} FROM events WHERE event_id % 2 = 0
-          UNION ALL SELECT event_id, 2, {ad.sql_template('event_id', 'event_id % 130')} FROM events WHERE event_id % 5 = 0),
-        keyed AS (SELECT event_id * 10 + ord AS cid, text FROM runs)""",
+          SELECT event_id, CASE WHEN event_id % 11 = 10 THEN -event_id - 1 ELSE event_id END AS pid, 0 AS ord, event_id % 17 = 5 AS failed,
+            {ad.sql_template('event_id', 'event_id % 130')} AS text FROM events
+          UNION ALL SELECT event_id, event_id, 1, event_id % 19 = 3, {ad.sql_template('event_id + 1', 'event_id % 130')} FROM events WHERE event_id % 2 = 0
+          UNION ALL SELECT event_id, event_id, 2, false, {ad.sql_template('event_id', 'event_id % 130')} FROM events WHERE event_id % 5 = 0),
+        keyed AS (SELECT pid * 10 + ord AS cid, text FROM runs),
+        spoiled AS (SELECT pid, bool_or(failed) AS failed FROM runs GROUP BY pid)""",
         ad.sql_parse("keyed", "cid"),
-        """grouped AS (SELECT cid // 10 AS prompt_id, count(*) AS n, count(DISTINCT command_key) AS n_commands,
-            bool_or(command_key IS NULL OR reason <> 'supported') AS bad,
-            min(cid) AS first_cid, string_agg(CASE cid % 10 WHEN 1 THEN 'run_a' WHEN 2 THEN 'run_b' END, ',' ORDER BY cid) AS sources
-          FROM parsed GROUP BY cid // 10)""",
-        """SELECT g.prompt_id, coalesce(sources, '') AS sources,
-            CASE WHEN first_cid % 10 <> 0 THEN 'rejected' WHEN n_commands <= 1 AND NOT bad THEN 'parsed' ELSE 'needs_clarification' END AS status,
-            CASE WHEN first_cid % 10 <> 0 THEN 'not_in_baseline' WHEN n_commands > 1 THEN 'conflicting_candidates'
-              WHEN NOT bad THEN 'supported_single_command' WHEN n = 1 THEN p.reason ELSE 'unresolved_candidate' END AS reason,
-            CASE WHEN first_cid % 10 = 0 AND n_commands <= 1 AND NOT bad THEN p.command_key END AS command_key
-          FROM grouped g JOIN parsed p ON p.cid = g.first_cid""",
+        """grouped AS (SELECT (cid - cid % 10 + CASE WHEN cid % 10 < 0 THEN -10 ELSE 0 END) // 10 AS gid, cid, command_key, reason,
+            ((cid % 10) + 10) % 10 AS ord FROM parsed),
+        groups AS (SELECT gid AS prompt_id, count(*) AS n, count(DISTINCT command_key) AS n_commands,
+            bool_or(command_key IS NULL OR reason <> 'supported') AS bad, min(ord) AS first_ord,
+            arg_min(reason, ord) AS first_reason, arg_min(command_key, ord) AS first_key,
+            string_agg(CASE ord WHEN 1 THEN 'run_a' WHEN 2 THEN 'run_b' END, ',' ORDER BY ord) AS sources
+          FROM grouped GROUP BY gid),
+        judged AS (SELECT g.prompt_id, coalesce(sources, '') AS sources,
+            CASE WHEN first_ord <> 0 OR failed THEN 'rejected' WHEN n_commands <= 1 AND NOT bad THEN 'parsed' ELSE 'needs_clarification' END AS status,
+            CASE WHEN first_ord <> 0 AND failed THEN 'not_in_baseline,failed_case' WHEN first_ord <> 0 THEN 'not_in_baseline' WHEN failed THEN 'failed_case'
+              WHEN n_commands > 1 THEN 'conflicting_candidates'
+              WHEN NOT bad THEN 'supported_single_command' WHEN n = 1 THEN first_reason ELSE 'unresolved_candidate' END AS reason,
+            CASE WHEN first_ord = 0 AND NOT failed AND n_commands <= 1 AND NOT bad THEN first_key END AS command_key
+          FROM groups g JOIN spoiled s ON s.pid = g.prompt_id)""",
+        f"""SELECT 'case' AS event, prompt_id, sources, status, reason, command_key, NULL::BIGINT AS completed, NULL::BIGINT AS failed, NULL::VARCHAR AS inputs_digest FROM judged
+        UNION ALL SELECT 'start', NULL, NULL, NULL, NULL, NULL, NULL, NULL, {sinks.sql_rows_digest(_REPLAY)} FROM judged
+        UNION ALL SELECT 'end', NULL, NULL, NULL, NULL, NULL, count(*) FILTER (status = 'ok'), count(*) FILTER (status <> 'ok'), NULL FROM judged""",
     ),
 )
 def review_replay(t):
     baseline, alternatives = _runs(t)
+    runs = [jn.check_cases(r) for r in (baseline, *alternatives.values())]
     gathered = jn.gather_alternatives(baseline, alternatives)
-    candidates = gathered.select(
+    # Contract faults of any run's case: at most one name per kind and prompt.
+    faults = runs[0].select("prompt_id", "violations")
+    for run in runs[1:]:
+        faults = faults.unionByName(run.select("prompt_id", "violations"))
+    faults = faults.where(F.size("violations") > 0).groupBy("prompt_id").agg(
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("violations")))).alias("faults")
+    )
+    checked = gathered.join(faults, "prompt_id", "left").withColumn(
+        "violations", F.concat("violations", F.coalesce("faults", F.array().cast("array<string>")))
+    )
+    candidates = checked.select(
         "prompt_id", F.posexplode(F.concat(F.array("text"), "texts")).alias("ord", "said"), "sources", "violations"
     ).where("said IS NOT NULL")
     reviews = cm.reconcile_candidates(
         cm.extract_commands(candidates, "said"), "prompt_id", "ord", keep=["sources", "violations"]
     )
     broken = F.size("violations") > 0
-    return reviews.select(
+    judged = reviews.select(
         "prompt_id",
         F.array_join("sources", ",").alias("sources"),
         F.when(broken, "rejected").otherwise(F.col("status")).alias("status"),
         F.when(broken, F.array_join("violations", ",")).otherwise(F.col("reason")).alias("reason"),
         F.when(~broken, F.col("command_key")).alias("command_key"),
     )
+    return sinks.report_envelope(materialise(judged.select(*_REPLAY), "judged"), "status")
 
 
 @query(
@@ -177,15 +210,18 @@ def review_replay(t):
     with_ctes(
         ad.SQL_PAIRS,
         """rows AS (
-          SELECT prompt_id, conv_id, 0 AS src, text, reference_text FROM pairs WHERE conv_id % 9 <> 8
-          UNION ALL SELECT prompt_id, conv_id, 1, text || ' again', reference_text FROM pairs WHERE conv_id % 2 = 0
-          UNION ALL SELECT prompt_id, conv_id, 2, text, CASE WHEN conv_id % 7 = 0 THEN 'other' ELSE reference_text END FROM pairs WHERE conv_id % 3 = 0)""",
+          SELECT CASE WHEN conv_id % 9 = 8 THEN 'x' || prompt_id ELSE prompt_id END AS prompt_id, 0 AS src, text, reference_text FROM pairs
+          UNION ALL SELECT prompt_id, 1, text || ' again', reference_text FROM pairs WHERE conv_id % 2 = 0
+          UNION ALL SELECT prompt_id, 1, text || ' again twice', 'zz' FROM pairs WHERE conv_id % 2 = 0 AND conv_id % 3 = 1
+          UNION ALL SELECT prompt_id, 2, text, CASE WHEN conv_id % 7 = 0 THEN 'other' ELSE reference_text END FROM pairs WHERE conv_id % 3 = 0),
+        picked AS (SELECT prompt_id, src, count(*) AS copies, min(text) AS text, arg_min(reference_text, text) AS reference_text FROM rows GROUP BY prompt_id, src)""",
         """SELECT prompt_id, coalesce(string_agg(CASE src WHEN 1 THEN 'upper' WHEN 2 THEN 'same' END, ',' ORDER BY src), '') AS sources,
           count(*) FILTER (src > 0) AS n_texts,
           coalesce(string_agg(text, ' / ' ORDER BY src) FILTER (src > 0), '') AS texts,
-          CASE WHEN count(*) FILTER (src = 0) = 0 THEN 'not_in_baseline'
-               WHEN count(DISTINCT reference_text) > 1 THEN 'audio_mismatch' ELSE '' END AS violations
-        FROM rows GROUP BY prompt_id""",
+          array_to_string(list_filter([CASE WHEN count(*) FILTER (src = 0) = 0 THEN 'not_in_baseline'
+               WHEN count(DISTINCT reference_text) > 1 THEN 'audio_mismatch' END,
+             CASE WHEN max(copies) > 1 THEN 'duplicate_id' END], lambda v: v IS NOT NULL), ',') AS violations
+        FROM picked GROUP BY prompt_id""",
     ),
 )
 def gather_alternatives(t):
@@ -193,10 +229,16 @@ def gather_alternatives(t):
         "prompt_id", "conv_id", "text", "reference_text",
         F.sha2("prompt_id", 256).alias("sha256"), F.col("conv_id").cast("string").alias("attempt_id"),
     )
+    again = pairs.where("conv_id % 2 = 0").withColumn("text", F.concat("text", F.lit(" again")))
+    twice = again.where("conv_id % 3 = 1").withColumns(
+        {"text": F.concat("text", F.lit(" twice")), "reference_text": F.lit("zz")}
+    )
     out = jn.gather_alternatives(
-        pairs.where("conv_id % 9 <> 8"),
+        pairs.withColumn(
+            "prompt_id", F.when(F.col("conv_id") % 9 == 8, F.concat(F.lit("x"), "prompt_id")).otherwise(F.col("prompt_id"))
+        ),
         {
-            "upper": pairs.where("conv_id % 2 = 0").withColumn("text", F.concat("text", F.lit(" again"))),
+            "upper": again.unionByName(twice),
             "same": pairs.where("conv_id % 3 = 0").withColumn(
                 "reference_text", F.when(F.col("conv_id") % 7 == 0, "other").otherwise(F.col("reference_text"))
             ),

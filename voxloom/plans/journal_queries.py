@@ -43,7 +43,7 @@ folded AS (
     ),
 )
 def journal_fold(t):
-    return _listed(jn.fold_journal(ad.journal(t)))
+    return _listed(jn.fold_journal(ad.journal(t)).drop("manifest"))
 
 
 @query(
@@ -63,6 +63,66 @@ def first_accepted(t):
     return jn.first_accepted(ad.journal(t))
 
 
+@query(
+    "journal_verified",
+    """
+    SELECT 'a' || doc_id AS attempt_id, 'P' || doc_id AS prompt_id,
+      CASE WHEN doc_id % 7 = 2 THEN 'digest_mismatch' WHEN doc_id % 11 = 4 THEN 'missing_file'
+        WHEN doc_id % 13 = 6 THEN 'outside_root' ELSE '' END AS violations
+    FROM documents WHERE doc_id % 5 <> 1
+    """,
+)
+def journal_verified(t):
+    """A journal as JSON lines and its payload files, some altered, missing or
+    outside; every fifth recording is rejected later in the file.
+
+    Each of four sessions has a folder of its own and its own names, and one
+    event follows another in the file without a line number.
+    """
+    root = shared_dir(t.spark, "recordings")
+    d = F.col("doc_id")
+    # Files in Parquet stand for recordings: content is what a digest is of.
+    content = t("documents").select(
+        "doc_id", (d % 4).alias("session"), F.sha2("text", 256).alias("sha256"),
+        F.sha2(F.when(d % 7 == 2, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("digest"),
+    )
+    name = F.concat(F.when((d % 13 == 6) & (d % 7 != 2) & (d % 11 != 4), "../").otherwise(""), F.floor(d / 4), F.lit(".wav"))
+    one = content.select(
+        "session",
+        F.posexplode(F.array(
+            _event("attempt", attempt_id=_tagged("a"), prompt_id=_tagged("P"), speech_label=F.lit("BG")),
+            _event("captured", attempt_id=_tagged("a"), filename=name, sha256=F.col("sha256")),
+            _event("review", attempt_id=_tagged("a"), status=F.lit("accepted"), reference_text=F.lit("said")),
+            _event("review", attempt_id=_tagged("a"), reference_text=F.lit("said"),
+                   status=F.when(d % 5 == 1, "rejected").otherwise("accepted")),
+        )).alias("place", "value"), "doc_id",
+    )
+    one.repartition("session").sortWithinPartitions("session", "doc_id", "place").select("session", "value").write.partitionBy("session").text(root)
+    journal = scans.read_journal(t.spark, root, pattern="*.txt")
+    # Payloads lie beside the manifest of their session.
+    place = journal.select(F.regexp_replace("file", "[^/]+$", "").alias("folder")).distinct().withColumn(
+        "session", F.regexp_extract("folder", "session=([0-9]+)/", 1).cast("long")
+    )
+    files = content.where((d % 11 != 4) | (d % 7 == 2)).join(place, "session").select(
+        F.concat("folder", F.floor(d / 4), F.lit(".wav")).alias("path"), "digest"
+    )
+    cases = jn.fold_verified(journal, files, scans_root(root))
+    return _listed(cases).select("attempt_id", "prompt_id", "violations")
+
+
+def _tagged(letter: str):
+    return F.concat(F.lit(letter), F.col("doc_id").cast("string"))
+
+
+def _event(kind: str, **fields):
+    return F.to_json(F.struct(F.lit(kind).alias("event"), *[v.alias(k) for k, v in fields.items()]))
+
+
+def scans_root(root: str) -> str:
+    """A folder name as ``plain_path`` spells it."""
+    return root.replace("file://", "", 1) if root.startswith("file://") else root
+
+
 @query("journal_scan", with_ctes(ad.SQL_JOURNAL, "SELECT event, count(*) AS n, count(DISTINCT attempt_id) AS attempts FROM journal GROUP BY event"))
 def journal_scan(t):
     """Writes the journal as manifest files and scans them back."""
@@ -181,8 +241,7 @@ def content_digest(t):
     listed = docs.select(
         F.col("doc_id"), F.sha2(F.when(F.col("doc_id") % 13 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("sha256")
     )
-    checked = scans.verify_files(listed, files, "doc_id")
-    return checked.join(files, F.col("doc_id") == F.col("filename")).select("doc_id", "digest", "violation")
+    return scans.verify_files(listed, files, "doc_id", found_digest="digest").select("doc_id", "digest", "violation")
 
 
 @query(
@@ -213,15 +272,16 @@ def corpus_union(t):
     "report_envelope",
     with_ctes(
         ad.SQL_RESULTS,
-        """SELECT 'start' AS event, NULL::BIGINT AS completed, NULL::BIGINT AS failed, 1 AS n
-        UNION ALL SELECT 'case', NULL, NULL, count(*) FROM results WHERE event = 'case'
-        UNION ALL SELECT 'end', count(*) FILTER (status = 'ok'), count(*) FILTER (status <> 'ok'), 1 FROM results WHERE event = 'case'""",
+        f"""SELECT 'start' AS event, NULL::BIGINT AS completed, NULL::BIGINT AS failed, 1 AS n,
+          {sinks.sql_rows_digest(("prompt_id", "status", "text"))} AS inputs_digest FROM results WHERE event = 'case'
+        UNION ALL SELECT 'case', NULL, NULL, count(*), NULL FROM results WHERE event = 'case'
+        UNION ALL SELECT 'end', count(*) FILTER (status = 'ok'), count(*) FILTER (status <> 'ok'), 1, NULL FROM results WHERE event = 'case'""",
     ),
 )
 def report_envelope(t):
     cases = ad.results(t).where("event = 'case'").select("prompt_id", "status", "text")
     report = sinks.report_envelope(cases, "status")
-    return report.groupBy("event", "completed", "failed").agg(F.count("*").alias("n"))
+    return report.groupBy("event", "completed", "failed", "inputs_digest").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -303,23 +363,24 @@ def keyword_predicate(t):
 @query(
     "select_by_route",
     """
-    SELECT conv_id, any_value(route) AS route, max(CASE WHEN mode = route THEN text END) AS text, max(CASE WHEN mode = route THEN turn END) AS turn
+    SELECT conv_id, any_value(route) AS route, arg_min(text, turn) FILTER (mode = route) AS text,
+      min(turn) FILTER (mode = route) AS turn, count(*) FILTER (mode = route) > 1 AS duplicate_run
     FROM (SELECT conv_id, turn, text, ['bg','en','mixed'][turn % 3 + 1] AS mode, ['bg','en','mixed'][conv_id % 3 + 1] AS route
-          FROM conversations WHERE turn < 3)
+          FROM conversations)
     GROUP BY conv_id
     """,
 )
 def select_by_route(t):
-    """The first three turns of a conversation stand for runs in three modes."""
+    """The turns of a conversation stand for runs in three modes, some repeated."""
     modes = F.array(F.lit("bg"), F.lit("en"), F.lit("mixed"))
 
     def mode(i):
         return F.element_at(modes, (i % 3 + 1).cast("int"))
 
-    runs = t("conversations").where("turn < 3").select(
+    runs = t("conversations").select(
         "conv_id", "turn", "text", mode(F.col("turn")).alias("mode"), mode(F.col("conv_id")).alias("route")
     )
-    return tr.select_by_route(runs, "conv_id", "mode", "route", ["text", "turn"])
+    return tr.select_by_route(runs, "conv_id", "mode", "route", ["text", "turn"], ["turn"])
 
 
 @query("resume_slice", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 100 ORDER BY o_orderkey LIMIT 500")
@@ -401,15 +462,16 @@ def coverage_diff(t):
 @query(
     "manifest_reconcile",
     """
-    SELECT DISTINCT o_orderkey AS key, 'listed_only' AS side FROM orders
-    WHERE o_orderstatus <> 'P' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber < 4)
-    UNION ALL SELECT DISTINCT l_orderkey, 'present_only' FROM lineitem
-    WHERE l_linenumber < 4 AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')
+    WITH o AS (SELECT DISTINCT CASE WHEN o_orderstatus = 'P' THEN -o_orderkey ELSE o_orderkey END AS key FROM orders),
+    l AS (SELECT DISTINCT CASE WHEN l_orderkey % 10 = 3 THEN -l_orderkey ELSE l_orderkey END AS key FROM lineitem)
+    SELECT key, 'listed_only' AS side FROM o WHERE key NOT IN (SELECT key FROM l)
+    UNION ALL SELECT key, 'present_only' FROM l WHERE key NOT IN (SELECT key FROM o)
     """,
 )
 def manifest_reconcile(t):
-    listed = t("orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("key"))
-    present = t("lineitem").where("l_linenumber < 4").select(F.col("l_orderkey").alias("key"))
+    o, l = F.col("o_orderkey"), F.col("l_orderkey")
+    listed = t("orders").select(F.when(F.col("o_orderstatus") == "P", -o).otherwise(o).alias("key"))
+    present = t("lineitem").select(F.when(l % 10 == 3, -l).otherwise(l).alias("key"))
     return jn.reconcile_keys(listed, present, "key")
 
 
@@ -417,10 +479,10 @@ def manifest_reconcile(t):
     "wake_correlate",
     """
     WITH ph AS (SELECT user_id AS phrase_id, min(ts) AS start_ts, bool_or(event_type = 'purchase' AND value >= 30) AS finished
-                FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY user_id HAVING count(*) % 7 <> 0),
-    rs AS (SELECT user_id AS phrase_id, count(*) AS checks, bool_or(value >= 160) AS hit,
+                FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY user_id),
+    rs AS (SELECT CASE WHEN user_id % 7 = 0 THEN -user_id - 1 ELSE user_id END AS phrase_id, count(*) AS checks, bool_or(value >= 160) AS hit,
              arg_min('heard ' || event_id, (ts, event_id)) FILTER (value >= 160) AS txt
-           FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id)
+           FROM events WHERE event_type IN ('view', 'click') GROUP BY 1)
     SELECT ph.*, coalesce(checks, 0) AS checks, coalesce(hit, false) AS wake_detected, CASE WHEN hit THEN txt END AS wake_text,
       CASE WHEN finished AND coalesce(hit, false) THEN 'delivered' WHEN finished THEN 'discarded' ELSE 'open' END AS outcome
     FROM ph LEFT JOIN rs USING (phrase_id)
@@ -433,11 +495,11 @@ def wake_correlate(t):
         .agg(
             F.min("ts").alias("start_ts"),
             F.bool_or((F.col("event_type") == "purchase") & (F.col("value") >= 30)).alias("finished"),
-            F.count("*").alias("_n"),
-        ).where("_n % 7 <> 0").drop("_n")
+        )
     )
+    user = F.col("user_id")
     results = e.where("event_type IN ('view', 'click')").select(
-        F.col("user_id").alias("phrase_id"), (F.col("value") >= 160).alias("detected"),
+        F.when(user % 7 == 0, -user - 1).otherwise(user).alias("phrase_id"), (F.col("value") >= 160).alias("detected"),
         F.concat(F.lit("heard "), "event_id").alias("wake_text"), F.struct("ts", "event_id").alias("rank"),
     )
     return jn.correlate_wake(phrases, results, ["phrase_id"], "rank")

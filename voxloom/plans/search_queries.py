@@ -217,23 +217,29 @@ pair_best AS (SELECT * FROM pair_scores QUALIFY row_number() OVER (PARTITION BY
     "fold_eval",
     with_ctes(
         ad.SQL_FEATURES, _FOLD_SQL, sql_rules("fold_long", "fold, feature"), _FOLD_EVAL_SQL,
-        """SELECT r.fold AS train_fold, 'single' AS kind, count(*) FILTER (label = 'BG' AND h) AS bg_ok, count(*) FILTER (label = 'BG' AND NOT h) AS bg_wrong,
+        """SELECT *, (SELECT count(*) FROM folds WHERE fold IS NULL) AS dropped FROM (
+          SELECT r.fold AS train_fold, 'single' AS kind, count(*) FILTER (label = 'BG' AND h) AS bg_ok, count(*) FILTER (label = 'BG' AND NOT h) AS bg_wrong,
             count(*) FILTER (label = 'EN' AND NOT h) AS en_ok, count(*) FILTER (label = 'EN' AND h) AS en_wrong
           FROM single r JOIN fold_long s ON s.fold = r.test_fold AND s.feature = r.feature,
             LATERAL (SELECT CASE WHEN r.less THEN s.value < r.thr ELSE s.value > r.thr END AS h) z GROUP BY r.fold
         UNION ALL
         SELECT b.fold, 'pair', c.bg_ok, c.bg_wrong, c.en_ok, c.en_wrong FROM pair_best b JOIN pair_counts c
-          ON c.fold = b.fold AND c.i = b.i AND c.j = b.j AND c.use_and = b.use_and AND c.on_fold <> b.fold""",
+          ON c.fold = b.fold AND c.i = b.i AND c.j = b.j AND c.use_and = b.use_and AND c.on_fold <> b.fold)""",
     ),
 )
 def fold_eval(t):
-    """Rules found on one fold, scored on the other, in both directions."""
-    wide = folded(t).where("fold IS NOT NULL")
+    """Rules found on one fold, scored on the other, in both directions.
+
+    ``dropped`` counts the samples without exactly two repetitions.
+    """
+    everything = folded(t)
+    wide = everything.where("fold IS NOT NULL")
     long = wide.unpivot(["sample_id", "label", "fold"], list(ad.FEATURES), "feature", "value")
-    # Two searches read the scored rules; sorting the values twice costs more.
-    rules = materialise(se.single_rules(long, ["fold"]), "rules")
-    single = se.best_single_rule(rules, ["fold"])
-    pair = se.best_pair_rule(wide.drop("violation"), se.top_rules(rules, ["fold"]), ad.FEATURES, ["fold"])
+    # The best single rule is the first of its feature, so the few rules kept
+    # per feature serve both searches.
+    top = materialise(se.top_rules(se.single_rules(long, ["fold"]), ["fold"]), "rules")
+    single = se.best_single_rule(top, ["fold"])
+    pair = se.best_pair_rule(wide.drop("violation"), top, ad.FEATURES, ["fold"])
     kind = "struct<feature:string,threshold:double,bg_when_less:boolean>"
     found = single.select(
         "fold", F.lit("single").alias("kind"), F.struct("feature", "threshold", "bg_when_less").alias("first"),
@@ -246,7 +252,12 @@ def fold_eval(t):
             "use_and",
         )
     )
-    return se.evaluate_rules(wide, found, ad.FEATURES, "other")
+    return _with_dropped(se.evaluate_rules(wide, found, ad.FEATURES, "other"), everything)
+
+
+def _with_dropped(report, everything):
+    # A global aggregate is exactly one row.
+    return report.join(F.broadcast(everything.agg(F.count_if(F.col("fold").isNull()).alias("dropped"))))
 
 
 @query(
@@ -257,12 +268,16 @@ def fold_eval(t):
         sql_two_boundary("fold_delta", "fold", "best"),
         "safe AS (SELECT min(bg_boundary) AS lo, max(en_boundary) AS hi FROM best)",
         "routed AS (SELECT label AS t, CASE WHEN value <= lo THEN 'BG' WHEN value >= hi THEN 'EN' ELSE 'MIXED' END AS r FROM fold_delta, safe)",
-        f"SELECT (SELECT round(lo, 9) FROM safe) AS bg_boundary, (SELECT round(hi, 9) FROM safe) AS en_boundary, {COVERAGE_SQL} FROM routed",
+        f"SELECT (SELECT round(lo, 9) FROM safe) AS bg_boundary, (SELECT round(hi, 9) FROM safe) AS en_boundary, {COVERAGE_SQL}, (SELECT count(*) FROM folds WHERE fold IS NULL) AS dropped FROM routed",
     ),
 )
 def fold_intersection(t):
-    """The more careful boundary of both folds, judged on all samples."""
-    samples = folded(t).where("fold IS NOT NULL").select("fold", "label", F.col("mean_word_len").alias("value"))
+    """The more careful boundary of both folds, judged on all samples of folds.
+
+    ``dropped`` counts the samples without exactly two repetitions.
+    """
+    everything = folded(t)
+    samples = everything.where("fold IS NOT NULL").select("fold", "label", F.col("mean_word_len").alias("value"))
     safe = materialise(
         se.best_two_boundary(samples, ["fold"]).agg(
             F.min("bg_boundary").alias("bg_boundary"), F.max("en_boundary").alias("en_boundary")
@@ -274,9 +289,9 @@ def fold_intersection(t):
         "route", ev.route_by_boundaries(F.col("value"), F.col("bg_boundary"), F.col("en_boundary"))
     )
     report = va.coverage_report(routed, "label", "route", ["bg_boundary", "en_boundary"])
-    return ad.rounded(report).drop("bg_boundary", "en_boundary").join(
-        F.broadcast(safe.select(F.round("bg_boundary", 9).alias("bg_boundary"), F.round("en_boundary", 9).alias("en_boundary")))
-    )
+    bounds = safe.select(F.round("bg_boundary", 9).alias("bg_boundary"), F.round("en_boundary", 9).alias("en_boundary"))
+    out = ad.rounded(report).drop("bg_boundary", "en_boundary").join(F.broadcast(bounds))
+    return _with_dropped(out, everything)
 
 
 def detector_scores(t):

@@ -3,20 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from voxloom import schemas
 
 
+def plain_path(path: Column) -> Column:
+    """Local paths in one spelling, whatever the slashes after the scheme."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def read_journal(
     spark: SparkSession, root: str, schema: str = schemas.JOURNAL, pattern: str = "manifest.jsonl"
 ) -> DataFrame:
-    """Every journal file below ``root``, with the file each event came from."""
+    """Every journal file below ``root``: its events with ``file`` and ``line``.
+
+    ``line`` grows with the position in the file and is not a line number: the
+    start of the block a task reads plus the row's place in that task. A task
+    reads no more bytes than a block holds and a row has two at least, so the
+    rows of a later block always come later. A ``line`` in the JSON is ignored.
+    """
+    fields = ", ".join(f for f in schema.split(", ") if f.split()[0] != "line")
+    row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     return (
-        spark.read.schema(schema)
+        spark.read.schema(fields)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
         .json(root)
-        .withColumn("file", F.col("_metadata.file_path"))
+        .withColumn("file", plain_path(F.col("_metadata.file_path")))
+        .withColumn("line", F.col("_metadata.file_block_start") + row)
     )
 
 
@@ -26,8 +41,21 @@ def read_results(spark: SparkSession, path: str, schema: str = schemas.RESULTS)
 
 
 def read_table_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A CSV with a header, with or without a byte-order mark."""
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path)
+    """A CSV with a header, with or without a byte-order mark.
+
+    Columns are found by their header name in whatever order; a missing column
+    and a file without rows are errors.
+    """
+    wanted = StructType.fromDDL(schema)
+    head = spark.read.option("header", True).csv(path)
+    names = {c.lstrip("\ufeff").strip(): c for c in head.columns}
+    missing = [f.name for f in wanted.fields if f.name not in names]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)}")
+    rows = head.select(*[F.col(f"`{names[f.name]}`").cast(f.dataType).alias(f.name) for f in wanted.fields])
+    if head.isEmpty():
+        raise ValueError(f"{path}: no rows")
+    return rows
 
 
 PLAN_ROW = r"^\| ((?:BG|EN|MX)\d{2}) \| (BG|EN|MIXED) \| (.+?) \|$"
@@ -77,12 +105,32 @@ def catalog_files(spark: SparkSession, root: str, pattern: str = "*.wav") -> Dat
     )
 
 
-def verify_files(listed: DataFrame, files: DataFrame, name: str = "filename", digest: str = "sha256") -> DataFrame:
-    """Listed files that are missing or whose content has changed."""
-    found = files.select(F.col("filename").alias("_f"), F.col("digest").alias("_d"))
-    return listed.join(found, F.col(name) == F.col("_f"), "left").select(
+def verify_files(
+    listed: DataFrame, files: DataFrame, name: str = "filename", digest: str = "sha256",
+    manifest: str | None = None, root: str | None = None, found_digest: str | None = None,
+) -> DataFrame:
+    """Listed files that are missing, changed or outside the root, as ``violation``.
+
+    With ``manifest``, a column that holds the listing file's path, a name is
+    resolved in that file's folder and looked up by full path: two sessions may
+    use one file name. A name that leads out of ``root`` is refused. Without
+    it, ``files`` are looked up by ``filename``. ``found_digest`` names a
+    column for the digest of the file found.
+    """
+    if manifest is None:
+        found = files.select(F.col("filename").alias("_f"), F.col("digest").alias("_d"))
+        wanted, outside = F.col(name), F.lit(False)
+    else:
+        found = files.select(plain_path(F.col("path")).alias("_f"), F.col("digest").alias("_d"))
+        wanted = F.concat(F.regexp_replace(plain_path(F.col(manifest)), "[^/]+$", ""), F.col(name))
+        below = F.lit(True) if root is None else wanted.startswith(plain_path(F.lit(root.rstrip("/") + "/")))
+        outside = F.col(name).rlike(r"^/|(^|/)\.\.(/|$)") | ~below
+    out = listed.join(found, wanted == F.col("_f"), "left")
+    return out.select(
         *listed.columns,
-        F.when(F.col("_f").isNull(), "missing_file")
+        *([F.col("_d").alias(found_digest)] if found_digest else []),
+        F.when(outside, "outside_root")
+        .when(F.col("_f").isNull(), "missing_file")
         .when(~F.col("_d").eqNullSafe(F.col(digest)), "digest_mismatch")
         .alias("violation"),
     )

@@ -12,28 +12,57 @@ def append_journal(events: DataFrame, root: str) -> None:
     events.write.mode("append").option("ignoreNullFields", True).json(root)
 
 
-def report_envelope(cases: DataFrame, status: str, digest: Column | None = None) -> DataFrame:
+def rows_digest(columns: Sequence[str]) -> Column:
+    """Digest of a set of rows: two sums of independent 60-bit row hashes and the count.
+
+    Independent of order, mergeable, and, unlike an exclusive or, equal rows
+    do not cancel. A value enters with its length, a null as a dash.
+    """
+    fields = [
+        F.coalesce(F.concat(F.length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+        for c in columns
+    ]
+    row = F.md5(F.concat_ws("|", *fields))
+
+    def part(start: int) -> Column:
+        return F.sum(F.conv(F.substring(row, start, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+
+    return F.concat_ws(
+        "-", F.coalesce(part(1), F.lit("0")), F.coalesce(part(17), F.lit("0")), F.count(F.lit(1)).cast("string")
+    )
+
+
+def sql_rows_digest(columns: Sequence[str]) -> str:
+    """The same digest as a DuckDB aggregate."""
+    row = "md5(concat_ws('|', " + ", ".join(
+        f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in columns
+    ) + "))"
+    parts = [f"coalesce(sum(('0x' || substr({row}, {at}, 15))::BIGINT)::VARCHAR, '0')" for at in (1, 17)]
+    return f"concat_ws('-', {parts[0]}, {parts[1]}, count(*)::VARCHAR)"
+
+
+def report_envelope(cases: DataFrame, status: str) -> DataFrame:
     """Case rows between a start row and an end row, as one nullable schema.
 
-    The start row carries a digest of all inputs that does not depend on row
-    order; the end row the completed and failed counts.
+    The start row carries a digest of all case rows, the end row the completed
+    and failed counts.
     """
-    hashed = F.xxhash64(*[F.col(c) for c in cases.columns]) if digest is None else digest
     summary = cases.agg(
         F.count_if(F.col(status) == "ok").alias("completed"),
         F.count_if(~F.col(status).eqNullSafe("ok")).alias("failed"),
-        F.bit_xor(hashed).alias("inputs_digest"),
+        rows_digest(cases.columns).alias("inputs_digest"),
     )
+    none = F.lit(None)
     ends = summary.select(
         F.explode(
             F.array(
                 F.struct(
-                    F.lit("start").alias("event"), F.lit(None).cast("long").alias("completed"),
-                    F.lit(None).cast("long").alias("failed"), F.col("inputs_digest"),
+                    F.lit("start").alias("event"), none.cast("long").alias("completed"),
+                    none.cast("long").alias("failed"), F.col("inputs_digest"),
                 ),
                 F.struct(
                     F.lit("end").alias("event"), F.col("completed"), F.col("failed"),
-                    F.lit(None).cast("long").alias("inputs_digest"),
+                    none.cast("string").alias("inputs_digest"),
                 ),
             )
         ).alias("r")
