@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voxloom import schemas
 from voxloom.operators import contracts as ct
 from voxloom.operators import journal as jn
+from voxloom.operators import transcripts as tr
 from voxloom.sources import scans, sinks
 
 
@@ -16,35 +17,61 @@ def write_journal(folder, events):
     (folder / "manifest.jsonl").write_text("\n".join(json.dumps(e) for e in events), encoding="utf-8")
 
 
-def recording(tmp_path, *, status="accepted", later=None):
-    folder = tmp_path / "data" / "s1"
-    audio = b"RIFF-some-bytes"
+def recording(tmp_path, *, status="accepted", later=None, session="s1", attempt="a1"):
+    folder = tmp_path / "data" / session
+    audio = f"RIFF-some-bytes of {session}".encode()
     events = [
-        {"event": "session", "line": 1},
-        {"event": "attempt", "attempt_id": "a1", "prompt_id": "BG01", "speech_label": "BG", "line": 2},
-        {"event": "captured", "attempt_id": "a1", "filename": "a1.wav", "sha256": hashlib.sha256(audio).hexdigest(), "line": 3},
-        {"event": "review", "attempt_id": "a1", "status": status, "reference_text": "спри", "line": 4},
+        {"event": "session"},
+        {"event": "attempt", "attempt_id": attempt, "prompt_id": f"BG-{session}", "speech_label": "BG"},
+        {"event": "captured", "attempt_id": attempt, "filename": "a1.wav", "sha256": hashlib.sha256(audio).hexdigest()},
+        {"event": "review", "attempt_id": attempt, "status": status, "reference_text": "спри"},
     ]
     if later:
-        events.append({"event": "review", "attempt_id": "a1", "status": later, "line": 5})
+        events.append({"event": "review", "attempt_id": attempt, "status": later})
     write_journal(folder, events)
     (folder / "a1.wav").write_bytes(audio)
     return tmp_path / "data"
 
 
+def verified(spark, root):
+    files = scans.catalog_files(spark, str(root))
+    rows = jn.fold_verified(scans.read_journal(spark, str(root)), files, str(root)).collect()
+    return {r["attempt_id"]: r["violations"] for r in rows}
+
+
 def test_accepted_case_and_content(spark, tmp_path):
+    recording(tmp_path, session="s2", attempt="a2")
     root = recording(tmp_path)
-    journal = scans.read_journal(spark, str(root), schemas.JOURNAL)
-    cases = jn.fold_journal(journal)
-    row = cases.first()
-    assert (row["prompt_id"], row["violations"]) == ("BG01", [])
-    files = scans.catalog_files(spark, str(root))
-    assert scans.verify_files(cases, files).first()["violation"] is None
+    # Two sessions with one file name do not mix.
+    assert verified(spark, root) == {"a1": [], "a2": []}
     (root / "s1" / "a1.wav").write_bytes(b"other")
-    assert scans.verify_files(cases, scans.catalog_files(spark, str(root))).first()["violation"] == "digest_mismatch"
+    assert verified(spark, root) == {"a1": ["digest_mismatch"], "a2": []}
     (root / "s1" / "a1.wav").unlink()
-    (root / "s1" / "b.wav").write_bytes(b"x")
-    assert scans.verify_files(cases, scans.catalog_files(spark, str(root))).first()["violation"] == "missing_file"
+    assert verified(spark, root) == {"a1": ["missing_file"], "a2": []}
+
+
+def test_file_outside_the_root(spark, tmp_path):
+    root = recording(tmp_path)
+    path = root / "s1" / "manifest.jsonl"
+    path.write_text(path.read_text(encoding="utf-8").replace("a1.wav", "../../a1.wav"), encoding="utf-8")
+    (tmp_path / "a1.wav").write_bytes(b"RIFF-some-bytes of s1")
+    assert verified(spark, root) == {"a1": ["outside_root"]}
+
+
+def test_order_is_the_files(spark, tmp_path):
+    events = [{"event": "review", "attempt_id": f"a{i % 50}", "status": "rejected" if i < 1950 else "accepted",
+               "reference_text": f"t{i}", "line": 5000 - i} for i in range(2000)]
+    write_journal(tmp_path / "s", events)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")  # many blocks of one file
+    try:
+        journal = scans.read_journal(spark, str(tmp_path))
+        assert journal.rdd.getNumPartitions() > 5
+        rows = journal.repartition(7).orderBy("line").collect()
+        assert [r["reference_text"] for r in rows] == [f"t{i}" for i in range(2000)]
+        assert jn.fold_journal(journal.repartition(3)).count() == 50
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_later_rejection_wins(spark, tmp_path):
@@ -90,6 +117,8 @@ def test_journal_append_and_exclusive_report(spark, tmp_path):
     digest = report.where("event = 'start'").first()["inputs_digest"]
     again = sinks.report_envelope(cases.orderBy(F.desc("prompt_id")), "status").where("event = 'start'").first()
     assert digest == again["inputs_digest"]
+    double = sinks.report_envelope(cases.unionByName(cases), "status").where("event = 'start'").first()
+    assert double["inputs_digest"] not in (digest, sinks.report_envelope(cases.limit(0), "status").first()["inputs_digest"])
     path = str(tmp_path / "r")
     sinks.write_report(report, path)
     with pytest.raises(AnalysisException):
@@ -105,6 +134,37 @@ def test_csv_with_byte_order_mark(spark, tmp_path):
     assert (row["filename"], row["duration_seconds"], row["wake_text"]) == ("a.wav", 1.5, None)
 
 
+def test_csv_columns_by_name(spark, tmp_path):
+    path = tmp_path / "m.csv"
+    path.write_text("b,x,a\n2.5,no,one\n", encoding="utf-8")
+    assert tuple(scans.read_table_csv(spark, str(path), "a string, b double").first()) == ("one", 2.5)
+    with pytest.raises(ValueError, match="no column c"):
+        scans.read_table_csv(spark, str(path), "a string, c int")
+    path.write_text("a,b\n", encoding="utf-8")
+    with pytest.raises(ValueError, match="no rows"):
+        scans.read_table_csv(spark, str(path), "a string, b double")
+
+
+def test_no_cases_is_an_error(spark):
+    empty = spark.createDataFrame([("start",)], "event string").selectExpr("event", "'' prompt_id", "'' status", "'' sha256", "'' text")
+    with pytest.raises(ValueError, match="no cases"):
+        jn.check_cases(empty)
+
+
+def test_whole_rows_and_flagged_duplicates(spark):
+    base = spark.createDataFrame([("p", "t", "s", "1", "r")], "prompt_id string, text string, sha256 string, attempt_id string, reference_text string")
+    other = spark.createDataFrame([("p", "b", "s", "9", "r"), ("p", "a", "s", "1", "r")], base.schema)
+    row = jn.gather_alternatives(base, {"x": other}).first()
+    assert (row["texts"], row["violations"]) == (["a"], ["duplicate_id"])
+    runs = spark.createDataFrame([("k", "bg", "bg", "zz", 1), ("k", "bg", "bg", "aa", 9), ("k", "en", "bg", "q", 5)], "k string, mode string, route string, t string, n int")
+    assert tuple(select_by_route(runs, "k", "mode", "route", ["t", "n"])) == ("k", "bg", "aa", 9, True)
+    assert tuple(select_by_route(runs, "k", "mode", "route", ["t", "n"], ["n"])) == ("k", "bg", "zz", 1, True)
+
+
+def select_by_route(*args):
+    return tr.select_by_route(*args).first()
+
+
 def test_plan(spark, tmp_path):
     path = tmp_path / "plan.md"
     path.write_text("# Plan\n| id | label | text |\n|---|---|---|\n| BG01 | BG | Спри музиката |\n| MX02 | EN | x |\n", encoding="utf-8")

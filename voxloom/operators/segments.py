@@ -62,13 +62,17 @@ def silence_runs(blocks: DataFrame, rules: SegmentRules = DEFAULT_RULES, chunk:
 
 def pre_rolls(blocks: DataFrame, rules: SegmentRules = DEFAULT_RULES, chunk: int = CHUNK_BLOCKS) -> DataFrame:
     """For every onset block, the blocks kept before it (itself included)."""
-    voted = onset_votes(blocks, rules, chunk)
-    w = Window.partitionBy("device_id", "chunk").orderBy("block_idx").rowsBetween(1 - rules.pre_roll, 0)
+    reach = max(rules.pre_roll, rules.window)
+    order = Window.partitionBy("device_id", "chunk").orderBy("block_idx")
+    kept, recent = order.rowsBetween(1 - rules.pre_roll, 0), order.rowsBetween(1 - rules.window, 0)
+    # One halo is long enough for the votes and for the pre-roll.
     return (
-        with_halo(voted, "block_idx", chunk, rules.pre_roll - 1)
-        .withColumn("pre_roll", F.collect_list("block_idx").over(w))
-        .withColumn("pre_roll_rms", F.sqrt(F.avg("energy").over(w)))
-        .where(~F.col("is_halo") & F.col("onset"))
+        with_halo(blocks, "block_idx", chunk, reach - 1)
+        .withColumn("_full", F.count(F.lit(1)).over(recent) == rules.window)
+        .withColumn("_votes", F.sum(F.col("voiced").cast("int")).over(recent))
+        .withColumn("pre_roll", F.collect_list("block_idx").over(kept))
+        .withColumn("pre_roll_rms", F.sqrt(F.avg("energy").over(kept)))
+        .where(~F.col("is_halo") & F.col("_full") & (F.col("_votes") >= rules.required))
         .select("device_id", "block_idx", "pre_roll", "pre_roll_rms")
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from voxloom.functions.text import keyword_normalise
 from voxloom.operators import contracts as ct
 from voxloom.operators import evaluate as va
 from voxloom.operators import journal as jn
@@ -360,6 +361,15 @@ def keyword_predicate(t):
     return docs.select("doc_id", kw.contains_wake(F.col("text")).alias("has_wake"))
 
 
+@query(
+    "keyword_normalised",
+    r"""SELECT doc_id, trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '[^\p{L}\p{N}_]+', ' ', 'g')) AS words FROM documents""",
+)
+def keyword_normalised(t):
+    """The words of a text as the keyword search sees them."""
+    return t("documents").select("doc_id", keyword_normalise(F.col("text")).alias("words"))
+
+
 @query(
     "select_by_route",
     """

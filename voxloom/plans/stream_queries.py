@@ -98,6 +98,29 @@ def prefix_schedule(t):
     return ad.rounded(sg.prefix_schedule(ph, ["device_id", "phrase_id"], "pos", "energy"))
 
 
+@query(
+    "prefix_detected",
+    with_ctes(
+        ad.SQL_BLOCKS,
+        """ph AS (SELECT device_id, block_idx // 48 AS phrase_id, block_idx % 48 AS pos, event_id FROM blocks),
+        sizes AS (SELECT device_id, phrase_id, count(*) AS n, max(pos + 1) FILTER (event_id % 29 = 0) AS hit FROM ph GROUP BY device_id, phrase_id),
+        checks AS (SELECT *, m AS prefix, false AS is_final FROM sizes, (VALUES (15),(20),(25),(30),(35),(40)) v(m) WHERE n >= m
+          UNION ALL SELECT *, 0, least(n, 40), true FROM sizes WHERE n < 15 OR (n < 40 AND n % 5 <> 0))""",
+        "SELECT device_id, phrase_id, prefix::BIGINT AS prefix, is_final FROM checks WHERE hit IS NULL OR prefix <= hit",
+    ),
+)
+def prefix_detected(t):
+    """Keyword checks that stop once the keyword was found."""
+    pos = F.col("block_idx") % 48
+    ph_ = ad.blocks(t).select(
+        "device_id", F.floor(F.col("block_idx") / 48).alias("phrase_id"), pos.alias("pos"), "energy",
+        F.when(F.col("event_id") % 29 == 0, pos + 1).alias("hit"),
+    )
+    return sg.prefix_schedule(ph_, ["device_id", "phrase_id"], "pos", "energy", detected_at="hit").select(
+        "device_id", "phrase_id", "prefix", "is_final"
+    )
+
+
 @query(
     "noise_floor",
     with_ctes(
