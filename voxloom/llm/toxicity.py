@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from voxloom.session import materialise
 from voxloom.llm.common import append_columns, fold_of, private
 
 # Labelled rows of each class that become examples, in hash order of their key.
@@ -33,6 +35,10 @@ MIN_LOG_ODDS = 0.7
 PREFIX = 5
 NEIGHBOURS = 16
 BLOCK = 64
+# Weight of the silent vote that stands for "no near neighbour".
+FAR = 0.1
+# Smallest word hashes that make two examples copies of one text.
+SKETCH = 3
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -145,9 +151,10 @@ class Model:
         ids, sims = self.index().nearest(*vector, NEIGHBOURS, without) if len(vector[0]) else (np.zeros(0, np.int64), np.zeros(0))
         if not len(ids):
             return -1.0, ids, sims
-        # Distance-weighted: a vote falls with the square of the angle's sine.
-        power = 1.0 / (0.05 + np.maximum(0.0, 1.0 - sims * sims))
-        return float((power * self.toxic[ids]).sum() / power.sum()), ids, sims
+        # Votes weigh the square of the cosine; far neighbours alone do not
+        # make a strong vote.
+        power = sims * sims
+        return float((power * self.toxic[ids]).sum() / (power.sum() + FAR)), ids, sims
 
     def _calibrate(self) -> tuple[np.ndarray, np.ndarray, float]:
         """Isotonic steps from left-one-out votes, weighted to the true classes."""
@@ -194,13 +201,35 @@ def _rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, r
     ).select("_k", "_y", "_text"), sizes
 
 
+def sketch(text: bytes) -> bytes:
+    """Equal for copies of a text, and nearly always where a few words differ."""
+    hashes = sorted({zlib.crc32(w.encode()) for w in words_of(text)})[:SKETCH]
+    return b"".join(h.to_bytes(4, "big") for h in hashes)
+
+
+def _distinct_examples(rows: DataFrame) -> DataFrame:
+    """One example of each group of copies and class, stored: a text copied a
+    thousand times must not make its chance words look telling."""
+    kind = rows.schema["_k"].dataType.simpleString()
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            marks = [sketch(t or b"") for t in b.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(marks, pa.binary())], names=["_k", "_y", "_text", "_s"])
+
+    marked = rows.mapInArrow(mark, f"_k {kind}, _y int, _text string, _s binary")
+    first = marked.groupBy("_s", "_y").agg(F.min(F.struct("_k", "_text")).alias("r"))
+    return materialise(first.select("r._k", "_y", "r._text"), "examples")
+
+
 def train(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
     label: str = "toxic", rows: int = EXAMPLES,
 ) -> Model | None:
     """A model of P(label = 1) from labelled rows outside the held-out fold
     (crc32 of the key modulo 5 is 0), or None where a class is missing."""
-    examples, sizes = _rows(docs, labels, key, text, label, rows)
+    picked, sizes = _rows(docs, labels, key, text, label, rows)
+    examples = _distinct_examples(picked)
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
