@@ -85,13 +85,10 @@ def route_crosstab(df: DataFrame, track: str, route: str, routes: Sequence[str])
 
 def distribution(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """n, min, quartiles, max and mean per key; quartiles are exact."""
-    plain = df.groupBy(*keys).agg(
-        F.min(value).alias("min_value"), F.max(value).alias("max_value"), F.avg(value).alias("mean_value")
+    return order_statistics(
+        df, keys, value, linear={"p25": 0.25, "median": 0.5, "p75": 0.75},
+        whole_key={"min": "min_value", "max": "max_value", "avg": "mean_value"},
     )
-    quartiles = order_statistics(
-        df, keys, value, linear={"p25": 0.25, "median": 0.5, "p75": 0.75}
-    )
-    return plain.join(quartiles, list(keys))
 
 
 def class_separation(df: DataFrame, label: str, value: str, low: str = "BG", high: str = "EN") -> DataFrame:

@@ -149,9 +149,13 @@ def order_statistics(
     linear: dict[str, float] | None = None,
     upper_median: str | None = None,
     parts: int | None = None,
+    whole_key: dict[str, str] | None = None,
 ) -> DataFrame:
     """Exact quantiles per key by distributed selection.
 
+    ``whole_key`` names outputs for 'min', 'max' and 'avg' of the key's values,
+    which the bucket counters carry along.
+
     ``linear`` maps an output name to a fraction (linear interpolation over
     n-1); ``upper_median`` names an output holding ``sorted[n // 2]``.
 
@@ -164,13 +168,19 @@ def order_statistics(
     splits, n_keys = value_profile(rows, keys, value, parts or 8 * parallelism(df.sparkSession))
     rows = rows.withColumn("_b", split_bucket(F.col(value), splits))
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    counters = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n")).select(
+    whole_key = whole_key or {}
+    makers = {"min": (F.min, F.min), "max": (F.max, F.max), "avg": (F.sum, F.sum)}
+    counters = rows.groupBy(*keys, "_b").agg(
+        F.count(F.lit(1)).alias("_n"), *[makers[k][0](value).alias(f"_w_{k}") for k in whole_key]
+    ).select(
         *keys,
         "_b",
         F.sum("_n").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"),
         F.col("_n"),
         F.sum("_n").over(whole).alias("total"),
+        *[makers[k][1](f"_w_{k}").over(whole).alias(f"_w_{k}") for k in whole_key],
     ).withColumn("_before", F.col("_upto") - F.col("_n"))
+    carried = [f"_w_{k}" for k in whole_key]
 
     total = F.col("total")
     ranks: dict[str, Column] = {}
@@ -183,12 +193,12 @@ def order_statistics(
         lambda a, b: a | b,
         [(F.col("_before") <= r) & (r < F.col("_upto")) for r in ranks.values()],
     )
-    targets = counters.where(wanted).select(*keys, "_b", "_before", "total")
+    targets = counters.where(wanted).select(*keys, "_b", "_before", "total", *carried)
     # Every key has at most one target bucket per rank.
     if n_keys * len(ranks) <= BROADCAST_ROWS:
         targets = F.broadcast(targets)
     hits = rows.join(targets, keys + ["_b"]).groupBy(*keys, "_b", "_before", "total", value).agg(
-        F.count(F.lit(1)).alias("_n")
+        F.count(F.lit(1)).alias("_n"), *[F.max(c).alias(c) for c in carried]
     )
     inside = (
         Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
@@ -201,6 +211,7 @@ def order_statistics(
             F.max(F.when((first <= r) & (r <= last), F.col(value))).alias(name)
             for name, r in ranks.items()
         ],
+        *[F.max(c).alias(c) for c in carried],
     )
     exprs = []
     for name, fraction in linear.items():
@@ -211,7 +222,10 @@ def order_statistics(
             .otherwise(F.col(f"_lo_{name}") * (1 - weight) + F.col(f"_hi_{name}") * weight)
             .alias(name)
         )
-    return out.select(*keys, "n", *exprs, *([upper_median] if upper_median else []))
+    ends = [
+        (F.col(f"_w_{k}") / F.col("n") if k == "avg" else F.col(f"_w_{k}")).alias(name) for k, name in whole_key.items()
+    ]
+    return out.select(*keys, "n", *exprs, *([upper_median] if upper_median else []), *ends)
 
 
 def bucket_running(

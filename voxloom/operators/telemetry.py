@@ -16,8 +16,9 @@ LEVELS = 9
 
 def phase_latency(df: DataFrame, phase: str, seconds: str) -> DataFrame:
     """n, upper median (``sorted[n // 2]``) and maximum per phase."""
-    largest = df.groupBy(phase).agg(F.max(seconds).alias("max_seconds"))
-    return order_statistics(df, [phase], seconds, upper_median="median_seconds").join(largest, phase)
+    return order_statistics(
+        df, [phase], seconds, upper_median="median_seconds", whole_key={"max": "max_seconds"}
+    )
 
 
 def detector_summary(df: DataFrame, positive: Column, delivered: Column, delay: Column) -> DataFrame:

@@ -375,4 +375,5 @@ KEYWORDS = {"first": [3, 7, 12], "second": [5, 5], "third": [9, 1, 20, 4]}
 )
 def keyword_spot(t):
     frames = ad.frames(t).where("model = 'bg'")
-    return ad.rounded(kw.best_keyword(kw.keyword_scores(frames, KEYWORDS)))
+    # Small chunks, so that an utterance is several of them.
+    return ad.rounded(kw.best_keyword(kw.keyword_scores(frames, KEYWORDS, chunk_frames=3)))

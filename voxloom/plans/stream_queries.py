@@ -380,7 +380,7 @@ def telemetry_window(t):
 def late_blocks(t):
     event_time = F.when(F.col("event_id") % 20 == 0, F.col("ts") - F.expr("INTERVAL 30 HOURS")).otherwise(F.col("ts"))
     rows = t("events").select(
-        "event_id", "user_id", event_time.alias("event_time"), F.floor(F.col("event_id") / 65_536).alias("_b")
+        "event_id", "user_id", event_time.alias("event_time"), F.floor(F.col("event_id") / 512).alias("_b")
     )
     return tm.late_rows(rows, ["user_id"], "_b", ["event_id"], "event_time", 3 * 3600).drop("_b")
 
