@@ -154,7 +154,7 @@ def link_vectors(
     )
     found = [
         _found(classes.where(F.size("_v") == d), d, threshold, recall)
-        for d in sorted(r[0] for r in classes.select(F.size("_v")).distinct().limit(1000).collect())
+        for d in sorted(r[0] for r in classes.select(F.size("_v")).distinct().collect())
     ]
     if found:
         both = found[0]

@@ -28,10 +28,11 @@ from voxloom.llm.common import LinkForest, block_grid, components, private, text
 QUARTERS = 4
 RADIUS = 4
 SHINGLE = 4
-# Fingerprints that shape the trees; shards hold about LEAF of them.
+# Fingerprints that shape the trees; shards hold about LEAF of them until
+# every value of a quarter is a shard of its own.
 SAMPLE = 16_384
 LEAF = 1024
-MAX_LEAVES = 4096
+VALUES = 1 << 16
 # A shard's pairs are compared in grids of these many members by probes.
 BLOCK, CHUNK = 4096, 16_384
 _SLAB = 256
@@ -76,43 +77,46 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 class VantageTree:
-    """A vantage-point tree over 16-bit values; leaves are numbered left to right."""
+    """A vantage-point tree over 16-bit values; leaves are numbered as they are grown.
+
+    It is grown over all values there are, each weighed by its share of the
+    sample, so it can be as fine as the table needs.
+    """
 
     def __init__(self, sample: np.ndarray, leaves: int, seed: int) -> None:
         rng = np.random.default_rng(seed)
-        # node: (vantage, limit, left, right) with children >= 0, or ~leaf.
+        # node: (vantage, limit, left, right) with children >= 0, or -1 - leaf.
         self.nodes: list[list[int]] = []
         self.leaves = 0
-        self.root = self._grow(np.unique(sample), np.sort(sample), leaves, rng)
+        values = np.arange(VALUES, dtype=np.uint16)
+        weights = np.bincount(sample, minlength=VALUES) * (VALUES / max(1, len(sample))) + 0.1
+        self.root = self._grow(values, weights, leaves, rng)
 
-    def _grow(self, values: np.ndarray, sample: np.ndarray, leaves: int, rng) -> int:
-        if leaves <= 1 or len(values) < 2:
-            self.leaves += 1
-            return -self.leaves
+    def _grow(self, values: np.ndarray, weights: np.ndarray, leaves: int, rng) -> int:
         best = None
-        for vantage in rng.choice(values, min(4, len(values)), replace=False).tolist():
-            far = np.bitwise_count(sample ^ np.uint16(vantage))
-            # Sides lie on [0, limit] and (limit, 16]; the fewest rows near the border win.
-            limit = int(np.median(far))
-            if not (far > limit).any():
-                limit -= 1
-            if limit < 0:
-                continue
-            overlap = int(((far == limit) | (far == limit + 1)).sum())
-            if best is None or overlap < best[0]:
-                best = (overlap, vantage, limit)
+        if leaves > 1 and len(values) > 1:
+            for vantage in rng.choice(values, min(4, len(values)), replace=False).tolist():
+                far = np.bitwise_count(values ^ np.uint16(vantage))
+                mass = np.bincount(far, weights, 17)
+                below = np.cumsum(mass)
+                # Sides lie on [0, limit] and (limit, 16]: halves, as near as they come.
+                limit = int(np.argmin(np.abs(below[:-1] - below[-1] / 2)))
+                if below[limit] in (0, below[-1]):
+                    continue
+                # Values next to the border visit both sides: the fewest win.
+                overlap = mass[limit] + mass[limit + 1]
+                if best is None or overlap < best[0]:
+                    best = (overlap, vantage, limit, far)
         if best is None:
             self.leaves += 1
             return -self.leaves
-        _, vantage, limit = best
+        _, vantage, limit, far = best
         at = len(self.nodes)
         self.nodes.append([vantage, limit, 0, 0])
-        near_v = np.bitwise_count(values ^ np.uint16(vantage)) <= limit
-        near_s = np.bitwise_count(sample ^ np.uint16(vantage)) <= limit
-        share = near_s.mean()
-        left = min(leaves - 1, max(1, round(leaves * share)))
-        self.nodes[at][2] = self._grow(values[near_v], sample[near_s], left, rng)
-        self.nodes[at][3] = self._grow(values[~near_v], sample[~near_s], leaves - left, rng)
+        near = far <= limit
+        left = min(leaves - 1, max(1, round(leaves * weights[near].sum() / weights.sum())))
+        self.nodes[at][2] = self._grow(values[near], weights[near], left, rng)
+        self.nodes[at][3] = self._grow(values[~near], weights[~near], leaves - left, rng)
         return at
 
     def visits(self, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +157,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     # A bounded sample in hash order shapes the trees; every fingerprint is indexed.
     rows = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
     sample = np.array([r["fp"] for r in rows], dtype=np.int64)
-    leaves = max(1, min(MAX_LEAVES, total // LEAF))
+    leaves = max(1, min(VALUES, total // LEAF))
     trees = [VantageTree(_quarter(sample, q), leaves, q) for q in range(QUARTERS)]
     near = radius // QUARTERS
 
