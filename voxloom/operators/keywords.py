@@ -147,7 +147,7 @@ def zero_false_accept_threshold(long: DataFrame) -> DataFrame:
         F.min(F.when(F.col("label") == 0, F.col("score"))).alias("lowest_negative")
     )
     below = (
-        long.join(F.broadcast(lowest), "score_name")
+        long.join(lowest, "score_name")
         .groupBy("score_name", "lowest_negative")
         .agg(
             F.max(
@@ -164,7 +164,7 @@ def zero_false_accept_threshold(long: DataFrame) -> DataFrame:
 
 
 def _judged(long: DataFrame, thresholds: DataFrame) -> DataFrame:
-    return long.join(F.broadcast(thresholds), "score_name").withColumn(
+    return long.join(thresholds, "score_name").withColumn(
         "hit", F.col("score") < F.col("threshold")
     )
 

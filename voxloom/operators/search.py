@@ -139,6 +139,12 @@ def top_rules(rules: DataFrame, keys: Sequence[str], per_feature: int = 4) -> Da
     )
 
 
+def _per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A side with one row per key: without keys exactly one row, which is
+    broadcast; with the caller's keys the planner decides by the measured size."""
+    return df if keys else F.broadcast(df)
+
+
 def _holds(rule: Column, features: Column) -> Column:
     value = F.try_element_at(features, rule["feature"])
     return F.when(rule["bg_when_less"], value < rule["threshold"]).otherwise(value > rule["threshold"])
@@ -164,8 +170,7 @@ def best_pair_rule(
         F.collect_list(F.struct("feature", "rank", "threshold", "bg_when_less"))
     )
     rules = top.groupBy(*keys).agg(rule_list.alias("_rules"))
-    # One row per key, and keys are folds: a proven handful of rows.
-    joined = wide.join(F.broadcast(rules), keys or None)
+    joined = wide.join(_per_key(rules, keys), keys or None)
     masks = (
         joined.select(*keys, "label", "_rules", _feature_map(features).alias("_f"))
         .select(
@@ -196,7 +201,7 @@ def best_pair_rule(
     )
     everything = F.try_element_at(F.col("_hits"), F.lit("-1,-1"))
     per_key = (
-        rules.join(F.broadcast(table), keys or None)
+        rules.join(_per_key(table, keys), keys or None)
         .withColumn("total_bg", everything["bg"])
         .withColumn("total_en", everything["en"])
     )
@@ -260,8 +265,7 @@ def best_two_boundary(
     )
     thr, low, high = F.col("threshold"), F.col("_l.threshold"), F.col("_h.threshold")
     options = (
-        # One row per key; keys are features or folds.
-        cand.join(F.broadcast(limits), keys or None)
+        cand.join(_per_key(limits, keys), keys or None)
         .groupBy(*keys).agg(
             F.first("_l").alias("_l"),
             F.first("_h").alias("_h"),
