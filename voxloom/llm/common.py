@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from voxloom.session import materialise, prepare
 
 # Rows of one Arrow batch: bounds a worker's memory at this many texts.
-BATCH_ROWS = 2048
+BATCH_ROWS = 1024
 
 
 def ready(spark: SparkSession) -> SparkSession:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from voxloom.session import materialise
-from voxloom.llm.common import private
+from voxloom.llm.common import private, split_by_bytes
 from voxloom.llm.tokens import TOKENIZER, encode_ids
 
 # Before the first token of a text.
@@ -31,7 +31,9 @@ LAMBDA = 0.7
 # Bigrams that may travel to every task: 12 bytes each.
 TRAVEL = 3_000_000
 # Distinct bigrams a task sums up before it hands them on.
-_HELD = 1_000_000
+_HELD = 500_000
+# Bytes of ids whose bigrams are held at once.
+_RUN_BYTES = 2 << 20
 
 
 def _pairs(ids: np.ndarray) -> np.ndarray:
@@ -43,6 +45,12 @@ def _pairs(ids: np.ndarray) -> np.ndarray:
     return (before << np.uint64(32)) | ids.astype(np.uint64)
 
 
+def _runs(column: list[bytes]) -> Iterator[list[np.ndarray]]:
+    """Ids of consecutive rows, as many together as memory should hold."""
+    for s, e in split_by_bytes(map(len, column), _RUN_BYTES):
+        yield [np.frombuffer(x, "<u4") for x in column[s:e]]
+
+
 def tokenised(docs: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """(key, ids) with ids as little-endian unsigned 32-bit numbers."""
     kind = docs.schema[key].dataType.simpleString()
@@ -72,15 +80,16 @@ def bigram_counts(tokens: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(n)], names=["pair", "n"])
 
         for b in batches:
-            parts = [_pairs(np.frombuffer(x, "<u4")) for x in b.column(0).to_pylist()]
-            pair, n = np.unique(np.concatenate(parts), return_counts=True)
-            held[0].append(pair)
-            held[1].append(n)
-            pair, n = merged()
-            if len(pair) > _HELD:
-                yield batch(pair, n)
-                pair, n = pair[:0], n[:0]
-            held = [pair], [n]
+            for ids in _runs(b.column(0).to_pylist()):
+                pair, n = np.unique(np.concatenate([_pairs(x) for x in ids]), return_counts=True)
+                held[0].append(pair)
+                held[1].append(n)
+                if sum(map(len, held[0])) > 2 * _HELD:
+                    pair, n = merged()
+                    if len(pair) > _HELD:
+                        yield batch(pair, n)
+                        pair, n = pair[:0], n[:0]
+                    held = [pair], [n]
         yield batch(*merged())
 
     return tokens.select("ids").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
@@ -172,15 +181,20 @@ def score_documents(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pair, known = sent.value
             for batch in batches:
-                ids = [np.frombuffer(x, "<u4") for x in batch.column(1).to_pylist()]
-                n = np.array([len(x) for x in ids], dtype=np.int64)
-                own, back = np.unique(np.concatenate([_pairs(x) for x in ids]), return_inverse=True)
-                # The background holds every bigram of every document.
-                loss = known[np.minimum(np.searchsorted(pair, own), len(pair) - 1)][back] if len(own) else np.zeros(0)
-                total = np.concatenate(([0.0], np.cumsum(loss, dtype=np.float64)))
-                ends = np.cumsum(n)
-                score = (total[ends] - total[ends - n]) / np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(score)], names=["key", "n_tokens", "score"])
+                sizes, scores = [], []
+                for ids in _runs(batch.column(1).to_pylist()):
+                    n = np.array([len(x) for x in ids], dtype=np.int64)
+                    own, back = np.unique(np.concatenate([_pairs(x) for x in ids]), return_inverse=True)
+                    # The background holds every bigram of every document.
+                    loss = known[np.minimum(np.searchsorted(pair, own), len(pair) - 1)][back] if len(own) else np.zeros(0)
+                    total = np.concatenate(([0.0], np.cumsum(loss, dtype=np.float64)))
+                    ends = np.cumsum(n)
+                    sizes += n.tolist()
+                    scores += ((total[ends] - total[ends - n]) / np.maximum(n, 1)).tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(scores, pa.float64())],
+                    names=["key", "n_tokens", "score"],
+                )
 
         kind = tokens.schema["key"].dataType.simpleString()
         scored = tokens.select("key", "ids").mapInArrow(run, f"key {kind}, n_tokens long, score double")
