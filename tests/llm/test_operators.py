@@ -536,3 +536,14 @@ def test_repeated_runs_brute_force():
                 if any(q != p and p[i:i + 4] in [q[j:j + 4] for j in range(len(q) - 3)] for q in pages):
                     want[i:i + 4] = [True] * 4
             assert got.tolist() == want
+
+
+def test_calibration_stays_finite_where_classes_separate():
+    z = np.concatenate((np.linspace(-30, -2, 200), np.linspace(3, 40, 600)))
+    y = np.repeat([0, 1], [200, 600])
+    slope, shift = quality._platt(z, y)
+    p = 1 / (1 + np.exp(-(slope * z + shift)))
+    assert 0 < slope < 10 and 1e-12 < p.min() < 0.01 and 0.99 < p.max() and ((p >= 0.5) == y).mean() > 0.99
+    noisy = np.random.default_rng(1).random(800) < 1 / (1 + np.exp(-(0.3 * z - 1)))
+    slope, shift = quality._platt(z, noisy.astype(int))
+    assert 0.2 < slope < 0.45 and -1.6 < shift < -0.5

@@ -154,19 +154,40 @@ def _fit(rows: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 80) -> Mo
         move = 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
     z = np.bincount(own, w[feature] * value, len(rows)) + bias
-    a, b = 1.0, 0.0
-    zc, yc = z[~fit], y[~fit]
-    if len(set(yc.tolist())) == 2:
-        # Smoothed targets keep the scale finite where classes separate.
-        hi, lo = ((yc == 1).sum() + 1) / ((yc == 1).sum() + 2), 1 / ((yc == 0).sum() + 2)
-        t = np.where(yc == 1, hi, lo)
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(a * zc + b, -60, 60)))
-            r, s = p - t, np.maximum(p * (1 - p), 1e-9)
-            hess = np.array([[(s * zc * zc).sum(), (s * zc).sum()], [(s * zc).sum(), s.sum()]]) + 1e-6 * np.eye(2)
-            step2 = np.linalg.solve(hess, [(r * zc).sum(), r.sum()])
-            a, b = a - step2[0], b - step2[1]
-    return Model(w.astype(np.float32), float(bias), float(a), float(b))
+    slope, shift = _platt(z[~fit], y[~fit])
+    return Model(w.astype(np.float32), float(bias), slope, shift)
+
+
+def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic curve from margins to labels.
+
+    Newton steps on smoothed targets, each halved until the loss falls: where
+    the classes separate, a full step would run off to a step function.
+    """
+    if len(set(y.tolist())) < 2:
+        return 1.0, 0.0
+    centre, spread = z.mean(), max(z.std(), 1e-9)
+    s = (z - centre) / spread
+    n1, n0 = (y == 1).sum(), (y == 0).sum()
+    target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+
+    def loss(t: np.ndarray) -> float:
+        u = t[0] * s + t[1]
+        return float((np.logaddexp(0, u) - target * u).sum() + 0.5 * t[0] * t[0] * 1e-3)
+
+    t = np.array([1.0, 0.0])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(t[0] * s + t[1], -60, 60)))
+        r, h = p - target, np.maximum(p * (1 - p), 1e-9)
+        grad = np.array([(r * s).sum() + 1e-3 * t[0], r.sum()])
+        hess = np.array([[(h * s * s).sum() + 1e-3, (h * s).sum()], [(h * s).sum(), h.sum() + 1e-6]])
+        step, size = np.linalg.solve(hess, grad), 1.0
+        while size > 1e-6 and loss(t - size * step) > loss(t):
+            size /= 2
+        t = t - size * step
+        if np.abs(size * step).max() < 1e-6:
+            break
+    return float(t[0] / spread), float(t[1] - t[0] * centre / spread)
 
 
 def labelled_sample(
