@@ -63,7 +63,7 @@ def interval_peaks(
     fifteenth to the samples; a range is a few dozen whole blocks and single
     samples, found by equality. Overlapping operations and dense samples cost
     their sum, never their product, and no key is sorted in one task.
-    Operations without a sample are absent, as are rows with a null key.
+    Operations without a sample have a null peak; rows with a null key are absent.
     """
     kind = dict(ops.dtypes)[op_id]
     none = F.lit(None)
@@ -123,10 +123,10 @@ def interval_peaks(
         parts = parts.withColumn(f"_p{level}", edges).withColumns({
             "_lo": F.when(inner, up).otherwise(0).cast("long"), "_hi": F.when(inner, down).otherwise(0).cast("long"),
         })
-    wanted = parts.select("_key", "_op", F.explode(F.concat(*[f"_p{level}" for level in range(LEVELS)])).alias("b")).select(
+    wanted = parts.select("_key", "_op", F.explode_outer(F.concat(*[f"_p{level}" for level in range(LEVELS)])).alias("b")).select(
         "_key", "_op", "b._level", "b._at"
     )
-    return wanted.join(blocks, ["_key", "_level", "_at"]).groupBy(F.col("_op").alias(op_id)).agg(
+    return wanted.join(blocks, ["_key", "_level", "_at"], "left").groupBy(F.col("_op").alias(op_id)).agg(
         F.max("_peak").alias("sample_peak")
     )
 
