@@ -140,20 +140,23 @@ def _fit(rows: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 80) -> Mo
     """Adam on the logistic loss with classes weighted alike, then Platt scaling."""
     y = np.array([r[2] for r in rows], dtype=float)
     fit = np.arange(len(rows)) % 4 != 3
-    own = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    feature = np.concatenate([r[0] for r in rows]).astype(np.int64)
-    value = np.concatenate([r[1] for r in rows]) * _SCALE
+    # Narrow types: these three arrays are what the driver holds.
+    own = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
+    feature = np.concatenate([r[0] for r in rows]).astype(np.int32)
+    value = np.concatenate([r[1] for r in rows]).astype(np.float32) * np.float32(_SCALE)
+    n_rows = len(rows)
+    rows.clear()
     w, bias = np.zeros(2 << BITS), 0.0
     share = np.where(y == 1, 1 / max(1, (y[fit] == 1).sum()), 1 / max(1, (y[fit] == 0).sum())) * fit
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, rounds + 1):
-        z = np.bincount(own, w[feature] * value, len(rows)) + bias
+        z = np.bincount(own, w[feature] * value, n_rows) + bias
         g = (1 / (1 + np.exp(-z)) - y) * share
         grad = np.append(np.bincount(feature, g[own] * value, len(w)) + 1e-6 * w, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         move = 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
-    z = np.bincount(own, w[feature] * value, len(rows)) + bias
+    z = np.bincount(own, w[feature] * value, n_rows) + bias
     slope, shift = _platt(z[~fit], y[~fit])
     return Model(w.astype(np.float32), float(bias), slope, shift)
 
@@ -238,6 +241,7 @@ def train(
     got = sample.mapInArrow(features, f"k {kind}, y int, f binary, v binary").toArrow().to_pylist()
     got.sort(key=lambda r: zlib.crc32(str(r["k"]).encode()))
     data = [(np.frombuffer(r["f"], "<u4"), np.frombuffer(r["v"], "<f4"), r["y"]) for r in got]
+    got.clear()
     if {r[2] for r in data} != {0, 1}:
         return None
     return _fit(data)
