@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from voxloom.functions.text import nfkc_casefold
 from voxloom.operators.grouped import map_sorted_groups
+from voxloom.operators.ordered import checked_broadcast
 
 # ---- fixed values: accepted spellings and the calibrated threshold ----------
 WAKE_WORDS = ("аурора", "aurora", "أورورا", "أرور", "أورور")
@@ -146,7 +147,7 @@ def zero_false_accept_threshold(long: DataFrame) -> DataFrame:
         F.min(F.when(F.col("label") == 0, F.col("score"))).alias("lowest_negative")
     )
     below = (
-        long.join(lowest, "score_name")
+        long.join(checked_broadcast(lowest, "lowest"), "score_name")
         .groupBy("score_name", "lowest_negative")
         .agg(
             F.max(
@@ -163,7 +164,7 @@ def zero_false_accept_threshold(long: DataFrame) -> DataFrame:
 
 
 def _judged(long: DataFrame, thresholds: DataFrame) -> DataFrame:
-    return long.join(thresholds, "score_name").withColumn(
+    return long.join(checked_broadcast(thresholds, "thresholds"), "score_name").withColumn(
         "hit", F.col("score") < F.col("threshold")
     )
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from voxloom.operators.ordered import ranked_counts
+from voxloom.operators.ordered import checked_broadcast, ranked_counts
 from voxloom.session import materialise
 
 LOW, HIGH = "BG", "EN"
@@ -140,9 +140,9 @@ def top_rules(rules: DataFrame, keys: Sequence[str], per_feature: int = 4) -> Da
 
 
 def _per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """A side with one row per key: without keys exactly one row, which is
-    broadcast; with the caller's keys the planner decides by the measured size."""
-    return df if keys else F.broadcast(df)
+    """A side with one row per key: without keys exactly one row; with the
+    caller's keys it is counted first and broadcast only below the limit."""
+    return checked_broadcast(df, "per-key") if keys else F.broadcast(df)
 
 
 def _holds(rule: Column, features: Column) -> Column:
