@@ -232,7 +232,7 @@ def fold_eval(t):
 
     ``dropped`` counts the samples without exactly two repetitions.
     """
-    everything = folded(t)
+    everything = materialise(folded(t), "folds")
     wide = everything.where("fold IS NOT NULL")
     long = wide.unpivot(["sample_id", "label", "fold"], list(ad.FEATURES), "feature", "value")
     # The best single rule is the first of its feature, so the few rules kept
@@ -276,7 +276,7 @@ def fold_intersection(t):
 
     ``dropped`` counts the samples without exactly two repetitions.
     """
-    everything = folded(t)
+    everything = materialise(folded(t), "folds")
     samples = everything.where("fold IS NOT NULL").select("fold", "label", F.col("mean_word_len").alias("value"))
     safe = materialise(
         se.best_two_boundary(samples, ["fold"]).agg(
