@@ -513,6 +513,14 @@ def test_article_of_a_page(sp):
     assert html_main.main_text(df.limit(0)).count() == 0
 
 
+def test_closed_and_custom_elements_keep_what_follows():
+    for tag in ('<svg class="i"/>', "<math />", '<svg a="/>" b/>', "<video-player>", '<object-x a="1">', "<select-menu>", "<template-y>"):
+        blocks, _ = html_main.blocks_of(f"<article><p>one {tag} two</p><p>three</p></article>")
+        assert " ".join(blocks) == "one two three", tag
+    blocks, _ = html_main.blocks_of('<p>one <svg width="1"><text>no</text></svg> two<script src="a"/>no</script> three</p>')
+    assert blocks == ["one two three"]
+
+
 def test_host_array_removes_templates(sp):
     rng = random.Random(17)
     template = "this site uses small files to remember what you like best"

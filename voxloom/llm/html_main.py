@@ -32,7 +32,9 @@ SHARD_TOKENS = 1_000_000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)"
-    r"|<(script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|textarea|select)\b"
+    # Only foreign elements can close themselves: HTML ignores the slash elsewhere.
+    r"|<(?:svg|math)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*/>"
+    r"|<(script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|textarea|select)(?=[\s/>])"
     r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|$)"
     r"|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)",
