@@ -533,6 +533,23 @@ def test_host_array_removes_templates(sp):
     assert got[0]["removed_tokens"] == 2 * len(template.split())
 
 
+PAGE = "page_id long, url string, html string"
+
+
+def test_article_text_meets_the_host_array(sp):
+    rng = random.Random(19)
+    plea = "sign up today and get our letter every single week for free"
+    bodies = [words(rng, 60, 5000) for _ in range(12)]
+    rows = [(i, f"http://a.example/{i}", f"<article><p>{b}</p><p>{plea}</p></article>") for i, b in enumerate(bodies)]
+    # A teaser card does not take the page's place, and copies keep their text.
+    rows.append((12, "http://a.example/12", f"<div><p>{words(rng, 80, 5000)}</p></div><article>card {plea}</article>"))
+    rows += [(20 + i, f"http://a.example/0?{i}", rows[0][2]) for i in range(30)]
+    got = {r["page_id"]: r for r in html_main.main_text(sp.createDataFrame(rows, PAGE)).collect()}
+    assert all(got[i]["text"] == bodies[i] and got[i]["removed_tokens"] == 12 for i in range(12))
+    assert got[12]["text"] == rows[12][2].split("<p>")[1].split("</p>")[0] + " card"
+    assert all(got[20 + i]["text"] == bodies[0] for i in range(30))
+
+
 def test_repeated_runs_brute_force():
     rng = random.Random(18)
     for _ in range(30):
