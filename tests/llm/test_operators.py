@@ -550,6 +550,21 @@ def test_article_text_meets_the_host_array(sp):
     assert all(got[20 + i]["text"] == bodies[0] for i in range(30))
 
 
+def test_shards_change_no_text(sp):
+    rng = random.Random(21)
+    lines = [words(rng, 9, 5000) for _ in range(6)]
+    rows = [
+        (i, "odd" if i % 2 else f"http://a.example/{i}",
+         "<div>" + words(rng, 50, 5000) + "</div>" + "".join(f"<div>{x}</div>" for x in lines if rng.random() < 0.16))
+        for i in range(120)
+    ]
+    df = sp.createDataFrame(rows, PAGE)
+    whole = sorted(map(tuple, html_main.main_text(df).collect()))
+    assert sum(r[4] for r in whole) > 100
+    for size in (400, 3000):
+        assert sorted(map(tuple, html_main.main_text(df, shard_bytes=size).collect())) == whole
+
+
 def test_repeated_runs_brute_force():
     rng = random.Random(18)
     for _ in range(30):
