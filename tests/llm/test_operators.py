@@ -550,6 +550,19 @@ def test_article_text_meets_the_host_array(sp):
     assert all(got[20 + i]["text"] == bodies[0] for i in range(30))
 
 
+def test_shared_quotes_and_near_copies_keep_their_text(sp):
+    rng = random.Random(20)
+    quote = words(rng, 30, 5000)
+    bodies = [words(rng, 80, 5000) for _ in range(40)]
+    for i in (3, 4):
+        bodies[i] += " " + quote
+    for i in range(10, 25):
+        bodies[i] = bodies[9] + f" other{i}"
+    rows = [(i, f"http://a.example/{i}", f"<div>{b}</div>") for i, b in enumerate(bodies)]
+    got = {r["page_id"]: r["text"] for r in html_main.main_text(sp.createDataFrame(rows, PAGE)).collect()}
+    assert [got[i] for i in range(40)] == bodies
+
+
 def test_shards_change_no_text(sp):
     rng = random.Random(21)
     lines = [words(rng, 9, 5000) for _ in range(6)]

@@ -31,8 +31,8 @@ from voxloom.llm.common import components, private
 # Tokens a repeated stretch has at least.
 MIN_RUN = 6
 # Distinct pages of the host, and share of them, that a repeated stretch is on at least.
-MIN_PAGES = 2
-MIN_SHARE = 0.0
+MIN_PAGES = 3
+MIN_SHARE = 0.2
 # Page bytes of one suffix array, about: a host with more is dealt to several.
 SHARD_BYTES = 4_000_000
 # Word orders of a page's sketch, and how many agree for near copies.
