@@ -449,6 +449,20 @@ def test_toxicity_on_held_out_rows(sp):
     assert clean.columns == docs.columns
 
 
+def test_copies_of_toxic_texts_in_rare_words_are_found(sp):
+    docs, labels, _ = toxic_corpus(sp, 600)
+    rng = random.Random(22)
+    rare = [" ".join(f"rare{i}x{rng.randrange(10**6)}" for _ in range(12)) for i in range(10)]
+    keys = [i for i in range(5000, 5100) if fold_py(i) != 0][:10]
+    more = [(k, t, "en", "s", 0) for k, t in zip(keys, rare)] + [(9000 + i, t, "en", "s", 0) for i, t in enumerate(rare)]
+    docs = docs.unionByName(sp.createDataFrame(more, DOCS))
+    labels = labels.unionByName(sp.createDataFrame([(k, 1, 1) for k in keys], labels.schema))
+    model_ = toxicity.train(docs, labels)
+    got = {r["doc_id"]: r for r in toxicity.score_texts(docs.where("doc_id >= 9000"), model_, evidence=True).collect()}
+    assert all(got[9000 + i]["predicted"] == 1 for i in range(10))
+    assert all(got[9000 + i]["evidence"][0]["key"] == str(keys[i]) for i in range(10))
+
+
 def brute_base(text):
     found = WORD.findall(text or "")
     windows = {}

@@ -1,8 +1,12 @@
 """Toxicity by votes of the nearest labelled examples, exact in TF-IDF cosine.
 
-Terms are words and word beginnings that labelled rows show to be more or less
-frequent in toxic texts than elsewhere (a G-squared test); their document
-frequencies come from all documents. Labelled examples form an inverted index
+Terms are words and word beginnings. Telling terms are those that labelled rows
+show to be more or less frequent in toxic texts than elsewhere (a G-squared
+test); document frequencies come from all documents. A text is first compared
+over its telling terms. One that has none, or meets no example by them, is
+compared over all terms of all examples, with a calibration of its own.
+
+Labelled examples form an inverted index
 whose postings are cut into blocks of examples with the largest weight noted.
 A text meets blocks in order of what they could score at most and stops when no
 block left can reach its k-th neighbour, so the neighbours are exact. Their
@@ -75,7 +79,9 @@ class Vectors:
     idf: np.ndarray
 
     def vector(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        found = term_counts(text, self.vocabulary)
+        return self.weigh(term_counts(text, self.vocabulary))
+
+    def weigh(self, found: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         if not found:
             return np.zeros(0, np.int64), np.zeros(0)
         term = np.fromiter(sorted(found), np.int64, len(found))
@@ -130,13 +136,49 @@ class BlockMaxIndex:
         return ids, sims
 
 
+class FullIndex:
+    """Cosine of a text with every example over all terms of the examples."""
+
+    def __init__(self, vectors: Vectors, examples: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.vectors, self.n = vectors, len(examples)
+        term = np.concatenate([e[0] for e in examples]) if examples else np.zeros(0, np.int64)
+        order = np.argsort(term, kind="stable")
+        own = np.repeat(np.arange(self.n, dtype=np.int32), [len(e[0]) for e in examples])
+        self.own = own[order]
+        self.weight = np.concatenate([e[1] for e in examples])[order] if examples else np.zeros(0)
+        self.start = np.searchsorted(term[order], np.arange(len(vectors.idf) + 1))
+
+    def cosines(self, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        lo, size = self.start[term], self.start[term + 1] - self.start[term]
+        if not size.sum():
+            return np.zeros(self.n)
+        at = np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+        return np.bincount(self.own[at], self.weight[at] * np.repeat(weight, size), self.n)
+
+
 class Model:
     """Index, labels and calibration; picklable, built once per worker."""
 
-    def __init__(self, vectors: Vectors, examples: list, toxic: np.ndarray, weight: np.ndarray) -> None:
-        self.vectors, self.examples = vectors, examples
+    def __init__(self, vectors: Vectors, examples: list, toxic: np.ndarray, weight: np.ndarray, full: FullIndex, all_terms: list) -> None:
+        self.vectors, self.examples, self.full = vectors, examples, full
         self.toxic, self.weight = toxic, weight
-        self.knots = self._calibrate()
+        raw = np.array([self.vote(v, i)[0] for i, v in enumerate(self.examples)])
+        self.knots = self._calibrate(raw, toxic, weight)
+        # Texts without telling neighbours, calibrated on the examples that are
+        # such: left out, as a new text meets the others, and with themselves,
+        # as a copy meets its original.
+        open_ = np.flatnonzero(raw < 0)
+        left, own = [], []
+        for i in open_.tolist():
+            sims = full.cosines(*all_terms[i])
+            own.append(self.full_vote(sims)[0])
+            sims[i] = 0.0
+            left.append(self.full_vote(sims)[0])
+        self.full_knots = self._calibrate(
+            np.array(left + own), np.tile(toxic[open_], 2), np.tile(weight[open_], 2)
+        )
+        # Only a text without any known term is left to the classes' shares.
+        self.prior = float((weight * toxic).sum() / max(weight.sum(), 1e-9))
 
     def index(self) -> BlockMaxIndex:
         if "_index" not in self.__dict__:
@@ -156,13 +198,25 @@ class Model:
         power = sims * sims
         return float((power * self.toxic[ids]).sum() / (power.sum() + FAR)), ids, sims
 
-    def _calibrate(self) -> tuple[np.ndarray, np.ndarray, float]:
-        """Isotonic steps from left-one-out votes, weighted to the true classes."""
-        raw = np.array([self.vote(v, i)[0] for i, v in enumerate(self.examples)])
-        y, w = self.toxic.astype(float), self.weight
+    def full_vote(self, sims: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """As ``vote``, from cosines over all terms. Texts of one language are
+        half alike by their common words, so nearness counts with a higher power."""
+        near = np.flatnonzero(sims > 0)
+        if len(near) > NEIGHBOURS:
+            least = np.partition(sims[near], -NEIGHBOURS)[-NEIGHBOURS]
+            near = near[sims[near] >= least]
+        ids = near[np.lexsort((near, -sims[near]))][:NEIGHBOURS]
+        if not len(ids):
+            return -1.0, ids, sims[ids]
+        power = sims[ids] ** 4
+        return float((power * self.toxic[ids]).sum() / (power.sum() + FAR)), ids, sims[ids]
+
+    @staticmethod
+    def _calibrate(raw: np.ndarray, toxic: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Isotonic steps from votes, weighted to the true classes."""
+        y = toxic.astype(float)
         none = raw < 0
         prior = (w * y).sum() / max(w.sum(), 1e-9)
-        empty = ((w * y)[none].sum() + prior) / (w[none].sum() + 1.0)
         order = np.argsort(raw[~none], kind="stable")
         x, yy, ww = raw[~none][order], y[~none][order], w[~none][order]
         # Pool adjacent violators.
@@ -176,12 +230,18 @@ class Model:
         points = [(edge, (p[2] + 0.5 * prior) / (p[3] + 0.5)) for p in level for edge in (p[0], p[1])]
         if not points:
             points = [(0.0, prior)]
-        return np.array([p[0] for p in points]), np.array([p[1] for p in points]), float(empty)
+        return np.array([p[0] for p in points]), np.array([p[1] for p in points])
 
     def score(self, text: bytes) -> tuple[float, np.ndarray, np.ndarray]:
-        raw, ids, sims = self.vote(self.vectors.vector(text))
-        x, p, empty = self.knots
-        return (empty if raw < 0 else float(np.interp(raw, x, p))), ids, sims
+        found = term_counts(text, self.full.vectors.vocabulary)
+        # Telling terms have the first numbers in both vocabularies.
+        telling = {t: n for t, n in found.items() if t < len(self.vectors.idf)}
+        raw, ids, sims = self.vote(self.vectors.weigh(telling))
+        if raw >= 0:
+            return float(np.interp(raw, *self.knots)), ids, sims
+        if found:
+            raw, ids, sims = self.full_vote(self.full.cosines(*self.full.vectors.weigh(found)))
+        return (self.prior if raw < 0 else float(np.interp(raw, *self.full_knots))), ids, sims
 
 
 def _rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int):
@@ -270,42 +330,60 @@ def train(
         counts.where("term <> ''").withColumn("g2", g2).where((F.col("g2") >= MIN_G2) & (odds >= MIN_LOG_ODDS))
         .orderBy(F.col("g2").desc(), "term").limit(TERMS).select("term").collect()
     )
+    # Telling terms first, then all other terms of the examples (bounded as these are).
     vocabulary = {r["term"]: i for i, r in enumerate(chosen)}
+    telling = len(vocabulary)
+    for term in sorted(counts.where("term <> ''").select("term").toArrow().column(0).to_pylist()):
+        vocabulary.setdefault(term, len(vocabulary))
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n = np.zeros(len(vocabulary) + 1, dtype=np.int64), 0
+        known = sent.value
+        seen, n = np.zeros(len(known) + 1, dtype=np.int64), 0
         for batch in batches:
             for t in batch.column(0).cast(pa.binary()).to_pylist():
                 n += 1
-                for at in term_counts(t or b"", vocabulary):
+                for at in term_counts(t or b"", known):
                     seen[at] += 1
         seen[-1] = n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(seen))), pa.array(seen)], names=["term", "n"])
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["term", "n"])
 
     found = docs.select(F.col(f"`{text}`")).mapInArrow(frequency, "term long, n long")
     df = np.zeros(len(vocabulary) + 1)
-    for r in found.groupBy("term").agg(F.sum("n").alias("n")).collect():
-        df[r["term"]] = r["n"]
+    sums = found.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df[sums.column("term").to_numpy()] = sums.column("n").to_numpy()
     idf = np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 1.0
-    vectors = Vectors(vocabulary, idf)
+    full = Vectors(vocabulary, idf)
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Vectors(sent.value, idf)
         for batch in batches:
-            got = [vectors.vector(t or b"") for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            got = [own.vector(t or b"") for t in batch.column(2).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([list(v[0]) for v in got], pa.list_(pa.int64())),
-                 pa.array([list(v[1]) for v in got], pa.list_(pa.float64()))],
+                [batch.column(0), batch.column(1), pa.array([v[0] for v in got], pa.list_(pa.int64())),
+                 pa.array([v[1] for v in got], pa.list_(pa.float64()))],
                 names=["k", "y", "t", "w"],
             )
 
     kind = examples.schema["_k"].dataType.simpleString()
-    got = examples.mapInArrow(embed, f"k {kind}, y int, t array<bigint>, w array<double>").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["k"], r["t"], r["w"]))
+    stored = examples.mapInArrow(embed, f"k {kind}, y int, t array<bigint>, w array<double>").toArrow()
+    # Narrow arrays: the terms of all examples do not fit the driver as objects.
+    got = [
+        {"k": k, "y": y, "t": t.values.to_numpy().astype(np.int32), "w": w.values.to_numpy()}
+        for k, y, t, w in zip(stored.column("k").to_pylist(), stored.column("y").to_pylist(), stored.column("t"), stored.column("w"))
+    ]
+    got.sort(key=lambda r: (r["k"], r["t"].tobytes(), r["w"].tobytes()))
     toxic = np.array([1 if r["y"] == 1 else 0 for r in got])
     n = np.bincount(toxic, minlength=2)
     weight = np.where(toxic == 1, sizes.get(1, 0) / max(1, n[1]), sum(v for k, v in sizes.items() if k != 1) / max(1, n[0]))
-    examples_of = [(np.array(r["t"], dtype=np.int64), np.array(r["w"])) for r in got]
-    model = Model(vectors, examples_of, toxic, weight)
+    all_terms = [(r["t"], r["w"]) for r in got]
+    examples_of = []
+    for t, w in all_terms:
+        w = w[t < telling]
+        examples_of.append((t[t < telling].astype(np.int64), w / np.sqrt((w * w).sum()) if len(w) else w))
+    vectors = Vectors({t: i for t, i in vocabulary.items() if i < telling}, idf[:telling])
+    model = Model(vectors, examples_of, toxic, weight, FullIndex(full, all_terms), all_terms)
     model.keys = [r["k"] for r in got]
     return model
 
@@ -316,8 +394,7 @@ def score_texts(
     """``docs`` with ``score`` (0 to 1), ``predicted`` and, if asked for,
     ``evidence``: keys and similarities of the neighbours that voted.
 
-    Null and empty texts have no terms and score what labelled rows without
-    terms show. Rows are scored one by one; columns named like the new ones are
+    Null and empty texts have no terms and score the share of toxic labels. Rows are scored one by one; columns named like the new ones are
     replaced; an empty table stays empty; without a model all score 0.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
