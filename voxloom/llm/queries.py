@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables, and SQL where it can express them."""
+"""The thirteen operators over their whole tables, and SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxloom.llm import html_main, lm_score, mixing, multi_index, packing, quality, simhash, tokens, toxicity, warc
+from voxloom.llm import (
+    fill_middle, fuse_dedup, html_main, lm_score, merkle, mixing, multi_index, packing, quality, simhash, tokens,
+    toxicity, warc,
+)
 from voxloom.llm.common import fold_of, table
 
 
@@ -58,11 +61,38 @@ def op10_html(spark: SparkSession, root: str) -> DataFrame:
     return html_main.main_text(table(spark, root, "pages"))
 
 
+def op11_fill_middle(spark: SparkSession, root: str) -> DataFrame:
+    return fill_middle.fill_in_middle(table(spark, root, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, root: str) -> DataFrame:
+    groups = fuse_dedup.deduplicate(table(spark, root, "documents"))
+    return groups.select(
+        "doc_id", F.col("keep").alias("keep_id"), "group_size", "kept",
+        F.lower(F.hex("digest")).alias("text_sha256"),
+    )
+
+
+def op13_merkle(spark: SparkSession, root: str) -> DataFrame:
+    """Tampering adds 1 to n_chars of a seventh of the rows."""
+    docs = table(spark, root, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = merkle.leaf(*[F.col(c) + 1 if c == "n_chars" else F.col(c) for c in columns])
+    rows = merkle.manifest(docs, columns, altered=F.when(hit, tampered))
+    folded = merkle.fold(F.coalesce("other", "leaf"), F.col("path"))
+    return rows.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"),
+        folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_multi_index, op3_warc, op4_mixing, op5_simhash,
         op6_lm_difference, op7_toxicity, op8_packing, op9_quality, op10_html,
+        op11_fill_middle, op12_exact_dedup, op13_merkle,
     )
 }
 
@@ -137,8 +167,89 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
+_FILL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), g AS (
+  SELECT *, CAST(length(t) AS BIGINT) AS n,
+         [CAST(CAST('0x' || substr(h, 1 + 8 * i, 8) AS UBIGINT) AS BIGINT) FOR i IN range(4)] AS r FROM d
+), c AS (
+  SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 90
+              THEN 'plain' WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g
+), p AS (
+  SELECT *, '<P>' || substr(t, 1, a) AS pre, '<M>' || substr(t, a + 1, b - a) AS mid, '<S>' || substr(t, b + 1) AS suf FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN pre || suf || mid ELSE suf || pre || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+_EXACT = r"""
+WITH d AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
+), g AS (
+  SELECT *, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+         row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept
+  FROM d WINDOW w AS (PARTITION BY text_sha256)
+)
+SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM g
+"""
+
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+_UP = """[sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')) FOR i IN range((len(nodes) + 1) // 2)]"""
+
+_MERKLE = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, {_LEAF.format(n="n_chars")} AS leaf, {_LEAF.format(n="(n_chars + 1)")} AS changed,
+    -- CRC-32 of the decimal digits, bit by bit.
+    xor(4294967295, list_reduce([4294967295] || [CAST(ord(x) AS BIGINT) FOR x IN string_split(CAST(doc_id AS VARCHAR), '')],
+      lambda c, o: list_reduce([xor(c, o), 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda v, z: xor(v >> 1, 3988292384 * (v & 1))))) % 7 = 0 AS hit
+  FROM documents
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d
+), t(lang, k, nodes) AS (
+  SELECT lang, 0, list(leaf ORDER BY pos) FROM o GROUP BY lang
+  UNION ALL
+  SELECT lang, k + 1, {_UP} FROM t WHERE len(nodes) > 1
+), s AS (
+  SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM t WHERE len(nodes) = 1
+), u(k, nodes) AS (
+  SELECT 0, list(subroot ORDER BY pos) FROM s
+  UNION ALL
+  SELECT k + 1, {_UP} FROM u WHERE len(nodes) > 1
+), low AS (
+  SELECT o.doc_id, o.lang, o.pos,
+         list(CASE WHEN (o.pos >> t.k) % 2 = 1 THEN 'L' ELSE 'R' END || coalesce(t.nodes[xor(o.pos >> t.k, 1) + 1], '')
+              ORDER BY t.k) FILTER (len(t.nodes) > 1) AS path
+  FROM o JOIN t ON t.lang IS NOT DISTINCT FROM o.lang GROUP BY o.doc_id, o.lang, o.pos
+), high AS (
+  SELECT s.lang, s.subroot,
+         list(CASE WHEN (s.pos >> u.k) % 2 = 1 THEN 'L' ELSE 'R' END || coalesce(u.nodes[xor(s.pos >> u.k, 1) + 1], '')
+              ORDER BY u.k) FILTER (len(u.nodes) > 1) AS path
+  FROM s CROSS JOIN u GROUP BY s.lang, s.subroot
+), f AS (
+  SELECT o.doc_id, o.leaf, high.subroot, (SELECT nodes[1] FROM u WHERE len(nodes) = 1) AS root,
+         CASE WHEN o.hit AND o.changed IS NOT NULL THEN o.changed ELSE o.leaf END AS start,
+         coalesce(low.path, []) || coalesce(high.path, []) AS path
+  FROM o JOIN low ON low.lang IS NOT DISTINCT FROM o.lang AND low.pos = o.pos
+  JOIN high ON high.lang IS NOT DISTINCT FROM o.lang
+)
+SELECT doc_id, leaf, subroot, root, sha256(list_aggregate(list_transform(path, lambda x: x[2:]) || [''], 'string_agg', '')) AS proof_sha256,
+       list_reduce([start] || path, lambda a, x: sha256(CASE WHEN x[1] = 'L' THEN x[2:] || a ELSE a || x[2:] END)) AS folded_root,
+       folded_root = root AS verified
+FROM f
+"""
+
 SQL: dict[str, str] = {
     "op2_multi_index": _VECTORS,
     "op3_warc": _ARCHIVE,
     "op4_mixing": _MIX,
+    "op11_fill_middle": _FILL,
+    "op12_exact_dedup": _EXACT,
+    "op13_merkle": _MERKLE,
 }
