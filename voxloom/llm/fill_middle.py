@@ -4,12 +4,13 @@ A document is cut into prefix, middle and suffix and written in the order its
 form asks for. No task assembles a text to do so: the map side emits pieces of
 at most ``CHUNK`` code points under (document, output position),
 ``repartitionAndSortWithinPartitions`` brings each document's pieces together
-in output order, and a reader streams them into incremental digests. The same
-pieces are sorted once more, by the place they had before the cut, to restore
-the text; where a piece belongs is read from the markers of the output alone.
+in output order, and a reader streams them into incremental digests. To restore
+a text its pieces are sorted once more, by the place they had before the cut;
+where a piece belongs is read from the markers of the output alone.
 
-Pieces travel compressed, and only one piece per document is held at a time.
-Documents are spread by their row number, so no key owns a task.
+Pieces travel compressed, one shuffle in all. A reader holds the compressed
+pieces of one document at most. Documents are spread by their row number, so no
+key owns a task, and the number of tasks grows with the bytes of the texts.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from voxloom.llm.common import worker_cache
 
 # Code points of one piece.
 CHUNK = 1 << 15
+# Bytes of text of one task.
+PART_BYTES = 1 << 27
 MARKS = {"prefix": "<P>", "suffix": "<S>", "middle": "<M>"}
 # Order of the parts in the output of each form.
 ORDER = {"plain": ("prefix",), "psm": ("prefix", "suffix", "middle"), "spm": ("suffix", "prefix", "middle")}
@@ -88,11 +91,7 @@ def _by_row(key: tuple) -> int:
     return key[0]
 
 
-def _sorted(pieces: RDD, parts: int) -> RDD:
-    return pieces.repartitionAndSortWithinPartitions(parts, _by_row)
-
-
-def assemble(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, parts: int | None = None) -> RDD:
+def assemble(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> RDD:
     """Pieces of all documents in output order, a document's together.
 
     Rows are told apart by a number of their own, so null and repeated keys
@@ -101,14 +100,15 @@ def assemble(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk: in
     """
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")
-    ).rdd
-    parts = parts or max(rows.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    )
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
 
     def emit(own: Iterator) -> Iterator[tuple]:
         for r in own:
             yield from emit_pieces(r[0], r[1], r[2], chunk)
 
-    return _sorted(rows.mapPartitions(emit), parts)
+    return rows.rdd.mapPartitions(emit).repartitionAndSortWithinPartitions(parts, _by_row)
 
 
 def _documents(pieces: Iterator[tuple]) -> Iterator[tuple[int, tuple, Iterator[tuple]]]:
@@ -133,40 +133,32 @@ def original_positions(form: str, bodies: Iterator[bytes]) -> Iterator[tuple[int
         i += 1
 
 
-def digest_and_place(pieces: Iterator[tuple]) -> Iterator[tuple]:
-    """Output digests by streaming, and the pieces keyed for restoration."""
-    for row, head, own in _documents(pieces):
-        digest = hashlib.sha256()
+def digests(pieces: Iterator[tuple]) -> Iterator[tuple]:
+    """Heads with the digests of the output, read in order, and of the restored
+    text: the pieces of one document, compressed, are sorted once more."""
+    for _, head, own in _documents(pieces):
+        written, restored = hashlib.sha256(), hashlib.sha256()
 
         def heard() -> Iterator[bytes]:
             for _, packed in own:
                 body = _read(packed)
-                digest.update(body)
+                written.update(body)
                 yield body
 
-        for place, body in original_positions(head[2], heard()):
-            yield (row, place), _press(body)
-        yield (row, _HEAD), (*head, digest.hexdigest())
-
-
-def restored_digests(pieces: Iterator[tuple]) -> Iterator[tuple]:
-    for _, head, own in _documents(pieces):
-        digest = hashlib.sha256()
-        for _, packed in own:
-            digest.update(_read(packed))
-        yield (*head, digest.hexdigest())
+        places = [(place, _press(body)) for place, body in original_positions(head[2], heard())]
+        for _, packed in sorted(places):
+            restored.update(_read(packed))
+        yield (*head, written.hexdigest(), restored.hexdigest())
 
 
 def fill_in_middle(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """One row per document: the key, ``n``, ``form``, ``prefix_chars``,
     ``middle_chars`` (null if plain), ``output_sha256`` and ``restored_sha256``.
 
-    Two shuffles of compressed pieces: into output order and back. Texts of
-    any length pass as pieces; equal rows are rows each.
+    One shuffle of compressed pieces. Texts of any length pass as pieces; equal
+    rows are rows each.
     """
-    out = assemble(docs, key, text, chunk)
-    back = _sorted(out.mapPartitions(digest_and_place), out.getNumPartitions())
-    rows = back.mapPartitions(restored_digests)
+    rows = assemble(docs, key, text, chunk).mapPartitions(digests)
     schema = StructType([
         StructField(key, docs.schema[key].dataType),
         StructField("n", LongType()), StructField("form", StringType()),
