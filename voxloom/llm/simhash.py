@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from voxloom.session import materialise
 from voxloom.llm.common import LinkForest, block_grid, components, private, text_bytes
@@ -219,10 +219,7 @@ def near_duplicates(
     kind = docs.schema[key].dataType.simpleString()
     marked = materialise(fingerprints(docs, key, text), "fingerprints")
     classes = materialise(marked.groupBy("fp").agg(F.min(F.col(f"`{key}`")).alias("least")), "classes")
-    roots = components(links(classes.select("fp"), radius), "a", "b")
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp")
-    )
+    rooted = rooted_classes(classes, radius)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select(
@@ -232,20 +229,30 @@ def near_duplicates(
     )
 
 
+def rooted_classes(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``classes``, one row per ``fp``, with the ``root`` of its component."""
+    roots = components(links(classes.select("fp"), radius), "a", "b")
+    return classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of every near-duplicate group: the smallest key's.
 
-    Of repeated rows of that key one stays. Rows with a null key cannot name a
-    group and stay.
+    Rows are told apart by a 128-bit hash of all their columns, not by key:
+    where an id stands for several texts each group still keeps one row. Of
+    rows that tie in the key the smallest hash stays, of equal rows one. A null
+    key comes after all others, so a group without keys keeps one row too.
     """
-    groups = near_duplicates(docs, key, text)
-    rank, order, head = (private(docs, x) for x in ("rank", "order", "head"))
-    heads = groups.where(F.col(key) == F.col("component_id")).select(F.col(key).alias(head)).distinct()
-    kept = (
-        docs.join(heads, F.col(f"`{key}`") == F.col(head), "left_semi")
-        .withColumn(order, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-        .withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(order)))
-        .where(F.col(rank) == 1)
-        .drop(rank, order)
+    one, two = private(docs, "one"), private(docs, "two")
+    cells = [F.col(f"`{c}`") for c in docs.columns]
+    hashed = docs.withColumns({one: F.xxhash64(*cells), two: F.xxhash64(F.lit(two), *cells)})
+    rows = materialise(
+        fingerprints(hashed.select(F.struct(F.col(f"`{key}`").alias("k"), F.col(one).alias("a"), F.col(two).alias("b")).alias("row"), F.col(f"`{text}`").alias("text")), "row", "text")
+        .select("fp", F.col("row.k").isNull().alias("none"), F.col("row.k").alias("k"), F.col("row.a").alias("a"), F.col("row.b").alias("b")),
+        "fingerprints",
     )
-    return kept.unionByName(docs.where(F.col(f"`{key}`").isNull()))
+    # The least row of a fingerprint, then of a component: combined before they shuffle.
+    classes = materialise(rows.groupBy("fp").agg(F.min(F.struct("none", "k", "a", "b")).alias("least")), "classes")
+    heads = rooted_classes(classes).groupBy("root").agg(F.min("least").alias("least"))
+    heads = heads.select(F.col("least.a").alias(one), F.col("least.b").alias(two))
+    return hashed.join(heads, [one, two], "left_semi").dropDuplicates([one, two]).select(*cells)
