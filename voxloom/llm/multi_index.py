@@ -27,9 +27,12 @@ from voxloom.llm.common import LinkForest, block_grid, components
 
 # Vectors that shape the codebooks and measure the visits.
 SAMPLE = 20_000
-# Vectors of a cell, about; the grid grows with the table.
+# Vectors of a cell, about; the grid grows with the table from a smallest one.
 CELL = 800
-MAX_WORDS = 256
+MIN_WORDS = 6
+# Rows of the sample that a codeword stands for at least. From 2500 words a
+# half, 5 billion distinct vectors, cells grow with the table.
+PER_WORD = 8
 BLOCK, CHUNK = 2048, 8192
 _SLAB = 512
 RECALL = 0.995
@@ -97,7 +100,7 @@ class Index:
 def build(sample: np.ndarray, total: int, threshold: float, recall: float, seed: int = 1) -> Index:
     """Codebooks from unit vectors and the visits that reach ``recall``."""
     half = sample.shape[1] // 2
-    k = int(min(MAX_WORDS, max(1, round((total / CELL) ** 0.5))))
+    k = int(min(max(MIN_WORDS, len(sample) // PER_WORD), max(MIN_WORDS, round((total / CELL) ** 0.5))))
     index = Index(_codebook(sample[:, :half], k, seed), _codebook(sample[:, half:], k, seed + 1), 0)
     n_cells = len(index.first) * len(index.second)
     rng = np.random.default_rng(seed + 2)
@@ -108,10 +111,12 @@ def build(sample: np.ndarray, total: int, threshold: float, recall: float, seed:
     turned = threshold * probe + (1 - threshold * threshold) ** 0.5 * noise
     # A link is found from either end; measured from one, which is the safe side.
     a, b = index.distances(probe)
-    sums = a[:, :, None] + b[:, None, :]
-    flat = sums.reshape(len(probe), n_cells)
-    own = np.take_along_axis(flat, index.cells(turned)[:, None], 1)
-    rank = (flat <= own).sum(1)
+    # One probe's cells at a time: the grid may have millions.
+    cells = index.cells(turned).tolist()
+    rank = np.empty(len(probe), np.int64)
+    for i, cell in enumerate(cells):
+        sums = (a[i][:, None] + b[i][None, :]).ravel()
+        rank[i] = (sums <= sums[cell]).sum()
     index.visits = int(min(n_cells, max(1, np.quantile(rank, recall, method="higher"))))
     return index
 
@@ -135,21 +140,27 @@ def link_vectors(
     and zero vectors, and vectors with null or non-finite components, link with
     nothing, nor do vectors without a key; vectors of different lengths never
     link. ``n_links`` counts the other rows linked directly, ``component_id``
-    is the smallest key reachable by links. Rows with equal keys count as
-    vectors of their own. Other columns are ignored; an empty table gives none.
+    is the smallest key reachable by links. Rows with equal keys are vectors of
+    their own, with equal or different vectors. Other columns are ignored; an
+    empty table gives none.
 
     Equal vectors are one class with a count, so copies are never paired. Hot
     cells are dealt to grids of bounded blocks. A task returns counts and a
     spanning forest of its links, never the pairs.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(f"`{key}`").alias(key), F.col(f"`{vector}`").alias("_v"))
-    sound = rows.where(_valid("_v") & F.col(key).isNotNull())
+    sound = _valid("_v") & F.col(key).isNotNull()
     norm = F.sqrt(F.aggregate(F.col("_v").cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x))
     # Zero after squaring is zero length for a cosine.
+    rows = vectors.select(F.col(f"`{key}`").alias(key), F.col(f"`{vector}`").alias("_v")).withColumn(
+        "_ok", F.when(sound, (norm > 0) & (norm < float("inf"))).otherwise(False)
+    )
+    # Classes have numbers of their own: a key may stand for several vectors.
+    # Rows find their class by a 128-bit hash, so no vector is joined.
+    marks = [F.xxhash64("_v").alias("_a"), F.xxhash64(F.lit(1), "_v").alias("_b")]
     classes = materialise(
-        sound.where((norm > 0) & (norm < float("inf"))).groupBy("_v")
-        .agg(F.min(key).cast("long").alias("id"), F.count("*").alias("n")),
+        rows.where("_ok").groupBy("_v").agg(F.min(key).cast("long").alias("least"), F.count("*").alias("n"))
+        .select("_v", "least", "n", *marks, F.monotonically_increasing_id().alias("id")),
         "classes",
     )
     found = [
@@ -166,18 +177,17 @@ def link_vectors(
     counts = stored.where("b is null").groupBy("a").agg(F.sum("n").alias("near"))
     roots = components(stored.where("b is not null"), "a", "b")
     state = (
-        classes.select("id", "n")
+        classes.select("id", "least", "n", "_a", "_b")
         .join(counts, classes.id == counts.a, "left")
         .join(roots, classes.id == roots.node, "left")
-        .select("id", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+        .select("_a", "_b", "least", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("root"))
     )
-    # Rows find their class by vector: copies of one vector sit on the many side.
-    members = sound.join(classes.select(F.col("_v").alias("_w"), "id"), F.col("_v") == F.col("_w"))
-    linked = members.select(key, "id").join(state, "id").select(key, "n_links", "component_id")
-    alone = rows.join(classes.select(F.col("_v").alias("_w"), "id"), F.col("_v") == F.col("_w"), "left").where(
-        F.col("id").isNull() | F.col(key).isNull()
+    least = state.groupBy(F.col("root").alias("_r")).agg(F.min("least").alias("component_id"))
+    named = state.join(least, F.col("root") == F.col("_r")).select("_a", "_b", "n_links", "component_id")
+    linked = rows.where("_ok").select(key, *marks).join(named, ["_a", "_b"]).select(key, "n_links", "component_id")
+    rest = rows.where(~F.col("_ok")).select(
+        key, F.lit(0).cast("long").alias("n_links"), F.col(key).cast("long").alias("component_id")
     )
-    rest = alone.select(key, F.lit(0).cast("long").alias("n_links"), F.col(key).cast("long").alias("component_id"))
     return linked.unionByName(rest).select(
         key, F.col("n_links").cast("long").alias("n_links"), "component_id",
         F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)).alias("kept"),
