@@ -198,8 +198,8 @@ def labelled_sample(
 ) -> DataFrame:
     """(key, y, text) of at most ``rows`` labelled documents in hash order.
 
-    A key labelled more than once takes its largest label; a repeated document
-    counts as often as it comes, within the bound.
+    A key labelled more than once takes its largest label; of a key that stands
+    for several documents the least text counts.
     """
     picked = (
         labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
@@ -209,7 +209,7 @@ def labelled_sample(
     # At most ``rows`` short rows.
     return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("_text")).join(
         F.broadcast(picked.withColumnRenamed(key, "_k")), F.col(f"`{key}`") == F.col("_k")
-    ).select(F.col("_k"), F.col("_y"), F.col("_text"))
+    ).groupBy("_k", "_y").agg(F.min("_text").alias("_text"))
 
 
 def train(
