@@ -39,7 +39,7 @@ class Limits:
     """Capacity of a sequence. A bearing piece has loss on all its tokens."""
 
     tokens: int = 1024
-    segments: int = 128
+    segments: int = 1024
     loss_tokens: int = 1024
 
 
