@@ -346,7 +346,7 @@ def test_repeated_and_unnamed_rows(sp):
     df = sp.createDataFrame(rows, "doc_id long, text string")
     got = sorted((str(r["doc_id"]), r["component_id"]) for r in simhash.near_duplicates(df).collect())
     assert got == [("1", 1), ("3", 3), ("3", 3), ("None", 3)]
-    assert sorted(str(r["doc_id"]) for r in simhash.keep_one(df).collect()) == ["1", "3", "None"]
+    assert sorted(str(r["doc_id"]) for r in simhash.keep_one(df).collect()) == ["1", "3"]
 
 
 # --- learned scores -------------------------------------------------------------------
@@ -406,7 +406,7 @@ def toxic_corpus(sp, n=1500, seed=14):
     return sp.createDataFrame(rows, DOCS), sp.createDataFrame(labels, "doc_id long, quality int, toxic int"), dict((r[0], r[2]) for r in labels if r[0] != 7)
 
 
-def test_block_max_search_is_exact():
+def test_block_max_search_is_exact(monkeypatch):
     rng = np.random.default_rng(2)
     def vector():
         t = np.sort(rng.choice(40, rng.integers(1, 9), replace=False))
@@ -414,16 +414,111 @@ def test_block_max_search_is_exact():
         return t, w / np.linalg.norm(w)
     examples = [vector() for _ in range(700)] + [(np.zeros(0, np.int64), np.zeros(0))]
     examples += [examples[5]] * 30
-    index = toxicity.BlockMaxIndex(examples, 40)
     dense = np.zeros((len(examples), 40))
     for i, (t, w) in enumerate(examples):
         dense[i, t] = w
-    for q in [vector() for _ in range(100)] + [examples[5]]:
-        sims = dense[:, q[0]] @ q[1]
-        want = sorted((-round(float(s), 9), i) for i, s in enumerate(sims) if s > 0)[:16]
-        ids, got = index.nearest(*q, 16)
-        assert [-w[0] for w in want] == pytest.approx(got.tolist(), abs=1e-8)
-        assert len(set(ids.tolist())) == len(want)
+    queries = [vector() for _ in range(400)] + [examples[5], examples[-40]]
+    without = np.array([-1] * 400 + [5, -1])
+    for common in (0, 7, 40):
+        monkeypatch.setattr(toxicity, "COMMON", common)
+        index = toxicity.BlockMaxIndex(examples, 40)
+        for q, no, (ids, got) in zip(queries, without.tolist(), index.nearest(queries, 16, without)):
+            sims = dense[:, q[0]] @ q[1]
+            want = sorted((-round(float(s), 12), i) for i, s in enumerate(sims) if s > 1e-12 and i != no)[:16]
+            assert [-w[0] for w in want] == pytest.approx(got.tolist(), abs=1e-9)
+            assert len(set(ids.tolist())) == len(want) and no not in ids
+        assert 0 < index.visited <= index.seen
+    assert len(toxicity.BlockMaxIndex([], 40).nearest([examples[0]], 4)[0][0]) == 0
+
+
+def brute_scores(docs, labels, texts):
+    """Scores by the definition: all cosines, votes, isotonic means."""
+    def terms(t):
+        out = {}
+        for w in re.findall(r"[^\W_]+", (t or "").lower()):
+            out[w] = out.get(w, 0) + 1
+            if len(w) > 5:
+                out[w[:5] + "*"] = out.get(w[:5] + "*", 0) + 1
+        return out
+    own = {k: t for k, t in docs}
+    known = [(k, own[k], y) for k, y in labels.items() if fold_py(k) != 0]
+    known.sort()
+    df, of = {}, [0, 0]
+    for _, t in docs:
+        for w in terms(t):
+            df[w] = df.get(w, 0) + 1
+    seen = {}
+    for _, t, y in known:
+        of[y] += 1
+        for w in terms(t):
+            seen.setdefault(w, [0, 0])[y] += 1
+    def telling(b, a):
+        n1, n0 = of[1], of[0]
+        p = (a + b) / (n1 + n0)
+        part = lambda o, e: o * math.log(o / e) if o > 0 else 0.0
+        g2 = 2 * (part(a, n1 * p) + part(b, n0 * p) + part(n1 - a, n1 * (1 - p)) + part(n0 - b, n0 * (1 - p)))
+        odds = abs(math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1)))
+        return g2 >= toxicity.MIN_G2 and odds >= toxicity.MIN_LOG_ODDS
+    idf = {w: (toxicity.TELLING if telling(*c) else 1) * (math.log((1 + len(docs)) / (1 + df[w])) + 1) for w, c in seen.items()}
+    def vector(t):
+        v = {w: (1 + math.log(n)) * idf[w] for w, n in terms(t).items() if w in idf}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+    vectors = [vector(t) for _, t, _ in known]
+    def vote(v, no=-1):
+        sims = sorted((-round(sum(x * e.get(w, 0.0) for w, x in v.items()), 12), i) for i, e in enumerate(vectors) if i != no)
+        sims = [(-s, i) for s, i in sims[:16] if s < 0]
+        power = [s ** toxicity.POWER for s, _ in sims]
+        return sum(p for p, (_, i) in zip(power, sims) if known[i][2]) / (sum(power) + toxicity.FAR) if sims else -1.0
+    raw = [vote(v, i) for i, v in enumerate(vectors)]
+    knots = toxicity.Model._calibrate(np.array(raw), np.array([y for *_, y in known]), np.ones(len(known)))
+    prior = of[1] / len(known)
+    got = [vote(vector(t)) for t in texts]
+    return [prior if r < 0 else float(np.interp(r, *knots)) for r in got]
+
+
+def test_toxicity_scores_equal_brute_force(sp):
+    docs, labels, _ = toxic_corpus(sp, 400)
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    known = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["doc_id"] is not None and r["toxic"] is not None}
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_texts(docs, toxicity.train(docs, labels)).collect()}
+    want = brute_scores(rows, known, [t for _, t in rows])
+    assert [got[k] for k, _ in rows] == pytest.approx(want, abs=1e-8)
+
+
+def test_labelled_samples_keep_their_bound(sp):
+    """A key on many rows counts once, with its least text, in both samples."""
+    rows = [(1, f"text {i:04d}", "en", "s", 0) for i in range(5000)] + [(k, "other", "en", "s", 0) for k in (2, 3, 4)]
+    rows += [(6, None, "en", "s", 0), (6, None, "en", "s", 0)]
+    docs = sp.createDataFrame(rows, DOCS)
+    labels = sp.createDataFrame([(k, 1, k % 2) for k in (1, 2, 3, 4, 6)], "doc_id long, quality int, toxic int")
+    good = quality.labelled_sample(docs, labels, "quality", 10, "doc_id", "text").collect()
+    assert sorted((r[0], r[2]) for r in good) == [(1, "text 0000"), (2, "other"), (3, "other"), (4, "other"), (6, None)]
+    assert quality.labelled_sample(docs, labels, "quality", 2, "doc_id", "text").count() == 2
+    picked, _ = toxicity._rows(docs, labels, "doc_id", "text", "toxic", 10)
+    keys = [k for k in (1, 2, 3, 4, 6) if fold_py(k) != 0]
+    assert sorted(r["_k"] for r in picked.collect()) == keys
+
+
+def test_one_row_of_every_group_stays(sp):
+    """Ids that stand for several texts, null ids, equal rows."""
+    a, b, c = ("alpha beta gamma delta " * 9, "one two three four five " * 9, "x y z w v u " * 9)
+    rows = [(5, a, "en", "s", 0), (5, b, "en", "s", 0), (9, b, "en", "s", 0), (12, c, "en", "s", 0)]
+    rows += [(None, "null id and text " * 9, "en", "s", i % 2) for i in range(3)] + [(12, c, "en", "s", 0)] * 3
+    docs = sp.createDataFrame(rows, DOCS).selectExpr("*", "1 AS fp", "2 AS row", "3 AS least", "4 AS _one")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([(5, a), (5, b), (12, c), (None, "null id and text " * 9)], key=str)
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_vectors_with_one_id(sp):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (3, [0.01, 1.0]), (None, [1.0, 0.0]), (4, [0.0, 0.0])]
+    got = multi_index.link_vectors(sp.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted([
+        (1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (3, 2, 1, False), (None, 0, None, False), (4, 0, 4, True),
+    ], key=str)
 
 
 def test_toxicity_on_held_out_rows(sp):

@@ -58,7 +58,7 @@ def test_toxicity_stage(spark, kept):
     model = toxicity.train(docs, table(spark, ROOT, "labels"))
     want = [
         r["doc_id"] for r in kept["quality_rules"]
-        if model is None or model.score((r["text"] or "").encode())[0] < 0.5
+        if model is None or model.score([(r["text"] or "").encode()])[0][0] < 0.5
     ]
     assert sorted(r["doc_id"] for r in kept["toxicity"]) == sorted(want)
 

@@ -1,22 +1,22 @@
 """Toxicity by votes of the nearest labelled examples, exact in TF-IDF cosine.
 
-Terms are words and word beginnings. Telling terms are those that labelled rows
-show to be more or less frequent in toxic texts than elsewhere (a G-squared
-test); document frequencies come from all documents. A text is first compared
-over its telling terms. One that has none, or meets no example by them, is
-compared over all terms of all examples, with a calibration of its own.
-
-Labelled examples form an inverted index
-whose postings are cut into blocks of examples with the largest weight noted.
-A text meets blocks in order of what they could score at most and stops when no
-block left can reach its k-th neighbour, so the neighbours are exact. Their
-votes, weighted by similarity, are calibrated on the examples' own left-one-out
-votes.
+Terms are words and word beginnings; document frequencies come from all
+documents. All terms of the labelled examples are indexed. Telling terms, those
+that labelled rows show to be more or less frequent in toxic texts than
+elsewhere (a G-squared test), weigh more, so that a text is near the examples
+that share what tells.
+
+The index is inverted, with alike examples in one block of 64 and the largest
+weight of every common term noted per block. A text adds up the short postings
+of its rare terms; what common words could add at most, by their block maxima,
+decides which blocks it has to look into. Blocks are visited in order of that
+bound until none left can reach the k-th neighbour, so the neighbours are
+exact. Their votes, weighted by similarity, are calibrated on the examples'
+own left-one-out votes.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections import Counter
@@ -32,13 +32,19 @@ from voxloom.llm.common import append_columns, fold_of, private
 
 # Labelled rows of each class that become examples, in hash order of their key.
 EXAMPLES = 4000
-# Terms at most, by the strength of the test, and the least strength and odds.
-TERMS = 4096
+# Telling terms: the least strength of the test and the least odds, and how
+# many times heavier they are.
 MIN_G2 = 40.0
 MIN_LOG_ODDS = 0.7
+TELLING = 8.0
 PREFIX = 5
 NEIGHBOURS = 16
+# Power of the cosine by which a neighbour's vote weighs.
+POWER = 4
+# Examples of a block, terms that have block maxima, texts searched together.
 BLOCK = 64
+COMMON = 512
+TOGETHER = 256
 # Weight of the silent vote that stands for "no near neighbour".
 FAR = 0.1
 # Smallest word hashes that make two examples copies of one text.
@@ -50,25 +56,21 @@ def words_of(text: bytes) -> list[str]:
     return _WORD.findall(text.decode("utf-8").lower())
 
 
-def term_counts(text: bytes, vocabulary: dict[str, int] | None = None) -> dict:
-    """Counts of the text's terms: all, or by number those of a vocabulary."""
+def term_counts(text: bytes) -> Counter:
+    """Counts of all the text's terms."""
     counts = Counter(words_of(text))
-    if vocabulary is None:
-        out = Counter(counts)
-        for w, n in counts.items():
-            if len(w) > PREFIX:
-                out[w[:PREFIX] + "*"] += n
-        return out
-    found: dict[int, int] = {}
+    out = Counter(counts)
     for w, n in counts.items():
-        at = vocabulary.get(w)
-        if at is not None:
-            found[at] = found.get(at, 0) + n
         if len(w) > PREFIX:
-            at = vocabulary.get(w[:PREFIX] + "*")
-            if at is not None:
-                found[at] = found.get(at, 0) + n
-    return found
+            out[w[:PREFIX] + "*"] += n
+    return out
+
+
+def term_numbers(text: bytes, known: dict[str, int]) -> list[int]:
+    """Numbers of the text's terms that are in a vocabulary, each once."""
+    words = set(words_of(text))
+    terms = words.union({w[:PREFIX] + "*" for w in words if len(w) > PREFIX})
+    return [known[t] for t in terms if t in known]
 
 
 @dataclass
@@ -79,137 +81,170 @@ class Vectors:
     idf: np.ndarray
 
     def vector(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        return self.weigh(term_counts(text, self.vocabulary))
-
-    def weigh(self, found: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        known = self.vocabulary
+        found = [(known[t], n) for t, n in term_counts(text).items() if t in known]
         if not found:
             return np.zeros(0, np.int64), np.zeros(0)
-        term = np.fromiter(sorted(found), np.int64, len(found))
-        weight = np.array([1.0 + math.log(found[t]) for t in term.tolist()]) * self.idf[term]
+        term, n = np.array(found, np.int64).T
+        order = np.argsort(term)
+        term = term[order]
+        weight = (1.0 + np.log(n[order])) * self.idf[term]
         return term, weight / np.sqrt((weight * weight).sum())
 
 
 class BlockMaxIndex:
-    """Inverted index of example vectors with a maximum per term and block."""
+    """Inverted index of example vectors with a maximum per common term and block."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> None:
-        # Alike examples side by side make block maxima sharp.
-        self.order = sorted(range(len(vectors)), key=lambda i: self._shape(vectors[i]))
         self.n = len(vectors)
-        blocks = max(1, -(-self.n // BLOCK))
-        self.most = np.zeros((n_terms, blocks), dtype=np.float64)
-        cells: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for at, i in enumerate(self.order):
-            for t, w in zip(vectors[i][0].tolist(), vectors[i][1].tolist()):
-                cells.setdefault((t, at // BLOCK), []).append((at % BLOCK, w))
-                self.most[t, at // BLOCK] = max(self.most[t, at // BLOCK], w)
-        self.postings = {
-            k: (np.array([p[0] for p in v]), np.array([p[1] for p in v])) for k, v in cells.items()
-        }
-        self.ids = np.array(self.order, dtype=np.int64)
+        self.blocks = max(1, -(-self.n // BLOCK))
+        size = np.array([len(v[0]) for v in vectors], np.int64)
+        term = np.concatenate([v[0] for v in vectors]).astype(np.int64) if self.n else np.zeros(0, np.int64)
+        weight = np.concatenate([v[1] for v in vectors]) if self.n else np.zeros(0)
+        own = np.repeat(np.arange(self.n), size)
+        # The terms most examples have are columns, all others postings.
+        often = np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[:COMMON]
+        self.column = np.full(n_terms, -1, np.int64)
+        self.column[often] = np.arange(len(often))
+        at = self.column[term]
+        dense = np.zeros((self.blocks * BLOCK, len(often)))
+        dense[own[at >= 0], at[at >= 0]] = weight[at >= 0]
+        order = self._alike(dense[:self.n])
+        place = np.empty(self.n, np.int64)
+        place[order] = np.arange(self.n)
+        dense[:self.n] = dense[order]
+        self.ids = np.concatenate((order, np.full(self.blocks * BLOCK - self.n, -1))).astype(np.int64)
+        self.dense = dense.reshape(self.blocks, BLOCK, -1)
+        self.most = self.dense.max(1).T.copy()
+        rare = at < 0
+        by_term = np.argsort(term[rare], kind="stable")
+        self.own, self.weight = place[own[rare]][by_term], weight[rare][by_term]
+        self.start = np.searchsorted(term[rare][by_term], np.arange(n_terms + 1))
+        # Blocks that texts could visit, and those they did.
+        self.seen = self.visited = 0
 
     @staticmethod
-    def _shape(vector: tuple[np.ndarray, np.ndarray]) -> tuple:
-        term, weight = vector
-        return tuple(term[np.argsort(-weight, kind="stable")[:3]].tolist())
-
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1):
-        """The ``k`` examples of largest cosine above 0; ties to the lower number."""
-        bound = weight @ self.most[term]
-        blocks = np.argsort(-bound, kind="stable")
-        ids, sims = np.zeros(0, np.int64), np.zeros(0)
-        pairs = list(zip(term.tolist(), weight.tolist()))
-        for b in blocks.tolist():
-            if bound[b] <= 0 or (len(sims) >= k and bound[b] < sims[-1] - 1e-12):
+    def _alike(dense: np.ndarray) -> np.ndarray:
+        """Numbers of the rows with alike ones side by side: halves along the
+        direction of most variance, again and again."""
+        done, open_ = [], [np.arange(len(dense))]
+        while open_:
+            own = open_.pop()
+            if len(own) <= BLOCK:
+                done.append(own)
+                continue
+            x = dense[own] - dense[own].mean(0)
+            way = np.random.default_rng(len(own)).normal(size=x.shape[1])
+            for _ in range(8):
+                way = x.T @ (x @ way)
+                way /= max(np.linalg.norm(way), 1e-300)
+            by = own[np.argsort(np.round(x @ way, 9), kind="stable")]
+            half = -(-len(own) // (2 * BLOCK)) * BLOCK
+            open_ += [by[half:], by[:half]]
+        return np.concatenate(done) if done else np.zeros(0, np.int64)
+
+    def nearest(self, texts: list, k: int, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For every (terms, weights) the ``k`` examples of largest cosine above
+        0, ties to the lower number; without[i] is an example text i must not meet."""
+        out = []
+        for s in range(0, len(texts), TOGETHER):
+            left = None if without is None else without[s:s + TOGETHER]
+            out += self._nearest(texts[s:s + TOGETHER], k, left)
+        return out
+
+    def _nearest(self, texts: list, k: int, without: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        m, width = len(texts), self.blocks * BLOCK
+        common = np.zeros((m, self.most.shape[0]))
+        score = np.zeros((m, width))
+        for i, (term, weight) in enumerate(texts):
+            at = self.column[term]
+            there = at >= 0
+            common[i, at[there]] = weight[there]
+            term, weight = term[~there], weight[~there]
+            lo, n = self.start[term], self.start[term + 1] - self.start[term]
+            total = int(n.sum())
+            if total:
+                where = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(total)
+                score[i] = np.bincount(self.own[where], self.weight[where] * np.repeat(weight, n), width)
+        score = score.reshape(m, self.blocks, BLOCK)
+        bound = score.max(2) + common @ self.most + 1e-9
+        bound[bound <= 2e-9] = -1.0
+        best = np.zeros((m, k))
+        best_id = np.full((m, k), -1, np.int64)
+        self.seen += m * self.blocks
+        take = 4
+        while True:
+            rows = np.flatnonzero((bound.max(1) > 0) & (bound.max(1) >= best[:, -1]))
+            if not len(rows):
                 break
-            score = np.zeros(BLOCK)
-            for t, w in pairs:
-                cell = self.postings.get((t, b))
-                if cell is not None:
-                    score[cell[0]] += w * cell[1]
-            hit = np.flatnonzero(score > 0)
-            own = self.ids[b * BLOCK + hit]
-            keep = own != without
-            ids, sims = np.concatenate((ids, own[keep])), np.concatenate((sims, score[hit][keep]))
-            best = np.lexsort((ids, -sims))[:k]
-            ids, sims = ids[best], sims[best]
-        return ids, sims
-
-
-class FullIndex:
-    """Cosine of a text with every example over all terms of the examples."""
-
-    def __init__(self, vectors: Vectors, examples: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        self.vectors, self.n = vectors, len(examples)
-        term = np.concatenate([e[0] for e in examples]) if examples else np.zeros(0, np.int64)
-        order = np.argsort(term, kind="stable")
-        own = np.repeat(np.arange(self.n, dtype=np.int32), [len(e[0]) for e in examples])
-        self.own = own[order]
-        self.weight = np.concatenate([e[1] for e in examples])[order] if examples else np.zeros(0)
-        self.start = np.searchsorted(term[order], np.arange(len(vectors.idf) + 1))
-
-    def cosines(self, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        lo, size = self.start[term], self.start[term + 1] - self.start[term]
-        if not size.sum():
-            return np.zeros(self.n)
-        at = np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-        return np.bincount(self.own[at], self.weight[at] * np.repeat(weight, size), self.n)
+            take = min(2 * take, self.blocks)
+            pick = np.argpartition(-bound[rows], take - 1, axis=1)[:, :take]
+            edge = np.take_along_axis(bound[rows], pick, 1)
+            valid = (edge > 0) & (edge >= best[rows, -1][:, None])
+            found = np.zeros((len(rows), take, BLOCK))
+            who, slot = np.nonzero(valid)
+            block = pick[who, slot]
+            by = np.argsort(block, kind="stable")
+            ends = np.flatnonzero(np.diff(block[by], append=-1)) + 1
+            start = 0
+            for end in ends.tolist():
+                own = by[start:end]
+                b, start = int(block[own[0]]), end
+                text = rows[who[own]]
+                found[who[own], slot[own]] = score[text, b] + common[text] @ self.dense[b].T
+            self.visited += len(who)
+            bound[rows[who], block] = -1.0
+            ids = np.where(valid[:, :, None], self.ids[(pick * BLOCK)[:, :, None] + np.arange(BLOCK)], -1)
+            ids = np.concatenate((best_id[rows], ids.reshape(len(rows), -1)), 1)
+            # Rounded, so that the order of additions decides no tie.
+            sims = np.concatenate((best[rows], np.round(found.reshape(len(rows), -1), 12)), 1)
+            sims[ids < 0] = 0.0
+            if without is not None:
+                sims[ids == without[rows][:, None]] = 0.0
+            top = np.lexsort((ids, -sims), axis=1)[:, :k]
+            best[rows], best_id[rows] = np.take_along_axis(sims, top, 1), np.take_along_axis(ids, top, 1)
+        return [(best_id[i, best[i] > 0], best[i, best[i] > 0]) for i in range(m)]
 
 
 class Model:
-    """Index, labels and calibration; picklable, built once per worker."""
+    """Index, labels and calibration; picklable, the index built once per worker."""
 
-    def __init__(self, vectors: Vectors, examples: list, toxic: np.ndarray, weight: np.ndarray, full: FullIndex, all_terms: list) -> None:
-        self.vectors, self.examples, self.full = vectors, examples, full
+    def __init__(self, words: str, idf: np.ndarray, examples: list, toxic: np.ndarray, weight: np.ndarray) -> None:
+        self.words, self.idf = words, idf
+        self.term = np.concatenate([e[0] for e in examples]).astype(np.int32)
+        self.value = np.concatenate([e[1] for e in examples])
+        self.ends = np.cumsum([len(e[0]) for e in examples])
         self.toxic, self.weight = toxic, weight
-        raw = np.array([self.vote(v, i)[0] for i, v in enumerate(self.examples)])
+        found = self.index().nearest(examples, NEIGHBOURS, np.arange(len(examples)))
+        raw = np.array([self.vote(*f) for f in found])
         self.knots = self._calibrate(raw, toxic, weight)
-        # Texts without telling neighbours, calibrated on the examples that are
-        # such: left out, as a new text meets the others, and with themselves,
-        # as a copy meets its original.
-        open_ = np.flatnonzero(raw < 0)
-        left, own = [], []
-        for i in open_.tolist():
-            sims = full.cosines(*all_terms[i])
-            own.append(self.full_vote(sims)[0])
-            sims[i] = 0.0
-            left.append(self.full_vote(sims)[0])
-        self.full_knots = self._calibrate(
-            np.array(left + own), np.tile(toxic[open_], 2), np.tile(weight[open_], 2)
-        )
-        # Only a text without any known term is left to the classes' shares.
+        # Only a text without neighbours is left to the classes' shares.
         self.prior = float((weight * toxic).sum() / max(weight.sum(), 1e-9))
 
+    def examples(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return list(zip(np.split(self.term, self.ends[:-1]), np.split(self.value, self.ends[:-1])))
+
     def index(self) -> BlockMaxIndex:
         if "_index" not in self.__dict__:
-            self._index = BlockMaxIndex(self.examples, len(self.vectors.idf))
+            self._index = BlockMaxIndex(self.examples(), len(self.idf))
         return self._index
 
+    def vectors(self) -> Vectors:
+        if "_vectors" not in self.__dict__:
+            self._vectors = Vectors({w: i for i, w in enumerate(self.words.split("\n"))}, self.idf)
+        return self._vectors
+
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_index"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_index", "_vectors")}
 
-    def vote(self, vector, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        """Share of toxic votes, -1 without neighbours, and the neighbours."""
-        ids, sims = self.index().nearest(*vector, NEIGHBOURS, without) if len(vector[0]) else (np.zeros(0, np.int64), np.zeros(0))
+    def vote(self, ids: np.ndarray, sims: np.ndarray) -> float:
+        """Share of toxic votes, -1 without neighbours. Texts of one language
+        are half alike by their common words, so votes weigh a high power of the
+        cosine; far neighbours alone do not make a strong vote."""
         if not len(ids):
-            return -1.0, ids, sims
-        # Votes weigh the square of the cosine; far neighbours alone do not
-        # make a strong vote.
-        power = sims * sims
-        return float((power * self.toxic[ids]).sum() / (power.sum() + FAR)), ids, sims
-
-    def full_vote(self, sims: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """As ``vote``, from cosines over all terms. Texts of one language are
-        half alike by their common words, so nearness counts with a higher power."""
-        near = np.flatnonzero(sims > 0)
-        if len(near) > NEIGHBOURS:
-            least = np.partition(sims[near], -NEIGHBOURS)[-NEIGHBOURS]
-            near = near[sims[near] >= least]
-        ids = near[np.lexsort((near, -sims[near]))][:NEIGHBOURS]
-        if not len(ids):
-            return -1.0, ids, sims[ids]
-        power = sims[ids] ** 4
-        return float((power * self.toxic[ids]).sum() / (power.sum() + FAR)), ids, sims[ids]
+            return -1.0
+        power = sims ** POWER
+        return float((power * self.toxic[ids]).sum() / (power.sum() + FAR))
 
     @staticmethod
     def _calibrate(raw: np.ndarray, toxic: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,20 +267,21 @@ class Model:
             points = [(0.0, prior)]
         return np.array([p[0] for p in points]), np.array([p[1] for p in points])
 
-    def score(self, text: bytes) -> tuple[float, np.ndarray, np.ndarray]:
-        found = term_counts(text, self.full.vectors.vocabulary)
-        # Telling terms have the first numbers in both vocabularies.
-        telling = {t: n for t, n in found.items() if t < len(self.vectors.idf)}
-        raw, ids, sims = self.vote(self.vectors.weigh(telling))
-        if raw >= 0:
-            return float(np.interp(raw, *self.knots)), ids, sims
-        if found:
-            raw, ids, sims = self.full_vote(self.full.cosines(*self.full.vectors.weigh(found)))
-        return (self.prior if raw < 0 else float(np.interp(raw, *self.full_knots))), ids, sims
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, list]:
+        """Score of every text and the neighbours (numbers, cosines) that voted."""
+        own = self.vectors()
+        found = self.index().nearest([own.vector(t) for t in texts], NEIGHBOURS)
+        raw = np.array([self.vote(*f) for f in found])
+        scores = np.where(raw < 0, self.prior, np.interp(raw, *self.knots)) if len(raw) else raw
+        return scores, found
 
 
 def _rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int):
-    """(k, y, text) of the examples and the number of labelled rows per class."""
+    """(k, y, text) of the examples and the number of labelled rows per class.
+
+    At most ``rows`` keys of each class and one text of each key: of a key that
+    repeats the least text.
+    """
     known = (
         labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (fold_of(F.col(key)) != 0))
         .groupBy(key).agg(F.max(F.col(label).cast("int")).alias("_y"))
@@ -258,7 +294,7 @@ def _rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, r
     # At most 2 * ``rows`` short rows.
     return docs.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{text}`").alias("_text")).join(
         F.broadcast(picked.withColumnRenamed(key, "_d")), F.col("_k") == F.col("_d")
-    ).select("_k", "_y", "_text"), sizes
+    ).groupBy("_k", "_y").agg(F.min("_text").alias("_text")), sizes
 
 
 def sketch(text: bytes) -> bytes:
@@ -326,38 +362,36 @@ def train(
     p = (a + b) / (n1 + n0)
     g2 = 2 * (part(a, n1 * p) + part(b, n0 * p) + part(n1 - a, n1 * (1 - p)) + part(n0 - b, n0 * (1 - p)))
     odds = F.abs(F.log((a + 0.5) / (n1 + 1)) - F.log((b + 0.5) / (n0 + 1)))
-    chosen = (
-        counts.where("term <> ''").withColumn("g2", g2).where((F.col("g2") >= MIN_G2) & (odds >= MIN_LOG_ODDS))
-        .orderBy(F.col("g2").desc(), "term").limit(TERMS).select("term").collect()
-    )
-    # Telling terms first, then all other terms of the examples (bounded as these are).
-    vocabulary = {r["term"]: i for i, r in enumerate(chosen)}
-    telling = len(vocabulary)
-    for term in sorted(counts.where("term <> ''").select("term").toArrow().column(0).to_pylist()):
-        vocabulary.setdefault(term, len(vocabulary))
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    told = counts.where("term <> ''").select(
+        "term", ((g2 >= MIN_G2) & (odds >= MIN_LOG_ODDS)).alias("telling")
+    ).toArrow().sort_by("term")
+    # All terms of the examples, which are bounded; they travel as one text.
+    words = "\n".join(told.column("term").to_pylist())
+    heavier = np.where(told.column("telling").to_numpy(), TELLING, 1.0)
+    sent = docs.sparkSession.sparkContext.broadcast(words)
+
+    def numbers() -> dict[str, int]:
+        return {w: i for i, w in enumerate(sent.value.split("\n"))}
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
+        known = numbers()
         seen, n = np.zeros(len(known) + 1, dtype=np.int64), 0
         for batch in batches:
             for t in batch.column(0).cast(pa.binary()).to_pylist():
                 n += 1
-                for at in term_counts(t or b"", known):
-                    seen[at] += 1
+                seen[term_numbers(t or b"", known)] += 1
         seen[-1] = n
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["term", "n"])
 
     found = docs.select(F.col(f"`{text}`")).mapInArrow(frequency, "term long, n long")
-    df = np.zeros(len(vocabulary) + 1)
+    df = np.zeros(len(heavier) + 1)
     sums = found.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df[sums.column("term").to_numpy()] = sums.column("n").to_numpy()
-    idf = np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 1.0
-    full = Vectors(vocabulary, idf)
+    idf = heavier * (np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 1.0)
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Vectors(sent.value, idf)
+        own = Vectors(numbers(), idf)
         for batch in batches:
             got = [own.vector(t or b"") for t in batch.column(2).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -377,13 +411,7 @@ def train(
     toxic = np.array([1 if r["y"] == 1 else 0 for r in got])
     n = np.bincount(toxic, minlength=2)
     weight = np.where(toxic == 1, sizes.get(1, 0) / max(1, n[1]), sum(v for k, v in sizes.items() if k != 1) / max(1, n[0]))
-    all_terms = [(r["t"], r["w"]) for r in got]
-    examples_of = []
-    for t, w in all_terms:
-        w = w[t < telling]
-        examples_of.append((t[t < telling].astype(np.int64), w / np.sqrt((w * w).sum()) if len(w) else w))
-    vectors = Vectors({t: i for t, i in vocabulary.items() if i < telling}, idf[:telling])
-    model = Model(vectors, examples_of, toxic, weight, FullIndex(full, all_terms), all_terms)
+    model = Model(words, idf, [(r["t"], r["w"]) for r in got], toxic, weight)
     model.keys = [r["k"] for r in got]
     return model
 
@@ -401,12 +429,11 @@ def score_texts(
 
     def score(texts: list[bytes]) -> list[pa.Array]:
         own = sent.value
-        got = [own.score(t) if own else (0.0, [], []) for t in texts]
-        p = np.array([g[0] for g in got], dtype=np.float64)
+        p, near = own.score(texts) if own else (np.zeros(len(texts)), [((), ())] * len(texts))
         out = [pa.array(p), pa.array((p >= threshold).astype(np.int32))]
         if evidence:
             out.append(pa.array(
-                [[{"key": str(own.keys[i]), "cosine": float(s)} for i, s in zip(g[1], g[2])] for g in got],
+                [[{"key": str(own.keys[i]), "cosine": float(s)} for i, s in zip(*g)] for g in near],
                 pa.list_(pa.struct([("key", pa.string()), ("cosine", pa.float64())])),
             ))
         return out
@@ -437,6 +464,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
 
     def score(texts: list[bytes]) -> list[pa.Array]:
         own = sent.value
-        return [pa.array([bool(own) and own.score(t)[0] >= 0.5 for t in texts], pa.bool_())]
+        return [pa.array(own.score(texts)[0] >= 0.5 if own else np.zeros(len(texts), bool))]
 
     return append_columns(docs, text, f"{flag} boolean", score).where(~F.col(flag)).drop(flag)
