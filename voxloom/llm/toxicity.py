@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from voxloom.session import materialise
-from voxloom.llm.common import append_columns, fold_of, private
+from voxloom.llm.common import append_columns, fold_of, private, text_bytes
 
 # Labelled rows of each class that become examples, in hash order of their key.
 EXAMPLES = 4000
@@ -45,6 +45,10 @@ POWER = 4
 BLOCK = 64
 COMMON = 512
 TOGETHER = 256
+# Digits of a cosine.
+DIGITS = 10
+# Words whose numbers a worker remembers.
+REMEMBERED = 1 << 20
 # Weight of the silent vote that stands for "no near neighbour".
 FAR = 0.1
 # Smallest word hashes that make two examples copies of one text.
@@ -66,30 +70,64 @@ def term_counts(text: bytes) -> Counter:
     return out
 
 
-def term_numbers(text: bytes, known: dict[str, int]) -> list[int]:
-    """Numbers of the text's terms that are in a vocabulary, each once."""
-    words = set(words_of(text))
-    terms = words.union({w[:PREFIX] + "*" for w in words if len(w) > PREFIX})
-    return [known[t] for t in terms if t in known]
+class Terms:
+    """Numbers of the terms of texts in a vocabulary."""
+
+    def __init__(self, vocabulary: list[str]) -> None:
+        self.known = {w: i for i, w in enumerate(vocabulary)}
+        self.size = max(1, len(vocabulary))
+        self._forget()
+
+    def _forget(self) -> None:
+        # A word's place, and by place the numbers of the word and of its
+        # beginning, or -1. Words that are in no term share place 0.
+        self.places: dict[str, int] = {}
+        self.numbers = np.full((1 << 12, 2), -1, np.int64)
+        self.used = 1
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.places) + len(words) > REMEMBERED:
+            self._forget()
+        for w in set(words).difference(self.places):
+            own = self.known.get(w, -1)
+            start = self.known.get(w[:PREFIX] + "*", -1) if len(w) > PREFIX else -1
+            if own < 0 and start < 0:
+                self.places[w] = 0
+                continue
+            if self.used == len(self.numbers):
+                self.numbers = np.concatenate((self.numbers, np.full_like(self.numbers, -1)))
+            self.numbers[self.used] = own, start
+            self.places[w] = self.used
+            self.used += 1
+
+    def counts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, times) of all known terms, ordered by text and term."""
+        pairs = [np.zeros(0, np.int64)]
+        for i, t in enumerate(texts):
+            words = words_of(t)
+            get = self.places.get
+            at = [get(w) for w in words]
+            if None in at:
+                self._learn(words)
+                at = [self.places[w] for w in words]
+            found = self.numbers[at].ravel() if at else pairs[0]
+            pairs.append(found[found >= 0] + i * self.size)
+        both, times = np.unique(np.concatenate(pairs), return_counts=True)
+        return both // self.size, both % self.size, times
 
 
 @dataclass
 class Vectors:
     """TF-IDF vectors of unit length over a fixed vocabulary."""
 
-    vocabulary: dict[str, int]
+    terms: Terms
     idf: np.ndarray
 
-    def vector(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        known = self.vocabulary
-        found = [(known[t], n) for t, n in term_counts(text).items() if t in known]
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0)
-        term, n = np.array(found, np.int64).T
-        order = np.argsort(term)
-        term = term[order]
-        weight = (1.0 + np.log(n[order])) * self.idf[term]
-        return term, weight / np.sqrt((weight * weight).sum())
+    def vectors(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        text, term, times = self.terms.counts(texts)
+        weight = (1.0 + np.log(times)) * self.idf[term]
+        ends = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
+        return [(term[a:b], weight[a:b] / np.sqrt((weight[a:b] * weight[a:b]).sum())) for a, b in zip(ends, ends[1:])]
 
 
 class BlockMaxIndex:
@@ -161,16 +199,19 @@ class BlockMaxIndex:
             there = at >= 0
             common[i, at[there]] = weight[there]
             term, weight = term[~there], weight[~there]
-            lo, n = self.start[term], self.start[term + 1] - self.start[term]
-            total = int(n.sum())
-            if total:
-                where = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(total)
-                score[i] = np.bincount(self.own[where], self.weight[where] * np.repeat(weight, n), width)
+            lo, hi = self.start[term], self.start[term + 1]
+            met = hi > lo
+            runs = list(zip(lo[met].tolist(), hi[met].tolist()))
+            if runs:
+                own = np.concatenate([self.own[a:b] for a, b in runs])
+                of = np.concatenate([self.weight[a:b] for a, b in runs])
+                score[i] = np.bincount(own, of * np.repeat(weight[met], (hi - lo)[met]), width)
         score = score.reshape(m, self.blocks, BLOCK)
         bound = score.max(2) + common @ self.most + 1e-9
         bound[bound <= 2e-9] = -1.0
         best = np.zeros((m, k))
         best_id = np.full((m, k), -1, np.int64)
+        step = 0.5 * 10.0 ** -DIGITS / (self.n + 1)
         self.seen += m * self.blocks
         take = 4
         while True:
@@ -197,11 +238,14 @@ class BlockMaxIndex:
             ids = np.where(valid[:, :, None], self.ids[(pick * BLOCK)[:, :, None] + np.arange(BLOCK)], -1)
             ids = np.concatenate((best_id[rows], ids.reshape(len(rows), -1)), 1)
             # Rounded, so that the order of additions decides no tie.
-            sims = np.concatenate((best[rows], np.round(found.reshape(len(rows), -1), 12)), 1)
+            sims = np.concatenate((best[rows], np.round(found.reshape(len(rows), -1), DIGITS)), 1)
             sims[ids < 0] = 0.0
             if without is not None:
                 sims[ids == without[rows][:, None]] = 0.0
-            top = np.lexsort((ids, -sims), axis=1)[:, :k]
+            # Ties to the lower number: numbers count less than a last digit.
+            rank = ids * step - sims
+            top = np.argpartition(rank, k - 1, axis=1)[:, :k]
+            top = np.take_along_axis(top, np.argsort(np.take_along_axis(rank, top, 1), axis=1, kind="stable"), 1)
             best[rows], best_id[rows] = np.take_along_axis(sims, top, 1), np.take_along_axis(ids, top, 1)
         return [(best_id[i, best[i] > 0], best[i, best[i] > 0]) for i in range(m)]
 
@@ -229,9 +273,9 @@ class Model:
             self._index = BlockMaxIndex(self.examples(), len(self.idf))
         return self._index
 
-    def vectors(self) -> Vectors:
+    def space(self) -> Vectors:
         if "_vectors" not in self.__dict__:
-            self._vectors = Vectors({w: i for i, w in enumerate(self.words.split("\n"))}, self.idf)
+            self._vectors = Vectors(Terms(self.words.split("\n")), self.idf)
         return self._vectors
 
     def __getstate__(self):
@@ -269,8 +313,7 @@ class Model:
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, list]:
         """Score of every text and the neighbours (numbers, cosines) that voted."""
-        own = self.vectors()
-        found = self.index().nearest([own.vector(t) for t in texts], NEIGHBOURS)
+        found = self.index().nearest(self.space().vectors(texts), NEIGHBOURS)
         raw = np.array([self.vote(*f) for f in found])
         scores = np.where(raw < 0, self.prior, np.interp(raw, *self.knots)) if len(raw) else raw
         return scores, found
@@ -370,17 +413,13 @@ def train(
     heavier = np.where(told.column("telling").to_numpy(), TELLING, 1.0)
     sent = docs.sparkSession.sparkContext.broadcast(words)
 
-    def numbers() -> dict[str, int]:
-        return {w: i for i, w in enumerate(sent.value.split("\n"))}
-
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = numbers()
-        seen, n = np.zeros(len(known) + 1, dtype=np.int64), 0
+        terms = Terms(sent.value.split("\n"))
+        seen = np.zeros(len(terms.known) + 1, dtype=np.int64)
         for batch in batches:
-            for t in batch.column(0).cast(pa.binary()).to_pylist():
-                n += 1
-                seen[term_numbers(t or b"", known)] += 1
-        seen[-1] = n
+            texts = text_bytes(batch.column(0))
+            seen += np.bincount(terms.counts(texts)[1], minlength=len(seen))
+            seen[-1] += len(texts)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["term", "n"])
 
@@ -391,9 +430,9 @@ def train(
     idf = heavier * (np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 1.0)
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Vectors(numbers(), idf)
+        own = Vectors(Terms(sent.value.split("\n")), idf)
         for batch in batches:
-            got = [own.vector(t or b"") for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            got = own.vectors(text_bytes(batch.column(2)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([v[0] for v in got], pa.list_(pa.int64())),
                  pa.array([v[1] for v in got], pa.list_(pa.float64()))],
