@@ -25,9 +25,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxloom.session import materialise
+from voxloom.session import materialise, parallelism
 from voxloom.llm.common import append_columns, fold_of, private, text_bytes
 
 # Labelled rows of each class that become examples, in hash order of their key.
@@ -43,8 +43,10 @@ NEIGHBOURS = 16
 POWER = 4
 # Examples of a block, terms that have block maxima, texts searched together.
 BLOCK = 64
-COMMON = 512
+COMMON = 1024
 TOGETHER = 256
+# Texts whose rare terms are added up at once.
+_SLAB = 32
 # Digits of a cosine.
 DIGITS = 10
 # Words whose numbers a worker remembers.
@@ -54,43 +56,58 @@ FAR = 0.1
 # Smallest word hashes that make two examples copies of one text.
 SKETCH = 3
 _WORD = re.compile(r"[^\W_]+")
+# Bytes that end a word become blanks, A-Z small letters; those beyond ASCII stay.
+_PLAIN = bytes(
+    b if b >= 128 else ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(256)
+)
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """Runs of letters and digits in lower case, in UTF-8."""
+    parts = text.translate(_PLAIN).split()
+    if text.isascii():
+        return parts
+    out = []
+    for p in parts:
+        if p.isascii():
+            out.append(p)
+        else:
+            out += [w.encode() for w in _WORD.findall(p.decode("utf-8").lower())]
+    return out
 
 
-def words_of(text: bytes) -> list[str]:
-    return _WORD.findall(text.decode("utf-8").lower())
+def beginning(word: bytes) -> bytes | None:
+    """The term for all longer words that begin like this one."""
+    start = word[:PREFIX] if word.isascii() else word.decode()[:PREFIX].encode()
+    return start + b"*" if len(start) < len(word) else None
 
 
-def term_counts(text: bytes) -> Counter:
-    """Counts of all the text's terms."""
-    counts = Counter(words_of(text))
-    out = Counter(counts)
-    for w, n in counts.items():
-        if len(w) > PREFIX:
-            out[w[:PREFIX] + "*"] += n
-    return out
+def terms_of(text: bytes) -> set[bytes]:
+    words = set(words_of(text))
+    return words.union(b for b in map(beginning, words) if b is not None)
 
 
 class Terms:
     """Numbers of the terms of texts in a vocabulary."""
 
-    def __init__(self, vocabulary: list[str]) -> None:
-        self.known = {w: i for i, w in enumerate(vocabulary)}
-        self.size = max(1, len(vocabulary))
+    def __init__(self, vocabulary: bytes) -> None:
+        self.known = {w: i for i, w in enumerate(vocabulary.split(b"\n"))}
+        self.size = len(self.known)
         self._forget()
 
     def _forget(self) -> None:
         # A word's place, and by place the numbers of the word and of its
         # beginning, or -1. Words that are in no term share place 0.
-        self.places: dict[str, int] = {}
+        self.places: dict[bytes, int] = {}
         self.numbers = np.full((1 << 12, 2), -1, np.int64)
         self.used = 1
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         if len(self.places) + len(words) > REMEMBERED:
             self._forget()
         for w in set(words).difference(self.places):
             own = self.known.get(w, -1)
-            start = self.known.get(w[:PREFIX] + "*", -1) if len(w) > PREFIX else -1
+            start = self.known.get(beginning(w), -1)
             if own < 0 and start < 0:
                 self.places[w] = 0
                 continue
@@ -105,8 +122,7 @@ class Terms:
         pairs = [np.zeros(0, np.int64)]
         for i, t in enumerate(texts):
             words = words_of(t)
-            get = self.places.get
-            at = [get(w) for w in words]
+            at = list(map(self.places.get, words))
             if None in at:
                 self._learn(words)
                 at = [self.places[w] for w in words]
@@ -145,15 +161,18 @@ class BlockMaxIndex:
         self.column = np.full(n_terms, -1, np.int64)
         self.column[often] = np.arange(len(often))
         at = self.column[term]
-        dense = np.zeros((self.blocks * BLOCK, len(often)))
+        dense = np.zeros((self.blocks * BLOCK, len(often)), np.float64)
         dense[own[at >= 0], at[at >= 0]] = weight[at >= 0]
         order = self._alike(dense[:self.n])
         place = np.empty(self.n, np.int64)
         place[order] = np.arange(self.n)
         dense[:self.n] = dense[order]
         self.ids = np.concatenate((order, np.full(self.blocks * BLOCK - self.n, -1))).astype(np.int64)
-        self.dense = dense.reshape(self.blocks, BLOCK, -1)
-        self.most = self.dense.max(1).T.copy()
+        dense = dense.reshape(self.blocks, BLOCK, -1)
+        self.most = dense.max(1).T.copy()
+        # A block has the columns of its own language and subject only.
+        self.columns = [np.flatnonzero(self.most[:, b]) for b in range(self.blocks)]
+        self.dense = [dense[b][:, c].T.copy() for b, c in enumerate(self.columns)]
         rare = at < 0
         by_term = np.argsort(term[rare], kind="stable")
         self.own, self.weight = place[own[rare]][by_term], weight[rare][by_term]
@@ -194,26 +213,26 @@ class BlockMaxIndex:
         m, width = len(texts), self.blocks * BLOCK
         common = np.zeros((m, self.most.shape[0]))
         score = np.zeros((m, width))
-        for i, (term, weight) in enumerate(texts):
+        for s in range(0, m, _SLAB):
+            own = texts[s:s + _SLAB]
+            row = np.repeat(np.arange(len(own)), [len(t[0]) for t in own])
+            term, weight = np.concatenate([t[0] for t in own]), np.concatenate([t[1] for t in own])
             at = self.column[term]
             there = at >= 0
-            common[i, at[there]] = weight[there]
-            term, weight = term[~there], weight[~there]
-            lo, hi = self.start[term], self.start[term + 1]
-            met = hi > lo
-            runs = list(zip(lo[met].tolist(), hi[met].tolist()))
-            if runs:
-                own = np.concatenate([self.own[a:b] for a, b in runs])
-                of = np.concatenate([self.weight[a:b] for a, b in runs])
-                score[i] = np.bincount(own, of * np.repeat(weight[met], (hi - lo)[met]), width)
+            common[row[there] + s, at[there]] = weight[there]
+            term, weight, row = term[~there], weight[~there], row[~there]
+            lo, n = self.start[term], self.start[term + 1] - self.start[term]
+            where = np.arange(int(n.sum())) + np.repeat(lo - np.cumsum(n) + n, n)
+            value = self.weight[where] * np.repeat(weight, n)
+            place = self.own[where] + np.repeat(row * width, n)
+            score[s:s + len(own)] = np.bincount(place, value, len(own) * width).reshape(len(own), width)
         score = score.reshape(m, self.blocks, BLOCK)
         bound = score.max(2) + common @ self.most + 1e-9
         bound[bound <= 2e-9] = -1.0
         best = np.zeros((m, k))
         best_id = np.full((m, k), -1, np.int64)
-        step = 0.5 * 10.0 ** -DIGITS / (self.n + 1)
         self.seen += m * self.blocks
-        take = 4
+        take = 2
         while True:
             rows = np.flatnonzero((bound.max(1) > 0) & (bound.max(1) >= best[:, -1]))
             if not len(rows):
@@ -232,39 +251,52 @@ class BlockMaxIndex:
                 own = by[start:end]
                 b, start = int(block[own[0]]), end
                 text = rows[who[own]]
-                found[who[own], slot[own]] = score[text, b] + common[text] @ self.dense[b].T
+                found[who[own], slot[own]] = score[text, b] + common[text[:, None], self.columns[b]] @ self.dense[b]
             self.visited += len(who)
             bound[rows[who], block] = -1.0
-            ids = np.where(valid[:, :, None], self.ids[(pick * BLOCK)[:, :, None] + np.arange(BLOCK)], -1)
-            ids = np.concatenate((best_id[rows], ids.reshape(len(rows), -1)), 1)
+            # Of what was found only that which can be among the best goes on.
+            least = np.maximum(best[rows, -1] - 10.0 ** -DIGITS, 1e-12)
+            r, c, j = np.nonzero(found >= least[:, None, None])
+            ids = self.ids[pick[r, c] * BLOCK + j]
+            there = ids >= 0 if without is None else (ids >= 0) & (ids != without[rows[r]])
+            held, at = np.nonzero(best_id[rows] >= 0)
+            fresh = r[there]
+            r = np.concatenate((held, fresh))
             # Rounded, so that the order of additions decides no tie.
-            sims = np.concatenate((best[rows], np.round(found.reshape(len(rows), -1), DIGITS)), 1)
-            sims[ids < 0] = 0.0
-            if without is not None:
-                sims[ids == without[rows][:, None]] = 0.0
-            # Ties to the lower number: numbers count less than a last digit.
-            rank = ids * step - sims
-            top = np.argpartition(rank, k - 1, axis=1)[:, :k]
-            top = np.take_along_axis(top, np.argsort(np.take_along_axis(rank, top, 1), axis=1, kind="stable"), 1)
-            best[rows], best_id[rows] = np.take_along_axis(sims, top, 1), np.take_along_axis(ids, top, 1)
+            sims = np.concatenate((best[rows[held], at], np.round(found[fresh, c[there], j[there]], DIGITS)))
+            ids = np.concatenate((best_id[rows[held], at], ids[there]))
+            by = np.lexsort((ids, -sims, r))
+            r = r[by]
+            place = np.arange(len(r)) - np.searchsorted(r, np.arange(len(rows)))[r]
+            top = place < k
+            best[rows], best_id[rows] = 0.0, -1
+            best[rows[r[top]], place[top]] = sims[by][top]
+            best_id[rows[r[top]], place[top]] = ids[by][top]
         return [(best_id[i, best[i] > 0], best[i, best[i] > 0]) for i in range(m)]
 
 
 class Model:
     """Index, labels and calibration; picklable, the index built once per worker."""
 
-    def __init__(self, words: str, idf: np.ndarray, examples: list, toxic: np.ndarray, weight: np.ndarray) -> None:
-        self.words, self.idf = words, idf
-        self.term = np.concatenate([e[0] for e in examples]).astype(np.int32)
-        self.value = np.concatenate([e[1] for e in examples])
-        self.ends = np.cumsum([len(e[0]) for e in examples])
+    def __init__(self, words: bytes, idf: np.ndarray, keys: list, term: np.ndarray, value: np.ndarray, ends: np.ndarray,
+                 toxic: np.ndarray, weight: np.ndarray) -> None:
+        """Example i has the terms and values up to ``ends[i]``."""
+        self.words, self.idf, self.keys = words, idf, keys
+        self.term, self.value, self.ends = term, value, ends
         self.toxic, self.weight = toxic, weight
-        found = self.index().nearest(examples, NEIGHBOURS, np.arange(len(examples)))
-        raw = np.array([self.vote(*f) for f in found])
-        self.knots = self._calibrate(raw, toxic, weight)
         # Only a text without neighbours is left to the classes' shares.
         self.prior = float((weight * toxic).sum() / max(weight.sum(), 1e-9))
 
+    def calibrate(self, raw: np.ndarray) -> None:
+        """Takes the examples' left-one-out votes."""
+        self.knots = self._calibrate(raw, self.toxic, self.weight)
+
+    def votes_without_self(self, numbers: np.ndarray) -> np.ndarray:
+        """Votes of the examples' neighbours on themselves."""
+        own = self.examples()
+        found = self.index().nearest([own[i] for i in numbers.tolist()], NEIGHBOURS, numbers)
+        return np.array([self.vote(*f) for f in found])
+
     def examples(self) -> list[tuple[np.ndarray, np.ndarray]]:
         return list(zip(np.split(self.term, self.ends[:-1]), np.split(self.value, self.ends[:-1])))
 
@@ -275,7 +307,7 @@ class Model:
 
     def space(self) -> Vectors:
         if "_vectors" not in self.__dict__:
-            self._vectors = Vectors(Terms(self.words.split("\n")), self.idf)
+            self._vectors = Vectors(Terms(self.words), self.idf)
         return self._vectors
 
     def __getstate__(self):
@@ -342,7 +374,7 @@ def _rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, r
 
 def sketch(text: bytes) -> bytes:
     """Equal for copies of a text, and nearly always where a few words differ."""
-    hashes = sorted({zlib.crc32(w.encode()) for w in words_of(text)})[:SKETCH]
+    hashes = sorted({zlib.crc32(w) for w in words_of(text)})[:SKETCH]
     return b"".join(h.to_bytes(4, "big") for h in hashes)
 
 
@@ -377,11 +409,11 @@ def train(
             for y, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
                 y = 1 if y == 1 else 0
                 n[y] += 1
-                count[y].update(term_counts(t or b"").keys())
+                count[y].update(terms_of(t or b""))
             for y in (0, 1):
                 terms = list(count[y])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(["", *terms]), pa.array([y] * (len(terms) + 1), pa.int32()),
+                    [pa.array([b"", *terms], pa.binary()).cast(pa.string()), pa.array([y] * (len(terms) + 1), pa.int32()),
                      pa.array([n[y], *[count[y][t] for t in terms]], pa.int64())],
                     names=["term", "y", "n"],
                 )
@@ -409,12 +441,12 @@ def train(
         "term", ((g2 >= MIN_G2) & (odds >= MIN_LOG_ODDS)).alias("telling")
     ).toArrow().sort_by("term")
     # All terms of the examples, which are bounded; they travel as one text.
-    words = "\n".join(told.column("term").to_pylist())
+    words = "\n".join(told.column("term").to_pylist()).encode()
     heavier = np.where(told.column("telling").to_numpy(), TELLING, 1.0)
     sent = docs.sparkSession.sparkContext.broadcast(words)
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(sent.value.split("\n"))
+        terms = Terms(sent.value)
         seen = np.zeros(len(terms.known) + 1, dtype=np.int64)
         for batch in batches:
             texts = text_bytes(batch.column(0))
@@ -430,28 +462,45 @@ def train(
     idf = heavier * (np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 1.0)
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Vectors(Terms(sent.value.split("\n")), idf)
+        own = Vectors(Terms(sent.value), idf)
         for batch in batches:
             got = own.vectors(text_bytes(batch.column(2)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([v[0] for v in got], pa.list_(pa.int64())),
+                [batch.column(0), batch.column(1), pa.array([v[0].astype(np.int32) for v in got], pa.list_(pa.int32())),
                  pa.array([v[1] for v in got], pa.list_(pa.float64()))],
                 names=["k", "y", "t", "w"],
             )
 
     kind = examples.schema["_k"].dataType.simpleString()
-    stored = examples.mapInArrow(embed, f"k {kind}, y int, t array<bigint>, w array<double>").toArrow()
-    # Narrow arrays: the terms of all examples do not fit the driver as objects.
-    got = [
-        {"k": k, "y": y, "t": t.values.to_numpy().astype(np.int32), "w": w.values.to_numpy()}
-        for k, y, t, w in zip(stored.column("k").to_pylist(), stored.column("y").to_pylist(), stored.column("t"), stored.column("w"))
-    ]
-    got.sort(key=lambda r: (r["k"], r["t"].tobytes(), r["w"].tobytes()))
-    toxic = np.array([1 if r["y"] == 1 else 0 for r in got])
+    stored = examples.mapInArrow(embed, f"k {kind}, y int, t array<int>, w array<double>").orderBy("k").toArrow().combine_chunks()
+    # Flat arrays: the terms of all examples do not fit the driver as objects.
+    flat = {c: stored.column(c).chunk(0) for c in ("t", "w")}
+    toxic = (stored.column("y").to_numpy() == 1).astype(np.int64)
     n = np.bincount(toxic, minlength=2)
     weight = np.where(toxic == 1, sizes.get(1, 0) / max(1, n[1]), sum(v for k, v in sizes.items() if k != 1) / max(1, n[0]))
-    model = Model(words, idf, [(r["t"], r["w"]) for r in got], toxic, weight)
-    model.keys = [r["k"] for r in got]
+    model = Model(
+        words, idf, stored.column("k").to_pylist(), flat["t"].values.to_numpy(), flat["w"].values.to_numpy(),
+        flat["t"].offsets.to_numpy()[1:].astype(np.int64), toxic, weight,
+    )
+    del stored, flat
+    return _calibrated(docs.sparkSession, model)
+
+
+def _calibrated(spark: SparkSession, model: Model) -> Model:
+    """The examples vote on each other in tasks; the driver gets a number each."""
+    sent = spark.sparkContext.broadcast(model)
+    n = len(model.keys)
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            numbers = b.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sent.value.votes_without_self(numbers))], names=["i", "raw"])
+
+    tasks = max(1, min(parallelism(spark), n // 500))
+    got = spark.range(0, n, 1, tasks).mapInArrow(votes, "i long, raw double").toArrow()
+    raw = np.zeros(n)
+    raw[got.column("i").to_numpy()] = got.column("raw").to_numpy()
+    model.calibrate(raw)
     return model
 
 
