@@ -174,7 +174,11 @@ def test_plan(spark, tmp_path):
 
 
 def test_round_robin_plan(spark):
-    plan = scans.round_robin_plan(spark, 5, {"BG": ["a", "b"], "EN": ["x", "y", "z", "u", "v", "w"]})
+    phrases = spark.createDataFrame(
+        [(lang, i, x) for lang, texts in (("BG", "ab"), ("EN", "xyzuvw")) for i, x in enumerate(texts)],
+        "language string, slot long, phrase string",
+    )
+    plan = scans.round_robin_plan(phrases, 5)
     got = {lang: [r["phrase"] for r in plan.where(F.col("language") == lang).orderBy("item").collect()] for lang in ("BG", "EN")}
     assert got == {"BG": ["a", "b", "a", "b", "a"], "EN": ["x", "y", "z", "u", "v"]}
 

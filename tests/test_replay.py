@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 
 from voxloom.operators import segments as sg
 from voxloom.operators.ordered import bucket_running, time_bucketed
+from voxloom.operators.phrase_machine import CaptureRules, capture_end
 from voxloom.plans import stream_queries as sq
 from voxloom.plans.registry import Tables
-from voxloom.streaming import phrases as ph
-from voxloom.streaming.runner import Flush, drain_bounded
+from voxloom.session import shared_dir
+from voxloom.streaming import keyed as kd, phrases as ph, replay as rp
 
 SOURCE = "/root/testdata/sf0.001/events.parquet"
 
@@ -25,49 +26,78 @@ def rows(df):
     return sorted(map(tuple, df.select(sorted(df.columns)).collect()), key=str)
 
 
-@pytest.mark.parametrize("files", [1, 64])
-def test_windows_of_a_folder(shuffled, files):
-    assert rows(sq.telemetry_replay(shuffled, files)) == rows(sq.telemetry_window(shuffled))
-
-
-@pytest.mark.parametrize("files", [1, 64])
-def test_phrases_of_a_folder(shuffled, files):
+def thousand_blocks(t):
     idx = F.col("event_id") % 1024
-    blocks = shuffled("events").select(
+    return t("events").select(
         F.floor(F.col("event_id") / 1024).alias("device_id"), idx.alias("block_idx"), "ts",
         (F.col("value") >= F.when(F.floor(idx / 24) % 2 == 0, 15.0).otherwise(120.0)).alias("voiced"),
         F.pow(F.col("value") / 1000.0, F.lit(2.0)).alias("energy"),
     )
-    want = rows(sq.ad.rounded(sg.segment_phrases(blocks)))
-    assert want and rows(sq.phrase_replay(shuffled, files)) == want
 
 
-@pytest.mark.parametrize("files", [1, 64])
-def test_deliveries_of_a_folder(shuffled, files):
+@pytest.mark.parametrize("slices", [2, 12])
+def test_windows_close_before_the_end(shuffled, slices):
+    done = sq.telemetry_replay(shuffled, slices)
+    got = done.rows.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "peak", "n")
+    assert rows(got) == rows(sq.telemetry_window(shuffled).withColumn("window_start", F.col("window_start").cast("timestamp_ntz")))
+    # 477 windows in all: the state holds those of a slice, not of the table.
+    assert done.batches >= slices and (slices == 2 or done.peak_state < 100)
+
+
+def test_phrases_of_a_folder(shuffled):
+    want = rows(sq.ad.rounded(sg.segment_phrases(thousand_blocks(shuffled))))
+    assert want and rows(sq.phrase_replay(shuffled, 3)) == rows(sq.phrase_replay(shuffled, 9)) == want
+
+
+def test_deliveries_of_a_folder(shuffled):
     want = [
         (r["user_id"], "delivered" if r["value"] >= 50 else "discarded", r["event_id"],
          f"heard {r['event_id']}" if r["value"] >= 50 else None)
         for r in shuffled("events").where("event_type = 'purchase'").collect()
     ]
-    assert rows(sq.wake_replay(shuffled, files)) == sorted(want, key=str)
+    done = sq.wake_replay(shuffled, 16)
+    assert rows(done.rows.select("phrase_id", "device_id", "wake_text", "outcome")) == sorted(want, key=str)
+    # 202 phrases and 404 decisions pass through.
+    assert done.peak_state < 100
+
+
+def test_late_blocks_do_not_depend_on_batches(shuffled):
+    got = rows(sq.late_replay(shuffled, 3))
+    assert got == rows(sq.late_replay(shuffled, 10)) and sum(r[2] for r in got) > 10
+
+
+def test_pauses_and_captures_do_not_depend_on_batches(shuffled):
+    want = rows(sq.pause_gate(shuffled))
+    assert rows(sq.pause_replay(shuffled, 2)) == rows(sq.pause_replay(shuffled, 9)) == want
+    want = rows(sq.energy_segments(shuffled).select("device_id", "session", "stop_reason", "onset_idx", "stop_idx", "kept_blocks"))
+    assert rows(sq.capture_replay(shuffled, 7).rows) == want and any("OPEN" in map(str, r) for r in want)
+
 
+def test_a_run_split_in_two(spark, shuffled):
+    """A replay that stops after some slices and goes on later gives the phrases of one run."""
+    blocks = thousand_blocks(shuffled).withColumn("ts", F.col("ts").cast("timestamp"))
+    want = rows(sq.ad.rounded(rp.drain(ph.segment_stream(rp.stage(blocks, sq.slices_by_time(blocks, "ts", 4), "ts", "whole").stream("1 minute")), "whole").rows))
+    marks = blocks.agg(F.expr("percentile(unix_micros(ts), 0.55)")).first()[0]
+    parts = [blocks.where(F.unix_micros("ts") <= marks), blocks.where(F.unix_micros("ts") > marks)]
+    folder, root = shared_dir(spark, "split"), shared_dir(spark, "split-run")
+    kind = parts[0].withColumn(rp.BEAT, F.lit(False))
+    out = []
+    for i, part in enumerate(parts):
+        part.withColumn(rp.BEAT, F.lit(False)).coalesce(1).write.parquet(f"{folder}/_slice={i}")
+        stream = rp.Slices(spark, folder, kind.schema, "ts", i).stream("1 minute")
+        out.append(len(rows(rp.drain(ph.segment_stream(stream), "split", root=root).rows)))
+    assert rows(sq.ad.rounded(spark.read.parquet(root + "/out"))) == want and 0 < out[0] < out[1] == len(want)
 
-def test_gap_and_repeats(spark, tmp_path):
-    schema = "device_id bigint, block_idx bigint, ts timestamp, voiced boolean, energy double"
+
+def test_gap_and_repeats(spark):
     # Block 7 never comes, blocks come twice and backwards.
     blocks = spark.range(0, 40).where("id <> 7").select(
         F.lit(1).cast("long").alias("device_id"), F.col("id").alias("block_idx"),
         F.timestamp_seconds(F.lit(1_000_000) + F.col("id")).alias("ts"), (F.col("id") < 20).alias("voiced"), F.lit(1.0).alias("energy"),
     )
-    for i in range(3, -1, -1):
-        blocks.where(F.col("block_idx") % 4 == i).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{3 - i}"))
-        blocks.where(F.col("block_idx") % 8 == i).coalesce(1).write.parquet(str(tmp_path / "in" / f"q{3 - i}"))
-    source = (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
-        .parquet(str(tmp_path / "in"))
-    )
-    flush = Flush(spark, blocks.schema, "ts")
-    out = drain_bounded(ph.segment_stream(source.unionByName(flush.stream()), delay="1 hour"), "gap", flush)
+    twice = blocks.withColumn("s", 3 - F.col("block_idx") % 4).unionByName(blocks.withColumn("s", 3 - F.col("block_idx") % 8).where("s >= 0"))
+    stream = rp.stage(twice, F.col("s"), "ts", "gap").stream("1 hour").drop("s")
+    out = rp.drain_whole(ph.segment_stream(stream), "gap").rows
     # Without block 7 the machine sees 39 blocks in a row.
     got = [(r["start_idx"], r["end_idx"], r["n_blocks"]) for r in out.collect()]
     dense = blocks.withColumn("block_idx", F.expr("if(block_idx > 7, block_idx - 1, block_idx)"))
@@ -75,15 +105,40 @@ def test_gap_and_repeats(spark, tmp_path):
     assert got == want and len(got) == 1
 
 
-def test_short_delay_is_an_error(shuffled):
-    t = shuffled
-    flush = Flush(t.spark, t("events").schema, "ts")
-    source = sq.replay_table(t.spark, t.root, "events", t("events").schema, 1, flush)
-    stream = sq.tm.window_peaks(
-        source.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 second"), "ts", ["event_type"], "value", "6 hours"
-    )
+def test_short_delay_is_an_error(spark, shuffled):
+    events = shuffled("events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value", "event_id")
+    # Slices against time.
+    stream = rp.stage(events, 10 - F.floor(F.col("event_id") / 100), "ts", "short").stream("1 second")
     with pytest.raises(ValueError, match="behind the watermark"):
-        drain_bounded(stream, "short", flush)
+        rp.drain_whole(sq.tm.window_peaks(stream, "ts", ["event_type"], "value", "6 hours"), "short")
+
+
+def test_late_rows_on_one_key(spark):
+    rows_ = [(1, 0, 100), (1, 1, 200), (1, 2, 150), (1, 3, 60), (1, 4, None), (1, 5, 139), (1, 6, 140), (2, 7, 5)]
+    df = spark.createDataFrame(rows_, "k int, n int, s long").withColumns({
+        "at": F.timestamp_seconds("s"), "ts": F.timestamp_seconds(F.col("n").cast("long")),
+    })
+    stream = rp.stage(df, F.floor(F.col("n") / 3), "ts", "marks").stream("1 minute").select("k", "n", "at")
+    got = rp.drain_whole(kd.mark_late(stream, "k", "n", "at", 60), "marks").rows
+    assert sorted(r["n"] for r in got.where("late").collect()) == [3, 5] and got.count() == 8
+
+
+def test_capture_ends(spark):
+    import numpy as np
+
+    rules = CaptureRules(start_timeout=5, end_silence=2, max_blocks=6)
+
+    def ends(text, complete=True, at=None):
+        at = np.arange(len(text)) if at is None else np.array(at)
+        return capture_end(at, np.array([c == "1" for c in text], bool), rules, complete)
+
+    assert ends("0000") == ("OPEN", None, None, None) and ends("0000", False) is None
+    assert ends("00000", False) == ("NO_SPEECH", None, 4, None)
+    assert ends("0111", False) is None and ends("0111") == ("OPEN", 3, None, None)
+    assert ends("011100", False) == ("END_SILENCE", 3, 5, 5)
+    assert ends("0111111111", False) == ("MAX_DURATION", 3, 6, 6)
+    # A missing block keeps the end uncertain until nothing more can come.
+    assert ends("01100", False, [0, 1, 2, 4, 5]) is None
 
 
 def test_null_keys_and_times_keep_their_rows(spark):

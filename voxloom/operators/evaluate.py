@@ -198,3 +198,21 @@ def word_error_report(scored: DataFrame, group: str) -> DataFrame:
         )
         .withColumn("corpus_wer", F.col("errors") / F.col("reference_words"))
     )
+
+
+def quantile_sketches(df: DataFrame, keys: Sequence[str], value: str, k: int = 400) -> DataFrame:
+    """A mergeable quantile sketch per key: kilobytes whatever the number of rows.
+
+    With ``k`` of 400 the rank of an estimate is off by less than 1 % of the
+    rows with high confidence. Stored sketches answer for any span of keys.
+    """
+    return df.groupBy(*keys).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k)).alias("sketch"))
+
+
+def sketched_summary(sketches: DataFrame, keys: Sequence[str], fractions: dict[str, float]) -> DataFrame:
+    """``n`` and approximate quantiles per key from stored sketches alone."""
+    merged = sketches.groupBy(*keys).agg(F.kll_merge_agg_double("sketch").alias("_s"))
+    return merged.select(
+        *keys, F.kll_sketch_get_n_double("_s").alias("n"),
+        *[F.kll_sketch_get_quantile_double("_s", F.lit(f)).alias(name) for name, f in fractions.items()],
+    )

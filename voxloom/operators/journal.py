@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxloom.operators.contracts import violation_list
 from voxloom.operators.ordered import bucket_running
 
+# Bands of a lookup table at most: every task holds them.
+BANDS = 1 << 20
+
 
 def fold_journal(events: DataFrame, order: Sequence[str] = ("file", "line")) -> DataFrame:
     """Accepted cases: the last attempt, capture and review event of each attempt.
@@ -286,6 +291,35 @@ def assign_bands(number: Column, bands: Sequence[tuple[int, int, str]]) -> Colum
     return out
 
 
+def band_lookup(rows: DataFrame, number: str, bands: DataFrame, out: str = "track") -> tuple[DataFrame, DataFrame]:
+    """Rows with the label of the band their number lies in, and the rows without one.
+
+    ``bands`` has (low, high, label), both ends included. Bands must not
+    overlap; then they are sorted by their ends alike, the band of a number is
+    the last one that starts at or below it, and one binary search finds it.
+    The table is held as arrays by every task, so it is counted first; a
+    null number, or one in a gap, goes to the second frame.
+    """
+    table = bands.select("low", "high", "label").orderBy("low").limit(BANDS + 1).toArrow()
+    if table.num_rows > BANDS:
+        raise ValueError(f"more than {BANDS} bands")
+    low, high = (table.column(c).to_numpy().astype("int64") for c in ("low", "high"))
+    if (low > high).any() or (low[1:] <= high[:-1]).any():
+        raise ValueError("bands overlap or end before they start")
+    label = table.column("label").to_numpy(zero_copy_only=False)
+
+    @F.pandas_udf("string")
+    def search(v: pd.Series) -> pd.Series:
+        known = v.notna().to_numpy()
+        at = v.fillna(0).to_numpy("int64")
+        k = np.searchsorted(low, at, "right") - 1
+        hit = known & (k >= 0) & (at <= high[k] if len(high) else known)
+        return pd.Series(np.where(hit, label[k], None) if len(label) else [None] * len(v), dtype=object)
+
+    found = rows.withColumn(out, search(F.col(number).cast("long")))
+    return found.where(F.col(out).isNotNull()), found.where(F.col(out).isNull()).drop(out)
+
+
 def resume_slice(df: DataFrame, key: str, start, count: int) -> DataFrame:
     """``count`` rows from ``start`` on, in key order."""
     if count < 0:

@@ -132,3 +132,53 @@ class BlockRun:
             _, cleared, exit_state = self._entry(state)
             out[state] = self._exit_after(cleared) if exit_state is None else exit_state
         return out[:1] if (out == out[0]).all() else out
+
+
+@dataclass(frozen=True)
+class CaptureRules:
+    """An armed capture's constants in blocks (fixed defaults)."""
+
+    window: int = 3
+    required: int = 3
+    pre_roll: int = 3
+    start_timeout: int = 80
+    end_silence: int = 12
+    max_blocks: int = 200
+    min_blocks: int = 0
+    post_roll: int = 2
+
+    @property
+    def reach(self) -> int:
+        return self.start_timeout + self.max_blocks
+
+
+def capture_end(at: np.ndarray, voiced: np.ndarray, rules: CaptureRules, complete: bool):
+    """(reason, onset, stop, kept blocks) of one armed session.
+
+    ``at`` are the block numbers seen, ascending. While more may come, only
+    what gapless blocks from the first on decide is certain; None means that
+    nothing is yet. ``complete`` closes a session without an end as OPEN.
+    """
+    if not complete:
+        gapless = int(np.argmin(np.append(at, -1) == np.arange(len(at) + 1)))
+        at, voiced = at[:gapless], voiced[:gapless]
+    votes = np.convolve(voiced.astype(int), np.ones(rules.window, int))[:len(at)]
+    full = np.arange(len(at)) >= rules.window - 1
+    starts = np.flatnonzero(full & (votes >= rules.required) & (at < rules.start_timeout))
+    if not len(starts):
+        if len(at) and at[-1] + 1 >= rules.start_timeout:
+            return "NO_SPEECH", None, rules.start_timeout - 1, None
+        return ("OPEN", None, None, None) if complete else None
+    first = int(starts[0])
+    onset = int(at[first])
+    i, heard = at[first:], voiced[first:]
+    silent = i - np.maximum.accumulate(np.where(heard, i, onset))
+    n = i - onset + min(onset + 1, rules.pre_roll)
+    later = i > onset
+    for by, reason in ((silent >= rules.end_silence) & (n >= rules.min_blocks), "END_SILENCE"), (n >= rules.max_blocks, "MAX_DURATION"):
+        hit = np.flatnonzero(by & later)
+        other = np.flatnonzero((n >= rules.max_blocks) & later)
+        if len(hit) and (reason == "MAX_DURATION" or not len(other) or hit[0] <= other[0]):
+            k = int(hit[0])
+            return reason, onset, int(i[k]), int(n[k] - max(silent[k] - rules.post_roll, 0))
+    return ("OPEN", onset, None, None) if complete else None

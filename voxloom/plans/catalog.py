@@ -3,6 +3,7 @@
 from voxloom.plans import (  # noqa: F401
     command_queries,
     evidence_queries,
+    file_queries,
     journal_queries,
     report_queries,
     search_queries,

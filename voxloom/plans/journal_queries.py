@@ -78,17 +78,17 @@ def journal_verified(t):
     """A journal as JSON lines and its payload files, some altered, missing or
     outside; every fifth recording is rejected later in the file.
 
-    Each of four sessions has a folder of its own and its own names, and one
-    event follows another in the file without a line number.
+    A session, 256 recordings, has a folder of its own and its own names, and
+    one event follows another in the file without a line number.
     """
     root = shared_dir(t.spark, "recordings")
     d = F.col("doc_id")
     # Files in Parquet stand for recordings: content is what a digest is of.
     content = t("documents").select(
-        "doc_id", (d % 4).alias("session"), F.sha2("text", 256).alias("sha256"),
+        "doc_id", F.floor(d / 256).alias("session"), F.sha2("text", 256).alias("sha256"),
         F.sha2(F.when(d % 7 == 2, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("digest"),
     )
-    name = F.concat(F.when((d % 13 == 6) & (d % 7 != 2) & (d % 11 != 4), "../").otherwise(""), F.floor(d / 4), F.lit(".wav"))
+    name = F.concat(F.when((d % 13 == 6) & (d % 7 != 2) & (d % 11 != 4), "../").otherwise(""), d % 256, F.lit(".wav"))
     one = content.select(
         "session",
         F.posexplode(F.array(
@@ -106,7 +106,7 @@ def journal_verified(t):
         "session", F.regexp_extract("folder", "session=([0-9]+)/", 1).cast("long")
     )
     files = content.where((d % 11 != 4) | (d % 7 == 2)).join(place, "session").select(
-        F.concat("folder", F.floor(d / 4), F.lit(".wav")).alias("path"), "digest"
+        F.concat("folder", d % 256, F.lit(".wav")).alias("path"), "digest"
     )
     cases = jn.fold_verified(journal, files, scans_root(root))
     return _listed(cases).select("attempt_id", "prompt_id", "violations")
@@ -156,7 +156,11 @@ def journal_append(t):
     ),
 )
 def case_load(t):
-    return _listed(jn.check_cases(ad.results(t)).select("prompt_id", "line", "violations"))
+    """The result file written as JSON lines and read by the result scan."""
+    root = shared_dir(t.spark, "result-lines")
+    sinks.append_journal(ad.results(t).select("event", "status", "prompt_id", "sha256", "text", "line"), root)
+    schema = "event string, status string, prompt_id string, sha256 string, text string, line bigint"
+    return _listed(jn.check_cases(scans.read_results(t.spark, root, schema)).select("prompt_id", "line", "violations"))
 
 
 @query(

@@ -8,12 +8,11 @@ from voxloom.functions.arrays import gigabytes
 from voxloom.operators import segments as sg
 from voxloom.operators import telemetry as tm
 from voxloom.operators.ordered import time_bucketed
+from voxloom.operators.phrase_machine import CaptureRules
 from voxloom.plans import adapters as ad
 from voxloom.plans.registry import query, with_ctes
-from voxloom.streaming import phrases as ph
-from voxloom.streaming.runner import (
-    Flush, drain_bounded, drain_with_progress, dropped_rows, replay_delay, replay_table,
-)
+from voxloom.streaming import keyed as kd, phrases as ph
+from voxloom.streaming.replay import BEAT, drain, drain_whole, slices_by_time, stage
 
 
 @query(
@@ -369,6 +368,20 @@ def telemetry_window(t):
     return tm.window_peaks(t("events"), "ts", ["event_type"], "value", "6 hours")
 
 
+# Batches of a replay. Slices follow time, so a delay of a minute loses nothing.
+SLICES = 6
+DELAY = "1 minute"
+
+
+def _events(t):
+    """The events with times as instants."""
+    return t("events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _staged(rows, label: str, slices: int = SLICES):
+    return stage(rows, slices_by_time(rows, "ts", slices), "ts", label)
+
+
 @query(
     "late_blocks",
     """
@@ -378,11 +391,16 @@ def telemetry_window(t):
     """,
 )
 def late_blocks(t):
-    event_time = F.when(F.col("event_id") % 20 == 0, F.col("ts") - F.expr("INTERVAL 30 HOURS")).otherwise(F.col("ts"))
-    rows = t("events").select(
-        "event_id", "user_id", event_time.alias("event_time"), F.floor(F.col("event_id") / 512).alias("_b")
-    )
-    return tm.late_rows(rows, ["user_id"], "_b", ["event_id"], "event_time", 3 * 3600).drop("_b")
+    """Blocks as they arrive, the late ones marked by their device's own low-water mark."""
+    return late_replay(t)
+
+
+def late_replay(t, slices: int = SLICES):
+    shifted = F.when(F.col("event_id") % 20 == 0, F.col("ts") - F.expr("INTERVAL 30 HOURS")).otherwise(F.col("ts"))
+    arrived = _staged(_events(t).select("event_id", "user_id", "ts", shifted.alias("event_time")), "late-blocks", slices)
+    rows = arrived.stream(DELAY).select("event_id", "user_id", "event_time")
+    out = drain_whole(kd.mark_late(rows, "user_id", "event_id", "event_time", 3 * 3600), "late-blocks").rows
+    return out.withColumn("event_time", F.col("event_time").cast(dict(t("events").dtypes)["ts"]))
 
 
 @query(
@@ -400,42 +418,32 @@ def phrase_stream(t):
     return phrase_replay(t)
 
 
-def phrase_replay(t, files_per_batch: int = 64):
-    source, flush, delay = _replay(t, files_per_batch)
+def phrase_replay(t, slices: int = SLICES):
     idx = F.col("event_id") % 1024
-    blocks = source.select(
+    blocks = _events(t).select(
         F.floor(F.col("event_id") / 1024).alias("device_id"), idx.alias("block_idx"), "ts",
         (F.col("value") >= F.when(F.floor(idx / 24) % 2 == 0, 15.0).otherwise(120.0)).alias("voiced"),
         F.pow(F.col("value") / 1000.0, F.lit(2.0)).alias("energy"),
     )
-    out = drain_bounded(ph.segment_stream(blocks, delay=delay), "phrase-stream", flush)
+    out = drain_whole(ph.segment_stream(_staged(blocks, "blocks", slices).stream(DELAY)), "phrase-stream").rows
     kind = dict(t("events").dtypes)["ts"]
     return ad.rounded(out.withColumns({c: F.col(c).cast(kind) for c in ("start_ts", "end_ts")}))
 
 
-def _replay(t, files_per_batch: int):
-    """The events as a stream with times as instants, its end mark, and a delay."""
-    events = t("events")
-    flush = Flush(t.spark, events.schema, "ts")
-    source = replay_table(t.spark, t.root, "events", events.schema, files_per_batch, flush)
-    return source.withColumn("ts", F.col("ts").cast("timestamp")), flush, replay_delay(events, "ts")
-
-
 @query(
     "telemetry_stream",
     """SELECT time_bucket(INTERVAL '6 hours', ts) AS window_start, event_type, max(value) AS peak, count(*) AS n
       FROM events GROUP BY 1, 2""",
 )
 def telemetry_stream(t):
-    """All windows of the replayed table, closed by the watermark or the end mark."""
-    return telemetry_replay(t)
+    """All windows of the replayed table, each closed by the watermark that passes it."""
+    out = telemetry_replay(t).rows
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "peak", "n")
 
 
-def telemetry_replay(t, files_per_batch: int = 64):
-    source, flush, delay = _replay(t, files_per_batch)
-    rows = source.select("ts", "event_type", "value").withWatermark("ts", delay)
-    out = drain_bounded(tm.window_peaks(rows, "ts", ["event_type"], "value", "6 hours"), "telemetry", flush)
-    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "peak", "n")
+def telemetry_replay(t, slices: int = SLICES):
+    rows = _staged(_events(t).select("ts", "event_type", "value"), "samples", slices).stream(DELAY)
+    return drain_whole(tm.window_peaks(rows, "ts", ["event_type"], "value", "6 hours"), "telemetry")
 
 
 @query(
@@ -449,41 +457,114 @@ def telemetry_replay(t, files_per_batch: int = 64):
 def wake_delivery(t):
     """Phrases and wake decisions as two streams, joined within a minute.
 
-    Decisions repeat (two per phrase), so that duplicates have to be dropped.
-    A phrase without a hit leaves when the watermark is past its waiting time.
+    A phrase has two decisions; the earlier one counts, though the later comes
+    first in the file.
     """
-    return wake_replay(t)
+    return wake_replay(t).rows.select("phrase_id", "device_id", "wake_text", "outcome")
 
 
-def wake_replay(t, files_per_batch: int = 64):
-    source, flush, delay = _replay(t, files_per_batch)
-    again = replay_table(t.spark, t.root, "events", t("events").schema, files_per_batch, flush)
-    # Non-purchase events only move the watermark of the phrase stream on.
-    phrases = source.select(
-        F.col("user_id").alias("device_id"), F.col("event_id").alias("phrase_id"), F.col("ts").alias("end_ts"), "event_type"
-    )
-    decisions = again.select(
-        F.col("user_id").alias("device_id"), F.col("event_id").alias("phrase_id"), F.col("ts").cast("timestamp").alias("ts"),
-        (F.col("value") >= 50).alias("detected"), F.concat(F.lit("heard "), "event_id").alias("wake_text"),
-        F.explode(F.array(F.lit(False), F.lit(True))).alias("is_final"),
-    )
-    out = drain_bounded(ph.deliver_confirmed(phrases, decisions, delay), "delivery", flush)
-    return out.where("event_type = 'purchase'").select("phrase_id", "device_id", "wake_text", "outcome")
+def wake_replay(t, slices: int = SLICES):
+    staged = _staged(_events(t).select("event_id", "user_id", "ts", "event_type", "value"), "events", slices)
+    purchase = F.when(F.col("end_ts").isNotNull(), (F.col("event_type") == "purchase") & ~F.col(BEAT))
+    phrases = staged.stream().select(
+        F.col("user_id").alias("device_id"), F.col("event_id").alias("phrase_id"), F.col("ts").alias("end_ts"), "event_type", BEAT
+    ).withWatermark("end_ts", DELAY).where(purchase).drop("event_type", BEAT)
+    # The join asks its right side for keys that are not null, at the scan already:
+    # heartbeats get some, or they would not move the watermark.
+    decisions = staged.stream().select(
+        F.coalesce("user_id", F.lit(-1)).alias("device_id"), F.coalesce("event_id", F.lit(-1)).alias("phrase_id"),
+        (F.col("value") >= 50).alias("detected"), "ts", F.explode(F.array(F.lit(20), F.lit(0))).alias("later"),
+    ).select(
+        "device_id", "phrase_id", "detected", (F.col("ts") + F.make_interval(secs="later")).alias("ts"),
+        F.concat(F.when(F.col("later") > 0, "again ").otherwise("heard "), "phrase_id").alias("wake_text"),
+    ).withWatermark("ts", DELAY)
+    return drain_whole(ph.deliver_confirmed(phrases, decisions), "delivery")
+
+
+# The watermark of a batch is that of two batches before, in milliseconds.
+LATE_SLICES = 8
 
 
 @query(
     "drop_late",
-    """SELECT event_id, user_id, ts, 0::BIGINT AS dropped FROM events""",
+    f"""
+    WITH shifted AS (SELECT event_id, user_id, CASE WHEN event_id % 20 = 0 THEN ts - INTERVAL '6 days' ELSE ts END AS ts,
+        event_id * {LATE_SLICES} // (max(event_id) OVER () + 1) AS batch FROM events),
+    marks AS (SELECT batch, (max(max(epoch_us(ts)) // 1000) OVER (ORDER BY batch ROWS UNBOUNDED PRECEDING) - 10800000) * 1000 AS mark
+      FROM shifted GROUP BY batch),
+    judged AS (SELECT s.*, coalesce(epoch_us(s.ts) <= m.mark, false) AS dropped FROM shifted s LEFT JOIN marks m ON m.batch = s.batch - 2)
+    SELECT event_id, user_id, ts, (SELECT count(*) * 2 FROM judged WHERE dropped) AS dropped FROM judged WHERE NOT dropped
+    """,
 )
 def drop_late(t):
     """Repeated blocks once each, with the number of rows dropped as late.
 
-    The delay covers the whole table, so none is; shorter delays are tested.
+    Every twentieth block comes six days late, behind a watermark of three hours.
     """
-    source, flush, delay = _replay(t, 64)
-    twice = source.select("event_id", "user_id", "ts", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
-    once = ph.drop_late(twice, "ts", delay, ["event_id"]).drop("copy")
-    out, queries = drain_with_progress(once, "late", flush=flush)
-    lost = sum(dropped_rows(q) for q in queries)
+    return drop_late_replay(t)
+
+
+def drop_late_replay(t):
+    shifted = F.when(F.col("event_id") % 20 == 0, F.col("ts") - F.expr("INTERVAL 6 DAYS")).otherwise(F.col("ts"))
+    rows = _events(t).select("event_id", "user_id", shifted.alias("ts"))
+    last = t("events").agg(F.max("event_id").alias("last"))
+    rows = rows.join(F.broadcast(last)).withColumn(
+        "_batch", F.floor(F.col("event_id") * LATE_SLICES / (F.col("last") + 1))
+    ).drop("last")
+    staged = stage(rows, F.col("_batch"), "ts", "late")
+    twice = staged.stream("3 hours").select("event_id", "user_id", "ts", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
+    done = drain(ph.drop_late(twice, ["event_id"]).drop("copy"), "late")
     kind = dict(t("events").dtypes)["ts"]
-    return out.where("event_id IS NOT NULL").withColumns({"ts": F.col("ts").cast(kind), "dropped": F.lit(lost).cast("long")})
+    return done.rows.withColumns({"ts": F.col("ts").cast(kind), "dropped": F.lit(done.late).cast("long")})
+
+
+@query(
+    "pause_stream",
+    with_ctes(
+        """rows AS (SELECT user_id AS device_id, event_id, ts, value,
+            CASE event_type WHEN 'error' THEN 'pause' WHEN 'purchase' THEN 'resume' END AS control FROM events),
+        states AS (SELECT *, last_value(control IGNORE NULLS) OVER w AS state, count(*) FILTER (control = 'resume') OVER w AS epoch
+          FROM rows WINDOW w AS (PARTITION BY device_id ORDER BY ts, event_id))""",
+        "SELECT device_id, event_id, epoch FROM states WHERE control IS NULL AND coalesce(state <> 'pause', true)",
+    ),
+)
+def pause_stream(t):
+    """Pauses and resumes inside the stream: control rows among the blocks."""
+    return pause_replay(t)
+
+
+def pause_replay(t, slices: int = SLICES):
+    rows = _events(t).select(
+        F.col("user_id").alias("device_id"), "event_id", "ts",
+        F.when(F.col("event_type") == "error", "pause").when(F.col("event_type") == "purchase", "resume").alias("control"),
+    )
+    stream = _staged(rows, "controls", slices).stream(DELAY)
+    gated = kd.gate_pauses_stream(stream, "device_id", ["ts", "event_id"], "control")
+    return drain_whole(gated, "pauses").rows.select("device_id", "event_id", "epoch")
+
+
+@query(
+    "capture_stream",
+    with_ctes(
+        ad.SQL_BLOCKS, _CAPTURE_SQL,
+        """SELECT device_id, session, CASE WHEN stop = '' THEN 'OPEN' ELSE stop END AS stop_reason,
+          CASE WHEN onset >= 0 THEN onset::BIGINT END AS onset_idx, CASE WHEN stop <> '' THEN i END AS stop_idx,
+          CASE WHEN stop IN ('END_SILENCE', 'MAX_DURATION') THEN (n - greatest(sil - 2, 0))::BIGINT END AS kept_blocks FROM final""",
+    ),
+)
+def capture_stream(t):
+    """Armed captures of a live stream; timers close sessions whose blocks stop."""
+    return capture_replay(t).rows
+
+
+def capture_replay(t, slices: int = SLICES):
+    armed = ad.stored_blocks(t).select(
+        "device_id", F.floor(F.col("block_idx") / 40).alias("session"), (F.col("block_idx") % 40).alias("i"), "voiced",
+        F.col("ts").cast("timestamp").alias("ts"),
+    )
+    # Blocks of a device lie hours apart in this table; a session idle for ten days is over.
+    stream = stage(armed, slices_by_time(armed, "ts", slices), "ts", "armed", idle="11 days").stream(DELAY)
+    rules = CaptureRules(start_timeout=12, end_silence=6, max_blocks=25)
+    return drain_whole(
+        kd.capture_stream(stream, ["device_id", "session"], "i", "voiced", "ts", rules, idle_s=10 * 86400), "captures"
+    )

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from voxloom import schemas
+from voxloom.operators.ordered import checked_broadcast
 
 
 def plain_path(path: Column) -> Column:
@@ -105,6 +110,55 @@ def catalog_files(spark: SparkSession, root: str, pattern: str = "*.wav") -> Dat
     )
 
 
+def digest_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """``path``, ``bytes`` and ``sha256`` of every matching file below ``root``.
+
+    No file is ever one value: Spark reads it as runs of bytes up to a line
+    feed, from as many blocks as it has, whatever store it lies in. The runs of
+    a file are brought together in order and streamed through a digest, so a
+    file of any size takes the memory of its longest run. Bytes are kept as
+    they are; whether the last run ended with a line feed follows from the size.
+    Spark's scans pass over files without any bytes: those are not found here,
+    so a manifest that lists one finds it missing.
+    """
+    runs = (
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("lineSep", "\n").text(root)
+        .select(
+            plain_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_size").alias("bytes"),
+            F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"),
+            F.col("value").cast("binary").alias("run"),
+        )
+    )
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, size, left, digest, done = None, 0, 0, None, []
+
+        def close() -> None:
+            if at is not None:
+                done.append((at, size, digest.hexdigest()))
+
+        for b in batches:
+            for path, n, run in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if path != at:
+                    close()
+                    at, size, left, digest = path, n, n, hashlib.sha256()
+                data = run.as_buffer()
+                digest.update(data)
+                left -= len(data)
+                if left > 0:
+                    digest.update(b"\n")
+                    left -= 1
+        close()
+        yield pa.RecordBatch.from_pydict(
+            {"path": pa.array([d[0] for d in done], pa.string()), "bytes": pa.array([d[1] for d in done], pa.int64()),
+             "sha256": pa.array([d[2] for d in done], pa.string())}
+        )
+
+    ordered = runs.repartition(parts, "path").sortWithinPartitions("path", "block", "row")
+    return ordered.select("path", "bytes", "run").mapInArrow(stream, "path string, bytes long, sha256 string")
+
+
 def verify_files(
     listed: DataFrame, files: DataFrame, name: str = "filename", digest: str = "sha256",
     manifest: str | None = None, root: str | None = None, found_digest: str | None = None,
@@ -152,13 +206,18 @@ def parity_split(number: Column) -> Column:
     return F.when(number % 2 == 0, "calibration").otherwise("test")
 
 
-def round_robin_plan(spark: SparkSession, per_language: int, phrases: dict[str, list[str]]) -> DataFrame:
-    """``per_language`` items per language, cycling through its phrase list."""
-    rows = [(lang, i, len(texts), text) for lang, texts in phrases.items() for i, text in enumerate(texts)]
-    table = spark.createDataFrame(rows, "language string, slot bigint, n bigint, phrase string")
-    # One row per phrase generates its own share of the plan: no join at all.
-    return table.where(F.col("slot") < per_language).select(
-        "language",
-        F.explode(F.sequence(F.col("slot"), F.lit(per_language - 1).cast("long"), F.col("n"))).alias("item"),
-        "phrase",
+def round_robin_plan(phrases: DataFrame, per_language: int) -> DataFrame:
+    """``per_language`` items per language, cycling through its phrases.
+
+    ``phrases`` has (language, slot, phrase), slots from 0 without gaps. Items
+    are generated by a range, so a plan of any length spreads over the tasks;
+    a language without phrases has no items.
+    """
+    spark = phrases.sparkSession
+    sizes = checked_broadcast(phrases.groupBy("language").agg(F.count("*").alias("n")), "plan-sizes")
+    items = spark.range(per_language).join(sizes).select(
+        F.col("language").alias("_l"), F.col("id").alias("item"), (F.col("id") % F.col("n")).alias("_s")
+    )
+    return items.join(phrases, (F.col("_l") == F.col("language")) & (F.col("_s") == F.col("slot"))).select(
+        "language", "item", "phrase"
     )

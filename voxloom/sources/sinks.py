@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 
 def append_journal(events: DataFrame, root: str) -> None:
@@ -41,12 +41,25 @@ def sql_rows_digest(columns: Sequence[str]) -> str:
     return f"concat_ws('-', {parts[0]}, {parts[1]}, count(*)::VARCHAR)"
 
 
-def report_envelope(cases: DataFrame, status: str) -> DataFrame:
+def files_digest(files: DataFrame) -> Column:
+    """Aggregate over (path, sha256): names and digests of input files in order,
+    as one JSON text. A report has as many inputs as it was given paths."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return F.to_json(F.array_sort(F.collect_list(F.struct(name.alias("name"), "sha256"))))
+
+
+def report_envelope(cases: DataFrame, status: str, inputs: DataFrame | None = None) -> DataFrame:
     """Case rows between a start row and an end row, as one nullable schema.
 
-    The start row carries a digest of all case rows, the end row the completed
-    and failed counts.
+    The start row carries a digest of all case rows and, given ``inputs``
+    (path, sha256 of files as ``digest_files`` finds them), ``inputs`` with
+    their names and digests; the end row the completed and failed counts.
     """
+    if inputs is not None:
+        start = inputs.agg(files_digest(inputs).alias("inputs")).withColumn("event", F.lit("start"))
+        plain = report_envelope(cases, status)
+        head = plain.where("event = 'start'").join(start, "event")
+        return plain.where("event <> 'start'").unionByName(head, allowMissingColumns=True)
     summary = cases.agg(
         F.count_if(F.col(status) == "ok").alias("completed"),
         F.count_if(~F.col(status).eqNullSafe("ok")).alias("failed"),
@@ -70,6 +83,25 @@ def report_envelope(cases: DataFrame, status: str) -> DataFrame:
     return cases.withColumn("event", F.lit("case")).unionByName(ends, allowMissingColumns=True)
 
 
+def write_quarantined(rows: DataFrame, path: str, violations: str = "violations") -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Good and bad rows and their counts from one pass over ``rows``.
+
+    The rows are read once: the job that writes them counts them on the way, by
+    observed metrics, and deals them to a good and a bad folder. Returns both
+    as written, and ``rows``, ``bad`` and the number of each violation.
+    """
+    bad = F.size(violations) > 0
+    seen = Observation()
+    named = rows.withColumn("_bad", bad)
+    watched = named.observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(bad.cast("long")), F.lit(0)).alias("bad"),
+        F.coalesce(F.sum(F.size(violations)), F.lit(0)).alias("violations"),
+    )
+    watched.write.mode("errorifexists").partitionBy("_bad").parquet(path)
+    written = rows.sparkSession.read.schema(named.schema).parquet(path)
+    return written.where("NOT _bad").drop("_bad"), written.where("_bad").drop("_bad"), seen.get
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """JSON lines; an existing report is an error."""
     df.write.mode("errorifexists").json(path)

@@ -107,16 +107,16 @@ class PhraseProcessor(StatefulProcessor):
 
 
 def segment_stream(
-    blocks: DataFrame, rules: SegmentRules = DEFAULT_RULES, delay: str = "10 seconds", first_index: int = 0
+    blocks: DataFrame, rules: SegmentRules = DEFAULT_RULES, first_index: int = 0
 ) -> DataFrame:
-    """Phrases of a block stream (device_id, block_idx, ts, voiced, energy).
+    """Phrases of a block stream (device_id, block_idx, ts, voiced, energy) under a watermark.
 
-    Blocks may arrive in any order within ``delay``; the first block of every
+    Blocks may arrive in any order within its delay; the first block of every
     device has ``first_index``. Blocks behind the watermark are dropped and
     counted by Spark. A phrase still open at the end of the stream is not
     emitted, as in the batch segmentation.
     """
-    rows = blocks.select("device_id", "block_idx", "ts", "voiced", "energy").withWatermark("ts", delay)
+    rows = blocks.select("device_id", "block_idx", "ts", "voiced", "energy")
     return rows.groupBy("device_id").transformWithStateInPandas(
         statefulProcessor=PhraseProcessor(rules, first_index),
         outputStructType=_PHRASES,
@@ -125,51 +125,37 @@ def segment_stream(
     )
 
 
-def deliver_confirmed(
-    phrases: DataFrame,
-    decisions: DataFrame,
-    phrase_delay: str = "10 minutes",
-    wait: str = "1 minute",
-) -> DataFrame:
-    """Phrases joined with a positive wake decision; one row each.
-
-    Of several positive decisions of a phrase the one that arrives first counts.
+def deliver_confirmed(phrases: DataFrame, decisions: DataFrame, wait: str = "1 minute") -> DataFrame:
+    """Phrases with their first positive wake decision; one row each.
 
-    ``phrases`` has (device_id, phrase_id, end_ts), ``decisions`` (device_id,
-    phrase_id, ts, detected, wake_text). A phrase without a positive decision
-    within ``wait`` leaves as discarded once the watermark has passed.
+    ``phrases`` has (device_id, phrase_id, end_ts, ...), ``decisions``
+    (device_id, phrase_id, ts, detected, wake_text), both under watermarks. Of
+    several positive decisions of a phrase the earliest by ``ts`` counts,
+    whichever arrives first. A phrase without one within ``wait`` leaves as
+    discarded once the watermarks have passed, so the state holds what is
+    younger than the delay and the wait, not the table.
     """
-    p = phrases.withWatermark("end_ts", phrase_delay)
     # Negative decisions must move the watermark on as well. The condition
     # names the event time so that it is not pushed below the watermark.
     positive = F.when(F.col("ts").isNotNull(), F.col("detected"))
-    d = (
-        decisions.withWatermark("ts", phrase_delay)
-        .where(positive)
-        .dropDuplicatesWithinWatermark(["device_id", "phrase_id"])
-        .select(
-            F.col("device_id").alias("_device"), F.col("phrase_id").alias("_phrase"), "ts", "wake_text"
-        )
+    d = decisions.where(positive).select(
+        F.col("device_id").alias("_device"), F.col("phrase_id").alias("_phrase"), F.col("ts").alias("_at"), "wake_text"
     )
-    joined = p.join(
+    joined = phrases.join(
         d,
         (F.col("device_id") == F.col("_device"))
         & (F.col("phrase_id") == F.col("_phrase"))
-        & (F.col("ts") >= F.col("end_ts") - F.expr(f"INTERVAL {wait}"))
-        & (F.col("ts") <= F.col("end_ts") + F.expr(f"INTERVAL {wait}")),
+        & (F.col("_at") >= F.col("end_ts") - F.expr(f"INTERVAL {wait}"))
+        & (F.col("_at") <= F.col("end_ts") + F.expr(f"INTERVAL {wait}")),
         "left_outer",
     )
-    return joined.select(
-        *phrases.columns,
-        "wake_text",
-        F.when(F.col("_phrase").isNotNull(), "delivered").otherwise("discarded").alias("outcome"),
+    first = joined.groupBy(*phrases.columns).agg(F.min_by("wake_text", "_at").alias("wake_text"), F.count("_at").alias("_n"))
+    return first.select(
+        *phrases.columns, "wake_text", F.when(F.col("_n") > 0, "delivered").otherwise("discarded").alias("outcome")
     )
 
 
-def drop_late(rows: DataFrame, ts: str, delay: str, keys: list[str]) -> DataFrame:
-    """Blocks once each; those behind the watermark are dropped by Spark.
-
-    Spark reports the dropped rows per batch as ``numRowsDroppedByWatermark``
-    of the state operator; ``dropped_rows`` adds them up.
-    """
-    return rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
+def drop_late(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Blocks once each; those behind the watermark are dropped by Spark, which
+    reports them per batch as ``numRowsDroppedByWatermark``."""
+    return rows.dropDuplicatesWithinWatermark(keys)
