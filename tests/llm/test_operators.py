@@ -436,9 +436,7 @@ def brute_scores(docs, labels, texts):
     def terms(t):
         out = {}
         for w in re.findall(r"[^\W_]+", (t or "").lower()):
-            out[w] = out.get(w, 0) + 1
-            if len(w) > 5:
-                out[w[:5] + "*"] = out.get(w[:5] + "*", 0) + 1
+            out[w[:toxicity.STEM]] = out.get(w[:toxicity.STEM], 0) + 1
         return out
     own = {k: t for k, t in docs}
     known = [(k, own[k], y) for k, y in labels.items() if fold_py(k) != 0]

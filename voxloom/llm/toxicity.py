@@ -1,7 +1,7 @@
 """Toxicity by votes of the nearest labelled examples, exact in TF-IDF cosine.
 
-Terms are words and word beginnings; document frequencies come from all
-documents. All terms of the labelled examples are indexed. Telling terms, those
+Terms are words, cut to their beginning, which stands for all their forms;
+document frequencies come from all documents. All terms of the labelled examples are indexed. Telling terms, those
 that labelled rows show to be more or less frequent in toxic texts than
 elsewhere (a G-squared test), weigh more, so that a text is near the examples
 that share what tells.
@@ -22,6 +22,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,8 @@ EXAMPLES = 4000
 MIN_G2 = 40.0
 MIN_LOG_ODDS = 0.7
 TELLING = 8.0
-PREFIX = 5
+# Characters of a word that make a term.
+STEM = 5
 NEIGHBOURS = 16
 # Power of the cosine by which a neighbour's vote weighs.
 POWER = 4
@@ -49,8 +51,6 @@ TOGETHER = 256
 _SLAB = 32
 # Digits of a cosine.
 DIGITS = 10
-# Words whose numbers a worker remembers.
-REMEMBERED = 1 << 20
 # Weight of the silent vote that stands for "no near neighbour".
 FAR = 0.1
 # Smallest word hashes that make two examples copies of one text.
@@ -62,72 +62,35 @@ _PLAIN = bytes(
 )
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Runs of letters and digits in lower case, in UTF-8."""
+def terms_of(text: bytes) -> list[bytes]:
+    """Beginnings of the text's words, in order, in UTF-8: runs of letters and
+    digits in lower case, cut after ``STEM`` characters."""
     parts = text.translate(_PLAIN).split()
     if text.isascii():
-        return parts
+        return [p[:STEM] for p in parts]
     out = []
     for p in parts:
         if p.isascii():
-            out.append(p)
+            out.append(p[:STEM])
         else:
-            out += [w.encode() for w in _WORD.findall(p.decode("utf-8").lower())]
+            out += [w[:STEM].encode() for w in _WORD.findall(p.decode("utf-8").lower())]
     return out
 
 
-def beginning(word: bytes) -> bytes | None:
-    """The term for all longer words that begin like this one."""
-    start = word[:PREFIX] if word.isascii() else word.decode()[:PREFIX].encode()
-    return start + b"*" if len(start) < len(word) else None
-
-
-def terms_of(text: bytes) -> set[bytes]:
-    words = set(words_of(text))
-    return words.union(b for b in map(beginning, words) if b is not None)
-
-
 class Terms:
     """Numbers of the terms of texts in a vocabulary."""
 
     def __init__(self, vocabulary: bytes) -> None:
         self.known = {w: i for i, w in enumerate(vocabulary.split(b"\n"))}
         self.size = len(self.known)
-        self._forget()
-
-    def _forget(self) -> None:
-        # A word's place, and by place the numbers of the word and of its
-        # beginning, or -1. Words that are in no term share place 0.
-        self.places: dict[bytes, int] = {}
-        self.numbers = np.full((1 << 12, 2), -1, np.int64)
-        self.used = 1
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.places) + len(words) > REMEMBERED:
-            self._forget()
-        for w in set(words).difference(self.places):
-            own = self.known.get(w, -1)
-            start = self.known.get(beginning(w), -1)
-            if own < 0 and start < 0:
-                self.places[w] = 0
-                continue
-            if self.used == len(self.numbers):
-                self.numbers = np.concatenate((self.numbers, np.full_like(self.numbers, -1)))
-            self.numbers[self.used] = own, start
-            self.places[w] = self.used
-            self.used += 1
 
     def counts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, term, times) of all known terms, ordered by text and term."""
         pairs = [np.zeros(0, np.int64)]
         for i, t in enumerate(texts):
-            words = words_of(t)
-            at = list(map(self.places.get, words))
-            if None in at:
-                self._learn(words)
-                at = [self.places[w] for w in words]
-            found = self.numbers[at].ravel() if at else pairs[0]
-            pairs.append(found[found >= 0] + i * self.size)
+            terms = terms_of(t)
+            at = np.fromiter(map(self.known.get, terms, repeat(-1)), np.int64, len(terms))
+            pairs.append(at[at >= 0] + i * self.size)
         both, times = np.unique(np.concatenate(pairs), return_counts=True)
         return both // self.size, both % self.size, times
 
@@ -374,7 +337,7 @@ def _rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, r
 
 def sketch(text: bytes) -> bytes:
     """Equal for copies of a text, and nearly always where a few words differ."""
-    hashes = sorted({zlib.crc32(w) for w in words_of(text)})[:SKETCH]
+    hashes = sorted({zlib.crc32(w) for w in terms_of(text)})[:SKETCH]
     return b"".join(h.to_bytes(4, "big") for h in hashes)
 
 
@@ -409,7 +372,7 @@ def train(
             for y, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
                 y = 1 if y == 1 else 0
                 n[y] += 1
-                count[y].update(terms_of(t or b""))
+                count[y].update(set(terms_of(t or b"")))
             for y in (0, 1):
                 terms = list(count[y])
                 yield pa.RecordBatch.from_arrays(
