@@ -603,6 +603,36 @@ def test_quality_on_unseen_rows(sp):
 # --- pages ------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("page,text", [
+    ('<div class="layout has-sidebar"><article><p>one two</p></article></div>', "one two"),
+    ('<div class="page sidebar-right"><main><p>one two</p></main></div>', "one two"),
+    ('<div id="page-with-nav"><p>one two</p></div>', "one two"),
+    ('<div class="sidebar"><main><p>one two</p></main></div><p>three</p>', "one two three"),
+    ('<article><div class="widget-review"><p>one</p></div><section class="share-prices">two</section></article>', "one two"),
+    ('<article><p>one</p><video src="x"/><p>two</p></article>', "one two"),
+    ('<article><p>one</p><object data=x><p>two</p></article>', "one two"),
+    ('<article><p>one</p><canvas><p>two</p><div>three</div></article>', "one two three"),
+    ('<article><p>one <video controls><source src="v"><a href="v">no player</a></video> two</p></article>', "one two"),
+    ('<nav><main><p>no</p></main></nav><div class="site-header">no</div><div class="comment-list"><p>no</p></div>'
+     '<div class="cookie-banner">no</div><div class="ad">no</div><p>yes</p>', "yes"),
+    ('<div hidden><article>no</article></div><p>yes</p>', "yes"),
+])
+def test_markup_of_layouts(page, text):
+    assert " ".join(html_main.blocks_of(page)[0]) == text
+
+
+def test_shared_sentences_stay_in_articles():
+    """A quote inside a paragraph stays, a repeated block in the article goes."""
+    quote = "this quote of ten words is on many of pages here".split(" ")
+    keys = html_main.window_keys(quote, html_main.MIN_RUN)
+    blocks = ["before it " + " ".join(quote) + " and after it", " ".join(quote), "other words"]
+    text, removed = html_main.strip(blocks, [False, False, False], keys)
+    assert text == " ".join([blocks[0], blocks[2]]) and removed == len(quote)
+    long = "a b c d e f g h i j k l m n o " + " ".join(quote)
+    assert html_main.strip([long], [True], keys)[0] == "a b c d e f g h i j k l m n o"
+    assert html_main.strip([long + " p q r"], [True], keys)[0] == long + " p q r"
+
+
 def test_article_of_a_page(sp):
     page = (
         '<!DOCTYPE html><html><head><title>T &amp; U</title><style>p{}</style><script>var t="</p>";</script></head><body>'
@@ -675,7 +705,7 @@ def test_shards_change_no_text(sp):
     lines = [words(rng, 9, 5000) for _ in range(6)]
     rows = [
         (i, "odd" if i % 2 else f"http://a.example/{i}",
-         "<div>" + words(rng, 50, 5000) + "</div>" + "".join(f"<div>{x}</div>" for x in lines if rng.random() < 0.16))
+         "<div>" + words(rng, 50, 5000) + "</div>" + "".join(f"<div>{x}</div>" for x in lines if rng.random() < 0.28))
         for i in range(120)
     ]
     df = sp.createDataFrame(rows, PAGE)

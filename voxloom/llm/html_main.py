@@ -31,8 +31,8 @@ from voxloom.llm.common import components, private
 # Tokens a repeated stretch has at least.
 MIN_RUN = 6
 # Distinct pages of the host, and share of them, that a repeated stretch is on at least.
-MIN_PAGES = 3
-MIN_SHARE = 0.2
+MIN_PAGES = 4
+MIN_SHARE = 0.3
 # Page bytes of one suffix array, about: a host with more is dealt to several.
 SHARD_BYTES = 4_000_000
 # Word orders of a page's sketch, and how many agree for near copies.
@@ -43,10 +43,13 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)"
     # Only foreign elements can close themselves: HTML ignores the slash elsewhere.
     r"|<(?:svg|math)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*/>"
-    r"|<(script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|textarea|select)(?=[\s/>])"
+    r"|<(script|style|noscript|template|svg|math|iframe|textarea)(?=[\s/>])"
     r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|$)"
+    # What browsers show in place of media: only where the element is closed before the page goes on.
+    r"|<(?P<media>object|canvas|audio|video)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>"
+    r"(?:(?!<(?:(?P=media)|article|main|section|div|h[1-6])\b).)*?</(?P=media)\s*>"
     r"|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)",
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -59,36 +62,44 @@ _CHROME = frozenset("head title nav header footer aside form button menu dialog
 _ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split()
 )
-_MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advert\w+|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|newsletter|"
-    r"subscri\w+|share|sharing|social|related|recommend\w*|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|"
-    r"footer|header|masthead|comments?|comment-\w+|disqus|respond|popup|modal|toolbar|pagination|pager|widget|skip-link)"
-    r"(?:$|[\s_-])",
+# A class or id as a whole: what it names, where it stands, what holds it. Words
+# of a layout ("has-sidebar", "page-with-nav") or of a subject ("share-prices") do not match.
+_MARK = re.compile(
+    r"(?:(?:site|page|main|global|primary|secondary|top|bottom|left|right|post|entry)[-_])?"
+    r"(?:ads?|adverts?|advert\w+|sponsor(?:ed|s|ship)?|promos?|promotion|banner|cookies?|consent|gdpr|notices?|newsletter|subscribe|"
+    r"subscription|share|sharing|social|related|recommend(?:ed|ations?)|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|"
+    r"footer|header|masthead|comments?|disqus|respond|popup|modal|toolbar|pagination|pager|widgets?|skip-link)"
+    r"(?:[-_](?:ads?|area|banner|bar|block|body|box|buttons?|container|content|form|icons?|inner|item|items|links?|list|menu|nav|notice|"
+    r"popup|posts?|section|slot|text|thread|unit|widget|wrap|wrapper|top|bottom|\d+))*",
     re.I,
 )
 # An article's own head holds its title, so there these two are content.
 _IN_ARTICLE = frozenset(("header",))
 
 
-def _boilerplate(name: str, attributes: str, in_article: bool) -> bool:
+# How an element is marked: by its class or id, or by what it is.
+_BY_CLASS, _BY_KIND = 1, 2
+
+
+def _boilerplate(name: str, attributes: str, in_article: bool) -> int:
     if name in _CHROME:
-        return not (in_article and name in _IN_ARTICLE)
+        return 0 if in_article and name in _IN_ARTICLE else _BY_KIND
     if name in ("html", "body", "article", "main") and "comment" not in attributes.lower():
-        return False
+        return 0
     if not attributes or "=" not in attributes:
-        return " hidden" in f" {attributes.lower()} " if attributes else False
+        return _BY_KIND if attributes and " hidden" in f" {attributes.lower()} " else 0
     for a in _ATTRIBUTE.finditer(attributes):
         key = a.group(1).lower()
         value = a.group(2) or a.group(3) or a.group(4) or ""
         if key == "role" and value.lower() in _ROLES:
-            return True
-        if key in ("class", "id") and _MARKS.search(value):
-            return not (in_article and name in _INLINE)
+            return _BY_KIND
+        if key in ("class", "id") and any(_MARK.fullmatch(w) for w in value.split()):
+            return 0 if in_article and name in _INLINE else _BY_CLASS
         if key == "aria-hidden" and value.lower() == "true":
-            return True
+            return _BY_KIND
         if key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+            return _BY_KIND
+    return 0
 
 
 def blocks_of(page: str) -> tuple[list[str], list[bool]]:
@@ -101,8 +112,9 @@ def blocks_of(page: str) -> tuple[list[str], list[bool]]:
     blocks: list[str] = []
     kinds: list[int] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # name, boilerplate, article depth before
+    stack: list[tuple[str, int, int]] = []  # name, boilerplate, article depth before
     drop = 0
+    begun = False  # an article or main was seen
     article = 0  # 2: in an article, 1: in main
     at = 0
 
@@ -119,17 +131,17 @@ def blocks_of(page: str) -> tuple[list[str], list[bool]]:
         if m.start() > at and not drop:
             held.append(page[at:m.start()])
         at = m.end()
-        name = m.group(3)
+        name = m["name"]
         if name is None:
             continue
         name = name.lower()
-        if m.group(2):
+        if m["end"]:
             if any(s[0] == name for s in stack):
                 if name not in _INLINE:
                     close()
                 while stack:
                     top, marked, before = stack.pop()
-                    drop -= marked
+                    drop -= marked > 0
                     if top not in _INLINE:
                         close()
                     article = before
@@ -138,17 +150,24 @@ def blocks_of(page: str) -> tuple[list[str], list[bool]]:
             elif name not in _INLINE and not drop:
                 close()
             continue
-        attributes = m.group(4)
+        attributes = m["rest"]
         if name not in _INLINE and not drop:
             close()
         if name in _VOID or attributes.endswith("/"):
             continue
         # A new paragraph or item ends an open one.
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-            drop -= stack.pop()[1]
-        marked = bool(drop) or _boilerplate(name, attributes, article == 2)
+            drop -= stack.pop()[1] > 0
+        marked = _boilerplate(name, attributes, article == 2)
+        if name in ("article", "main") and not marked and not begun:
+            begun = True
+            if drop and max(m for _, m, _ in stack) == _BY_CLASS:
+                # What holds the page's text is its layout, whatever its class says.
+                stack = [(n, 0, before) for n, _, before in stack]
+                drop = 0
+        marked = max(marked, max((m for _, m, _ in stack), default=0)) if drop else marked
         stack.append((name, marked, article))
-        drop += marked
+        drop += marked > 0
         if name == "article" and not drop:
             article = 2
         elif name == "main" and not drop and article < 2:
@@ -484,16 +503,23 @@ def strip(blocks: list[str], outside: list[bool], repeated: np.ndarray) -> tuple
     """The page's text without repeated stretches, and the tokens removed.
 
     Markup is evidence: a block outside the page's article goes as a whole where
-    half of it is repeated, others lose the repeated stretch alone.
+    half of it is repeated, and else loses what is repeated at its borders. In
+    the article a block goes if all of it is repeated, and loses its repeated
+    borders if half of it is: a sentence that articles share stays where it stands.
     """
     parts = [x.split(" ") for x in blocks]
     tokens = [t for own in parts for t in own]
     if not len(repeated):
         return " ".join(tokens), 0
-    gone = covered(np.flatnonzero(np.isin(window_keys(tokens, MIN_RUN), repeated)), len(tokens), MIN_RUN)
+    found = covered(np.flatnonzero(np.isin(window_keys(tokens, MIN_RUN), repeated)), len(tokens), MIN_RUN)
+    gone = np.zeros(len(tokens), dtype=bool)
     at = 0
     for own, out in zip(parts, outside):
-        if out and 2 * gone[at:at + len(own)].sum() >= len(own):
+        here = found[at:at + len(own)]
+        if here.all() or (out and 2 * here.sum() >= len(own)):
             gone[at:at + len(own)] = True
+        elif 2 * here.sum() >= len(own) or out:
+            stay = np.flatnonzero(~here)
+            gone[at:at + stay[0]] = gone[at + stay[-1] + 1:at + len(own)] = True
         at += len(own)
     return " ".join(t for t, g in zip(tokens, gone.tolist()) if not g), int(gone.sum())
