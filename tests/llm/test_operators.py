@@ -216,6 +216,19 @@ def test_archive_round_trip(sp, tmp_path):
     assert warc.archive_round_trip(df.limit(0)).count() == 0
 
 
+def test_urls_cannot_forge_header_fields(sp, tmp_path):
+    big = "b" * 1500
+    urls = ["http://x/\r\nWARC-Refers-To: <urn:page:99>", "http://x/?WARC-Type: revisit", "a\tb\x00c\x7f", "http://x/%41"]
+    df = sp.createDataFrame([(i, u, big + str(i)) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = warc.archive_round_trip(df).collect()
+    assert all((r["record_type"], r["refers_to"], r["payload_bytes"]) == ("response", None, 1501) for r in got)
+    warc.write_archive(df, str(tmp_path / "forged"))
+    for r in warc.read_archive(sp, str(tmp_path / "forged")).collect():
+        head = bytes(r["header"]).partition(b"\r\n\r\n")[0].split(b"\r\n")
+        assert len(head) == 9 and bytes(r["record"]).count((big + str(r["page_id"])).encode()) == 1
+        assert (b"%41" in head[4]) == (r["page_id"] == 3)
+
+
 def test_damaged_payload_fails(sp, tmp_path):
     df = sp.createDataFrame([(1, "u", "text")], "page_id long, url string, html string")
     path = str(tmp_path / "a")

@@ -33,6 +33,9 @@ def write_archive(
 ) -> None:
     """Writes ``payloads`` and ``records`` below ``path`` (a shared folder).
 
+    The archive is two tables, not one file: records are put together by a join.
+    Besides the standard's fields a record has ``WARC-Payload-Length``.
+
     One record per row of ``pages``. A null body is the empty payload, a null
     url an empty target; rows with equal key and payload are records each, and
     all that hold the largest key of their payload are responses; rows with a
@@ -66,7 +69,11 @@ def write_archive(
     revisit = (F.col("n") >= min_revisit) & F.col("first_id").isNotNull() & ~F.coalesce(
         F.col("page_id") == F.col("first_id"), F.lit(False)
     )
-    target = F.coalesce("url", F.lit(""))
+    # A header value is one line: control characters travel percent-encoded.
+    target = escaped = F.coalesce("url", F.lit(""))
+    for code in (*range(32), 127):
+        escaped = F.replace(escaped, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    target = F.when(target.rlike(r"[\x00-\x1F\x7F]"), escaped).otherwise(target)
     kind = F.when(revisit, "revisit").otherwise("response")
     record_id = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(">"))
     # A revisit's block is its protocol head alone, a response's also the payload.
@@ -122,7 +129,8 @@ def read_archive(spark: SparkSession, path: str, verify: bool = True) -> DataFra
     joined = records.join(payloads, "strong", "left").withColumn(
         "payload", F.coalesce("payload", F.raise_error(F.lit("a record has no payload")).cast("binary"))
     )
-    is_revisit = F.locate("WARC-Type: revisit", F.decode("header", "UTF-8")) > 0
+    # The field itself: the words may stand in a target as well.
+    is_revisit = F.decode("header", "UTF-8").rlike(r"(?m)^WARC-Type: revisit\r?$")
     end = F.lit(CRLF + CRLF).cast("binary")
     return joined.select(
         "page_id", "header", "payload",
