@@ -382,15 +382,25 @@ def _staged(rows, label: str, slices: int = SLICES):
     return stage(rows, slices_by_time(rows, "ts", slices), "ts", label)
 
 
-@query(
-    "late_blocks",
-    """
+_LATE_SQL = """
     SELECT event_id, user_id, et AS event_time, coalesce(et < max(et) OVER (PARTITION BY user_id ORDER BY event_id
       ROWS UNBOUNDED PRECEDING) - INTERVAL '3 hours', false) AS late
     FROM (SELECT event_id, user_id, CASE WHEN event_id % 20 = 0 THEN ts - INTERVAL '30 hours' ELSE ts END AS et FROM events)
-    """,
-)
+    """
+
+
+@query("late_blocks", _LATE_SQL)
 def late_blocks(t):
+    """Late blocks of a finished recording, all at once."""
+    event_time = F.when(F.col("event_id") % 20 == 0, F.col("ts") - F.expr("INTERVAL 30 HOURS")).otherwise(F.col("ts"))
+    rows = t("events").select(
+        "event_id", "user_id", event_time.alias("event_time"), F.floor(F.col("event_id") / 512).alias("_b")
+    )
+    return tm.late_rows(rows, ["user_id"], "_b", ["event_id"], "event_time", 3 * 3600).drop("_b")
+
+
+@query("late_stream", _LATE_SQL)
+def late_stream(t):
     """Blocks as they arrive, the late ones marked by their device's own low-water mark."""
     return late_replay(t)
 
