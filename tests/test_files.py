@@ -98,3 +98,16 @@ def test_plan_cycles_through_phrases(spark):
     got = sorted(map(tuple, scans.round_robin_plan(phrases, 5).collect()))
     assert got == [("bg", i, "xy"[i % 2]) for i in range(5)] + [("en", i, "z") for i in range(5)]
     assert scans.round_robin_plan(phrases.limit(0), 5).count() == 0
+
+
+def test_batches_are_in_the_journal_once(spark, tmp_path):
+    root = str(tmp_path / "journal")
+    rows = spark.range(10).selectExpr("'review' AS event", "concat('a', id) AS attempt_id")
+    sinks.append_batch(rows.limit(6), 0, root)
+    sinks.append_batch(rows.where("attempt_id > 'a5'"), 1, root)
+    # The same batch again, and one that fails on its way.
+    sinks.append_batch(rows.where("attempt_id > 'a5'"), 1, root)
+    with pytest.raises(Exception, match="on the way"):
+        sinks.append_batch(rows.withColumn("status", F.when(F.col("attempt_id") == "a9", F.raise_error(F.lit("on the way"))).otherwise("x")), 2, root)
+    got = sorted(r["attempt_id"] for r in scans.read_journal(spark, root, pattern="*.json").collect())
+    assert got == [f"a{i}" for i in range(10)]

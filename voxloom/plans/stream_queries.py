@@ -11,6 +11,8 @@ from voxloom.operators.ordered import time_bucketed
 from voxloom.operators.phrase_machine import CaptureRules
 from voxloom.plans import adapters as ad
 from voxloom.plans.registry import query, with_ctes
+from voxloom.session import shared_dir
+from voxloom.sources import scans, sinks
 from voxloom.streaming import keyed as kd, phrases as ph
 from voxloom.streaming.replay import BEAT, drain, drain_whole, slices_by_time, stage
 
@@ -578,3 +580,14 @@ def capture_replay(t, slices: int = SLICES):
     return drain_whole(
         kd.capture_stream(stream, ["device_id", "session"], "i", "voiced", "ts", rules, idle_s=10 * 86400), "captures"
     )
+
+
+@query("journal_stream", with_ctes(ad.SQL_JOURNAL, "SELECT event, status, count(*) AS n, count(DISTINCT attempt_id) AS attempts FROM journal GROUP BY event, status"))
+def journal_stream(t):
+    """Journal events as they come, each batch once in the journal, then a scan of it."""
+    events = ad.journal(t).select("event", "attempt_id", "status", F.col("ts").cast("timestamp").alias("ts"))
+    root = shared_dir(t.spark, "live-journal")
+    sinks.stream_journal(_staged(events, "live-events").stream(DELAY).drop("ts"), f"{root}/journal", f"{root}/checkpoint")
+    return scans.read_journal(t.spark, f"{root}/journal", pattern="*.json").groupBy("event", "status").agg(
+        F.count("*").alias("n"), F.count_distinct("attempt_id").alias("attempts")
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def append_journal(events: DataFrame, root: str) -> None:
@@ -12,6 +13,25 @@ def append_journal(events: DataFrame, root: str) -> None:
     events.write.mode("append").option("ignoreNullFields", True).json(root)
 
 
+def append_batch(events: DataFrame, batch: int, root: str) -> None:
+    """Events of one micro-batch, in a folder of the batch's own.
+
+    A batch that is run again replaces what it wrote before, and one that fails
+    leaves nothing behind, so every event is in the journal once.
+    """
+    events.write.mode("overwrite").option("ignoreNullFields", True).json(f"{root}/batch={batch}")
+
+
+def stream_journal(events: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+    """Runs a stream of events into the journal below ``root`` until it has caught up."""
+    query = (
+        events.writeStream.foreachBatch(lambda rows, batch: append_batch(rows, batch, root))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return query
+
+
 def rows_digest(columns: Sequence[str]) -> Column:
     """Digest of a set of rows: two sums of independent 60-bit row hashes and the count.
 
