@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from voxloom.session import materialise
-from voxloom.llm.common import components, private
+from voxloom.llm.common import components, private, worker_cache
 
 # Tokens a repeated stretch has at least.
 MIN_RUN = 6
@@ -376,7 +377,7 @@ def main_text(
             for page in b.column(3).to_pylist():
                 blocks, sure = blocks_of(page or "")
                 # Blocks hold no line ends.
-                packed.append(zlib.compress("\n".join(blocks).encode(), 1))
+                packed.append(_codec()[0].compress("\n".join(blocks).encode()))
                 outside.append([any(sure) and not s for s in sure])
                 stream.append(_stream(" ".join(blocks).split(" ")) if blocks else 0)
             yield pa.RecordBatch.from_arrays(
@@ -494,8 +495,12 @@ def _stream(tokens: list[str]) -> int:
     return int.from_bytes(hashlib.blake2b(" ".join(tokens).encode(), digest_size=8).digest(), "little", signed=True) or 1
 
 
+def _codec() -> tuple:
+    return worker_cache(("zstd pages",), lambda: (zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()))
+
+
 def unpack(packed: bytes) -> list[str]:
-    text = zlib.decompress(packed).decode()
+    text = _codec()[1].decompress(packed).decode()
     return text.split("\n") if text else []
 
 
