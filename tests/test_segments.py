@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxloom.operators import segments as sg
+from voxloom.operators.grouped import map_sorted_groups
 from voxloom.operators.phrase_machine import BlockRun, SegmentRules
 from voxloom.streaming import phrases as ph
 from voxloom.streaming.replay import drain
@@ -224,3 +225,27 @@ def test_late_blocks_are_dropped_and_counted(spark, tmp_path):
     done = drain(ph.drop_late(source.withWatermark("ts", "30 minutes"), ["device_id", "block_idx"]), "late")
     assert sorted(r["block_idx"] for r in done.rows.collect()) == [0, 1, 2, 3, 4, 5, 6, 7]
     assert done.late == 1
+
+
+def test_groups_stay_whole_over_a_join_on_their_keys(spark):
+    # A shuffle join whose hot partition adaptive execution reads in pieces.
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1000",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        key = F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 40).cast("long")
+        rows = spark.range(0, 40_000, 1, 4).select(key.alias("k"), F.col("id").alias("i"))
+        joined = rows.join(spark.range(40).select(F.col("id").alias("k")), "k")
+        got = map_sorted_groups(
+            joined, ["k"], ["i"], lambda g: [(int(g["k"][0]), len(g["i"]))], "k long, n long"
+        ).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted(map(tuple, got)) == [(k, 21_000 if k == 7 else 1000) for k in range(1, 40, 2)]

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 Columns = dict[str, np.ndarray]
@@ -46,8 +46,10 @@ def map_sorted_groups(
             if rows:
                 yield pd.DataFrame(rows, columns=names)
 
-    # No number: adaptive execution sizes the tasks by bytes.
-    placed = df.repartition(*keys)
+    # No number: adaptive execution sizes the tasks by bytes. Partitioned by a hash
+    # of the keys, not by the keys: over a join on the same keys Spark would leave
+    # this shuffle out and read the join's in pieces, which cuts groups.
+    placed = df.repartition(F.xxhash64(*[F.col(f"`{k}`") for k in keys]))
     return placed.sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
