@@ -750,3 +750,24 @@ def test_calibration_stays_finite_where_classes_separate():
     noisy = np.random.default_rng(1).random(800) < 1 / (1 + np.exp(-(0.3 * z - 1)))
     slope, shift = quality._platt(z, noisy.astype(int))
     assert 0.2 < slope < 0.45 and -1.6 < shift < -0.5
+
+
+def test_quality_model_is_fitted_off_the_driver(sp):
+    import tracemalloc
+
+    from pyspark.sql import functions as F
+
+    pool = [f"w{i}" for i in range(5000)]
+    docs = sp.createDataFrame(
+        [(i, " ".join(pool[(i * 37 + j * (3 + i % 11)) % 5000] for j in range(3000))) for i in range(200)], "doc_id long, text string"
+    )
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    tracemalloc.start()
+    try:
+        model = quality.train(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # 200 texts have about 8 MB of features; the weights take half a megabyte.
+    assert model is not None and len(model.weights) == 2 << quality.BITS and peak < 6 << 20
+    assert quality.train(docs, labels.withColumn("quality", F.lit(1))) is None
