@@ -73,6 +73,28 @@ def test_pauses_and_captures_do_not_depend_on_batches(shuffled):
     assert rows(sq.capture_replay(shuffled, 7).rows) == want and any("OPEN" in map(str, r) for r in want)
 
 
+def test_keys_share_the_calls_of_a_batch(spark, shuffled):
+    """State rows, and with them calls, follow the lanes, not the keys; null keys keep to themselves."""
+    events = shuffled("events").withColumns({
+        "ts": F.col("ts").cast("timestamp"), "user_id": F.when(F.col("event_id") % 50 != 7, F.col("user_id")),
+        "control": F.when(F.col("event_type") == "error", "pause").when(F.col("event_type") == "purchase", "resume"),
+    }).select("user_id", "event_id", "ts", "control")
+    assert events.select("user_id").distinct().count() > 10
+    staged = rp.stage(events, sq.slices_by_time(events, "ts", 3), "ts", "lanes")
+    late = rp.drain_whole(kd.mark_late(staged.stream("1 minute"), "user_id", "event_id", "ts", 3 * 3600), "lanes")
+    gated = rp.drain_whole(kd.gate_pauses_stream(staged.stream("1 minute"), "user_id", ["ts", "event_id"], "control"), "lanes")
+    blocks = staged.stream("1 minute").selectExpr("user_id", "event_id % 40 AS i", "control IS NULL AS voiced", "ts")
+    rules = CaptureRules(start_timeout=12, end_silence=6, max_blocks=25)
+    ends = rp.drain_whole(kd.capture_stream(blocks, ["user_id"], "i", "voiced", "ts", rules), "lanes")
+    for done in (late, gated, ends):
+        assert 0 < done.peak_state <= 5
+    users = {r[0] for r in events.select("user_id").collect()}
+    assert late.rows.count() == events.count() and {r[0] for r in ends.rows.select("user_id").collect()} == users
+    bucketed = time_bucketed(events, "ts", "_span")
+    want = sg.gate_pauses(bucketed, "user_id", ["ts", "event_id"], "_span", "control").select("user_id", "event_id", "epoch")
+    assert rows(gated.rows.select("user_id", "event_id", "epoch")) == rows(want)
+
+
 def test_a_run_split_in_two(spark, shuffled):
     """A replay that stops after some slices and goes on later gives the phrases of one run."""
     blocks = thousand_blocks(shuffled).withColumn("ts", F.col("ts").cast("timestamp"))

@@ -162,6 +162,8 @@ def capture_end(at: np.ndarray, voiced: np.ndarray, rules: CaptureRules, complet
     if not complete:
         gapless = int(np.argmin(np.append(at, -1) == np.arange(len(at) + 1)))
         at, voiced = at[:gapless], voiced[:gapless]
+    if not len(at):
+        return ("OPEN", None, None, None) if complete else None
     votes = np.convolve(voiced.astype(int), np.ones(rules.window, int))[:len(at)]
     full = np.arange(len(at)) >= rules.window - 1
     starts = np.flatnonzero(full & (votes >= rules.required) & (at < rules.start_timeout))

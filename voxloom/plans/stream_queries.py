@@ -411,7 +411,7 @@ def late_replay(t, slices: int = SLICES):
     shifted = F.when(F.col("event_id") % 20 == 0, F.col("ts") - F.expr("INTERVAL 30 HOURS")).otherwise(F.col("ts"))
     arrived = _staged(_events(t).select("event_id", "user_id", "ts", shifted.alias("event_time")), "late-blocks", slices)
     rows = arrived.stream(DELAY).select("event_id", "user_id", "event_time")
-    out = drain_whole(kd.mark_late(rows, "user_id", "event_id", "event_time", 3 * 3600), "late-blocks").rows
+    out = drain_whole(kd.mark_late(rows, "user_id", "event_id", "event_time", 3 * 3600, arrived.lanes), "late-blocks").rows
     return out.withColumn("event_time", F.col("event_time").cast(dict(t("events").dtypes)["ts"]))
 
 
@@ -550,8 +550,8 @@ def pause_replay(t, slices: int = SLICES):
         F.col("user_id").alias("device_id"), "event_id", "ts",
         F.when(F.col("event_type") == "error", "pause").when(F.col("event_type") == "purchase", "resume").alias("control"),
     )
-    stream = _staged(rows, "controls", slices).stream(DELAY)
-    gated = kd.gate_pauses_stream(stream, "device_id", ["ts", "event_id"], "control")
+    staged = _staged(rows, "controls", slices)
+    gated = kd.gate_pauses_stream(staged.stream(DELAY), "device_id", ["ts", "event_id"], "control", staged.lanes)
     return drain_whole(gated, "pauses").rows.select("device_id", "event_id", "epoch")
 
 
@@ -575,10 +575,13 @@ def capture_replay(t, slices: int = SLICES):
         F.col("ts").cast("timestamp").alias("ts"),
     )
     # Blocks of a device lie hours apart in this table; a session idle for ten days is over.
-    stream = stage(armed, slices_by_time(armed, "ts", slices), "ts", "armed", idle="11 days").stream(DELAY)
+    staged = stage(armed, slices_by_time(armed, "ts", slices), "ts", "armed", idle="11 days")
     rules = CaptureRules(start_timeout=12, end_silence=6, max_blocks=25)
     return drain_whole(
-        kd.capture_stream(stream, ["device_id", "session"], "i", "voiced", "ts", rules, idle_s=10 * 86400), "captures"
+        kd.capture_stream(
+            staged.stream(DELAY), ["device_id", "session"], "i", "voiced", "ts", rules, idle_s=10 * 86400, lanes=staged.lanes
+        ),
+        "captures",
     )
 
 

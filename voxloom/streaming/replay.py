@@ -23,6 +23,10 @@ BEAT = "_beat"
 # Heartbeats at the end: the first moves the watermark, and what one stateful
 # operator then emits reaches the next with the batch after.
 BEATS = 3
+# Rows of a slice that a lane of keys gets.
+LANE = 8192
+# Bytes of a row group: as many tasks as a slice has of them can read it.
+GROUP = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -34,6 +38,13 @@ class Slices:
     schema: object
     ts: str
     count: int
+    rows: int = 0
+
+    @property
+    def lanes(self) -> int:
+        """Groups that share the keys of a slice: a lane's rows of a batch stay few."""
+        slices = max(1, self.count - BEATS)
+        return max(parallelism(self.spark), -(-self.rows // (slices * LANE)))
 
     def stream(self, delay: str | None = None) -> DataFrame:
         """The rows, heartbeats among them; with ``delay`` under a watermark and
@@ -65,7 +76,8 @@ def stage(rows: DataFrame, slice_: Column, ts: str, label: str, idle: str = "1 d
     spark = rows.sparkSession
     path = shared_dir(spark, label)
     real = rows.withColumns({BEAT: F.lit(False), "_slice": slice_.cast("int")})
-    real.repartition(parallelism(spark), "_slice").write.partitionBy("_slice").parquet(path)
+    placed = real.repartition(parallelism(spark), "_slice")
+    placed.write.partitionBy("_slice").option("parquet.block.size", GROUP).parquet(path)
     schema = real.drop("_slice").schema
     written = spark.read.option("recursiveFileLookup", True).schema(schema).parquet(path)
     last = written.agg((F.max(ts) + F.expr(f"INTERVAL {idle}")).alias("at"))
@@ -74,7 +86,7 @@ def stage(rows: DataFrame, slice_: Column, ts: str, label: str, idle: str = "1 d
     beat = last.where("at IS NOT NULL").select(*columns).coalesce(1)
     for i in range(BEATS):
         beat.write.parquet(f"{path}/_slice={(1 << 30) + i}")
-    return Slices(spark, path, schema, ts, _put_in_order(spark, path))
+    return Slices(spark, path, schema, ts, _put_in_order(spark, path), written.where(~F.col(BEAT)).count())
 
 
 def _put_in_order(spark: SparkSession, path: str) -> int:
@@ -111,6 +123,8 @@ def drain(stream: DataFrame, label: str, mode: str = "append", root: str | None
     """
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+    # A batch uploads what it changed, not the whole state.
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "100000")
     root = root or shared_dir(spark, label)
     out = os.path.join(root, "out")
