@@ -215,3 +215,16 @@ def test_labels_resume(spark):
     new = spark.createDataFrame([("c", "BG"), ("d", "")], "f string, l string")
     got = sorted(tuple(r) for r in jn.merge_labels(rec, old, new, "f", "l").collect())
     assert got == [("a", "BG"), ("c", "BG")]
+
+
+def test_reconciliation_tasks_grow_with_the_rows(spark, monkeypatch):
+    from voxloom.operators import journal
+
+    monkeypatch.setattr(journal, "RECONCILED", 100, raising=False)
+    listed = spark.range(1000).selectExpr("CASE WHEN id < 2 THEN NULL ELSE id END AS k")
+    present = spark.range(2000).selectExpr("CASE WHEN id < 3 THEN NULL ELSE id DIV 2 + 500 END AS k")
+    out = journal.reconcile_keys(listed, present, "k")
+    assert out.rdd.getNumPartitions() >= 30
+    want = [(None, "listed_only"), (None, "present_only")]
+    want += [(k, "listed_only") for k in range(2, 501)] + [(k, "present_only") for k in range(1000, 1500)]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)

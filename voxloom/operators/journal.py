@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from voxloom.operators.contracts import violation_list
 from voxloom.operators.ordered import bucket_running
+from voxloom.session import parallelism
 
 # Bands of a lookup table at most: every task holds them.
 BANDS = 1 << 20
@@ -174,12 +175,22 @@ def coverage_diff(expected: DataFrame, actual: DataFrame, key: str, fields: Sequ
     ).where("kind IS NOT NULL")
 
 
+# Rows of both key lists that a task of the reconciliation gets.
+RECONCILED = 1 << 20
+
+
 def reconcile_keys(listed: DataFrame, present: DataFrame, key: str) -> DataFrame:
-    """Keys in one table only. Both sides are made distinct before the joins."""
-    left, right = listed.select(key).distinct(), present.select(key).distinct()
-    missing = left.join(right, key, "left_anti").withColumn("side", F.lit("listed_only"))
-    extra = right.join(left, key, "left_anti").withColumn("side", F.lit("present_only"))
-    return missing.unionByName(extra)
+    """Keys in one table only, once each; a null key is in neither other table.
+
+    Both sides meet in one shuffle, whose tasks grow in number with the rows, so
+    that a task's hash table does not.
+    """
+    both = listed.select(key, F.lit(True).alias("_l")).unionByName(present.select(key, F.lit(False).alias("_l")))
+    tasks = max(parallelism(both.sparkSession), -(-both.count() // RECONCILED))
+    sides = both.repartition(tasks, key).groupBy(key).agg(F.bool_or("_l").alias("_in"), F.bool_or(~F.col("_l")).alias("_out"))
+    alone = ~(F.col("_in") & F.col("_out")) | F.col(key).isNull()
+    side = F.array_compact(F.array(F.when(F.col("_in"), "listed_only"), F.when(F.col("_out"), "present_only")))
+    return sides.where(alone).select(key, F.explode(side).alias("side"))
 
 
 def check_cases(results: DataFrame, key: str = "prompt_id") -> DataFrame:
