@@ -1,5 +1,7 @@
 """Streams over tables that are folders of files in no particular order."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +63,61 @@ def test_deliveries_of_a_folder(shuffled):
     assert done.peak_state < 100
 
 
+def test_deliveries_share_state_by_lanes(spark, shuffled):
+    """State rows follow the lanes and stores the cores, not the phrases, decisions and shuffle partitions."""
+    wide, stores = spark.conf.get("spark.sql.shuffle.partitions"), []
+    staged = rp.Slices(spark, "", None, "ts", 2 + rp.BEATS, 1000)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "9")
+        done = sq.wake_replay(shuffled, 2)
+        stores = [staged.partitions, replace(staged, rows=12 * 8192 * 16).partitions, replace(staged, rows=10 ** 9).partitions]
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "9" and 0 < done.peak_state <= 9
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", wide)
+    assert stores == [4, 6, 9] and done.rows.count() == 202
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_decisions_within_the_wait(spark, turn):
+    """Edges of the wait, equal times, repeats, null keys and odd columns, in whichever slice they come."""
+    big, minute = 2 ** 53 + 1, 60_000_000
+    said = [
+        (1, big, 0, True, "early"), (1, big, 0, True, "earlier"), (1, big, 1, True, "a later one"), (1, big, -1, False, "no"),
+        (1, 2, -minute, True, "first edge"), (1, 3, minute, True, "last edge"), (1, 4, minute + 1, True, "beyond"),
+        (1, 5, -minute - 1, True, "before"), (None, 6, 5, True, "nobody's"), (1, None, 5, True, "of nothing"), (2, 2, 0, True, "other"),
+        (1, 7, 0, True, None), (1, big - 1, 0, True, "near number"), (1, 8, -minute - 1, True, "too soon"), (1, 8, 3, True, "in time"),
+    ]
+    ended = [(1, big), (1, big), (1, 2), (1, 3), (1, 4), (1, 5), (None, 6), (1, None), (1, 7), (1, 8), (3, 2)]
+    note = {2: None, 3: float("nan")}
+    rows_ = [("d", d, p, us, hit, text, None, None) for d, p, us, hit, text in said] + [
+        ("p", d, p, 0, None, None, None if p == 2 else big, note.get(p, 0.1)) for d, p in ended
+    ]
+    df = spark.createDataFrame(rows_, "kind string, device_id long, phrase_id long, us long, detected boolean, wake_text string, n long, x double")
+    df = df.withColumn("ts", F.timestamp_micros(F.col("us") + 1_700_000_000_123_457))
+    # Within the delay nothing is late: phrases before their decisions, and after them.
+    slice_ = F.when(F.col("kind") == "p", 1 + turn).otherwise(1)
+    staged = rp.stage(df, slice_, "ts", "edges")
+    assert staged.count == 2 + rp.BEATS
+
+    def side(kind, ts, *columns):
+        real = F.when(F.col(ts).isNotNull(), F.col("kind") == kind)
+        return staged.stream().withColumnRenamed("ts", ts).withWatermark(ts, "10 minutes").where(real).select(*columns)
+
+    done = rp.drain_whole(ph.deliver_confirmed(
+        side("p", "end_ts", "device_id", "phrase_id", "end_ts", "n", "x"),
+        side("d", "ts", "device_id", "phrase_id", "ts", "detected", "wake_text"), lanes=3,
+    ), "edges")
+    heard = {
+        (1, big): "earlier", (1, 2): "first edge", (1, 3): "last edge", (None, 6): "nobody's", (1, None): "of nothing",
+        (1, 7): None, (1, 8): "in time",
+    }
+    want = [(d, p, None if p == 2 else big, str(note.get(p, 0.1)), heard.get((d, p)), "delivered" if (d, p) in heard else "discarded")
+            for d, p in set(ended)]
+    got = [(r["device_id"], r["phrase_id"], r["n"], str(r["x"]), r["wake_text"], r["outcome"]) for r in done.rows.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and done.peak_state <= 3
+    assert {r[0] for r in done.rows.select(F.unix_micros("end_ts")).collect()} == {1_700_000_000_123_457}
+
+
 def test_late_blocks_do_not_depend_on_batches(shuffled):
     got = rows(sq.late_replay(shuffled, 3))
     assert got == rows(sq.late_replay(shuffled, 10)) and sum(r[2] for r in got) > 10

@@ -467,7 +467,7 @@ def telemetry_replay(t, slices: int = SLICES):
     """,
 )
 def wake_delivery(t):
-    """Phrases and wake decisions as two streams, joined within a minute.
+    """Phrases and wake decisions as two streams, matched within a minute.
 
     A phrase has two decisions; the earlier one counts, though the later comes
     first in the file.
@@ -481,16 +481,14 @@ def wake_replay(t, slices: int = SLICES):
     phrases = staged.stream().select(
         F.col("user_id").alias("device_id"), F.col("event_id").alias("phrase_id"), F.col("ts").alias("end_ts"), "event_type", BEAT
     ).withWatermark("end_ts", DELAY).where(purchase).drop("event_type", BEAT)
-    # The join asks its right side for keys that are not null, at the scan already:
-    # heartbeats get some, or they would not move the watermark.
     decisions = staged.stream().select(
-        F.coalesce("user_id", F.lit(-1)).alias("device_id"), F.coalesce("event_id", F.lit(-1)).alias("phrase_id"),
+        F.col("user_id").alias("device_id"), F.col("event_id").alias("phrase_id"),
         (F.col("value") >= 50).alias("detected"), "ts", F.explode(F.array(F.lit(20), F.lit(0))).alias("later"),
     ).select(
         "device_id", "phrase_id", "detected", (F.col("ts") + F.make_interval(secs="later")).alias("ts"),
         F.concat(F.when(F.col("later") > 0, "again ").otherwise("heard "), "phrase_id").alias("wake_text"),
     ).withWatermark("ts", DELAY)
-    return drain_whole(ph.deliver_confirmed(phrases, decisions), "delivery")
+    return drain_whole(ph.deliver_confirmed(phrases, decisions, lanes=staged.lanes), "delivery", staged.partitions)
 
 
 # The watermark of a batch is that of two batches before, in milliseconds.

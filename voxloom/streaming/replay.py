@@ -23,8 +23,9 @@ BEAT = "_beat"
 # Heartbeats at the end: the first moves the watermark, and what one stateful
 # operator then emits reaches the next with the batch after.
 BEATS = 3
-# Rows of a slice that a lane of keys gets.
+# Rows of a slice that a lane of keys gets, and lanes that make a partition of the state worth its cost.
 LANE = 8192
+LANES_OF_A_TASK = 16
 # Bytes of a row group: as many tasks as a slice has of them can read it.
 GROUP = 4 << 20
 
@@ -46,6 +47,14 @@ class Slices:
         slices = max(1, self.count - BEATS)
         return max(parallelism(self.spark), -(-self.rows // (slices * LANE)))
 
+    @property
+    def partitions(self) -> int:
+        """Partitions of a state kept by lanes. Each costs a batch a store and a worker,
+        however few its rows, so they follow the cores and the lanes, up to the session's number."""
+        slices = max(1, self.count - BEATS)
+        cores = self.spark.sparkContext.defaultParallelism
+        return min(parallelism(self.spark), max(cores, -(-self.rows // (slices * LANES_OF_A_TASK * LANE))))
+
     def stream(self, delay: str | None = None) -> DataFrame:
         """The rows, heartbeats among them; with ``delay`` under a watermark and
         without the heartbeats, which have moved it by then."""
@@ -76,7 +85,8 @@ def stage(rows: DataFrame, slice_: Column, ts: str, label: str, idle: str = "1 d
     spark = rows.sparkSession
     path = shared_dir(spark, label)
     real = rows.withColumns({BEAT: F.lit(False), "_slice": slice_.cast("int")})
-    placed = real.repartition(parallelism(spark), "_slice")
+    # By number, not by hash: a task that gets two slices takes twice as long.
+    placed = real.repartitionById(parallelism(spark), "_slice")
     placed.write.partitionBy("_slice").option("parquet.block.size", GROUP).parquet(path)
     schema = real.drop("_slice").schema
     written = spark.read.option("recursiveFileLookup", True).schema(schema).parquet(path)
@@ -113,13 +123,16 @@ class Drained:
     peak_state: int
 
 
-def drain(stream: DataFrame, label: str, mode: str = "append", root: str | None = None) -> Drained:
+def drain(
+    stream: DataFrame, label: str, mode: str = "append", root: str | None = None, partitions: int | None = None
+) -> Drained:
     """Runs a replay to the end of what is there, with exactly-once file output.
 
     Checkpoint and output lie in the shared folder, so a restarted driver or a
     lost executor goes on where the stream was; so does a later call that names
     the same ``root``. ``late`` counts the rows state operators refused,
-    ``peak_state`` the most state rows after any batch.
+    ``peak_state`` the most state rows after any batch. A new stream keeps its
+    state in ``partitions``, else in as many as the session shuffles to.
     """
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
@@ -128,10 +141,17 @@ def drain(stream: DataFrame, label: str, mode: str = "append", root: str | None
     spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "100000")
     root = root or shared_dir(spark, label)
     out = os.path.join(root, "out")
-    query: StreamingQuery = (
+    writer = (
         stream.writeStream.outputMode(mode).format("parquet").option("path", out)
-        .option("checkpointLocation", os.path.join(root, "checkpoint")).trigger(availableNow=True).start()
+        .option("checkpointLocation", os.path.join(root, "checkpoint")).trigger(availableNow=True)
     )
+    width = parallelism(spark)
+    try:
+        # A stream takes a copy of the settings when it starts.
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions or width))
+        query: StreamingQuery = writer.start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", str(width))
     query.awaitTermination()
     progress = query.recentProgress
     return Drained(
@@ -142,9 +162,9 @@ def drain(stream: DataFrame, label: str, mode: str = "append", root: str | None
     )
 
 
-def drain_whole(stream: DataFrame, label: str) -> Drained:
+def drain_whole(stream: DataFrame, label: str, partitions: int | None = None) -> Drained:
     """As ``drain``; rows that came behind the watermark are an error."""
-    done = drain(stream, label)
+    done = drain(stream, label, partitions=partitions)
     if done.late:
         raise ValueError(f"{label}: {done.late} rows came behind the watermark; use a longer delay")
     return done
